@@ -37,26 +37,56 @@ WINDOW = 2048
 END_ID = 1
 #: Sources beyond the largest so many share one queue, which keeps the driver's table of totals small.
 MAX_QUEUES = 1024
-#: Words that a worker remembers; then it starts anew.
-MEMO_WORDS = 400_000
+#: Words, and pieces of words, that a worker remembers; then it starts anew.
+MEMO_WORDS = 1_000_000
 
 #: Characters for which normalisation works on each alone and white space always parts pieces.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ–—‘-„…€]*")
+#: Fixed by the vocabulary file: what its pre-tokenizer takes as pieces.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_WORD_END = "</w>"
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space, with a memory of words.
+    """Ids of texts by a tokenizer that lowers letters, drops white space and marks the ends of pieces.
 
     In texts of plain characters the ids are those of the words between white space, one after
-    another; other texts go to the library whole.
+    another, and a word's are those of its pieces; both are remembered. Pieces met for the first time
+    are encoded together, parted by spaces, and told apart by the ids that end a piece. Other texts
+    go to the library whole.
     """
 
     def __init__(self, path: str):
         self.library = library(path)
-        self.wide = self.library.get_vocab_size(with_added_tokens=True) > 65_536
-        self.kind = "<u4" if self.wide else "<u2"
-        self.memo: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        size = max(vocabulary.values()) + 1
+        self.kind = "<u4" if size > 65_536 else "<u2"
+        self.ends = np.zeros(size, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith(_WORD_END)]] = True
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.words) + len(words) > MEMO_WORDS:
+            self.words.clear()
+        if len(self.pieces) > MEMO_WORDS:
+            self.pieces.clear()
+        split = {w: _PIECES.findall(w.lower()) for w in words}
+        new = list({p for parts in split.values() for p in parts}.difference(self.pieces))
+        for k in range(0, len(new), 8192):
+            part = new[k : k + 8192]
+            ids = np.asarray(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(part):
+                raise ValueError("the vocabulary does not end pieces as expected")
+            raw, size, start = ids.tobytes(), ids.itemsize, 0
+            for piece, stop in zip(part, stops):
+                self.pieces[piece] = raw[start * size : stop * size]
+                start = stop
+        get = self.pieces.__getitem__
+        for word, parts in split.items():
+            self.words[word] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
 
     def encode(self, values: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -68,24 +98,33 @@ class WordEncoder:
                 split[i] = text.split()
             else:
                 odd.append(i)
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        missing = list({w for words in split.values() for w in words if w not in memo})
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for word, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                memo[word] = np.asarray(e.ids, self.kind).tobytes()
+        seen: set[str] = set()
+        seen.update(*split.values())
+        new = seen.difference(self.words)
+        if len(self.words) + len(new) > MEMO_WORDS:
+            new = seen
+        self._learn(new)
+        get = self.words.__getitem__
         for i, words in split.items():
-            out[i] = b"".join(map(memo.__getitem__, words))
+            out[i] = b"".join(map(get, words))
         for i, e in zip(odd, self.library.encode_batch_fast([values[i] for i in odd], add_special_tokens=False)):
             out[i] = np.asarray(e.ids, self.kind).tobytes()
         return out
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a file, with its memory, kept for the life of a Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def _tokenized(path: str, end_id: int):
     def run(batches: Batches) -> Batches:
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         end = np.asarray([end_id], encoder.kind).tobytes()
         part, before = TaskContext.get().partitionId(), {}
         for batch in batches:
