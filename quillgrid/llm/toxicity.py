@@ -60,14 +60,6 @@ def words_of(text: str) -> set[bytes]:
     return set(text.encode("utf-8", "surrogatepass").translate(_SPLIT).split())
 
 
-def features_of(words: set[bytes]) -> set[bytes]:
-    """Words and word beginnings (of longer words only); beginnings end in a star."""
-    out = set(words)
-    for n in PREFIXES:
-        out.update(w[:n] + b"*" for w in words if len(w) > n)
-    return out
-
-
 @dataclass
 class Model:
     """All that scoring needs; its size is bounded by the number of mined and classified features."""
@@ -99,30 +91,60 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, total))))
 
 
-def _mine(rows: list[set[bytes]], y: np.ndarray) -> list[tuple[bytes, float, np.ndarray]]:
+class Sample:
+    """Labelled rows as arrays: each distinct word is kept once, each row as the numbers of its words."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.rows: list[np.ndarray] = []
+        self.hits: list[int] = []
+        self.labels: list[int] = []
+
+    def add(self, words, hits: int, label: int) -> None:
+        own = [self.numbers.setdefault(w, len(self.numbers)) for w in words]
+        self.rows.append(np.unique(np.asarray(own, np.int32)))
+        self.hits.append(hits)
+        self.labels.append(label)
+
+    def holding(self, words: set[bytes]) -> np.ndarray:
+        """Whether each row has one of the words."""
+        wanted = np.zeros(len(self.numbers), bool)
+        wanted[[self.numbers[w] for w in words if w in self.numbers]] = True
+        return np.asarray([bool(wanted[r].any()) for r in self.rows])
+
+    def features(self) -> tuple[list[bytes], np.ndarray]:
+        """Features and, for each word, the numbers of its own (0 for none)."""
+        names: dict[bytes, int] = {b"": 0}
+        table = np.zeros((len(self.numbers), 1 + len(PREFIXES)), np.int32)
+        for word, k in self.numbers.items():
+            table[k, 0] = names.setdefault(word, len(names))
+            for j, n in enumerate(PREFIXES, 1):
+                if len(word) > n:
+                    table[k, j] = names.setdefault(word[:n] + b"*", len(names))
+        return list(names), table
+
+
+def _mine(sample: Sample, y: np.ndarray) -> list[tuple[bytes, float, np.ndarray]]:
     """Features far commoner in toxic rows: (feature, smoothed log odds, rows that have it)."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    least = max(3, round(0.005 * n1))
-    df1: dict[bytes, int] = {}
-    for k in np.flatnonzero(y == 1):
-        for f in rows[k]:
-            df1[f] = df1.get(f, 0) + 1
-    often = {f for f, n in df1.items() if n >= least}
-    where: dict[bytes, list[int]] = {f: [] for f in often}
-    for k, own in enumerate(rows):
-        for f in own & often:
+    names, table = sample.features()
+    df = np.zeros((2, len(names)), np.int64)
+    for own, mark in zip(sample.rows, y):
+        df[mark, np.unique(table[own])] += 1
+    a, b = df[1], df[0]
+    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+    # The lower end of the log odds, so that rare features need a cleaner record.
+    sure = odds - 2.0 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    sure[(a < max(3, round(0.005 * n1))) | (np.arange(len(names)) == 0)] = 0
+    found = sorted(np.flatnonzero(sure > 0.5).tolist(), key=lambda k: (-sure[k], names[k]))[:MINED]
+    place = np.full(len(names), -1)
+    place[found] = np.arange(len(found))
+    where: list[list[int]] = [[] for _ in found]
+    for k, own in enumerate(sample.rows):
+        mine = place[np.unique(table[own])]
+        for f in mine[mine >= 0]:
             where[f].append(k)
-    found = []
-    for f, at in where.items():
-        a = df1[f]
-        b = len(at) - a
-        odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-        # The lower end of the log odds, so that rare features need a cleaner record.
-        sure = odds - 2.0 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if sure > 0.5:
-            found.append((sure, f, odds, np.asarray(at)))
-    found.sort(key=lambda x: (-x[0], x[1]))
-    return [(f, odds, at) for _, f, odds, at in found[:MINED]]
+    return [(names[k], float(odds[k]), np.asarray(at, np.int64)) for k, at in zip(found, where)]
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
@@ -170,21 +192,21 @@ def _logistic(columns: list[np.ndarray], rows: int, target: np.ndarray, penalty:
     return x, bias
 
 
-def fit(rows: list[tuple[set[bytes], tuple[bool, ...]]], labels: list[int]) -> Model:
-    """Train on (distinct words, pattern hits) of labelled rows."""
-    y = np.asarray(labels, np.int64)
+def fit(sample: Sample) -> Model:
+    """Train on labelled rows."""
+    y = np.asarray(sample.labels, np.int64)
     seeds = {lang: {w.encode() for w in words.split()} for lang, words in SEEDS.items()}
     if not len(y) or y.min() == y.max():
         return Model({w: 4.0 for own in seeds.values() for w in own}, (1.0,) * len(PATTERNS), -3.0)
-    words = [w for w, _ in rows]
-    mined = _mine([features_of(w) for w in words], y)
+    mined = _mine(sample, y)
+    patterns = [np.asarray([bool(h >> k & 1) for h in sample.hits]) for k in range(len(PATTERNS))]
     names, votes = [], []
     for lang, own in seeds.items():
         names.append(f"seed {lang}")
-        votes.append([bool(w & own) for w in words])
-    for k in range(len(PATTERNS)):
+        votes.append(sample.holding(own))
+    for k, fired in enumerate(patterns):
         names.append(f"pattern {k}")
-        votes.append([hits[k] for _, hits in rows])
+        votes.append(fired)
     groups = max(1, min(MINED_GROUPS, len(mined)))
     for g in range(groups):
         fired = np.zeros(len(y), bool)
@@ -199,12 +221,10 @@ def fit(rows: list[tuple[set[bytes], tuple[bool, ...]]], labels: list[int]) -> M
     known = set(keys)
     for own in seeds.values():
         for w in sorted(own - known):
-            at = [k for k, x in enumerate(words) if w in x]
-            columns.append(np.asarray(at, np.int64))
+            columns.append(np.flatnonzero(sample.holding({w})))
             keys.append(w)
             known.add(w)
-    for k in range(len(PATTERNS)):
-        columns.append(np.flatnonzero([hits[k] for _, hits in rows]))
+    columns += [np.flatnonzero(fired) for fired in patterns]
     x, bias = _logistic(columns, len(y), posterior, 0.3)
     report = [(n, float((np.asarray(v, bool) == (posterior > 0.5)).mean()), float(np.mean(v)), float(w)) for n, v, w in zip(names, votes, voters[:, 2])]
     return Model({f: float(w) for f, w in zip(keys, x) if abs(w) > 1e-6}, tuple(float(w) for w in x[len(keys) :]), float(bias), report)
@@ -234,9 +254,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     present = docs.select(F.col(id_col).alias("mark_id")).distinct()
     chosen = marks.join(present, "mark_id", "left_semi").orderBy(F.xxhash64(F.col("mark_id").cast("string")), "mark_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("mark_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "mark_id").select("toxic", "text")
-    sample = rows.mapInArrow(_sampled(SAMPLE_WORDS), "toxic int, words binary, hits int").orderBy("words", "toxic").limit(2 * sample_rows).collect()
-    parsed = [(set(bytes(r["words"]).split()), tuple(bool(r["hits"] >> k & 1) for k in range(len(PATTERNS)))) for r in sample]
-    return fit(parsed, [int(r["toxic"] > 0) for r in sample])
+    sample = rows.mapInArrow(_sampled(SAMPLE_WORDS), "toxic int, words binary, hits int").limit(2 * sample_rows).collect()
+    rows = Sample()
+    for r in sample:
+        rows.add(bytes(r["words"]).split(), r["hits"], int(r["toxic"] > 0))
+    return fit(rows)
 
 
 def _scored(model: Model, threshold: float):
