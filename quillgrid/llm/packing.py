@@ -21,11 +21,16 @@ ids are packed row by row; an empty table gives no pieces; other columns are ign
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +42,8 @@ WINDOW = 2048
 END_ID = 1
 #: Sources beyond the largest so many share one queue, which keeps the driver's table of totals small.
 MAX_QUEUES = 1024
-#: Words, and pieces of words, that a worker remembers; then it starts anew.
-MEMO_WORDS = 1_000_000
+#: Words of a generation that a worker remembers; it remembers two.
+MEMO_WORDS = 250_000
 
 #: Characters for which normalisation works on each alone and white space always parts pieces.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ–—‘-„…€]*")
@@ -47,69 +52,115 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N
 _WORD_END = "</w>"
 
 
+class Memory(dict):
+    """A dictionary that forgets what two generations of new entries have not asked for."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def unknown(self, keys: set[str]) -> set[str]:
+        """Those of the keys that are in neither generation; the others are in this one afterwards."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        if self.old:
+            old = new.intersection(self.old)
+            get = self.old.__getitem__
+            self.update((k, get(k)) for k in old)
+            new -= old
+        return new
+
+
+def _pieces_of(word: str) -> list[str]:
+    """A lower-cased word's pieces; words of letters, with one other character at the end or not, need no pattern."""
+    if word.isalpha():
+        return [word]
+    if word[:-1].isalpha():
+        return [word[:-1], word[-1]]
+    return _PIECES.findall(word)
+
+
+def _byte_of() -> dict[str, int]:
+    """Byte that each letter of a byte-level vocabulary stands for: printable ones for themselves, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+#: Stands for the end of a piece; UTF-8 has no such byte.
+_MARK = b"\xff"
+
+
+def _merger(path: str):
+    """Merges a piece's bytes, closed by the mark, by the ranks of a vocabulary with word ends; None if ids aren't ranks."""
+    model = json.loads(Path(path).read_text())["model"]
+    vocabulary, merges = model["vocab"], [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+    if not merges or model.get("end_of_word_suffix") != _WORD_END or any(vocabulary[a + b] != vocabulary["".join(merges[0])] + k for k, (a, b) in enumerate(merges)):
+        return None
+    letters, ranks = _byte_of(), {}
+    for token, rank in vocabulary.items():
+        body = token.removesuffix(_WORD_END)
+        raw = bytes(letters[c] for c in body) if all(c in letters for c in body) and not token.startswith("<|") else _MARK
+        if _MARK not in raw:
+            ranks[raw + _MARK * (body != token)] = rank
+    ranks[_MARK] = len(ranks) + len(vocabulary)  # never left alone: every byte has a token with the mark
+    return tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that lowers letters, drops white space and marks the ends of pieces.
 
     In texts of plain characters the ids are those of the words between white space, one after
-    another, and a word's are those of its pieces; both are remembered. Pieces met for the first time
-    are encoded together, parted by spaces, and told apart by the ids that end a piece. Other texts
-    go to the library whole.
+    another, and a word's are those of its pieces; words are remembered. A piece's ids are merged by
+    rank (the vocabulary numbers its tokens in the order of its merges). Other texts go to the
+    library whole.
     """
 
     def __init__(self, path: str):
-        self.library = library(path)
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        size = max(vocabulary.values()) + 1
-        self.kind = "<u4" if size > 65_536 else "<u2"
-        self.ends = np.zeros(size, bool)
-        self.ends[[k for t, k in vocabulary.items() if t.endswith(_WORD_END)]] = True
+        self.library, self.merge = library(path), _merger(path)
+        self.kind = "<u4" if max(self.library.get_vocab(with_added_tokens=True).values()) > 65_535 else "<u2"
+        self.code = "I" if self.kind == "<u4" else "H"
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = Memory(MEMO_WORDS)
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > MEMO_WORDS:
-            self.words.clear()
-        if len(self.pieces) > MEMO_WORDS:
-            self.pieces.clear()
-        split = {w: _PIECES.findall(w.lower()) for w in words}
-        new = list({p for parts in split.values() for p in parts}.difference(self.pieces))
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
-            ids = np.asarray(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) != len(part):
-                raise ValueError("the vocabulary does not end pieces as expected")
-            raw, size, start = ids.tobytes(), ids.itemsize, 0
-            for piece, stop in zip(part, stops):
-                self.pieces[piece] = raw[start * size : stop * size]
-                start = stop
-        get = self.pieces.__getitem__
-        for word, parts in split.items():
-            self.words[word] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
-
-    def encode(self, values: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        out: list = [None] * len(values)
-        split: dict[int, list[str]] = {}
-        odd: list[int] = []
-        for i, text in enumerate(values):
-            if _PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
-                split[i] = text.split()
-            else:
-                odd.append(i)
-        seen: set[str] = set()
-        seen.update(*split.values())
-        new = seen.difference(self.words)
-        if len(self.words) + len(new) > MEMO_WORDS:
-            new = seen
-        self._learn(new)
-        get = self.words.__getitem__
-        for i, words in split.items():
-            out[i] = b"".join(map(get, words))
-        for i, e in zip(odd, self.library.encode_batch_fast([values[i] for i in odd], add_special_tokens=False)):
-            out[i] = np.asarray(e.ids, self.kind).tobytes()
-        return out
+        merge, code, put = self.merge, self.code, self.words
+        for word in words:
+            pieces = _pieces_of(word.lower())
+            ids = merge(pieces[0].encode() + _MARK) if pieces else []
+            for piece in pieces[1:]:
+                ids = ids + merge(piece.encode() + _MARK)
+            put[word] = array(code, ids).tobytes()
+
+    def _plain(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each): each distinct word of the batch is looked up once."""
+        lists = pc.ascii_split_whitespace(pa.array(values, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn(self.words.unknown(set(words)))
+        known = list(map(self.words.__getitem__, words))
+        size = np.dtype(self.kind).itemsize
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // size
+        begins = np.cumsum(lengths) - lengths
+        taken = lengths[at]
+        ends = np.cumsum(taken)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = np.frombuffer(b"".join(known), self.kind)[np.repeat(begins[at] - ends + taken, taken) + np.arange(total)]
+        edges = np.concatenate([[0], ends])[np.asarray(lists.offsets)]
+        return ids, np.diff(edges)
+
+    def encode(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each)."""
+        plain = [self.merge is not None and bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.specials) for t in values]
+        ids, counts = self._plain([t for t, p in zip(values, plain) if p])
+        if all(plain):
+            return ids, counts
+        odd = iter(self.library.encode_batch_fast([t for t, p in zip(values, plain) if not p], add_special_tokens=False))
+        own = iter(np.split(ids, np.cumsum(counts)[:-1]))
+        parts = [next(own) if p else np.asarray(next(odd).ids, self.kind) for p in plain]
+        return np.concatenate(parts), np.asarray([len(x) for x in parts], np.int64)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -122,20 +173,26 @@ def word_encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _binaries(ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+    offsets = (edges * ids.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
 def _tokenized(path: str, end_id: int):
     def run(batches: Batches) -> Batches:
         encoder = word_encoder(path)
-        end = np.asarray([end_id], encoder.kind).tobytes()
         part, before = TaskContext.get().partitionId(), {}
         for batch in batches:
             sources, values = batch.column(1).to_pylist(), texts(batch, "text")
-            ids = [x + end for x in encoder.encode(values)]
-            counts, places = [len(x) // len(end) for x in ids], []
+            ids, lengths = encoder.encode(values)
+            ids = np.insert(ids, np.cumsum(lengths), end_id)
+            edges = np.concatenate([[0], np.cumsum(lengths + 1)])
+            counts, places = (lengths + 1).tolist(), []
             for source, n in zip(sources, counts):
                 places.append(before.get(source, 0))
                 before[source] = places[-1] + n
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(places, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array([part] * len(counts), pa.int32()), pa.array(places, pa.int64()), pa.array(counts, pa.int64()), _binaries(ids, edges)],
                 names=["id", "source", "part", "place", "n", "ids"],
             )
 
