@@ -184,7 +184,7 @@ def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """
     judged = judge(df, id_col, text_col, host_col, **options)
     lost = written(judged.where("NOT kept AND NOT base_failed").select(F.col("row").alias("_lost")).distinct(), "lost")
-    key = F.xxhash64(F.coalesce(df[id_col].cast("string"), F.lit("")), text_or_empty(text_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")))
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_or_empty(text_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")))
     plain = df.withColumnRenamed(text_col, "text")
     passing = plain.mapInArrow(_passing, plain.schema).withColumnRenamed("text", text_col)
     return passing.withColumn("_row", key).join(lost, F.col("_row") == F.col("_lost"), "left_anti").drop("_row")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, cut, text_or_empty, texts
+from quillgrid.llm.common import Batches, bounded_batches, cut, text_or_empty, texts, written
 from quillgrid.llm.components import connected_components
 
 SHINGLE = 4
@@ -93,17 +93,19 @@ def _forest(radius: int):
         for batch in batches:
             a, b = [], []
             for group in batch.column(0).to_pylist():
-                left = np.unique(np.asarray(group, np.int64)).view(np.uint64)  # bit counts of signed numbers are of their size
+                # Bit counts of signed numbers are of their size, so the fingerprints are taken as unsigned ones.
+                fps = np.asarray([x["fp"] for x in group], np.int64).view(np.uint64)
+                left = np.argsort(fps, kind="stable")
                 while len(left) > 1:
-                    front, left = [left[0]], left[1:]
+                    front, left = [int(left[0])], left[1:]
                     while front and len(left):
                         x = front.pop()
-                        near = np.bitwise_count(left ^ x) <= radius
+                        near = np.bitwise_count(fps[left] ^ fps[x]) <= radius
                         if near.any():
-                            found = left[near]
-                            a += [signed(int(x))] * len(found)
-                            b += found.view(np.int64).tolist()
-                            front += list(found)
+                            found = left[near].tolist()
+                            a += [group[x]["node"]] * len(found)
+                            b += [group[k]["node"] for k in found]
+                            front += found
                             left = left[~near]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -116,27 +118,31 @@ def _points(radius: int):
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            for fp in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(flips ^ fp), pa.array(np.full(len(flips), fp))], names=["point", "fp"])
+            for node, seed, fp in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                n = len(flips)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node)), pa.array(np.full(n, seed, np.int32)), pa.array(flips ^ fp)], names=["node", "seed", "point"])
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between fingerprints (column fp, each once) that connect all pairs within the radius."""
+def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) between nodes that connect all pairs with fingerprints of one seed within the radius.
+
+    ``nodes`` has columns node, seed and fp, each combination once.
+    """
+    if radius % 2:
+        raise ValueError("radius must be even")
     masks = covering_masks(radius)
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])
-    tables = distinct.select("fp", F.explode(keys).alias("key"))
+    keys = F.array(*[F.xxhash64(F.col("seed"), F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])
+    tables = nodes.select("node", "seed", "fp", F.explode(keys).alias("key"))
     counts = tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(tables.join(counts, "key"))
-    groups = met.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
+    groups = met.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("fp", "node")).alias("group")).select("group")
     near = groups.mapInArrow(_forest(radius), "a bigint, b bigint")
-    if radius % 2:
-        raise ValueError("radius must be even")
-    crowded = met.where(F.col("n") > bucket).select("fp").distinct()
-    points = crowded.mapInArrow(_points(radius), "point bigint, fp bigint")
-    least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("point", "a")
-    far = points.join(least, "point").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    crowded = met.where(F.col("n") > bucket).select("node", "seed", "fp").distinct()
+    points = crowded.mapInArrow(_points(radius), "node bigint, seed int, point bigint")
+    least = points.groupBy("seed", "point").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
+    far = points.join(least, ["seed", "point"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
     return near.unionByName(far)
 
 
@@ -146,8 +152,124 @@ def near_duplicates(
     """(id, fp, component_id) of every row; component_id: the least id reachable over links between fingerprints."""
     rows = cut(fingerprints(df, id_col, text_col, shingle, seed))
     firsts = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = connected_components(links(firsts.select("fp"), radius, bucket))
+    roots = connected_components(links(firsts.select(F.col("fp").alias("node"), F.lit(0).alias("seed"), "fp"), radius, bucket))
     grouped = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(least, "root").select(F.col("fp").alias("own_fp"), "component_id")
     return rows.join(named, F.col("fp") == F.col("own_fp")).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+# Documents of which one of each group stays.
+
+SIMILARITY = 0.8
+WORDS = 5
+SEEDS = (1, 2, 3, 4)
+#: Documents of a family that one task compares; larger families first go through rounds of ``LEADERS``.
+FAMILY = 20_000
+LEADERS = 256
+
+
+def word_fingerprint(text: str, seed: int) -> int:
+    """SimHash of the distinct words: of texts that share most five-word shingles it differs in few bits."""
+    words = set(text.encode("utf-8", "surrogatepass").lower().split())
+    return majority(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64)) if words else 0
+
+
+def shingle_hashes(text: str, size: int = WORDS) -> np.ndarray:
+    """Distinct hashes of the word shingles (of the whole sequence where there are fewer words)."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    parts = [b" ".join(words)] if len(words) <= size else map(b" ".join, zip(*(words[k:] for k in range(size))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p) for p in parts), np.uint64).view(np.int64))
+
+
+def _word_fingerprints(batches: Batches) -> Batches:
+    for batch in batches:
+        values = texts(batch, "text")
+        found = [[signed(word_fingerprint(t, s)) for s in SEEDS] for t in values]
+        marks = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in values]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["node", "mark", "fps"])
+
+
+def _shingled(batches: Batches) -> Batches:
+    for batch in batches:
+        found = [shingle_hashes(t).tolist() for t in texts(batch, "text")]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["root", "node", "shingles"])
+
+
+def leaders_of(members: list[tuple[int, list[int]]], similarity: float = SIMILARITY) -> list[int]:
+    """Of (node, shingles), the nodes that stay: by rising node, each that is not similar to one that stays."""
+    holders: dict[int, list[int]] = {}
+    sizes: list[int] = []
+    stay: list[int] = []
+    for node, shingles in sorted(members):
+        shared: dict[int, int] = {}
+        for x in shingles:
+            for k in holders.get(x, ()):
+                shared[k] = shared.get(k, 0) + 1
+        if any(n >= similarity * (len(shingles) + sizes[k] - n) for k, n in shared.items()):
+            continue
+        for x in shingles:
+            holders.setdefault(x, []).append(len(stay))
+        sizes.append(len(shingles))
+        stay.append(node)
+    return stay
+
+
+def _family_losers(similarity: float):
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            lost = []
+            for members in batch.column(0).to_pylist():
+                pairs = [(m["node"], m["shingles"]) for m in members]
+                stay = set(leaders_of(pairs, similarity))
+                lost += [n for n, _ in pairs if n not in stay]
+            yield pa.RecordBatch.from_arrays([pa.array(lost, pa.int64())], names=["node"])
+
+    return run
+
+
+def similar_losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(node): ids of the documents that go because one with a smaller id, equal or similar, stays.
+
+    Similar: five-word shingles of a Jaccard similarity of ``similarity`` or more. Candidates are
+    families of texts connected by SimHash links (four fingerprints of the distinct words, covering
+    hashing at the radius); in a family, by rising id, a text stays unless it is similar to one that
+    stays. Equal texts count once, under their least id. Families above ``FAMILY`` texts pass through
+    rounds that compare all of them with their first texts, in Spark, until they are smaller.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = docs.select(docs[id_col].cast("bigint").alias("node"), text_or_empty(text_col).alias("text")).where("node IS NOT NULL")
+    marks = cut(rows.mapInArrow(_word_fingerprints, "node bigint, mark binary, fps array<bigint>"))
+    firsts = cut(marks.groupBy("mark").agg(F.min("node").alias("first"), F.min("fps").alias("fps")))
+    copies = marks.join(firsts.select("mark", "first"), "mark").where("node <> first").select("node")
+    nodes = firsts.select(F.col("first").alias("node"), F.posexplode("fps").alias("seed", "fp")).distinct()
+    families = written(connected_components(links(nodes)), "families")
+    named = rows.join(families.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("root", "node", "text")
+    members = written(named.mapInArrow(_shingled, "root bigint, node bigint, shingles array<bigint>").join(firsts.select(F.col("first").alias("node")).distinct(), "node", "left_semi"), "members")
+    lost = spark.createDataFrame([], "node bigint")
+    while True:
+        sizes = members.groupBy("root").agg(F.count("*").alias("n"))
+        large = sizes.where(F.col("n") > FAMILY).select("root")
+        if large.isEmpty():
+            break
+        ranked = members.join(large, "root").select("root", "node")
+        heads = ranked.groupBy("root").agg(F.slice(F.array_sort(F.collect_list("node")), 1, LEADERS).alias("heads"))
+        chosen = members.join(heads.select("root", F.explode("heads").alias("node")), ["root", "node"])
+        picked = cut(chosen.groupBy("root").agg(F.collect_list(F.struct("node", "shingles")).alias("m")).select("root", "m"))
+        beaten = cut(picked.select("m").mapInArrow(_family_losers(similarity), "node bigint"))
+        stay = picked.select("root", F.explode("m").alias("m")).select("root", "m.node", "m.shingles").join(beaten, "node", "left_anti")
+        pairs = members.join(stay.select("root", F.col("node").alias("leader"), F.col("shingles").alias("own")), "root").where("node > leader")
+        both = F.size(F.array_intersect("shingles", "own"))
+        similar = pairs.where(both >= similarity * (F.size("shingles") + F.size("own") - both)).select("node").distinct()
+        gone = cut(beaten.unionByName(similar).distinct())
+        lost = lost.unionByName(gone)
+        members = written(members.join(gone, "node", "left_anti").join(stay.select("node"), "node", "left_anti"), "members")
+    gathered = members.groupBy("root").agg(F.collect_list(F.struct("node", "shingles")).alias("members")).select("members")
+    return lost.unionByName(gathered.mapInArrow(_family_losers(similarity), "node bigint")).unionByName(copies).distinct()
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, with their columns, less those that ``similar_losers`` names; rows without an id stay."""
+    lost = written(similar_losers(docs, id_col, text_col, similarity), "lost").withColumnRenamed("node", "_lost")
+    return docs.join(lost, docs[id_col].cast("bigint") == F.col("_lost"), "left_anti")
