@@ -43,7 +43,7 @@ END_ID = 1
 #: Sources beyond the largest so many share one queue, which keeps the driver's table of totals small.
 MAX_QUEUES = 1024
 #: Words of a generation that a worker remembers; it remembers two.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
 
 #: Characters for which normalisation works on each alone and white space always parts pieces.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ–—‘-„…€]*")
@@ -106,7 +106,7 @@ def _merger(path: str):
         if _MARK not in raw:
             ranks[raw + _MARK * (body != token)] = rank
     ranks[_MARK] = len(ranks) + len(vocabulary)  # never left alone: every byte has a token with the mark
-    return tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    return tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
 class WordEncoder:
@@ -128,10 +128,13 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         merge, code, put = self.merge, self.code, self.words
         for word in words:
-            pieces = _pieces_of(word.lower())
-            ids = merge(pieces[0].encode() + _MARK) if pieces else []
-            for piece in pieces[1:]:
-                ids = ids + merge(piece.encode() + _MARK)
+            low = word.lower()
+            if low.isalpha():
+                ids = merge(low.encode() + _MARK)
+            else:
+                ids = []
+                for piece in _pieces_of(low):
+                    ids += merge(piece.encode() + _MARK)
             put[word] = array(code, ids).tobytes()
 
     def _plain(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -329,7 +332,7 @@ def pack(
     dry); None keeps the corpus's own proportions in every window.
     """
     spark = df.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 2048)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), F.col(source_col).cast("string").alias("source"), text_or_empty(text_col).alias("text"))
     schema = f"id {kind}, source string, part int, place bigint, n bigint, ids binary"
