@@ -1,0 +1 @@
+"""Registered queries; importing the package fills the catalog."""

@@ -24,3 +24,10 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _register() -> None:
+    from quillgrid.plans import answers, corpus  # noqa: F401  (they register their queries)
+
+
+_register()
