@@ -43,7 +43,7 @@ END_ID = 1
 #: Sources beyond the largest so many share one queue, which keeps the driver's table of totals small.
 MAX_QUEUES = 1024
 #: Words of a generation that a worker remembers; it remembers two.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 
 #: Characters for which normalisation works on each alone and white space always parts pieces.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ–—‘-„…€]*")
@@ -109,6 +109,13 @@ def _merger(path: str):
     return tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
+def id_bytes(path: str) -> int:
+    """Bytes that an id of the vocabulary needs: 2 or 4 (read from the file; the driver loads no tokenizer)."""
+    content = json.loads(Path(path).read_text())
+    largest = max([*content["model"]["vocab"].values(), *(t["id"] for t in content.get("added_tokens", []))])
+    return 4 if largest > 65_535 else 2
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that lowers letters, drops white space and marks the ends of pieces.
 
@@ -120,7 +127,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.library, self.merge = library(path), _merger(path)
-        self.kind = "<u4" if max(self.library.get_vocab(with_added_tokens=True).values()) > 65_535 else "<u2"
+        self.kind = "<u4" if id_bytes(path) == 4 else "<u2"
         self.code = "I" if self.kind == "<u4" else "H"
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words = Memory(MEMO_WORDS)
@@ -198,6 +205,7 @@ def _tokenized(path: str, end_id: int):
                 [batch.column(0), batch.column(1), pa.array([part] * len(counts), pa.int32()), pa.array(places, pa.int64()), pa.array(counts, pa.int64()), _binaries(ids, edges)],
                 names=["id", "source", "part", "place", "n", "ids"],
             )
+        encoder.words.old = {}  # between tasks a worker holds one generation only
 
     return run
 
@@ -359,7 +367,7 @@ def pack(
         names.append(None)
     weights = None if targets is None else [float(targets.get(s, 0.0)) for s in names]
     schedule = Schedule(totals, weights, window)
-    width = 4 if library(path).get_vocab_size(with_added_tokens=True) > 65_536 else 2
+    width = id_bytes(path)
     at = places.select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", "base")
     placed = tokens.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select(
         "id", "queue", (F.col("base") + F.col("place")).alias("start"), "n", "ids"

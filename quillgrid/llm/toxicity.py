@@ -34,7 +34,7 @@ from quillgrid.llm.common import Batches, bounded_batches, fold, text_or_empty,
 FOLDS = 4
 HELD_OUT = 2
 THRESHOLD = 0.3
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 10_000
 SAMPLE_WORDS = 4_096
 MINED = 400
 MINED_GROUPS = 12
@@ -112,22 +112,36 @@ class Sample:
         wanted[[self.numbers[w] for w in words if w in self.numbers]] = True
         return np.asarray([bool(wanted[r].any()) for r in self.rows])
 
-    def features(self) -> tuple[list[bytes], np.ndarray]:
-        """Features and, for each word, the numbers of its own (0 for none)."""
-        names: dict[bytes, int] = {b"": 0}
-        table = np.zeros((len(self.numbers), 1 + len(PREFIXES)), np.int32)
-        for word, k in self.numbers.items():
-            table[k, 0] = names.setdefault(word, len(names))
-            for j, n in enumerate(PREFIXES, 1):
-                if len(word) > n:
-                    table[k, j] = names.setdefault(word[:n] + b"*", len(names))
-        return list(names), table
+    def features(self, marked: np.ndarray, least: int) -> tuple[list[bytes], np.ndarray]:
+        """Features that so many of the marked rows have, and for each word the numbers of its own (0 for none).
+
+        Only features of words in marked rows are ever named, which are far fewer than all.
+        """
+        words, known = list(self.numbers), np.zeros(len(self.numbers), bool)
+        for k in np.flatnonzero(marked):
+            known[self.rows[k]] = True
+        counts: dict[bytes, int] = {}
+        for k in np.flatnonzero(marked):
+            for f in {f for w in self.rows[k].tolist() for f in features_of(words[w])}:
+                counts[f] = counts.get(f, 0) + 1
+        names = [b"", *sorted(f for f, n in counts.items() if n >= least)]
+        numbers = {f: k for k, f in enumerate(names)}
+        table = np.zeros((len(words), 1 + len(PREFIXES)), np.int32)
+        for k, word in enumerate(words):
+            for j, f in enumerate(features_of(word)):
+                table[k, j] = numbers.get(f, 0)
+        return names, table
+
+
+def features_of(word: bytes) -> list[bytes]:
+    """A word and its beginnings, as far as it is longer; beginnings end in a star."""
+    return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n)]
 
 
 def _mine(sample: Sample, y: np.ndarray) -> list[tuple[bytes, float, np.ndarray]]:
     """Features far commoner in toxic rows: (feature, smoothed log odds, rows that have it)."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    names, table = sample.features()
+    names, table = sample.features(y == 1, max(3, round(0.005 * n1)))
     df = np.zeros((2, len(names)), np.int64)
     for own, mark in zip(sample.rows, y):
         df[mark, np.unique(table[own])] += 1
@@ -135,7 +149,7 @@ def _mine(sample: Sample, y: np.ndarray) -> list[tuple[bytes, float, np.ndarray]
     odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
     # The lower end of the log odds, so that rare features need a cleaner record.
     sure = odds - 2.0 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    sure[(a < max(3, round(0.005 * n1))) | (np.arange(len(names)) == 0)] = 0
+    sure[0] = 0
     found = sorted(np.flatnonzero(sure > 0.5).tolist(), key=lambda k: (-sure[k], names[k]))[:MINED]
     place = np.full(len(names), -1)
     place[found] = np.arange(len(found))
@@ -254,11 +268,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     present = docs.select(F.col(id_col).alias("mark_id")).distinct()
     chosen = marks.join(present, "mark_id", "left_semi").orderBy(F.xxhash64(F.col("mark_id").cast("string")), "mark_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("mark_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "mark_id").select("toxic", "text")
-    sample = rows.mapInArrow(_sampled(SAMPLE_WORDS), "toxic int, words binary, hits int").limit(2 * sample_rows).collect()
-    rows = Sample()
-    for r in sample:
-        rows.add(bytes(r["words"]).split(), r["hits"], int(r["toxic"] > 0))
-    return fit(rows)
+    found = rows.mapInArrow(_sampled(SAMPLE_WORDS), "toxic int, words binary, hits int").limit(2 * sample_rows)
+    sample = Sample()
+    for r in found.toLocalIterator():
+        sample.add(bytes(r["words"]).split(), r["hits"], int(r["toxic"] > 0))
+    return fit(sample)
 
 
 def _scored(model: Model, threshold: float):
