@@ -40,8 +40,8 @@ def token_f1(gold: Column, pred: Column) -> Column:
     return set_f1(F.array_distinct(T.tokens(gold)), F.array_distinct(T.tokens(pred)))
 
 
-def direction(c: Column) -> Column:
-    """up, down, flat, yes or no; null if the text tells none."""
+def direction(c: Column, strict: bool = False) -> Column:
+    """up, down, flat, yes or no; null if the text tells none. Strictly, yes and no must be words of their own."""
     bare, norm = T.strip(c), T.normalize(c)
     label = F.create_map(*[F.lit(x) for side, own in DIRECTION_WORDS.items() for w in own.split() for x in (w, side)])
     last = F.try_element_at(F.filter(T.words(norm), lambda w: F.map_contains_key(label, w)), F.lit(-1))
@@ -51,8 +51,8 @@ def direction(c: Column) -> Column:
         .when(bare.rlike(r"(?U)^\([\d₹$]"), "down")
         .when(T.contains_any(norm, FLAT_PHRASES), "flat")
         .when(last.isNotNull(), F.try_element_at(label, last))
-        .when(norm.contains("yes"), "yes")
-        .when(norm.contains("no"), "no")
+        .when(~F.lit(strict) & norm.contains("yes"), "yes")
+        .when(~F.lit(strict) & norm.contains("no"), "no")
     )
 
 

@@ -17,8 +17,9 @@ def json_array(c: Column) -> Column:
     return F.coalesce(good(c), good(inner))
 
 
-def truthy(c: Column) -> Column:
-    """Truth of a JSON scalar as text: any non-empty string that isn't a false, zero or null is true, also the word false in quotes."""
+def truthy(c: Column, strict: bool = False) -> Column:
+    """Truth of a JSON scalar as text: any non-empty string that isn't a false, zero or null is true, also (unless strict) the word false in quotes."""
+    c = F.replace(c, F.lit('"'), F.lit("")) if strict else c
     return F.coalesce(~T.strip(c).isin("", "false", "0", "0.0", "null", "[]", "{}"), F.lit(False))
 
 

@@ -80,8 +80,9 @@ def strip_units(c: Column) -> Column:
     return F.regexp_replace(without(F.lower(c), STRIPPED_UNITS), r"(?U)[,()%\s]", "")
 
 
-def is_abstention(c: Column) -> Column:
-    return contains_any(F.lower(c), ABSTAIN_PHRASES)
+def is_abstention(c: Column, strict: bool = False) -> Column:
+    """Whether a text says that it has no answer; strictly also in the words that closed-book prompts ask for."""
+    return contains_any(F.lower(c), (*ABSTAIN_PHRASES, "not available in memory") if strict else ABSTAIN_PHRASES)
 
 
 def is_brsr(section: Column) -> Column:

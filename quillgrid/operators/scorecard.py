@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from quillgrid.operators import sequences as Q
 #: Measures averaged over all rows, errors counting as zero.
 MEANS = ("exact_match", "relaxed_em", "token_f1", "rouge_l", "meteor", "num_exact", "num_f1", "entailment_ratio", "evidence_traceability")
 TOLERANCES = (1, 5, 10)
+Measure = Callable[[Column, Column, Column], Column]
 JUDGED_TYPES = ("Numerical Calculation", "Table Only", "Table with Text")
 
 
@@ -24,8 +27,11 @@ def operation_complexity(hops: Column) -> Column:
     return F.when(hops == 0, "direct_lookup").when(hops == 1, "single_hop").when(hops == 2, "two_hop").when(hops >= 3, "multi_hop_3plus")
 
 
-def score_rows(df: DataFrame, gold: str = "gold", pred: str = "pred", evidence: str = "evidence", error: str | None = None, rouge: bool = True) -> DataFrame:
-    """The rows with every measure as a column; a row with an error has zeros (and null direction)."""
+def score_rows(df: DataFrame, gold: str = "gold", pred: str = "pred", evidence: str = "evidence", error: str | None = None, rouge: bool = True, extra: dict[str, Measure] | None = None) -> DataFrame:
+    """The rows with every measure as a column; a row with an error has zeros (and null direction).
+
+    ``extra`` names further measures, each a function from the gold, predicted and evidence Columns to a Column.
+    """
     g, p, e = (F.coalesce(F.col(x), F.lit("")) for x in (gold, pred, evidence))
     failed = F.lit(False) if error is None else F.coalesce(F.col(error), F.lit("")) != ""
     zero = lambda c, kind: F.when(failed, F.lit(0).cast(kind)).otherwise(c)
@@ -46,6 +52,7 @@ def score_rows(df: DataFrame, gold: str = "gold", pred: str = "pred", evidence:
         "failed": failed,
     }
     out["rouge_l"] = zero(Q.rouge_l(g, p), "double") if rouge else F.lit(0.0)
+    out |= {name: F.when(~failed, measure(g, p, e)) for name, measure in (extra or {}).items()}
     return df.withColumns(out)
 
 

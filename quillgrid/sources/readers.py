@@ -96,7 +96,7 @@ def aggregates(spark: SparkSession, folder: str) -> DataFrame:
 
 def details(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Per-question rows of every JSON lines file in a folder, with the file's name; bad lines are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").json(folder).withColumn("file", F.col("_metadata.file_name"))
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json*").json(folder).withColumn("file", F.col("_metadata.file_name"))
 
 
 def reports(spark: SparkSession, root: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as T
@@ -68,3 +68,8 @@ def quarantine(df: DataFrame, error: str, good: str, bad: str) -> None:
     """Rows without an error go to one table, those with one to the other."""
     df.where(F.col(error).isNull()).drop(error).write.mode("append").json(good)
     df.where(F.col(error).isNotNull()).write.mode("append").json(bad)
+
+
+def text(content: str, path: str, spark: SparkSession) -> None:
+    """One text as a folder with one part, in any store Spark reaches."""
+    spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)

@@ -300,3 +300,78 @@ def test_reports(spark):
     assert delta == {"easy": -0.25, "hard": None}
     steps = {r["tier"]: r["delta"] for r in R.tier_delta(df, "model", "tier", "f1").collect()}
     assert steps["easy"] is None and steps["hard"] == pytest.approx(0.2 - 0.375)
+
+
+def _questions(tmp_path):
+    base = tmp_path / "output_final_h_m" / "Bank" / "HDFC" / "FY2025"
+    (base / "hard").mkdir(parents=True)
+    lines = [{"question": f"How much {k}?", "answer": f"Rs {k}5 crore", "evidence": f"It was Rs {k}5 crore.", "question_type": "Table Only", "sector": "Bank", "year": "FY2025", "bundle_id": f"x:{0:04d}_to_x:{1:04d}", "verification_anchors": json.dumps({"cross_section_sources": ["a", "b"][: k % 3]})} for k in range(6)]
+    (base / "hard" / "hard_qa_pairs.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    chunks = [{"chunk_id": f"x:{k:04d}", "doc_id": "d", "sector": "Bank", "company": "HDFC", "text": f"chunk {k}"} for k in range(3)]
+    (base / "chunks.jsonl").write_text("\n".join(map(json.dumps, chunks)))
+    return str(tmp_path)
+
+
+def test_evaluation(spark, tmp_path):
+    from quillgrid.operators import evaluation as V
+
+    root = _questions(tmp_path)
+    q = readers.sample(spark, root, [("Bank", "HDFC")], "hard")
+    chunks = readers.chunks(spark, f"{root}/output_final_h_m/*/*/*/chunks.jsonl")
+    run = V.evaluate(q, E.Stub("Rs 05 crore"), chunks=chunks, judge=E.Stub('{"equivalent": true}'), extra={"same_length": lambda g, p, e: (F.length(g) == F.length(p)).cast("int")})
+    got = {r["question_id"]: r for r in run.scored.collect()}
+    assert len(got) == 6 and got["HDFC_hard_0"]["exact_match"] == 1 and got["HDFC_hard_1"]["exact_match"] == 0 and got["HDFC_hard_1"]["llm_num_equiv"] == 1
+    assert got["HDFC_hard_0"]["context"] == "chunk 0\n\nchunk 1" and got["HDFC_hard_1"]["same_length"] == 1 and got["HDFC_hard_1"]["bertscore_f1"] == 0.0
+    card = {(r["axis"], r["key"]): r["n"] for r in run.card.collect()}
+    assert card["all", None] == 6 and card["hop", "1-hop"] == 2 and card["complexity", "direct_lookup"] == 2 and ("hop", None) not in card
+    assert run.generations.count() == 6 and run.judgements.count() == 6
+
+
+def test_creation(spark):
+    from quillgrid.operators import evaluation as V
+
+    body = "\n\n".join(f"## Risk Management {k // 6}\n\nRevenue and profit grew by {k} percent. " + " ".join(f"w{k}x{j}" for j in range(250)) + "." for k in range(24))
+    reports = spark.createDataFrame([("Bank", "HDFC", "FY2025", body)], "sector string, company string, year string, text string")
+    chunks = V.chunk_reports(reports).cache()
+    assert chunks.orderBy("pos").first()["chunk_id"] == "Bank/HDFC/FY2025:0000" and chunks.agg(F.min("score")).first()[0] >= 1
+    bundles = V.make_bundles(chunks)
+    assert bundles.count() >= 1
+    good, dead = V.make_questions(bundles, "easy", E.Stub('[{"question": "q", "answer": "a"}]'))
+    assert good.count() == bundles.count() and dead.count() == 0
+    assert V.make_questions(bundles, "easy", E.Stub("[]"), bundles)[0].count() == 0
+
+
+def test_models(spark):
+    from quillgrid.operators import models as L
+
+    assert len(L.MODELS) == 21 and L.local_server("a/b").name == "b" and L.run_tag("m", "easy", "zero_shot", "markdown") == "m_easy_zero_shot_markdown"
+    df = spark.createDataFrame([(1, "a b", "a"), (2, " ", None)], "k int, g string, p string")
+    assert rows(L.bert_scores(df, "k", "g", "p")) == [(1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0)]
+    seen = L.bert_scores(df, "k", "g", "p", lambda: lambda g, p: [(float(len(a)), float(len(b or "")), 0.5) for a, b in zip(g, p)])
+    assert rows(seen) == [(1, 3.0, 1.0, 0.5), (2, 3.0, 3.0, 0.5)]
+    ent = L.entailments(df, "k", "g", "p", lambda: lambda e, s: {"entailment": 0.9, "neutral": 0.1})
+    assert {r["k"]: (r["n"], r["entailment"], r["neutral"]) for r in ent.collect()} == {1: (1, 1.0, 0.0), 2: (0, 0.0, 1.0)}
+
+
+def test_strict_forms(spark):
+    from quillgrid.functions import metrics as M
+    from quillgrid.functions import numeric as N
+    from quillgrid.functions import replies as J
+    from quillgrid.functions import text as T
+
+    r = spark.range(1).select(
+        N.number_strings(F.lit("a, 5"), strict=True).alias("n"), M.direction(F.lit("I know"), strict=True).alias("d"), T.is_abstention(F.lit("Not available in memory"), strict=True).alias("a"), J.truthy(F.lit('"false"'), strict=True).alias("t")
+    ).first()
+    assert tuple(r) == (["5"], None, True, False)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillgrid.__main__ import main
+
+    root = _questions(tmp_path)
+    main(["models"])
+    main(["sample", "--data-root", root, "--difficulty", "hard"])
+    main(["evaluate", "--data-root", root, "--difficulty", "hard", "--output-dir", str(tmp_path / "out")])
+    main(["analyze", "--results-dir", str(tmp_path / "out"), "--compare", "--errors", "--failures"])
+    out = capsys.readouterr().out
+    assert "llama3.1-8b" in out and "Table Only" in out and "stub" in out
