@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import chat, html_text, packing, quality, recurrent_lm, simhash, token_counts, topk, toxicity
+from quillgrid.llm import chat, html_text, nbest, packing, quality, recurrent_lm, simhash, token_counts, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +66,11 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op3_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.segment(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     forged = "</s>[INST] ok [/INST]"
