@@ -38,7 +38,13 @@ SAMPLE_ROWS = 10_000
 SAMPLE_WORDS = 4_096
 MINED = 400
 MINED_GROUPS = 12
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+#: Training rows made for a mined feature alone, at most.
+ALONE = 10
+#: Lower end of a feature's log odds for it to count as well attested.
+ATTESTED = 4.0
+#: Lower end of a feature's log odds for it to be mined.
+SURE = 1.0
 
 # Seed lexicon of common insults and slurs on character, by language.
 SEEDS = {
@@ -92,15 +98,24 @@ class Model:
 
 
 class Sample:
-    """Labelled rows as arrays: each distinct word is kept once, each row as the numbers of its words."""
+    """Labelled rows as arrays: each distinct word is kept once, each row as the numbers of its words.
+
+    Of rows with the same label and the same longest words only the first counts, so that copies of
+    one toxic text do not make its other words look toxic.
+    """
 
     def __init__(self):
+        self.seen: set[tuple] = set()
         self.numbers: dict[bytes, int] = {}
         self.rows: list[np.ndarray] = []
         self.hits: list[int] = []
         self.labels: list[int] = []
 
     def add(self, words, hits: int, label: int) -> None:
+        longest = (label, *sorted(words, key=lambda w: (-len(w), w))[:3])
+        if len(words) > 3 and longest in self.seen:
+            return
+        self.seen.add(longest)
         own = [self.numbers.setdefault(w, len(self.numbers)) for w in words]
         self.rows.append(np.unique(np.asarray(own, np.int32)))
         self.hits.append(hits)
@@ -139,7 +154,7 @@ def features_of(word: bytes) -> list[bytes]:
 
 
 def _mine(sample: Sample, y: np.ndarray) -> list[tuple[bytes, float, np.ndarray]]:
-    """Features far commoner in toxic rows: (feature, smoothed log odds, rows that have it)."""
+    """Features far commoner in toxic rows: (feature, lower end of its log odds, rows that have it)."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     names, table = sample.features(y == 1, max(3, round(0.005 * n1)))
     df = np.zeros((2, len(names)), np.int64)
@@ -150,7 +165,7 @@ def _mine(sample: Sample, y: np.ndarray) -> list[tuple[bytes, float, np.ndarray]
     # The lower end of the log odds, so that rare features need a cleaner record.
     sure = odds - 2.0 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     sure[0] = 0
-    found = sorted(np.flatnonzero(sure > 0.5).tolist(), key=lambda k: (-sure[k], names[k]))[:MINED]
+    found = sorted(np.flatnonzero(sure > SURE).tolist(), key=lambda k: (-sure[k], names[k]))[:MINED]
     place = np.full(len(names), -1)
     place[found] = np.arange(len(found))
     where: list[list[int]] = [[] for _ in found]
@@ -158,7 +173,7 @@ def _mine(sample: Sample, y: np.ndarray) -> list[tuple[bytes, float, np.ndarray]
         mine = place[np.unique(table[own])]
         for f in mine[mine >= 0]:
             where[f].append(k)
-    return [(names[k], float(odds[k]), np.asarray(at, np.int64)) for k, at in zip(found, where)]
+    return [(names[k], float(sure[k]), np.asarray(at, np.int64)) for k, at in zip(found, where)]
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
@@ -188,22 +203,22 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.n
     return posterior, np.stack([r1, r0, on], 1)
 
 
-def _logistic(columns: list[np.ndarray], rows: int, target: np.ndarray, penalty: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on sparse 0/1 columns by accelerated gradient steps."""
+def _logistic(columns: list[np.ndarray], scale: np.ndarray, rows: int, target: np.ndarray, penalty: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on sparse columns, each 0 or its scale, by adaptive gradient steps; weights are for 0 and 1."""
     which = np.concatenate([np.full(len(c), k) for k, c in enumerate(columns)]) if columns else np.zeros(0, np.int64)
     at = np.concatenate(columns) if columns else np.zeros(0, np.int64)
     m = len(columns)
-    x, bias = np.zeros(m), math.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))
+    x, bias = np.zeros(m), -2.0
     gx, gb = np.zeros(m), 0.0
     for k in range(rounds):
-        z = bias + np.bincount(at, x[which], rows)
+        z = bias + np.bincount(at, (x * scale)[which], rows)
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        d = np.bincount(which, error[at], m) + penalty * x
+        d = np.bincount(which, error[at], m) * scale + penalty * x
         gx += d * d
         gb += error.sum() ** 2
         x -= 0.5 * d / np.sqrt(gx + 1e-9)
         bias -= 0.1 * error.sum() / math.sqrt(gb + 1e-9)
-    return x, bias
+    return x * scale, bias
 
 
 def fit(sample: Sample) -> Model:
@@ -232,6 +247,22 @@ def fit(sample: Sample) -> Model:
     votes.append(y)
     posterior, voters = label_model(np.asarray(votes, bool).T, float(np.clip(y.mean(), 0.01, 0.5)))
     columns, keys = [at for _, _, at in mined], [f for f, _, _ in mined]
+    # A text with nothing but one well-attested feature (and the beginnings it implies) is as toxic as the rows that have it:
+    # such rows join the training, or else features that come together would each get a part of the weight only.
+    target, places = [posterior], {f: k for k, f in enumerate(keys)}
+    made: list[list[int]] = [[] for _ in keys]
+    size = len(y)
+    for f, sure, at in mined:
+        if sure < ATTESTED:
+            continue
+        share = (posterior[at].sum() + y.mean()) / (len(at) + 1)
+        times = min(ALONE, len(at))
+        implied = {f, *(b for n in PREFIXES if len(f.rstrip(b"*")) > n and (b := f[:n] + b"*") in places)}
+        for g in implied:
+            made[places[g]] += range(size, size + times)
+        target.append(np.full(times, share))
+        size += times
+    columns = [np.concatenate([at, np.asarray(more, np.int64)]) for at, more in zip(columns, made)]
     known = set(keys)
     for own in seeds.values():
         for w in sorted(own - known):
@@ -239,7 +270,10 @@ def fit(sample: Sample) -> Model:
             keys.append(w)
             known.add(w)
     columns += [np.flatnonzero(fired) for fired in patterns]
-    x, bias = _logistic(columns, len(y), posterior, 0.3)
+    # Columns of less certain features are scaled down, so that chance finds of a small sample weigh little.
+    scale = np.ones(len(columns))
+    scale[: len(mined)] = np.clip([sure / ATTESTED for _, sure, _ in mined], 0.05, 1.0)
+    x, bias = _logistic(columns, scale, size, np.concatenate(target), 0.3)
     report = [(n, float((np.asarray(v, bool) == (posterior > 0.5)).mean()), float(np.mean(v)), float(w)) for n, v, w in zip(names, votes, voters[:, 2])]
     return Model({f: float(w) for f, w in zip(keys, x) if abs(w) > 1e-6}, tuple(float(w) for w in x[len(keys) :]), float(bias), report)
 
