@@ -20,10 +20,10 @@ def _every(lat, text):
         if at == len(text):
             out.append((score, ids))
             return
-        for j in range(at + 1, min(len(text), at + lat.longest) + 1):
+        for j in range(at + 1, min(len(text), at + 16) + 1):
             found = lat.pieces.get(text[at:j])
             if found:
-                go(j, score + found[1], ids + (found[0],))
+                go(j, score + found[1], ids + found[0])
         if text[at] not in lat.pieces:
             go(at + 1, score + lat.unknown, ids + tuple(lat.bytes[b] for b in text[at].encode()))
 
