@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,10 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and driver state of what nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which may be long in coming; behind a
+    checkpoint all that led to it is garbage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from a checkpoint in the shared folder, without their lineage."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +61,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillgrid-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,3 +88,21 @@ def replaced(batch: pa.RecordBatch, drop: str, **new: pa.Array) -> pa.RecordBatc
 
 
 Batches = Iterator[pa.RecordBatch]
+
+
+def _hand_back() -> None:
+    """Give memory that a Python worker has freed back to the system: workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function for mapInArrow that hands freed memory back at the end of its task."""
+
+    def tidy(batches: Batches) -> Batches:
+        yield from run(batches)
+        _hand_back()
+
+    return tidy

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches
+from quillgrid.llm.common import Batches, bounded_batches, tidied
 
 MIN_PAGES = 3
 MIN_SHARE = 0.3
@@ -277,10 +277,10 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     rows = df.select(df[id_col].alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn(
         "row", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), "html")
     )
-    hashed = rows.select("row", host_of(F.col("url")).alias("host"), "html").mapInArrow(_hashed, "row bigint, host string, mark bigint, key bigint")
+    hashed = rows.select("row", host_of(F.col("url")).alias("host"), "html").mapInArrow(tidied(_hashed), "row bigint, host string, mark bigint, key bigint")
     seen = hashed.select("host", "key", "mark").distinct().groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     sites = rows.select(host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("site_pages"))
     template = seen.join(sites, "host").where(F.col("pages") > F.col("site_pages") * min_share).select("host", "key")
     gone = hashed.join(template, ["host", "key"]).groupBy(F.col("row").alias("gone_row")).agg(F.collect_set("key").alias("gone"))
     joined = rows.join(gone, F.col("row") == F.col("gone_row"), "left").select("id", "url", "html", "gone")
-    return joined.mapInArrow(_extracted, f"id {kind}, url string, text string, n_chars bigint").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(tidied(_extracted), f"id {kind}, url string, text string, n_chars bigint").withColumnRenamed("id", id_col)

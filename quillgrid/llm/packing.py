@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, text_or_empty, texts, written
+from quillgrid.llm.common import Batches, bounded_batches, text_or_empty, texts, tidied, written
 from quillgrid.llm.token_counts import library
 
 WINDOW = 2048
@@ -43,7 +43,7 @@ END_ID = 1
 #: Sources beyond the largest so many share one queue, which keeps the driver's table of totals small.
 MAX_QUEUES = 1024
 #: Words of a generation that a worker remembers; it remembers two.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 #: Characters for which normalisation works on each alone and white space always parts pieces.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ–—‘-„…€]*")
@@ -126,10 +126,10 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        self.library, self.merge = library(path), _merger(path)
+        self.path, self.merge = path, _merger(path)
         self.kind = "<u4" if id_bytes(path) == 4 else "<u2"
         self.code = "I" if self.kind == "<u4" else "H"
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.specials = [t["content"] for t in json.loads(Path(path).read_text()).get("added_tokens", [])]
         self.words = Memory(MEMO_WORDS)
 
     def _learn(self, words: set[str]) -> None:
@@ -167,7 +167,7 @@ class WordEncoder:
         ids, counts = self._plain([t for t, p in zip(values, plain) if p])
         if all(plain):
             return ids, counts
-        odd = iter(self.library.encode_batch_fast([t for t, p in zip(values, plain) if not p], add_special_tokens=False))
+        odd = iter(library(self.path).encode_batch_fast([t for t, p in zip(values, plain) if not p], add_special_tokens=False))
         own = iter(np.split(ids, np.cumsum(counts)[:-1]))
         parts = [next(own) if p else np.asarray(next(odd).ids, self.kind) for p in plain]
         return np.concatenate(parts), np.asarray([len(x) for x in parts], np.int64)
@@ -344,7 +344,7 @@ def pack(
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), F.col(source_col).cast("string").alias("source"), text_or_empty(text_col).alias("text"))
     schema = f"id {kind}, source string, part int, place bigint, n bigint, ids binary"
-    tokens = written(rows.mapInArrow(_tokenized(path, end_id), schema), "tokens")
+    tokens = written(rows.mapInArrow(tidied(_tokenized(path, end_id)), schema), "tokens")
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     by_source = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("source").asc_nulls_last())
     largest = [(r["source"], r["n"]) for r in by_source.limit(MAX_QUEUES).collect()]
@@ -373,4 +373,4 @@ def pack(
         "id", "queue", (F.col("base") + F.col("place")).alias("start"), "n", "ids"
     )
     out = "id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint".format(kind)
-    return placed.mapInArrow(_pieces(schedule, width), out).withColumnRenamed("id", id_col)
+    return placed.mapInArrow(tidied(_pieces(schedule, width)), out).withColumnRenamed("id", id_col)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, text_or_empty, texts, written
+from quillgrid.llm.common import Batches, bounded_batches, text_or_empty, texts, tidied, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -132,8 +132,8 @@ def judge(
         F.col(host_col).cast("string").alias("host"),
         text_or_empty(text_col).alias("text"),
     )
-    stats = written(rows.mapInArrow(_measured, _STATS.format(kind)), "lines")
-    marks = stats.select("host", "line_keys").mapInArrow(_sketches, "host string, line bigint, mark bigint").distinct()
+    stats = written(rows.mapInArrow(tidied(_measured), _STATS.format(kind)), "lines")
+    marks = stats.select("host", "line_keys").mapInArrow(tidied(_sketches), "host string, line bigint, mark bigint").distinct()
     per_line = marks.groupBy("host", "line").agg(F.count("*").alias("docs"))
     whole = stats.select(F.col("host"), F.coalesce(F.array_min("line_keys"), F.lit(0)).alias("mark")).distinct().groupBy("host").agg(F.count("*").alias("all_docs"))
     common = (
@@ -186,5 +186,5 @@ def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     lost = written(judged.where("NOT kept AND NOT base_failed").select(F.col("row").alias("_lost")).distinct(), "lost")
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_or_empty(text_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")))
     plain = df.withColumnRenamed(text_col, "text")
-    passing = plain.mapInArrow(_passing, plain.schema).withColumnRenamed("text", text_col)
+    passing = plain.mapInArrow(tidied(_passing), plain.schema).withColumnRenamed("text", text_col)
     return passing.withColumn("_row", key).join(lost, F.col("_row") == F.col("_lost"), "left_anti").drop("_row")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, cut, text_or_empty, texts, written
+from quillgrid.llm.common import Batches, bounded_batches, cut, text_or_empty, texts, tidied, written
 from quillgrid.llm.components import connected_components
 
 SHINGLE = 4
@@ -85,29 +85,36 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, fp) of every row; fp is the fingerprint as a signed 64-bit integer."""
     bounded_batches(df.sparkSession)
     rows = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle, seed), f"id {df.schema[id_col].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(tidied(_fingerprints(shingle, seed)), f"id {df.schema[id_col].dataType.simpleString()}, fp bigint")
+
+
+def _lists(column: pa.Array):
+    """For each list of structs of a column, a function from a field to that list's part of it; nothing is copied."""
+    edges, flat = column.offsets.to_numpy(), column.values
+    for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield lambda name, i=start, n=stop - start: flat.field(name).slice(i, n)
 
 
 def _forest(radius: int):
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            a, b = [], []
-            for group in batch.column(0).to_pylist():
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for group in _lists(batch.column(0)):
                 # Bit counts of signed numbers are of their size, so the fingerprints are taken as unsigned ones.
-                fps = np.asarray([x["fp"] for x in group], np.int64).view(np.uint64)
+                fps, nodes = group("fp").to_numpy().view(np.uint64), group("node").to_numpy()
                 left = np.argsort(fps, kind="stable")
                 while len(left) > 1:
-                    front, left = [int(left[0])], left[1:]
+                    front, left = [left[0]], left[1:]
                     while front and len(left):
                         x = front.pop()
                         near = np.bitwise_count(fps[left] ^ fps[x]) <= radius
                         if near.any():
-                            found = left[near].tolist()
-                            a += [group[x]["node"]] * len(found)
-                            b += [group[k]["node"] for k in found]
-                            front += found
+                            found = left[near]
+                            a.append(np.full(len(found), nodes[x]))
+                            b.append(nodes[found])
+                            front += list(found)
                             left = left[~near]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return run
 
@@ -138,9 +145,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
     counts = tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(tables.join(counts, "key"))
     groups = met.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("fp", "node")).alias("group")).select("group")
-    near = groups.mapInArrow(_forest(radius), "a bigint, b bigint")
-    crowded = met.where(F.col("n") > bucket).select("node", "seed", "fp").distinct()
-    points = crowded.mapInArrow(_points(radius), "node bigint, seed int, point bigint")
+    near = groups.mapInArrow(tidied(_forest(radius)), "a bigint, b bigint")
+    crowded = met.where(F.col("n") > bucket).select("node", "seed", "fp")
+    if crowded.isEmpty():
+        return near
+    crowded = crowded.distinct()
+    points = crowded.mapInArrow(tidied(_points(radius)), "node bigint, seed int, point bigint")
     least = points.groupBy("seed", "point").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
     far = points.join(least, ["seed", "point"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
     return near.unionByName(far)
@@ -165,7 +175,7 @@ SIMILARITY = 0.8
 WORDS = 5
 SEEDS = (1, 2, 3, 4)
 #: Documents of a family that one task compares; larger families first go through rounds of ``LEADERS``.
-FAMILY = 20_000
+FAMILY = 5_000
 LEADERS = 256
 
 
@@ -196,33 +206,37 @@ def _shingled(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["root", "node", "shingles"])
 
 
-def leaders_of(members: list[tuple[int, list[int]]], similarity: float = SIMILARITY) -> list[int]:
-    """Of (node, shingles), the nodes that stay: by rising node, each that is not similar to one that stays."""
+def leaders_of(nodes: list[int], shingles: list[np.ndarray], similarity: float = SIMILARITY) -> set[int]:
+    """The nodes that stay: by rising node, each that is not similar to one that stays (a repeated node counts once)."""
     holders: dict[int, list[int]] = {}
     sizes: list[int] = []
     stay: list[int] = []
-    for node, shingles in sorted(members):
+    for k in sorted(range(len(nodes)), key=nodes.__getitem__):
+        if stay and nodes[k] == stay[-1]:
+            continue
+        own = shingles[k].tolist()
         shared: dict[int, int] = {}
-        for x in shingles:
-            for k in holders.get(x, ()):
-                shared[k] = shared.get(k, 0) + 1
-        if any(n >= similarity * (len(shingles) + sizes[k] - n) for k, n in shared.items()):
+        for x in own:
+            for j in holders.get(x, ()):
+                shared[j] = shared.get(j, 0) + 1
+        if any(n >= similarity * (len(own) + sizes[j] - n) for j, n in shared.items()):
             continue
-        for x in shingles:
+        for x in own:
             holders.setdefault(x, []).append(len(stay))
-        sizes.append(len(shingles))
-        stay.append(node)
-    return stay
+        sizes.append(len(own))
+        stay.append(nodes[k])
+    return set(stay)
 
 
 def _family_losers(similarity: float):
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            lost = []
-            for members in batch.column(0).to_pylist():
-                pairs = [(m["node"], m["shingles"]) for m in members]
-                stay = set(leaders_of(pairs, similarity))
-                lost += [n for n, _ in pairs if n not in stay]
+            lost: list[int] = []
+            for members in _lists(batch.column(0)):
+                nodes, lists = members("node").to_pylist(), members("shingles")
+                edges, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+                stay = leaders_of(nodes, [values[i:j] for i, j in zip(edges[:-1], edges[1:])], similarity)
+                lost += [n for n in nodes if n not in stay]
             yield pa.RecordBatch.from_arrays([pa.array(lost, pa.int64())], names=["node"])
 
     return run
@@ -240,13 +254,13 @@ def similar_losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(docs[id_col].cast("bigint").alias("node"), text_or_empty(text_col).alias("text")).where("node IS NOT NULL")
-    marks = cut(rows.mapInArrow(_word_fingerprints, "node bigint, mark binary, fps array<bigint>"))
+    marks = cut(rows.mapInArrow(tidied(_word_fingerprints), "node bigint, mark binary, fps array<bigint>"))
     firsts = cut(marks.groupBy("mark").agg(F.min("node").alias("first"), F.min("fps").alias("fps")))
     copies = marks.join(firsts.select("mark", "first"), "mark").where("node <> first").select("node")
-    nodes = firsts.select(F.col("first").alias("node"), F.posexplode("fps").alias("seed", "fp")).distinct()
+    nodes = firsts.select(F.col("first").alias("node"), F.posexplode("fps").alias("seed", "fp"))
     families = written(connected_components(links(nodes)), "families")
     named = rows.join(families.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("root", "node", "text")
-    members = written(named.mapInArrow(_shingled, "root bigint, node bigint, shingles array<bigint>").join(firsts.select(F.col("first").alias("node")).distinct(), "node", "left_semi"), "members")
+    members = written(named.mapInArrow(tidied(_shingled), "root bigint, node bigint, shingles array<bigint>"), "members")
     lost = spark.createDataFrame([], "node bigint")
     while True:
         sizes = members.groupBy("root").agg(F.count("*").alias("n"))
@@ -257,7 +271,7 @@ def similar_losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         heads = ranked.groupBy("root").agg(F.slice(F.array_sort(F.collect_list("node")), 1, LEADERS).alias("heads"))
         chosen = members.join(heads.select("root", F.explode("heads").alias("node")), ["root", "node"])
         picked = cut(chosen.groupBy("root").agg(F.collect_list(F.struct("node", "shingles")).alias("m")).select("root", "m"))
-        beaten = cut(picked.select("m").mapInArrow(_family_losers(similarity), "node bigint"))
+        beaten = cut(picked.select("m").mapInArrow(tidied(_family_losers(similarity)), "node bigint"))
         stay = picked.select("root", F.explode("m").alias("m")).select("root", "m.node", "m.shingles").join(beaten, "node", "left_anti")
         pairs = members.join(stay.select("root", F.col("node").alias("leader"), F.col("shingles").alias("own")), "root").where("node > leader")
         both = F.size(F.array_intersect("shingles", "own"))
@@ -266,7 +280,7 @@ def similar_losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lost = lost.unionByName(gone)
         members = written(members.join(gone, "node", "left_anti").join(stay.select("node"), "node", "left_anti"), "members")
     gathered = members.groupBy("root").agg(F.collect_list(F.struct("node", "shingles")).alias("members")).select("members")
-    return lost.unionByName(gathered.mapInArrow(_family_losers(similarity), "node bigint")).unionByName(copies).distinct()
+    return lost.unionByName(gathered.mapInArrow(tidied(_family_losers(similarity)), "node bigint")).unionByName(copies).distinct()
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

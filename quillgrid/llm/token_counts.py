@@ -19,7 +19,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillgrid.llm.common import Batches, bounded_batches, text_or_empty, texts
+from quillgrid.llm.common import Batches, bounded_batches, text_or_empty, texts, tidied
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
@@ -110,4 +110,4 @@ def count_tokens(
     bounded_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_counter(path, chunk, overlap), f"id {kind}, n_bytes bigint, n_tokens bigint").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidied(_counter(path, chunk, overlap)), f"id {kind}, n_bytes bigint, n_tokens bigint").withColumnRenamed("id", id_col)

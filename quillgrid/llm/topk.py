@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, cut
+from quillgrid.llm.common import Batches, bounded_batches, cut, tidied
 
 K = 5
 SCALE = 256
@@ -132,7 +132,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BL
     big = lambda x: F.lit(x).cast("bigint")
     state = ids.select("id", big(-bound).alias("low"), big(width).alias("width"), big(2 * bound + 1).alias("span"), big(k).alias("need"))
     while True:
-        counts = met(state).mapInArrow(_histograms(k, bins), "query_id bigint, bin bigint, n bigint").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = met(state).mapInArrow(tidied(_histograms(k, bins)), "query_id bigint, bin bigint, n bigint").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         above = F.expr("sum(n) OVER (PARTITION BY query_id ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)")
         hit = counts.withColumn("above", above).join(state, F.col("query_id") == F.col("id")).where((F.col("above") >= F.col("need")) & (F.col("above") - F.col("n") < F.col("need")))
         # A query with fewer than k candidates has no such bin; its k-th value is the least possible score.
@@ -146,6 +146,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BL
         if width == 1:
             break
         width = next_width
-    best = met(state).mapInArrow(_best(k), "query_id bigint, vec_id bigint, score bigint")
+    best = met(state).mapInArrow(tidied(_best(k)), "query_id bigint, vec_id bigint, score bigint")
     ranked = best.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, fold, text_or_empty, texts
+from quillgrid.llm.common import Batches, bounded_batches, fold, text_or_empty, texts, tidied
 
 FOLDS = 4
 HELD_OUT = 2
@@ -302,7 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     present = docs.select(F.col(id_col).alias("mark_id")).distinct()
     chosen = marks.join(present, "mark_id", "left_semi").orderBy(F.xxhash64(F.col("mark_id").cast("string")), "mark_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("mark_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "mark_id").select("toxic", "text")
-    found = rows.mapInArrow(_sampled(SAMPLE_WORDS), "toxic int, words binary, hits int").limit(2 * sample_rows)
+    found = rows.mapInArrow(tidied(_sampled(SAMPLE_WORDS)), "toxic int, words binary, hits int").limit(2 * sample_rows)
     sample = Sample()
     for r in found.toLocalIterator():
         sample.add(bytes(r["words"]).split(), r["hits"], int(r["toxic"] > 0))
@@ -324,7 +324,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, held_out, score, predicted) of every row."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))
-    scored = rows.mapInArrow(_scored(model, threshold), f"id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    scored = rows.mapInArrow(tidied(_scored(model, threshold)), f"id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
     return scored.select(F.col("id").alias(id_col), (fold("id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
 
 
@@ -340,4 +340,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     """The rows of ``docs``, with their columns, whose score is below the threshold."""
     bounded_batches(docs.sparkSession)
     plain = docs.withColumnRenamed(text_col, "text")
-    return plain.mapInArrow(_clean(model, threshold), plain.schema).withColumnRenamed("text", text_col)
+    return plain.mapInArrow(tidied(_clean(model, threshold)), plain.schema).withColumnRenamed("text", text_col)

@@ -38,7 +38,7 @@ def test_word_ids_equal_the_librarys():
     plain = [c for c in map(chr, range(0x20, 0x2100)) if packing._PLAIN.fullmatch(c)] + [" "] * 60 + list("etaoin") * 10
     texts = ["".join(r.choice(pool) for _ in range(40)) for _ in range(500)] + ["".join(r.choice(plain) for _ in range(60)) for _ in range(3000)] + [""]
     ids, counts = encoder.encode(texts)
-    for t, own, e in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), encoder.library.encode_batch(texts, add_special_tokens=False)):
+    for t, own, e in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), token_counts.library(WORDS).encode_batch(texts, add_special_tokens=False)):
         assert own.tolist() == e.ids, t
 
 
