@@ -174,6 +174,10 @@ def near_duplicates(
 SIMILARITY = 0.8
 WORDS = 5
 SEEDS = (1, 2, 3, 4)
+#: Min-hashes of the shingles: ``BANDS`` keys of ``BAND`` minima each. A pair of similarity s has no key in common with
+#: probability (1 - s ** BAND) ** BANDS, whatever the edit: 3e-6 at 0.8.
+BANDS = 32
+BAND = 5
 #: Documents of a family that one task compares; larger families first go through rounds of ``LEADERS``.
 FAMILY = 5_000
 LEADERS = 256
@@ -192,12 +196,24 @@ def shingle_hashes(text: str, size: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(p) for p in parts), np.uint64).view(np.int64))
 
 
+_FACTORS = np.random.default_rng(17).integers(0, 1 << 63, (BANDS * BAND, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A key for each band: the hash of the band's minima over the shingles' hashes, as a signed number."""
+    own = shingles.view(np.uint64)
+    least = np.min([(own[k : k + 2048] * _FACTORS).min(1) for k in range(0, len(own), 2048)], axis=0)
+    return [signed(xxhash.xxh64_intdigest(x.tobytes(), k)) for k, x in enumerate(least.reshape(BANDS, BAND))]
+
+
 def _word_fingerprints(batches: Batches) -> Batches:
     for batch in batches:
         values = texts(batch, "text")
         found = [[signed(word_fingerprint(t, s)) for s in SEEDS] for t in values]
+        bands = [band_keys(shingle_hashes(t)) for t in values]
         marks = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in values]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["node", "mark", "fps"])
+        lists = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(found, lists), pa.array(bands, lists)], names=["node", "mark", "fps", "bands"])
 
 
 def _shingled(batches: Batches) -> Batches:
@@ -242,23 +258,30 @@ def _family_losers(similarity: float):
     return run
 
 
+def band_links(firsts: DataFrame) -> DataFrame:
+    """Edges (a, b) from the least node of each band key to the others that have the key; ``firsts`` has columns first and bands."""
+    keys = firsts.select(F.col("first").alias("node"), F.explode("bands").alias("key"))
+    least = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select(F.col("key").alias("k"), "a")
+    return keys.join(least, F.col("key") == F.col("k")).where("node <> a").select("a", F.col("node").alias("b"))
+
+
 def similar_losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(node): ids of the documents that go because one with a smaller id, equal or similar, stays.
 
     Similar: five-word shingles of a Jaccard similarity of ``similarity`` or more. Candidates are
     families of texts connected by SimHash links (four fingerprints of the distinct words, covering
-    hashing at the radius); in a family, by rising id, a text stays unless it is similar to one that
+    hashing at the radius) or by a band of min-hashes of the shingles in common; in a family, by rising id, a text stays unless it is similar to one that
     stays. Equal texts count once, under their least id. Families above ``FAMILY`` texts pass through
     rounds that compare all of them with their first texts, in Spark, until they are smaller.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(docs[id_col].cast("bigint").alias("node"), text_or_empty(text_col).alias("text")).where("node IS NOT NULL")
-    marks = cut(rows.mapInArrow(tidied(_word_fingerprints), "node bigint, mark binary, fps array<bigint>"))
-    firsts = cut(marks.groupBy("mark").agg(F.min("node").alias("first"), F.min("fps").alias("fps")))
+    marks = cut(rows.mapInArrow(tidied(_word_fingerprints), "node bigint, mark binary, fps array<bigint>, bands array<bigint>"))
+    firsts = cut(marks.groupBy("mark").agg(F.min("node").alias("first"), F.min("fps").alias("fps"), F.min("bands").alias("bands")))
     copies = marks.join(firsts.select("mark", "first"), "mark").where("node <> first").select("node")
     nodes = firsts.select(F.col("first").alias("node"), F.posexplode("fps").alias("seed", "fp"))
-    families = written(connected_components(links(nodes)), "families")
+    families = written(connected_components(links(nodes).unionByName(band_links(firsts))), "families")
     named = rows.join(families.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("root", "node", "text")
     members = written(named.mapInArrow(tidied(_shingled), "root bigint, node bigint, shingles array<bigint>"), "members")
     lost = spark.createDataFrame([], "node bigint")

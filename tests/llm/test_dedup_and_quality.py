@@ -114,6 +114,33 @@ def test_one_of_each_group_stays(spark, monkeypatch, family):
         assert (k in kept) == (best < 0.8 if s else min(j for j, x in enumerate(docs) if not x) == k), (k, best)
 
 
+def _block_edits(r, vocabulary, words, similarity):
+    """The words with a block appended, put in the middle or cut off, so that the shingles' similarity is about as given, not less."""
+    word, n = lambda k: [r.choice(vocabulary) for _ in range(k)], len(words)
+    more = int(n * (1 / similarity - 1)) - 12
+    yield words + word(more)
+    at = r.randrange(n // 4, n // 2)
+    yield words[:at] + word(more) + words[at:]
+    yield words[: n - int(n * (1 - similarity)) + 2]
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9, 0.95])
+def test_block_edits_are_found(spark, similarity):
+    r = random.Random(int(100 * similarity))
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    docs = []
+    for _ in range(60):
+        words = [vocabulary[min(2999, int(r.paretovariate(0.6)))] for _ in range(300)]
+        docs += [" ".join(x) for x in (words, *_block_edits(r, vocabulary, words, similarity))]
+    sets = [frozenset(simhash.shingle_hashes(t).tolist()) for t in docs]
+    kept = {x["doc_id"] for x in simhash.keep_first(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")).collect()}
+    want = set()
+    for k, s in enumerate(sets):
+        if all(_similarity(s, sets[j]) < 0.8 for j in want):
+            want.add(k)
+    assert len(want) < 80 and kept == want
+
+
 def test_repeated_words():
     def brute(words):
         found = Counter(zip(words, words[1:], words[2:]))
