@@ -2,11 +2,10 @@
 
 Lines are normalised (white space collapsed, letters lower-cased, digits as 0) and hashed to 64 bits;
 for every host and line the distinct documents holding it are counted. Copies of a document must
-not make its own lines look like a template, so a document counts under its *sketch*: the smallest of
-the hashes of its other lines, which copies and near copies share and documents that only have a
-template line in common do not. Lines held by more than ``max_share`` of their host's sketches (and
-by ``min_docs`` at least) are removed, and a document is rejected when less than ``min_left`` of its
-words stay.
+not make its own lines look like a template, so a document counts under the hash of all its lines in
+order: copies are one, near copies are documents of their own. Lines held by more than ``max_share`` of
+their host's distinct documents, or by more than ``max_docs``, and by ``min_docs`` at least, are common;
+a document is rejected when less than ``min_left`` of its words are in other lines.
 
 Nulls count as the empty text (rejected by the base rule), a null host is a host of its own, ids may
 be null or repeated (rows are told apart by a row key), an empty table gives no rows, and other
@@ -29,6 +28,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 20
 MAX_SHARE = 0.02
+#: A line on more distinct documents of its host than this is common, whatever share they are.
+MAX_DOCS = 1_000
 MIN_LEFT = 0.5
 
 _SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
@@ -101,16 +102,15 @@ def _measured(batches: Batches) -> Batches:
         )
 
 
-def _sketches(batches: Batches) -> Batches:
-    """(host, line, sketch) of each distinct line of each document; sketch: the smallest hash among its other lines."""
+def _lines(batches: Batches) -> Batches:
+    """(host, line, mark) of each distinct line of each document, and one row without a line; mark: the hash of its lines in order."""
     for batch in batches:
         hosts, lines, marks = [], [], []
         for host, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = sorted(set(keys))
-            for k in own:
-                hosts.append(host)
-                lines.append(k)
-                marks.append((own[0] if k != own[0] else own[1]) if len(own) > 1 else k)
+            own = [None, *set(keys)]
+            hosts += [host] * len(own)
+            lines += own
+            marks += [xxhash.xxh64_intdigest(np.asarray(keys, np.int64).tobytes()) >> 1] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(lines, pa.int64()), pa.array(marks, pa.int64())], names=["host", "line", "mark"])
 
 
@@ -122,6 +122,7 @@ def judge(
     min_docs: int = MIN_DOCS,
     max_share: float = MAX_SHARE,
     min_left: float = MIN_LEFT,
+    max_docs: int = MAX_DOCS,
 ) -> DataFrame:
     """One row per document: its counts, ``base_failed``, ``n_removed_words`` and ``kept``; ``row`` tells equal ids apart."""
     bounded_batches(df.sparkSession)
@@ -133,14 +134,14 @@ def judge(
         text_or_empty(text_col).alias("text"),
     )
     stats = written(rows.mapInArrow(tidied(_measured), _STATS.format(kind)), "lines")
-    marks = stats.select("host", "line_keys").mapInArrow(tidied(_sketches), "host string, line bigint, mark bigint").distinct()
-    per_line = marks.groupBy("host", "line").agg(F.count("*").alias("docs"))
-    whole = stats.select(F.col("host"), F.coalesce(F.array_min("line_keys"), F.lit(0)).alias("mark")).distinct().groupBy("host").agg(F.count("*").alias("all_docs"))
+    marks = stats.select("host", "line_keys").mapInArrow(tidied(_lines), "host string, line bigint, mark bigint").distinct()
+    counted = written(marks.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("line").isNull() | (F.col("docs") >= min_docs)), "counted")
+    whole = counted.where("line IS NULL").select(F.col("host").alias("h"), F.col("docs").alias("all_docs"))
     common = (
-        per_line.where(F.col("docs") >= min_docs)
-        .join(whole.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
-        .where(F.col("docs") > F.col("all_docs") * max_share)
-        .select(F.col("host").alias("h"), F.col("line").alias("common_line"))
+        counted.where("line IS NOT NULL")
+        .join(whole, F.col("host").eqNullSafe(F.col("h")))
+        .where((F.col("docs") > F.col("all_docs") * max_share) | (F.col("docs") > max_docs))
+        .select("h", F.col("line").alias("common_line"))
     )
     held = stats.select("row", "host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("x")).select("row", "host", F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("words"))
     removed = (

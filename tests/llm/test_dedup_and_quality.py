@@ -181,3 +181,32 @@ def test_template_lines(spark):
     assert {x["doc_id"] for x in quality.keep_good(df).collect()} == kept
     removed = {x["doc_id"]: x["n_removed_words"] for x in quality.judge(df).collect()}
     assert removed[0] == 60 and removed[150] == 0
+
+
+def test_templates_of_many_lines(spark):
+    r = random.Random(19)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    docs, depleted = [], {}
+    for host, n, shared, own in (("a", 200, 30, 2), ("b", 40, 2, 1), ("c", 100, 10, 3)):
+        template = [words(20) for _ in range(shared)]
+        for _ in range(n):
+            lines = template + [words(15) for _ in range(own)]
+            r.shuffle(lines)
+            depleted[len(docs)] = 20 * shared
+            docs.append((len(docs), "\n".join(lines), host))
+    clean = "\n".join(words(15) for _ in range(5))
+    docs += [(1000 + k, clean, "a") for k in range(60)]  # copies are one document
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    got = {x["doc_id"]: x for x in quality.judge(df).collect()}
+    assert {k: x["n_removed_words"] for k, x in got.items() if x["n_removed_words"]} == depleted
+    assert {k for k, x in got.items() if x["kept"]} == {k for k, *_ in docs if k >= 1000}
+
+
+def test_common_lines_of_a_hot_host(spark):
+    r = random.Random(20)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    banner = words(60)
+    docs = [(k, f"{banner}\n{words(20)}" if k < 30 else words(70), "hot") for k in range(3000)]  # the banner is on 1 % of the host
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    assert quality.judge(df).where("kept").count() == 3000
+    assert {x["doc_id"] for x in quality.judge(df, max_docs=25).where("NOT kept").collect()} == set(range(30))
