@@ -5,7 +5,8 @@ for every host and line the distinct documents holding it are counted. Copies of
 not make its own lines look like a template, so a document counts under the hash of all its lines in
 order: copies are one, near copies are documents of their own. Lines held by more than ``max_share`` of
 their host's distinct documents, or by more than ``max_docs``, and by ``min_docs`` at least, are common;
-a document is rejected when less than ``min_left`` of its words are in other lines.
+a document is rejected when less than ``min_left`` of its words are in other lines. ``keep_good`` takes
+the common lines out of the texts that stay.
 
 Nulls count as the empty text (rejected by the base rule), a null host is a host of its own, ids may
 be null or repeated (rows are told apart by a row key), an empty table gives no rows, and other
@@ -125,6 +126,11 @@ def judge(
     max_docs: int = MAX_DOCS,
 ) -> DataFrame:
     """One row per document: its counts, ``base_failed``, ``n_removed_words`` and ``kept``; ``row`` tells equal ids apart."""
+    return _judged(df, id_col, text_col, host_col, min_docs, max_share, min_left, max_docs).drop("gone")
+
+
+def _judged(df: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, max_share: float, min_left: float, max_docs: int) -> DataFrame:
+    """``judge``, and the keys of each document's common lines as ``gone``."""
     bounded_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(
@@ -147,7 +153,7 @@ def judge(
     removed = (
         held.join(common, (F.col("line") == F.col("common_line")) & F.col("host").eqNullSafe(F.col("h")))
         .groupBy(F.col("row").alias("removed_row"))
-        .agg(F.sum("words").cast("bigint").alias("n_removed"))
+        .agg(F.sum("words").cast("bigint").alias("n_removed"), F.collect_set("line").alias("gone"))
     )
     # Equal rows have one key: what was summed over them is what one of them has, times their number.
     copies = stats.groupBy(F.col("row").alias("copied_row")).agg(F.count("*").alias("n_copies")).where("n_copies > 1")
@@ -160,7 +166,7 @@ def judge(
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= F.col("n_words") * min_left))
     )
     return judged.select(
-        F.col("id").alias(id_col), "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept"
+        F.col("id").alias(id_col), "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept", "gone"
     )
 
 
@@ -177,15 +183,49 @@ def _passing(batches: Batches) -> Batches:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
-    """The rows of ``df``, with their columns, that ``judge`` keeps.
+def without_lines(text: str, gone: set[int]) -> str:
+    """The text without the lines whose key is in ``gone``; lines without words stay."""
+    return "\n".join(x for x in text.split("\n") if line_key(x) not in gone or not x.encode("utf-8", "surrogatepass").split())
+
+
+def _cleaned(text_col: str, chars_col: str):
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            names = batch.schema.names
+            gone = batch.column(names.index("_gone")).to_pylist()
+            columns = {n: batch.column(k) for k, n in enumerate(names) if n != "_gone"}
+            found = [without_lines(t, set(g)) if g else t for t, g in zip(columns[text_col].to_pylist(), gone)]
+            if chars_col in columns:
+                old = columns[chars_col]
+                columns[chars_col] = pa.array([len(t) if g else n for t, g, n in zip(found, gone, old.to_pylist())], old.type)
+            columns[text_col] = pa.array(found, columns[text_col].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
+
+
+def keep_good(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    chars_col: str = "n_chars",
+    min_docs: int = MIN_DOCS,
+    max_share: float = MAX_SHARE,
+    min_left: float = MIN_LEFT,
+    max_docs: int = MAX_DOCS,
+) -> DataFrame:
+    """The rows of ``df``, with their columns, that ``judge`` keeps, their texts without common lines.
 
-    The base rule is applied again in the scan; only the rows that lost too many words are looked up,
-    so whole texts are shuffled only where those rows are too many to broadcast.
+    ``chars_col``, where there is one, has the length of the new text where lines went. The base rule is
+    applied again in the scan; only the rows that have common lines are looked up, so whole texts are
+    shuffled only where those rows are too many to broadcast.
     """
-    judged = judge(df, id_col, text_col, host_col, **options)
-    lost = written(judged.where("NOT kept AND NOT base_failed").select(F.col("row").alias("_lost")).distinct(), "lost")
+    judged = _judged(df, id_col, text_col, host_col, min_docs, max_share, min_left, max_docs)
+    touched = judged.where("NOT base_failed AND (NOT kept OR n_removed_words > 0)").select(F.col("row").alias("_touched"), F.col("kept").alias("_kept"), F.when(F.col("kept"), F.col("gone")).alias("_gone"))
+    touched = written(touched.dropDuplicates(["_touched"]), "touched")
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_or_empty(text_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")))
     plain = df.withColumnRenamed(text_col, "text")
     passing = plain.mapInArrow(tidied(_passing), plain.schema).withColumnRenamed("text", text_col)
-    return passing.withColumn("_row", key).join(lost, F.col("_row") == F.col("_lost"), "left_anti").drop("_row")
+    met = passing.withColumn("_row", key).join(touched, F.col("_row") == F.col("_touched"), "left").where("_kept IS NULL OR _kept")
+    return met.select(*df.columns, "_gone").mapInArrow(tidied(_cleaned(text_col, chars_col)), df.schema)

@@ -210,3 +210,17 @@ def test_common_lines_of_a_hot_host(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
     assert quality.judge(df).where("kept").count() == 3000
     assert {x["doc_id"] for x in quality.judge(df, max_docs=25).where("NOT kept").collect()} == set(range(30))
+
+
+def test_common_lines_go_from_texts(spark):
+    r = random.Random(21)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    banner, own = words(10), [[words(40), "", words(40)] for _ in range(40)]
+    docs = [(k, "\n".join([f"{banner} {10 + k}", *x, f"  {banner.upper()} {10 + k} "]), "h", 7) for k, x in enumerate(own)]
+    docs += [(100, "\n".join([banner + " 1", words(60)]), "other", 7)]
+    df = spark.createDataFrame(docs + docs[:1], "doc_id bigint, text string, source string, n_chars int")
+    got = [tuple(x) for x in quality.keep_good(df).collect()]
+    want = [(k, "\n".join(x), "h", len("\n".join(x))) for k, x in enumerate(own)]
+    assert sorted(got) == sorted(want + want[:1] + docs[-1:])
+    removed = {x["doc_id"]: x["n_removed_words"] for x in quality.judge(df).collect()}
+    assert all(removed[k] == len(t.split()) - len(x.split()) for (k, t, *_), (_, x, *_) in zip(docs, want))
