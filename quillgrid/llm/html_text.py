@@ -8,10 +8,10 @@ decoded and white space in a block becomes one space.
 
 What structure does not tell is learnt from the site: every element subtree that could be part of a
 template is hashed (tags and text), each host's pages are counted for each hash, and subtrees found on
-``min_pages`` pages of a host or more, and on more than ``min_share`` of its pages, are deleted. Inside an
-``article`` only containers can be such subtrees, not single paragraphs or headings, and pages count
-under the hash of their whole text, so that copies of a page on its host do not make it a template.
-Hashes that recur are at most (subtrees of a page / min_share) for a host.
+``min_pages`` pages of a host or more, and on more than ``min_share`` of its pages or on more than
+``max_pages``, are deleted. Inside an ``article`` only containers can be such subtrees, not single
+paragraphs or headings. Pages count under the hash of their whole text, those with a subtree and those
+of the host alike, so that copies of a page neither make it a template nor hide one.
 
 A null html gives the empty text; a null or odd url is the host ''; null and repeated page ids are rows
 of their own; an empty table gives no rows; other columns are ignored.
@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, tidied
+from quillgrid.llm.common import Batches, bounded_batches, tidied, written
 
 MIN_PAGES = 3
 MIN_SHARE = 0.3
+#: A subtree on more distinct pages of its host than this is of a template, whatever share they are.
+MAX_PAGES = 1_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -250,6 +252,7 @@ def _hashed(batches: Batches) -> Batches:
         rows, hosts, marks, keys = [], [], [], []
         for row, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             own, mark = template_hashes(page)
+            own.append(None)  # the page itself
             rows += [row] * len(own)
             hosts += [host] * len(own)
             marks += [mark] * len(own)
@@ -270,7 +273,7 @@ def host_of(url):
     return F.coalesce(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), r"^www\.", ""), F.lit(""))
 
 
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_pages: int = MAX_PAGES) -> DataFrame:
     """(id, url, text, n_chars) of every page."""
     bounded_batches(df.sparkSession, 256)
     kind = df.schema[id_col].dataType.simpleString()
@@ -278,9 +281,10 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         "row", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), "html")
     )
     hashed = rows.select("row", host_of(F.col("url")).alias("host"), "html").mapInArrow(tidied(_hashed), "row bigint, host string, mark bigint, key bigint")
-    seen = hashed.select("host", "key", "mark").distinct().groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    sites = rows.select(host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("site_pages"))
-    template = seen.join(sites, "host").where(F.col("pages") > F.col("site_pages") * min_share).select("host", "key")
+    marks = hashed.select("host", "key", "mark").distinct()
+    seen = written(marks.groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("key").isNull() | (F.col("pages") >= min_pages)), "subtrees")
+    sites = seen.where("key IS NULL").select("host", F.col("pages").alias("site_pages"))
+    template = seen.where("key IS NOT NULL").join(sites, "host").where((F.col("pages") > F.col("site_pages") * min_share) | (F.col("pages") > max_pages)).select("host", "key")
     gone = hashed.join(template, ["host", "key"]).groupBy(F.col("row").alias("gone_row")).agg(F.collect_set("key").alias("gone"))
     joined = rows.join(gone, F.col("row") == F.col("gone_row"), "left").select("id", "url", "html", "gone")
     return joined.mapInArrow(tidied(_extracted), f"id {kind}, url string, text string, n_chars bigint").withColumnRenamed("id", id_col)

@@ -37,3 +37,17 @@ def test_templates(spark):
     assert text[2] == "Story 2 of its own" and text[13] == "Same head Same first paragraph Own 3"
     assert text[22] == "Welcome to three Links here Story 1 of its own" and text[30].startswith("Welcome to none") and text[31] == "" and text[None] == "a"
     assert H.extract(df.where("false")).count() == 0
+
+
+def test_templates_beside_copies_and_on_a_large_host(spark):
+    menu = "<div><p>Menu of the site</p></div>"
+    page = lambda k: f"<body>{menu}<div><p>Story {k} of its own</p></div></body>"
+    rows = [(k, f"http://one.org/{k}", "<body><div><p>Copied text</p></div></body>") for k in range(100)]
+    rows += [(100 + k, f"http://one.org/{k}", page(k)) for k in range(40)]
+    rows += [(200 + k, f"http://large.org/{k}", page(k) if k < 12 else f"<body><div><p>Page {k}</p></div></body>") for k in range(100)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    text = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    assert text[0] == "Copied text" and [text[100 + k] for k in range(40)] == [f"Story {k} of its own" for k in range(40)]
+    assert text[200] == "Menu of the site Story 0 of its own"  # 12 % of the host
+    text = {r["page_id"]: r["text"] for r in H.extract(df, max_pages=10).collect()}
+    assert text[200] == "Story 0 of its own" and text[299] == "Page 99"
