@@ -15,23 +15,21 @@ from pyspark.sql import functions as F
 
 from quillgrid.session import ship_package
 
-#: Rows of an Arrow batch at most, so that a batch of long texts fits a Python worker.
+#: Rows that a Python stage works on at a time at most (Spark bounds the bytes of the batches it sends).
 BATCH_ROWS = 1024
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Make Python stages ready: the package on the executors, and Arrow batches of at most ``rows`` rows."""
+def prepared(spark: SparkSession) -> None:
+    """Make Python stages ready: the package on the executors. No setting of the session is changed."""
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset, on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -98,11 +96,11 @@ def _hand_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """A function for mapInArrow that hands freed memory back at the end of its task."""
+def tidied(run: Callable[[Batches], Batches], rows: int = BATCH_ROWS) -> Callable[[Batches], Batches]:
+    """A function for mapInArrow that works on ``rows`` rows at a time and hands freed memory back at the end of its task."""
 
     def tidy(batches: Batches) -> Batches:
-        yield from run(batches)
+        yield from run(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
         _hand_back()
 
     return tidy

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, tidied, written
+from quillgrid.llm.common import Batches, prepared, tidied, written
 
 MIN_PAGES = 3
 MIN_SHARE = 0.3
@@ -275,7 +275,7 @@ def host_of(url):
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_pages: int = MAX_PAGES) -> DataFrame:
     """(id, url, text, n_chars) of every page."""
-    bounded_batches(df.sparkSession, 256)
+    prepared(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn(
         "row", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), "html")

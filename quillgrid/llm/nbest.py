@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, text_or_empty, texts, tidied
+from quillgrid.llm.common import Batches, prepared, text_or_empty, texts, tidied
 from quillgrid.llm.packing import Memory
 from quillgrid.llm.token_counts import library
 
@@ -218,7 +218,7 @@ def _segmented(path: str, n: int):
 
 def segment(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", n: int = PATHS) -> DataFrame:
     """One row per text: pieces and crc32 of the ids of its best path, the scores and piece counts of its n best, and whether it decodes to itself."""
-    bounded_batches(df.sparkSession, 2048)
+    prepared(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text"))
     schema = f"id {kind}, n_pieces bigint, ids_crc32 bigint, score double, nbest_scores array<double>, nbest_pieces array<int>, round_trip boolean"

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, text_or_empty, texts, tidied, written
+from quillgrid.llm.common import Batches, prepared, text_or_empty, texts, tidied, written
 from quillgrid.llm.token_counts import library
 
 WINDOW = 2048
@@ -340,7 +340,7 @@ def pack(
     dry); None keeps the corpus's own proportions in every window.
     """
     spark = df.sparkSession
-    bounded_batches(spark, 2048)
+    prepared(spark)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), F.col(source_col).cast("string").alias("source"), text_or_empty(text_col).alias("text"))
     schema = f"id {kind}, source string, part int, place bigint, n bigint, ids binary"

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, text_or_empty, texts, tidied, written
+from quillgrid.llm.common import Batches, prepared, text_or_empty, texts, tidied, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -131,7 +131,7 @@ def judge(
 
 def _judged(df: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, max_share: float, min_left: float, max_docs: int) -> DataFrame:
     """``judge``, and the keys of each document's common lines as ``gone``."""
-    bounded_batches(df.sparkSession)
+    prepared(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(
         F.xxhash64(F.coalesce(df[id_col].cast("string"), F.lit("")), text_or_empty(text_col), F.coalesce(F.col(host_col).cast("string"), F.lit(""))).alias("row"),

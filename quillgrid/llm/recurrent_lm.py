@@ -5,13 +5,19 @@ documents are summed in Spark. The ``SHORTLIST`` commonest tokens are outputs of
 other word belongs to one of ``GROUPS`` groups by its last letters, each group is an output too, and
 within a group words have their smoothed frequencies over the whole corpus, so that the
 probabilities of all words add up to one. The output softmax is factored: classes of tokens of like
-frequency, then the token in its class. A gated recurrent unit is trained by truncated
-backpropagation in numpy on a sample (``SAMPLE_DOCS`` training documents of least hash, of each at most
-``SAMPLE_TOKENS`` tokens); its output biases start from the counts of the whole corpus.
+frequency, then the token in its class; its biases start from the counts of the whole corpus.
+
+A gated recurrent unit is trained in numpy by truncated backpropagation through time on every token of
+every training document, in ``ROUNDS`` rounds over disjoint shares of the documents. In a round each
+task starts from the same network, runs through its documents (many streams side by side, the state
+carried from one stretch to the next), and hands its parameters on; their mean, weighted by tokens
+and summed in Spark in two steps, is the network of the next round. Tasks get ``TASK_TOKENS`` tokens
+or more, so their number and the work follow the corpus, and what reaches the driver is one network.
 
 Scoring runs many documents side by side in windows and carries each one's state from window to
-window to its end. The ``HEAD`` commonest words, a bounded table, go to the executors; occurrences of
-rarer words are joined with their counts, an ordinary shuffle join.
+window to its end. The head of the vocabulary (the commonest words, ``HEAD`` at most, cut off at a
+count found from a histogram) goes to the executors; occurrences of rarer words are joined with
+their counts, an ordinary shuffle join.
 
 Nulls count as the empty text (one end); ids may be null (in training) or repeated, each row is
 scored; without training rows all words are unseen; an empty table gives no rows; other columns
@@ -21,7 +27,9 @@ are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +38,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, fold, text_or_empty, texts, tidied, written
+from quillgrid.llm.common import Batches, fold, prepared, text_or_empty, texts, tidied, written
 
 FOLDS = 5
 HELD_OUT = 1
-SHORTLIST = 4_000
+SHORTLIST = 2_000
 GROUPS = 96
 HEAD = 200_000
 HIDDEN = 16
-SAMPLE_DOCS = 2_500
-SAMPLE_TOKENS = 400
-EPOCHS = 3
+#: Eighths of the documents that each round of training has.
+ROUNDS = ((0, 1), (1, 8))
+#: Training tokens of a task at least (where the corpus has so many).
+TASK_TOKENS = 2_000_000
+#: Tokens that a task holds before it trains on them.
+RUN_TOKENS = 1_000_000
 STEPS = 24
-STREAMS = 64
+STREAMS = 512
+RATE = 0.3
+#: Steps that a run of tokens is good for at least: short runs have fewer streams.
+LEAST_UPDATES = 64
+#: Parameters of a row of the table in which networks are added up, and tasks that the first step adds up.
+SLOT = 8_192
+ADDED_TASKS = 64
 #: Tokens that a worker holds before it scores them.
 HELD_TOKENS = 1_500_000
 WINDOW = 64
@@ -52,9 +69,18 @@ COUNTED_WORDS = 300_000
 END = b""
 
 
-def tokens_of(text: str) -> list[bytes]:
-    """Words of a text, without the end."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+#: Bytes of a text that are split into words at a time.
+SPLIT_BYTES = 1 << 22
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def tokens_of(text: str) -> Iterator[list[bytes]]:
+    """Words of a text, without the end, in lists of bounded size."""
+    raw, at = text.encode("utf-8", "surrogatepass").lower(), 0
+    while len(raw) - at > SPLIT_BYTES and (blank := _BLANK.search(raw, at + SPLIT_BYTES)):
+        yield raw[at : blank.start()].split()
+        at = blank.end()
+    yield raw[at:].split()
 
 
 def group_of(word: bytes, groups: int = GROUPS) -> int:
@@ -71,17 +97,18 @@ def _counted(batches: Batches) -> Batches:
     found: Counter = Counter()
     for batch in batches:
         for text in texts(batch, "text"):
-            found.update(tokens_of(text))
             found[END] += 1
-            if len(found) > COUNTED_WORDS:
-                yield out(found)
-                found = Counter()
+            for words in tokens_of(text):
+                found.update(words)
+                if len(found) > COUNTED_WORDS:
+                    yield out(found)
+                    found = Counter()
     yield out(found)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all rows; the end is the empty word."""
-    bounded_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(tidied(_counted), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -122,98 +149,119 @@ class Network:
         n = np.tanh(x[:, 2 * k :] + r * part)
         return n + z * (h - n), z, r, n, part
 
+    def _softmax(self, h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits, their exponentials, sums of these); states lie in -1..1, so logits keep far from overflow."""
+        logits = h @ w
+        logits += b
+        np.minimum(logits, 80, out=logits)
+        e = np.exp(logits)
+        return logits, e, e @ np.ones(e.shape[1], e.dtype)
+
+    def _members(self, c: np.ndarray):
+        """(class, places of its targets) of every class that has some."""
+        order = np.argsort(c.astype(np.uint16 if self.classes <= 1 << 16 else np.int64), kind="stable")
+        edges = np.searchsorted(c[order], np.arange(self.classes + 1))
+        return [(k, order[edges[k] : edges[k + 1]]) for k in np.flatnonzero(np.diff(edges))]
+
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target after each state."""
         c = target // self.size
-        logits = h @ self.p["wc"] + self.p["bc"]
-        top = logits.max(1, keepdims=True)
-        out = logits[np.arange(len(c)), c] - top[:, 0] - np.log(np.exp(logits - top).sum(1))
-        out = out.astype(np.float64)
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(edges)):
-            at = order[edges[k] : edges[k + 1]]
-            own = h[at] @ self.p["ww"][k] + self.p["bw"][k]
-            top = own.max(1, keepdims=True)
-            out[at] += own[np.arange(len(at)), target[at] - k * self.size] - top[:, 0] - np.log(np.exp(own - top).sum(1))
+        logits, _, sums = self._softmax(h, self.p["wc"], self.p["bc"])
+        out = (logits[np.arange(len(c)), c] - np.log(sums)).astype(np.float64)
+        for k, at in self._members(c):
+            own, _, sums = self._softmax(h[at], self.p["ww"][k], self.p["bw"][k])
+            out[at] += own[np.arange(len(at)), target[at] - k * self.size] - np.log(sums)
         return out
 
     def _output_gradients(self, h: np.ndarray, target: np.ndarray, g: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
         c, n = target // self.size, len(target)
-        logits = h @ self.p["wc"] + self.p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        probs = np.exp(logits)
-        probs /= probs.sum(1, keepdims=True)
-        loss = -np.log(probs[np.arange(n), c] + 1e-30).sum()
+        logits, probs, sums = self._softmax(h, self.p["wc"], self.p["bc"])
+        loss = float((np.log(sums) - logits[np.arange(n), c]).sum())
+        probs /= sums[:, None]
         probs[np.arange(n), c] -= 1
         g["wc"] += h.T @ probs
         g["bc"] += probs.sum(0)
         dh = probs @ self.p["wc"].T
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(edges)):
-            at = order[edges[k] : edges[k + 1]]
-            own = h[at] @ self.p["ww"][k] + self.p["bw"][k]
-            own -= own.max(1, keepdims=True)
-            own = np.exp(own)
-            own /= own.sum(1, keepdims=True)
-            inside = target[at] - k * self.size
-            loss -= np.log(own[np.arange(len(at)), inside] + 1e-30).sum()
-            own[np.arange(len(at)), inside] -= 1
-            g["ww"][k] += h[at].T @ own
+        for k, at in self._members(c):
+            states, inside, places = h[at], target[at] - k * self.size, np.arange(len(at))
+            logits, own, sums = self._softmax(states, self.p["ww"][k], self.p["bw"][k])
+            loss += float((np.log(sums) - logits[places, inside]).sum())
+            own /= sums[:, None]
+            own[places, inside] -= 1
+            g["ww"][k] += states.T @ own
             g["bw"][k] += own.sum(0)
             dh[at] += own @ self.p["ww"][k].T
-        return float(loss), dh
-
-    def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, steps: int = STEPS, streams: int = STREAMS, rate: float = 0.12, seed: int = 11) -> list[float]:
-        """Truncated backpropagation through time with adaptive steps; mean loss of each epoch."""
-        rng, k = np.random.default_rng(seed), self.hidden
-        squares = {name: np.full_like(x, 1e-4) for name, x in self.p.items()}
-        losses = []
-        for _ in range(epochs):
-            line = np.concatenate([docs[i] for i in rng.permutation(len(docs))]) if docs else np.zeros(0, np.int64)
-            width = max(1, min(streams, len(line) // (2 * steps)))
-            long = len(line) // width
-            if long < 2:
-                break
-            grid = line[: width * long].reshape(width, long)
-            h, total, count = np.zeros((width, k), np.float32), 0.0, 0
-            for start in range(0, long - 1, steps):
-                stop = min(long - 1, start + steps)
-                seen, states, trace = [], [h], []
-                for t in range(start, stop):
-                    token = grid[:, t]
-                    h = np.where((token == 0)[:, None], np.float32(0), h)  # an end: the next document starts from nothing
-                    before = h
-                    h, z, r, n, part = self.step(token, h)
-                    trace.append((token, before, z, r, n, part))
-                    states.append(h)
-                    seen.append(grid[:, t + 1])
-                g = {name: np.zeros_like(x) for name, x in self.p.items()}
-                hidden, target = np.concatenate(states[1:]), np.concatenate(seen)
+        return loss, dh
+
+    def train(self, line: np.ndarray, squares: dict[str, np.ndarray], steps: int = STEPS, streams: int = STREAMS, rate: float = RATE) -> float:
+        """Truncated backpropagation through time over documents laid end to end, each closed by token 0; the mean loss.
+
+        The line is cut into streams that run side by side; every token is a target once. ``squares``
+        holds the summed squares of the gradients, by which steps are scaled.
+        """
+        k, n = self.hidden, len(line)
+        width = max(1, min(streams, n // (LEAST_UPDATES * steps)))
+        long = -(-n // width)
+        padded = np.zeros(width * long + 1, np.int64)
+        padded[1 : n + 1] = line
+        given, wanted = padded[:-1].reshape(width, long), padded[1:].reshape(width, long)
+        live = np.arange(width * long).reshape(width, long) < n
+        h, total = np.zeros((width, k), np.float32), 0.0
+        for start in range(0, long, steps):
+            times = range(start, min(long, start + steps))
+            states = np.empty((len(times), width, k), np.float32)
+            trace = []
+            for i, t in enumerate(times):
+                before = h * (given[:, t] != 0)[:, None]  # an end: the next document starts from nothing
+                h, z, r, x, part = self.step(given[:, t], before)
+                states[i] = h
+                trace.append((before, z, r, x, part))
+            g = {name: np.zeros_like(self.p[name]) for name in self.p if name != "x"}
+            due = live[:, times.start : times.stop].T.ravel()
+            hidden, target = states.reshape(-1, k), wanted[:, times.start : times.stop].T.ravel()
+            if due.all():
                 loss, dh_out = self._output_gradients(hidden, target, g)
-                total, count = total + loss, count + len(target)
-                dh_out = dh_out.reshape(len(trace), width, k)
-                dh = np.zeros((width, k), np.float32)
-                for t in range(len(trace) - 1, -1, -1):
-                    token, before, z, r, n, part = trace[t]
-                    dh = dh + dh_out[t]
-                    dn = dh * (1 - z) * (1 - n * n)
-                    dz = dh * (before - n) * z * (1 - z)
-                    dr = dn * part * r * (1 - r)
-                    gates = np.concatenate([dz, dr, dn], 1)
-                    recurrent = np.concatenate([dz, dr, dn * r], 1)
-                    np.add.at(g["x"], token, gates)
-                    g["b"] += gates.sum(0)
-                    g["u"] += before.T @ recurrent
-                    dh = dh * z + recurrent @ self.p["u"].T
-                    dh = np.where((token == 0)[:, None], np.float32(0), dh)
-                for name, x in self.p.items():
-                    d = g[name] / width
-                    squares[name] += d * d
-                    x -= rate * d / np.sqrt(squares[name])
-            losses.append(total / max(1, count))
-        return losses
+            else:
+                loss, some = self._output_gradients(hidden[due], target[due], g)
+                dh_out = np.zeros_like(hidden)
+                dh_out[due] = some
+            total += loss
+            dh_out = dh_out.reshape(len(times), width, k)
+            dh, inputs = np.zeros((width, k), np.float32), np.empty((len(times), width, 3 * k), np.float32)
+            for i in range(len(times) - 1, -1, -1):
+                before, z, r, x, part = trace[i]
+                dh = dh + dh_out[i]
+                dx = dh * (1 - z) * (1 - x * x)
+                inputs[i, :, :k] = dh * (before - x) * z * (1 - z)
+                inputs[i, :, k : 2 * k] = dx * part * r * (1 - r)
+                inputs[i, :, 2 * k :] = dx
+                recurrent = inputs[i].copy()
+                recurrent[:, 2 * k :] *= r
+                g["u"] += before.T @ recurrent
+                dh = (dh * z + recurrent @ self.p["u"].T) * (given[:, times[i]] != 0)[:, None]
+            flat, tokens = inputs.reshape(-1, 3 * k), given[:, times.start : times.stop].T.ravel()
+            g["b"] += flat.sum(0)
+            order = np.argsort(tokens.astype(np.uint16 if self.m <= 1 << 16 else np.int64), kind="stable")
+            rows, firsts = np.unique(tokens[order], return_index=True)
+            for name, d, at in (("x", np.add.reduceat(flat[order], firsts), rows), *((name, d, slice(None)) for name, d in g.items())):
+                d = d / width
+                squares[name][at] += d * d
+                self.p[name][at] -= rate * d / np.sqrt(squares[name][at])
+        return total / max(1, n)
+
+    def squares(self) -> dict[str, np.ndarray]:
+        return {name: np.full_like(x, 1e-5) for name, x in self.p.items()}
+
+    def flat(self) -> np.ndarray:
+        """All parameters one after another."""
+        return np.concatenate([x.ravel() for x in self.p.values()])
+
+    def load(self, flat: np.ndarray) -> None:
+        """Take parameters as ``flat`` gives them."""
+        at = 0
+        for name, x in self.p.items():
+            self.p[name] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+            at += x.size
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log-likelihood of each document (its tokens with the end), all run side by side in windows."""
@@ -224,6 +272,7 @@ class Network:
         lengths = np.asarray([len(docs[i]) for i in order])
         flat = np.concatenate([docs[i] for i in order])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        live_at = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")  # documents longer than t come first
         h = np.zeros((len(order), self.hidden), np.float32)
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
@@ -236,12 +285,11 @@ class Network:
                 kept.clear()
                 held = 0
 
-        names = np.asarray(order)
-        for t in range(int(lengths[0])):
-            live = int(np.searchsorted(-lengths, -t, "left"))  # documents longer than t come first
-            token = np.zeros(live, np.int64) if t == 0 else flat[starts[:live] + t - 1]
-            h = self.step(token, h[:live])[0]
-            kept.append((h, flat[starts[:live] + t], names[:live]))
+        names, token = np.asarray(order), np.zeros(len(order), np.int64)
+        for t, live in enumerate(live_at.tolist()):
+            h = self.step(token[:live], h[:live])[0]
+            token = flat[starts[:live] + t]
+            kept.append((h, token, names[:live]))
             held += live
             if held >= 1024 * WINDOW:
                 settle()
@@ -274,6 +322,19 @@ class Tables:
     def lookup(self) -> "_Lookup":
         return _Lookup({w: k for k, w in enumerate(self.words)}, self.groups)
 
+    def places(self, text: str, lookup: "_Lookup") -> tuple[np.ndarray, list[bytes]]:
+        """(place in the head of every word, or -1 less its group; the words that are not in the head)."""
+        places, rare = [], []
+        for words in tokens_of(text):
+            at = np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
+            rare += [words[i] for i in np.flatnonzero(at < 0)]
+            places.append(at)
+        return np.concatenate(places), rare
+
+    def codes(self, at: np.ndarray) -> np.ndarray:
+        """Network outputs, as first numbered, of places."""
+        return np.where(at < 0, self.short - 1 - at, self.code[np.maximum(at, 0)])
+
 
 class _Lookup(dict):
     """Place of a word in the head; for other words -1 less their group."""
@@ -300,18 +361,62 @@ def _grouped(groups: int, skip: frozenset):
     return run
 
 
-def _sampled(outputs: dict[bytes, int], number: np.ndarray, short: int, groups: int, limit: int):
+def _trained(tables: Tables, network: Network):
+    """Trains a copy of the network on a task's documents: its parameters times the tokens, in slots."""
+
     def run(batches: Batches) -> Batches:
+        lookup, squares, seen = tables.lookup(), network.squares(), 0
+        held, size = [], 0
         for batch in batches:
-            found = [
-                [int(number[outputs[w] if w in outputs else short + group_of(w, groups)]) for w in words] + ([int(number[0])] if len(words) < limit else [])
-                for words in (tokens_of(t)[:limit] for t in texts(batch, "text"))
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["h", "tokens"])
+            for text in texts(batch, "text"):
+                held.append(np.append(tables.number[tables.codes(tables.places(text, lookup)[0])], 0))
+                size += len(held[-1])
+                if size >= RUN_TOKENS:
+                    network.train(np.concatenate(held), squares)
+                    seen, held, size = seen + size, [], 0
+        if held:
+            network.train(np.concatenate(held), squares)
+            seen += size
+        if seen:
+            flat = network.flat().astype(np.float64) * seen
+            slots = [flat[k : k + SLOT].tobytes() for k in range(0, len(flat), SLOT)]
+            part, n = TaskContext.get().partitionId(), len(slots)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([float(seen)] * n, pa.float64()), pa.array(slots, pa.binary())],
+                names=["part", "slot", "weight", "values"],
+            )
 
     return run
 
 
+_SLOTS = "part int, slot int, weight double, values binary"
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of weights and values, always in the order of the parts."""
+    table = table.sort_by("part")
+    total = np.zeros(len(table["values"][0].as_py()) // 8)
+    for x in table["values"]:
+        total += np.frombuffer(x.as_buffer(), np.float64)
+    first = table.slice(0, 1)
+    return pa.table({"part": first["part"], "slot": first["slot"], "weight": [float(np.sum(table["weight"].to_numpy()))], "values": pa.array([total.tobytes()], pa.binary())})
+
+
+def fit_network(train: DataFrame, tables: Tables, id_col: str, text_col: str) -> Network:
+    """A network trained on all rows: in each round the mean of the networks of its tasks."""
+    network = Network(tables.counts)
+    eighth = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_or_empty(text_col)), F.lit(8))
+    for low, high in ROUNDS:
+        tasks = max(1, tables.total * (high - low) // 8 // TASK_TOKENS)
+        share = train.where((eighth >= low) & (eighth < high)).select(text_or_empty(text_col).alias("text")).coalesce(tasks)
+        slots = share.mapInArrow(tidied(_trained(tables, network)), _SLOTS)
+        some = slots.groupBy("slot", F.floor(F.col("part") / ADDED_TASKS)).applyInArrow(lambda t: _added(t), _SLOTS)
+        found = some.groupBy("slot").applyInArrow(lambda t: _added(t), _SLOTS).toArrow().sort_by("slot")
+        if found.num_rows:
+            network.load(np.concatenate([np.frombuffer(x.as_buffer(), np.float64) / w.as_py() for x, w in zip(found["values"], found["weight"])]))
+    return network
+
+
 def _scored(tables: Tables, network: Network):
     def run(batches: Batches) -> Batches:
         lookup, part, row = tables.lookup(), TaskContext.get().partitionId(), 0
@@ -341,23 +446,19 @@ def _scored(tables: Tables, network: Network):
         for batch in batches:
             values, begin = texts(batch, "text"), 0
             for k, text in enumerate(values):
-                words = tokens_of(text)
-                at = np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
-                rare = at < 0
-                groups = np.where(rare, -1 - at, 0)
-                code = np.where(rare, tables.short + groups, tables.code[np.where(rare, 0, at)])
-                log_c = np.where(rare, 0.0, tables.log_c[np.where(rare, 0, at)])
+                at, tail = tables.places(text, lookup)
+                n, code, rare = len(at) + 1, tables.codes(at), at < 0
+                log_c = np.where(rare, 0.0, tables.log_c[np.maximum(at, 0)])
                 grouped = code >= tables.short
                 docs.append(np.append(tables.number[code], 0))
                 rows.append((part << 33) + row)
                 row += 1
-                sizes.append(len(words) + 1)
-                seen = int((~rare).sum())
-                known.append(seen + (tables.log_c[0] > math.log10(0.75)))
-                base.append(float(log_c.sum() + tables.log_c[0] - (len(words) + 1) * tables.log_base))
+                sizes.append(n)
+                known.append(n - 1 - len(tail) + (tables.log_c[0] > math.log10(0.75)))
+                base.append(float(log_c.sum() + tables.log_c[0] - n * tables.log_base))
                 fixed.append(float(log_c[grouped].sum() - tables.log_group[code[grouped] - tables.short].sum()))
-                tails.append([words[i] for i in np.flatnonzero(rare)])
-                held += len(words) + 1
+                tails.append(tail)
+                held += n
                 if held >= HELD_TOKENS:
                     ids.append(batch.column(0).slice(begin, k + 1 - begin))
                     begin = k + 1
@@ -370,26 +471,38 @@ def _scored(tables: Tables, network: Network):
     return run
 
 
+def _bin(n):
+    """Sixteenths of the powers of two, in which counts are put for the cut-off."""
+    return F.floor(F.log2(n) * 16)
+
+
+def head_of(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """(word, n) of the commonest words by falling count: all above a count such that they are ``most`` at most, and the end."""
+    bins = sorted(((r["bin"], r["words"]) for r in counts.groupBy(_bin(F.col("n")).alias("bin")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    cut, held = math.inf, 0
+    for bin_, words in bins:
+        held += words
+        if held > most:
+            break
+        cut = bin_
+    found = counts.where((F.col("word") == F.lit(END)) | (_bin(F.col("n")) >= F.lit(float(cut)))).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return list(zip(found["word"].to_pylist(), found["n"].to_pylist()))
+
+
 def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Tables, Network, DataFrame]:
     """Tables and network from training documents, and their (word, n)."""
     counts = written(word_counts(train, text_col), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(r["word"]), int(r["n"])) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    head = head_of(counts, HEAD)
     short = frozenset([END, *[w for w, _ in head if w != END][:SHORTLIST]])
     sums = counts.select("word", "n").mapInArrow(tidied(_grouped(GROUPS, short)), "g bigint, n bigint, v bigint").groupBy("g").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     tables = Tables(head, {int(r["g"]): (int(r["n"]), int(r["v"])) for r in sums.collect()}, int(total), int(distinct))
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    chosen = train.select(key.alias("h")).orderBy("h").limit(SAMPLE_DOCS).distinct()
-    sample = train.select(key.alias("h"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "h")
-    rows = sample.mapInArrow(tidied(_sampled(tables.outputs, tables.number, tables.short, GROUPS, SAMPLE_TOKENS)), "h bigint, tokens array<int>").orderBy("h", "tokens").limit(SAMPLE_DOCS).collect()
-    network = Network(tables.counts)
-    network.train([np.asarray([0, *r["tokens"]], np.int64) if r["tokens"][-1:] != [0] else np.asarray(r["tokens"], np.int64) for r in rows])
-    return tables, network, counts
+    return tables, fit_network(train, tables, id_col, text_col), counts
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    bounded_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     tables, network, counts = fit(docs.where(fold(id_col, FOLDS) != HELD_OUT), id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, cut, text_or_empty, texts, tidied, written
+from quillgrid.llm.common import Batches, cut, prepared, text_or_empty, texts, tidied, written
 from quillgrid.llm.components import connected_components
 
 SHINGLE = 4
@@ -83,7 +83,7 @@ def _fingerprints(shingle: int, seed: int):
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(id, fp) of every row; fp is the fingerprint as a signed 64-bit integer."""
-    bounded_batches(df.sparkSession)
+    prepared(df.sparkSession)
     rows = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(tidied(_fingerprints(shingle, seed)), f"id {df.schema[id_col].dataType.simpleString()}, fp bigint")
 
@@ -275,7 +275,7 @@ def similar_losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rounds that compare all of them with their first texts, in Spark, until they are smaller.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepared(spark)
     rows = docs.select(docs[id_col].cast("bigint").alias("node"), text_or_empty(text_col).alias("text")).where("node IS NOT NULL")
     marks = cut(rows.mapInArrow(tidied(_word_fingerprints), "node bigint, mark binary, fps array<bigint>, bands array<bigint>"))
     firsts = cut(marks.groupBy("mark").agg(F.min("node").alias("first"), F.min("fps").alias("fps"), F.min("bands").alias("bands")))

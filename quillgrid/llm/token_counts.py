@@ -19,7 +19,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillgrid.llm.common import Batches, bounded_batches, text_or_empty, texts, tidied
+from quillgrid.llm.common import Batches, prepared, text_or_empty, texts, tidied
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
@@ -107,7 +107,7 @@ def count_tokens(
     df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS
 ) -> DataFrame:
     """(id, n_bytes, n_tokens) of every row; one pass over the scan, no shuffle."""
-    bounded_batches(df.sparkSession)
+    prepared(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(tidied(_counter(path, chunk, overlap)), f"id {kind}, n_bytes bigint, n_tokens bigint").withColumnRenamed("id", id_col)

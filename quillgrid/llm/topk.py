@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, cut, tidied
+from quillgrid.llm.common import Batches, cut, prepared, tidied
 
 K = 5
 SCALE = 256
@@ -106,7 +106,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BL
     queries, candidates = queries.groupBy("id").agg(F.min("v").alias("v")), candidates.select("id", "v")
     shape = queries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     spark = queries.sparkSession
-    bounded_batches(spark, PAIRS)
+    prepared(spark)
     if shape is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     queries, candidates = (x.where(F.size("v") == shape["d"]) for x in (queries, candidates))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, bounded_batches, fold, text_or_empty, texts, tidied
+from quillgrid.llm.common import Batches, fold, prepared, text_or_empty, texts, tidied
 
 FOLDS = 4
 HELD_OUT = 2
@@ -296,7 +296,7 @@ def _sampled(limit: int):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from the labelled rows of ``docs`` outside the held-out fold."""
-    bounded_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, FOLDS) != HELD_OUT))
     marks = marks.groupBy(F.col(id_col).alias("mark_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     present = docs.select(F.col(id_col).alias("mark_id")).distinct()
@@ -322,7 +322,7 @@ def _scored(model: Model, threshold: float):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, held_out, score, predicted) of every row."""
-    bounded_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))
     scored = rows.mapInArrow(tidied(_scored(model, threshold)), f"id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
     return scored.select(F.col("id").alias(id_col), (fold("id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
@@ -338,6 +338,6 @@ def _clean(model: Model, threshold: float):
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with their columns, whose score is below the threshold."""
-    bounded_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     plain = docs.withColumnRenamed(text_col, "text")
     return plain.mapInArrow(tidied(_clean(model, threshold)), plain.schema).withColumnRenamed("text", text_col)

@@ -99,7 +99,6 @@ def test_language_model(spark, messy, nothing):
 def test_rare_words_are_scored_by_the_join(spark, monkeypatch):
     rows = [(k, f"the common words {'rare%d' % (k % 40)} here") for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    monkeypatch.setattr(L, "EPOCHS", 1)
     full = {r["doc_id"]: r for r in L.score(docs).collect()}
     monkeypatch.setattr(L, "HEAD", 3)
     monkeypatch.setattr(L, "SHORTLIST", 2)
@@ -151,5 +150,6 @@ def test_gradients():
         net.p[name][at] = old
         assert g[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-4)
     first = L.Network(np.asarray([5.0, 9, 9, 9]), hidden=8)
-    losses = first.train([np.asarray([1, 2, 3] * 20 + [0])] * 60, epochs=6, steps=8, streams=8)
+    squares = first.squares()
+    losses = [first.train(np.asarray(([1, 2, 3] * 20 + [0]) * 60), squares, steps=8, streams=8) for _ in range(6)]
     assert losses[-1] < 0.5 * losses[0]  # a fixed order is learnt
