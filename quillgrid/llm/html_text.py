@@ -13,7 +13,8 @@ template is hashed (tags and text), each host's pages are counted for each hash,
 paragraphs or headings. Pages count under the hash of their whole text, those with a subtree and those
 of the host alike, so that copies of a page neither make it a template nor hide one.
 
-A null html gives the empty text; a null or odd url is the host ''; null and repeated page ids are rows
+Pages of any depth are parsed and walked without recursion, and broken tags cost time in proportion
+to the page. A null html gives the empty text; a null or odd url is the host ''; null and repeated page ids are rows
 of their own; an empty table gives no rows; other columns are ignored.
 """
 
@@ -33,8 +34,16 @@ MIN_PAGES = 3
 MIN_SHARE = 0.3
 #: A subtree on more distinct pages of its host than this is of a template, whatever share they are.
 MAX_PAGES = 1_000
+#: Template subtrees that are sent to every task; where there are more, pages are joined with theirs.
+SENT_SUBTREES = 200_000
+#: Pages that a task works on at a time.
+ROWS = 256
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Characters of a tag in which quotes are minded; a longer one, or one whose quotes don't close, ends at the next ``>``.
+TAG_CHARS = 4_096
+
+_NAME = re.compile(r"/?[a-zA-Z][^\s>/]*+")
+_REST = re.compile(r"([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 # Element names of HTML by what the extraction does with them.
@@ -103,76 +112,114 @@ def _marked(tag: str, attributes: str) -> tuple[bool, bool]:
     return skip, main
 
 
+class _Open:
+    """The stack of open elements, with the places of each tag, so that any question to it takes one step."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in _BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, at: int) -> None:
+        """Close the elements from a place on."""
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element with one of the tags, 0 without one."""
+        return max((x[-1] for t in tags if (x := self.places.get(t))), default=0)
+
+
+def _ended(stack: _Open, tag: str) -> None:
+    """What an end tag does."""
+    top = stack.nodes[-1].kids
+    if tag == "br":
+        top.append("\n")
+    elif not (at := stack.last(tag)):
+        if tag == "p":
+            top.append(Node("p"))
+    elif tag in _BLOCK or at >= stack.last("article", "table", "body"):
+        stack.close(at)
+
+
+def _next_tag(page: str, at: int) -> tuple[int, str, str, int] | None:
+    """(start, name with a slash before an end tag's, attributes, end) of the next tag; comments and declarations have no name.
+
+    Every character is looked at a bounded number of times.
+    """
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return at, "", "", len(page) if end < 0 else end + 3
+        name = _NAME.match(page, at + 1)
+        if name or page.startswith(("<!", "<?"), at):
+            plain = page.find(">", at)
+            if plain < 0:  # no tag ends any more
+                return None
+            if name is None or name[0][0] == "/":
+                return at, name[0].lower() if name else "", "", plain + 1
+            rest = _REST.match(page, name.end(), name.end() + TAG_CHARS)
+            end = rest.end() if rest else plain + 1
+            return at, name[0].lower(), page[name.end() : end - 1], end
+        at += 1
+    return None
+
+
 def parse(page: str) -> Node:
     """The tree of a page; strings among ``kids`` are decoded text."""
     root = Node("html")
-    stack, at, size = [root], 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            stack[-1].kids.append(entities.unescape(page[at:]))
-            break
-        if m.start() > at:
-            stack[-1].kids.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            if tag == "br":
-                stack[-1].kids.append("\n")
-            elif tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].kids.append(Node("p"))
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in ("article", "table", "body") and tag not in _BLOCK:
-                        break
-        elif m[2]:
-            tag = m[2].lower()
-            if tag == "html":
-                continue
-            if tag in ("body", "head") or tag in _BLOCK:
-                if stack[-1].tag == "head" and tag != "head":
-                    stack.pop()
-            if tag in _ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        del stack[k:]
-                        break
-                    if stack[k].tag in _BLOCK:
-                        break
-            if tag in _CLOSES:
-                ends, bounds = _CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in bounds:
-                        break
-                    if stack[k].tag in ends:
-                        del stack[k:]
-                        break
-            if tag == "br":
-                stack[-1].kids.append("\n")
-                continue
-            node = Node(tag, *_marked(tag, m[3]))
-            stack[-1].kids.append(node)
-            if tag in _RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                stop = end.start() if end else size
-                if not node.skip:
-                    node.kids.append(entities.unescape(page[at:stop]))
-                at = end.end() if end else size
-            elif tag not in _VOID and not m[3].rstrip().endswith("/") or tag in _BLOCK:
-                stack.append(node)
+    stack, at, size = _Open(root), 0, len(page)
+    while (found := _next_tag(page, at)) is not None:
+        start, tag, attributes, end = found
+        if start > at:
+            stack.nodes[-1].kids.append(entities.unescape(page[at:start]))
+        at = end
+        if tag[:1] == "/":
+            _ended(stack, tag[1:])
+            continue
+        if tag in ("", "html"):
+            continue
+        if stack.nodes[-1].tag == "head" and tag != "head" and (tag == "body" or tag in _BLOCK):
+            stack.close(len(stack.nodes) - 1)
+        if tag in _ENDS_P and stack.blocks and stack.nodes[stack.blocks[-1]].tag == "p":
+            stack.close(stack.blocks[-1])
+        if tag in _CLOSES and (inner := stack.last(*_CLOSES[tag][0])) > stack.last(*_CLOSES[tag][1]):
+            stack.close(inner)
+        if tag == "br":
+            stack.nodes[-1].kids.append("\n")
+            continue
+        node = Node(tag, *_marked(tag, attributes))
+        stack.nodes[-1].kids.append(node)
+        if tag in _RAW:
+            close = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            stop = close.start() if close else size
+            if not node.skip:
+                node.kids.append(entities.unescape(page[at:stop]))
+            over = page.find(">", stop)
+            at = size if over < 0 else over + 1
+        elif tag not in _VOID and not attributes.rstrip().endswith("/") or tag in _BLOCK:
+            stack.push(node)
+    if at < size:
+        stack.nodes[-1].kids.append(entities.unescape(page[at:]))
     return root
 
 
-def _roots(node: Node, out: list[Node], kind: str) -> list[Node]:
-    for x in node.kids:
-        if isinstance(x, Node) and not x.skip:
-            if (x.tag == "article") if kind == "article" else x.main:
-                out.append(x)
-            else:
-                _roots(x, out, kind)
+def _roots(tree: Node, kind: str) -> list[Node]:
+    """The outermost article (or main) elements in page order."""
+    out, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        if node is not tree and ((node.tag == "article") if kind == "article" else node.main):
+            out.append(node)
+        else:
+            todo += [x for x in reversed(node.kids) if isinstance(x, Node) and not x.skip]
     return out
 
 
@@ -180,37 +227,50 @@ def _flat(text: str) -> str:
     return " ".join(text.split())
 
 
-def _digest(node: Node, found: dict[int, int]) -> int:
-    """Hash of a subtree without what is skipped."""
-    parts = [node.tag]
-    for x in node.kids:
-        if isinstance(x, str):
-            if flat := _flat(x):
-                parts.append(flat)
-        elif not x.skip:
-            parts.append(str(_digest(x, found)))
-    value = xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
-    found[id(node)] = value - (1 << 64) if value >= 1 << 63 else value
-    return found[id(node)]
-
-
-def _text_blocks(node: Node, gone: frozenset | set, hashes: dict[int, int], out: list[list[str]]) -> None:
-    block = node.tag in _BLOCK
-    if block:
-        out.append([])
-    for x in node.kids:
-        if isinstance(x, str):
-            out[-1].append(x)
-        elif not x.skip and hashes.get(id(x)) not in gone:
-            _text_blocks(x, gone, hashes, out)
-    if block:
+def _digest(root: Node, found: dict[int, int]) -> None:
+    """Hashes of a subtree and all its subtrees, without what is skipped, by the nodes' identity."""
+    open_ = [(root, iter(root.kids), [root.tag])]
+    while open_:
+        node, kids, parts = open_[-1]
+        for x in kids:
+            if isinstance(x, str):
+                if flat := _flat(x):
+                    parts.append(flat)
+            elif not x.skip:
+                open_.append((x, iter(x.kids), [x.tag]))
+                break
+        else:
+            open_.pop()
+            value = xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
+            found[id(node)] = value - (1 << 64) if value >= 1 << 63 else value
+            if open_:
+                open_[-1][2].append(str(found[id(node)]))
+
+
+def _text_blocks(root: Node, gone: frozenset | set, hashes: dict[int, int], out: list[list[str]]) -> None:
+    if root.tag in _BLOCK:
         out.append([])
+    open_ = [(root, iter(root.kids))]
+    while open_:
+        node, kids = open_[-1]
+        for x in kids:
+            if isinstance(x, str):
+                out[-1].append(x)
+            elif not x.skip and hashes.get(id(x)) not in gone:
+                if x.tag in _BLOCK:
+                    out.append([])
+                open_.append((x, iter(x.kids)))
+                break
+        else:
+            open_.pop()
+            if node.tag in _BLOCK:
+                out.append([])
 
 
 def content(page: str) -> list[Node]:
     """The elements that the main text is taken from."""
     tree = parse(page)
-    return _roots(tree, [], "article") or _roots(tree, [], "main") or [tree]
+    return _roots(tree, "article") or _roots(tree, "main") or [tree]
 
 
 def blocks(page: str, gone: set[int] | frozenset = frozenset()) -> list[str]:
@@ -247,25 +307,41 @@ def template_hashes(page: str) -> tuple[list[int], int]:
     return list(found), value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _hashed(batches: Batches) -> Batches:
+def _marked_subtrees(batches: Batches) -> Batches:
+    """(host, mark, key) of each subtree that may be template, and one row a page without a key."""
     for batch in batches:
-        rows, hosts, marks, keys = [], [], [], []
-        for row, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        hosts, marks, keys = [], [], []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own, mark = template_hashes(page)
             own.append(None)  # the page itself
-            rows += [row] * len(own)
             hosts += [host] * len(own)
             marks += [mark] * len(own)
             keys += own
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(hosts, pa.string()), pa.array(marks, pa.int64()), pa.array(keys, pa.int64())], names=["row", "host", "mark", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.int64())], names=["host", "mark", "key"])
+
+
+def _keyed(batches: Batches) -> Batches:
+    for batch in batches:
+        keys = [template_hashes(page)[0] for page in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["row", "host", "keys"])
+
+
+def _texts(ids: pa.Array, urls: pa.Array, found: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, urls, pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["id", "url", "text", "n_chars"])
 
 
 def _extracted(batches: Batches) -> Batches:
     for batch in batches:
-        found = [" ".join(blocks(page, set(gone or ()))) for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["id", "url", "text", "n_chars"]
-        )
+        yield _texts(batch.column(0), batch.column(1), [" ".join(blocks(page, set(gone or ()))) for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())])
+
+
+def _extracted_with(template: dict[int, frozenset]):
+    def run(batches: Batches) -> Batches:
+        nothing = frozenset()
+        for batch in batches:
+            yield _texts(batch.column(0), batch.column(1), [" ".join(blocks(page, template.get(host, nothing))) for page, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())])
+
+    return run
 
 
 def host_of(url):
@@ -277,14 +353,23 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """(id, url, text, n_chars) of every page."""
     prepared(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(df[id_col].alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn(
-        "row", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), "html")
-    )
-    hashed = rows.select("row", host_of(F.col("url")).alias("host"), "html").mapInArrow(tidied(_hashed), "row bigint, host string, mark bigint, key bigint")
-    marks = hashed.select("host", "key", "mark").distinct()
+    rows = df.select(df[id_col].alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    rows = rows.withColumn("host", F.xxhash64(host_of(F.col("url"))))
+    marks = rows.select("host", "html").mapInArrow(tidied(_marked_subtrees, ROWS), "host bigint, mark bigint, key bigint").distinct()
     seen = written(marks.groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("key").isNull() | (F.col("pages") >= min_pages)), "subtrees")
     sites = seen.where("key IS NULL").select("host", F.col("pages").alias("site_pages"))
     template = seen.where("key IS NOT NULL").join(sites, "host").where((F.col("pages") > F.col("site_pages") * min_share) | (F.col("pages") > max_pages)).select("host", "key")
-    gone = hashed.join(template, ["host", "key"]).groupBy(F.col("row").alias("gone_row")).agg(F.collect_set("key").alias("gone"))
-    joined = rows.join(gone, F.col("row") == F.col("gone_row"), "left").select("id", "url", "html", "gone")
-    return joined.mapInArrow(tidied(_extracted), f"id {kind}, url string, text string, n_chars bigint").withColumnRenamed("id", id_col)
+    out = f"id {kind}, url string, text string, n_chars bigint"
+    few = template.limit(SENT_SUBTREES + 1).toArrow()
+    if few.num_rows <= SENT_SUBTREES:
+        sent: dict[int, set] = {}
+        for host, key in zip(few["host"].to_pylist(), few["key"].to_pylist()):
+            sent.setdefault(host, set()).add(key)
+        found = rows.select("id", "url", "html", "host").mapInArrow(tidied(_extracted_with({k: frozenset(x) for k, x in sent.items()}), ROWS), out)
+        return found.withColumnRenamed("id", id_col)
+    row = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), "html")
+    keyed = written(rows.select(row.alias("row"), "host", "html").mapInArrow(tidied(_keyed, ROWS), "row bigint, host bigint, keys array<bigint>"), "keys")
+    held = keyed.select("row", "host", F.explode("keys").alias("key")).join(template, ["host", "key"])
+    gone = held.groupBy(F.col("row").alias("gone_row")).agg(F.collect_set("key").alias("gone"))
+    joined = rows.withColumn("row", row).join(gone, F.col("row") == F.col("gone_row"), "left").select("id", "url", "html", "gone")
+    return joined.mapInArrow(tidied(_extracted, ROWS), out).withColumnRenamed("id", id_col)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from quillgrid.llm import html_text as H
@@ -23,7 +25,31 @@ def test_structure(page):
     assert " ".join(H.blocks(page)) == PAGES[page]
 
 
-def test_templates(spark):
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div>" * 100_000 + "deep", "deep"),
+        ("<b>" * 100_000 + "deep<p>x</p></i>" * 3, "deep x deep x deep x"),
+        ("<p>a</p>" + "<a " * 200_000, "a " + "<a " * 199_999 + "<a"),
+        ("<p>a</p>" + "<a \">\" " * 100_000, None),
+        ("<div><p>" + "<b>" * 50_000 + "t</div>" * 50_000 + "end", None),
+        ("<p>word " * 100_000, " ".join(["word"] * 100_000)),
+        ("<script>" * 100_000 + "x", ""),
+        ("<article><p>" + "long text of many words " * 200_000 + "</article>", ("long text of many words " * 200_000).strip()),
+    ],
+    ids=["nested", "unclosed", "no end", "quotes", "stray ends", "paragraphs", "scripts", "long"],
+)
+def test_broken_and_long_pages_take_time_in_proportion(page, want):
+    began = time.process_time()
+    got = " ".join(H.blocks(page, {1}))
+    H.template_hashes(page)
+    assert time.process_time() - began < 20
+    assert want is None or got == want
+
+
+@pytest.mark.parametrize("sent", [200_000, -1])
+def test_templates(spark, monkeypatch, sent):
+    monkeypatch.setattr(H, "SENT_SUBTREES", sent)
     page = lambda k, site: f"<body><div><p>Welcome to {site}</p><p>Links here</p></div><div><p>Story {k} of its own</p></div></body>"
     article = lambda k: f"<article><h1>Same head</h1><p>Same first paragraph</p><div><p>Promoted stuff</p></div><p>Own {k}</p></article>"
     rows = [(k, f"http://www.one.org/{k}", page(k, "one"), "x", 1) for k in range(6)]
