@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -14,6 +15,7 @@ BYTES, WORDS, PIECES = (tokenizer_file(x) for x in ("byte_bpe_50k.json", "word_b
 def test_spliced_counts_equal_whole_counts():
     tokenizer, r = token_counts.library(BYTES), random.Random(1)
     texts = ["".join(r.choice(["a", "b", " ", "  ", "\n", "é", "<|endoftext|>", " 12", "!!", "日"]) for _ in range(2000)) for _ in range(20)]
+    texts += ["".join(r.choice(["a", "'s", "'", "9", "'re", "。", "日", "!", "|>", "<|endoftext|>", "<|", "endoftext", "\x85", "é9"]) for _ in range(2000)) for _ in range(20)]
     texts += ["x" * 3000, "x" * 900 + " y" * 20 + "z" * 2000, " " * 2000, "a " + " " * 900 + "b" * 20, "日本語" * 500]
     for t in texts:
         whole = len(tokenizer.encode(t, add_special_tokens=False))
@@ -22,6 +24,17 @@ def test_spliced_counts_equal_whole_counts():
                 assert token_counts.spliced_count(tokenizer, t, chunk, overlap) == whole
 
 
+@pytest.mark.parametrize("unit", ["日本語文字", "word and more ", "日本語，文字。", "aé9"])
+def test_long_texts_take_time_in_proportion(unit):
+    tokenizer, text = token_counts.library(BYTES), unit * (4_000_000 // len(unit))
+    began = time.process_time()
+    got = token_counts.spliced_count(tokenizer, text)
+    took = time.process_time() - began
+    began = time.process_time()
+    assert got == len(tokenizer.encode(text, add_special_tokens=False))
+    assert took < 3 * (time.process_time() - began) + 2
+
+
 @pytest.mark.parametrize("path", [BYTES, PIECES])
 def test_counts(spark, messy, nothing, path):
     tokenizer = token_counts.library(path)
