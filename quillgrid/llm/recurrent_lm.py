@@ -28,12 +28,12 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ from quillgrid.llm.common import Batches, fold, prepared, text_or_empty, texts,
 
 FOLDS = 5
 HELD_OUT = 1
-SHORTLIST = 2_000
+SHORTLIST = 1_200
 GROUPS = 96
 HEAD = 200_000
 HIDDEN = 16
@@ -84,10 +84,9 @@ def tokens_of(text: str) -> Iterator[list[bytes]]:
 
 
 def group_of(word: bytes, groups: int = GROUPS) -> int:
-    """Group of a word outside the shortlist, by its last letters and whether punctuation follows them."""
+    """Group of a word outside the shortlist, by its last two bytes and whether punctuation follows them."""
     bare = word.rstrip(b".,;:!?*#$%&|\"')")
-    tail = bare.decode("utf-8", "replace")[-2:]
-    return xxhash.xxh32_intdigest(tail.encode() + (b"." if len(bare) < len(word) else b"")) % groups
+    return zlib.crc32(bare[-2:] if len(bare) == len(word) else bare[-2:] + b".") % groups
 
 
 def _counted(batches: Batches) -> Batches:
