@@ -8,8 +8,11 @@ correlate beyond what the label explains. A linear classifier is trained on the
 words, word beginnings and the voters, and scores every text.
 
 Only rows with a label outside the held-out fold take part in training: a sample of ``SAMPLE_ROWS`` of
-them at most, those with the least hashes, of each at most ``SAMPLE_WORDS`` distinct words (the
-least hashes). These bounds are parameters of the fit; every row is scored on its whole text.
+the labelled ids at most, those with the least hashes, each with its whole text (of several rows of
+an id the one with the least hash of its text). The bound is a parameter of the fit; every row is scored
+on its whole text. Labelled rows with the same label and the same longest words are copies: they share the
+weight of one row, so that copies of one toxic text do not make its other words look toxic. The fit runs
+in one task over this bounded sample; the driver gets the model only.
 
 Nulls count as the empty text, which has the score of a text without features; ids may be null (never
 held out, crc32 of the empty text) or repeated (rows are scored one by one; of several labels of an id the
@@ -20,6 +23,7 @@ voters. An empty table gives no rows; other columns are never read.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from dataclasses import dataclass, field
 
@@ -35,7 +39,6 @@ FOLDS = 4
 HELD_OUT = 2
 THRESHOLD = 0.3
 SAMPLE_ROWS = 10_000
-SAMPLE_WORDS = 4_096
 MINED = 400
 MINED_GROUPS = 12
 PREFIXES = (4, 5, 6, 7, 8)
@@ -98,14 +101,11 @@ class Model:
 
 
 class Sample:
-    """Labelled rows as arrays: each distinct word is kept once, each row as the numbers of its words.
-
-    Of rows with the same label and the same longest words only the first counts, so that copies of
-    one toxic text do not make its other words look toxic.
-    """
+    """Labelled rows as arrays: each distinct word is kept once, each row as the numbers of its words."""
 
     def __init__(self):
-        self.seen: set[tuple] = set()
+        self.families: dict[tuple, int] = {}
+        self.family: list[int] = []
         self.numbers: dict[bytes, int] = {}
         self.rows: list[np.ndarray] = []
         self.hits: list[int] = []
@@ -113,14 +113,17 @@ class Sample:
 
     def add(self, words, hits: int, label: int) -> None:
         longest = (label, *sorted(words, key=lambda w: (-len(w), w))[:3])
-        if len(words) > 3 and longest in self.seen:
-            return
-        self.seen.add(longest)
+        alone = (len(self.rows),)  # short texts are no copies of each other
+        self.family.append(self.families.setdefault(longest if len(words) > 3 else alone, len(self.families)))
         own = [self.numbers.setdefault(w, len(self.numbers)) for w in words]
         self.rows.append(np.unique(np.asarray(own, np.int32)))
         self.hits.append(hits)
         self.labels.append(label)
 
+    def weights(self) -> np.ndarray:
+        """One for each row, shared out among copies."""
+        return 1 / np.bincount(self.family)[self.family] if self.rows else np.zeros(0)
+
     def holding(self, words: set[bytes]) -> np.ndarray:
         """Whether each row has one of the words."""
         wanted = np.zeros(len(self.numbers), bool)
@@ -135,11 +138,12 @@ class Sample:
         words, known = list(self.numbers), np.zeros(len(self.numbers), bool)
         for k in np.flatnonzero(marked):
             known[self.rows[k]] = True
-        counts: dict[bytes, int] = {}
+        counts: dict[bytes, float] = {}
+        weights = self.weights()
         for k in np.flatnonzero(marked):
             for f in {f for w in self.rows[k].tolist() for f in features_of(words[w])}:
-                counts[f] = counts.get(f, 0) + 1
-        names = [b"", *sorted(f for f, n in counts.items() if n >= least)]
+                counts[f] = counts.get(f, 0.0) + weights[k]
+        names = [b"", *sorted(f for f, n in counts.items() if n >= least - 1e-9)]
         numbers = {f: k for k, f in enumerate(names)}
         table = np.zeros((len(words), 1 + len(PREFIXES)), np.int32)
         for k, word in enumerate(words):
@@ -155,11 +159,12 @@ def features_of(word: bytes) -> list[bytes]:
 
 def _mine(sample: Sample, y: np.ndarray) -> list[tuple[bytes, float, np.ndarray]]:
     """Features far commoner in toxic rows: (feature, lower end of its log odds, rows that have it)."""
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    weights = sample.weights()
+    n1, n0 = float(weights[y == 1].sum()), float(weights[y == 0].sum())
     names, table = sample.features(y == 1, max(3, round(0.005 * n1)))
-    df = np.zeros((2, len(names)), np.int64)
-    for own, mark in zip(sample.rows, y):
-        df[mark, np.unique(table[own])] += 1
+    df = np.zeros((2, len(names)))
+    for own, mark, weight in zip(sample.rows, y, weights):
+        df[mark, np.unique(table[own])] += weight
     a, b = df[1], df[0]
     odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
     # The lower end of the log odds, so that rare features need a cleaner record.
@@ -176,22 +181,22 @@ def _mine(sample: Sample, y: np.ndarray) -> list[tuple[bytes, float, np.ndarray]
     return [(names[k], float(sure[k]), np.asarray(at, np.int64)) for k, at in zip(found, where)]
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, rounds: int = 25, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the label for each row, and each voter's (rate in class 1, rate in class 0, weight).
 
     ``votes`` (row, voter) holds 1 where a voter fires. Class-conditional rates are estimated by
     expectation maximisation; a voter's log odds are divided by one plus its summed correlations with
     the others within the classes, so that voters saying the same thing count about once.
     """
-    n, m = votes.shape
     v = votes.astype(np.float64)
+    weights = np.ones(len(v)) if weights is None else weights
     posterior = np.clip(v[:, -1] * 0.9 + 0.02, 0.02, 0.98)  # the last voter is the labelled mark
     for _ in range(rounds):
-        w1, w0 = posterior, 1 - posterior
+        w1, w0 = posterior * weights, (1 - posterior) * weights
         r1 = (w1 @ v + 0.5) / (w1.sum() + 1)
         r0 = (w0 @ v + 0.5) / (w0.sum() + 1)
-        centred = v - np.outer(w1, r1) - np.outer(w0, r0)
-        cov = centred.T @ centred / n
+        centred = v - np.outer(posterior, r1) - np.outer(1 - posterior, r0)
+        cov = centred.T @ (centred * weights[:, None]) / weights.sum()
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         corr = np.clip(cov / np.outer(sd, sd), 0, 1)
         np.fill_diagonal(corr, 0)
@@ -203,7 +208,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.n
     return posterior, np.stack([r1, r0, on], 1)
 
 
-def _logistic(columns: list[np.ndarray], scale: np.ndarray, rows: int, target: np.ndarray, penalty: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+def _logistic(columns: list[np.ndarray], scale: np.ndarray, weights: np.ndarray, target: np.ndarray, penalty: float, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on sparse columns, each 0 or its scale, by adaptive gradient steps; weights are for 0 and 1."""
     which = np.concatenate([np.full(len(c), k) for k, c in enumerate(columns)]) if columns else np.zeros(0, np.int64)
     at = np.concatenate(columns) if columns else np.zeros(0, np.int64)
@@ -211,8 +216,8 @@ def _logistic(columns: list[np.ndarray], scale: np.ndarray, rows: int, target: n
     x, bias = np.zeros(m), -2.0
     gx, gb = np.zeros(m), 0.0
     for k in range(rounds):
-        z = bias + np.bincount(at, (x * scale)[which], rows)
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
+        z = bias + np.bincount(at, (x * scale)[which], len(weights))
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weights
         d = np.bincount(which, error[at], m) * scale + penalty * x
         gx += d * d
         gb += error.sum() ** 2
@@ -227,7 +232,7 @@ def fit(sample: Sample) -> Model:
     seeds = {lang: {w.encode() for w in words.split()} for lang, words in SEEDS.items()}
     if not len(y) or y.min() == y.max():
         return Model({w: 4.0 for own in seeds.values() for w in own}, (1.0,) * len(PATTERNS), -3.0)
-    mined = _mine(sample, y)
+    mined, weights = _mine(sample, y), sample.weights()
     patterns = [np.asarray([bool(h >> k & 1) for h in sample.hits]) for k in range(len(PATTERNS))]
     names, votes = [], []
     for lang, own in seeds.items():
@@ -245,7 +250,7 @@ def fit(sample: Sample) -> Model:
         votes.append(fired)
     names.append("label")
     votes.append(y)
-    posterior, voters = label_model(np.asarray(votes, bool).T, float(np.clip(y.mean(), 0.01, 0.5)))
+    posterior, voters = label_model(np.asarray(votes, bool).T, float(np.clip(weights @ y / weights.sum(), 0.01, 0.5)), weights=weights)
     columns, keys = [at for _, _, at in mined], [f for f, _, _ in mined]
     # A text with nothing but one well-attested feature (and the beginnings it implies) is as toxic as the rows that have it:
     # such rows join the training, or else features that come together would each get a part of the weight only.
@@ -255,8 +260,9 @@ def fit(sample: Sample) -> Model:
     for f, sure, at in mined:
         if sure < ATTESTED:
             continue
-        share = (posterior[at].sum() + y.mean()) / (len(at) + 1)
-        times = min(ALONE, len(at))
+        found = weights[at].sum()
+        share = (posterior[at] @ weights[at] + y.mean()) / (found + 1)
+        times = min(ALONE, round(found))
         implied = {f, *(b for n in PREFIXES if len(f.rstrip(b"*")) > n and (b := f[:n] + b"*") in places)}
         for g in implied:
             made[places[g]] += range(size, size + times)
@@ -273,25 +279,28 @@ def fit(sample: Sample) -> Model:
     # Columns of less certain features are scaled down, so that chance finds of a small sample weigh little.
     scale = np.ones(len(columns))
     scale[: len(mined)] = np.clip([sure / ATTESTED for _, sure, _ in mined], 0.05, 1.0)
-    x, bias = _logistic(columns, scale, size, np.concatenate(target), 0.3)
+    x, bias = _logistic(columns, scale, np.concatenate([weights, np.ones(size - len(y))]), np.concatenate(target), 0.3)
     report = [(n, float((np.asarray(v, bool) == (posterior > 0.5)).mean()), float(np.mean(v)), float(w)) for n, v, w in zip(names, votes, voters[:, 2])]
     return Model({f: float(w) for f, w in zip(keys, x) if abs(w) > 1e-6}, tuple(float(w) for w in x[len(keys) :]), float(bias), report)
 
 
-def _sampled(limit: int):
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            found, hits = [], []
-            for text in texts(batch, "text"):
-                words = list(words_of(text))
-                if len(words) > limit:
-                    words = sorted(words, key=xxhash.xxh64_intdigest)[:limit]
-                raw = text.encode("utf-8", "surrogatepass")
-                found.append(b" ".join(sorted(words)))
-                hits.append(sum(1 << k for k, p in enumerate(PATTERNS) if p.search(raw)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(hits, pa.int32())], names=["toxic", "words", "hits"])
+def _sampled(batches: Batches) -> Batches:
+    for batch in batches:
+        found, hits, marks = [], [], []
+        for text in texts(batch, "text"):
+            raw = text.encode("utf-8", "surrogatepass")
+            found.append(b" ".join(sorted(words_of(text))))
+            hits.append(sum(1 << k for k, p in enumerate(PATTERNS) if p.search(raw)))
+            marks.append(xxhash.xxh64_intdigest(raw) >> 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(hits, pa.int32()), pa.array(marks, pa.int64())], names=["id", "toxic", "words", "hits", "mark"])
 
-    return run
+
+def _fitted(batches: Batches) -> Batches:
+    rows = sorted((r["id"], r["words"], r["hits"], r["toxic"]) for batch in batches for r in batch.to_pylist())
+    sample = Sample()
+    for _, words, hits, toxic in rows:
+        sample.add(words.split(), hits, int(toxic > 0))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample))], pa.binary())], names=["model"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -301,12 +310,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = marks.groupBy(F.col(id_col).alias("mark_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     present = docs.select(F.col(id_col).alias("mark_id")).distinct()
     chosen = marks.join(present, "mark_id", "left_semi").orderBy(F.xxhash64(F.col("mark_id").cast("string")), "mark_id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("mark_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "mark_id").select("toxic", "text")
-    found = rows.mapInArrow(tidied(_sampled(SAMPLE_WORDS)), "toxic int, words binary, hits int").limit(2 * sample_rows)
-    sample = Sample()
-    for r in found.toLocalIterator():
-        sample.add(bytes(r["words"]).split(), r["hits"], int(r["toxic"] > 0))
-    return fit(sample)
+    rows = docs.select(F.col(id_col).alias("mark_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "mark_id").select(F.col("mark_id").cast("string").alias("id"), "toxic", "text")
+    found = rows.mapInArrow(tidied(_sampled), "id string, toxic int, words binary, hits int, mark bigint")
+    one = found.groupBy("id").agg(F.min(F.struct("mark", "words", "hits", "toxic")).alias("x")).select("id", "x.words", "x.hits", "x.toxic")
+    models = one.repartition(1).mapInArrow(tidied(_fitted, sample_rows), "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else fit(Sample())
 
 
 def _scored(model: Model, threshold: float):
