@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.llm.common import Batches, cut, prepared, text_or_empty, texts, tidied, written
@@ -173,13 +173,15 @@ def near_duplicates(
 
 SIMILARITY = 0.8
 WORDS = 5
-SEEDS = (1, 2, 3, 4)
+SEEDS = (1,)
 #: Min-hashes of the shingles: ``BANDS`` keys of ``BAND`` minima each. A pair of similarity s has no key in common with
 #: probability (1 - s ** BAND) ** BANDS, whatever the edit: 3e-6 at 0.8.
 BANDS = 32
 BAND = 5
-#: Documents of a family that one task compares; larger families first go through rounds of ``LEADERS``.
+#: Documents of a family, and shingles of all of them, that one task compares; larger families first go
+#: through rounds of ``LEADERS`` documents (fewer where their shingles are many).
 FAMILY = 5_000
+FAMILY_SHINGLES = 2_000_000
 LEADERS = 256
 
 
@@ -269,9 +271,9 @@ def similar_losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(node): ids of the documents that go because one with a smaller id, equal or similar, stays.
 
     Similar: five-word shingles of a Jaccard similarity of ``similarity`` or more. Candidates are
-    families of texts connected by SimHash links (four fingerprints of the distinct words, covering
-    hashing at the radius) or by a band of min-hashes of the shingles in common; in a family, by rising id, a text stays unless it is similar to one that
-    stays. Equal texts count once, under their least id. Families above ``FAMILY`` texts pass through
+    families of texts connected by SimHash links (fingerprints of the distinct words, covering hashing
+    at the radius) or by a band of min-hashes of the shingles in common; in a family, by rising id, a text stays unless it is similar to one that
+    stays. Equal texts count once, under their least id. Families above ``FAMILY`` texts or ``FAMILY_SHINGLES`` shingles pass through
     rounds that compare all of them with their first texts, in Spark, until they are smaller.
     """
     spark = docs.sparkSession
@@ -286,13 +288,14 @@ def similar_losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = written(named.mapInArrow(tidied(_shingled), "root bigint, node bigint, shingles array<bigint>"), "members")
     lost = spark.createDataFrame([], "node bigint")
     while True:
-        sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-        large = sizes.where(F.col("n") > FAMILY).select("root")
+        sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("all"))
+        large = sizes.where((F.col("n") > 1) & ((F.col("n") > FAMILY) | (F.col("all") > FAMILY_SHINGLES))).select("root")
         if large.isEmpty():
             break
-        ranked = members.join(large, "root").select("root", "node")
-        heads = ranked.groupBy("root").agg(F.slice(F.array_sort(F.collect_list("node")), 1, LEADERS).alias("heads"))
-        chosen = members.join(heads.select("root", F.explode("heads").alias("node")), ["root", "node"])
+        order = Window.partitionBy("root").orderBy("node")
+        ranked = members.join(large, "root").select("root", "node", F.size("shingles").alias("size")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEADERS)
+        heads = ranked.withColumn("sum", F.sum("size").over(order)).where((F.col("k") == 1) | (F.col("sum") <= FAMILY_SHINGLES))
+        chosen = members.join(heads.select("root", "node"), ["root", "node"])
         picked = cut(chosen.groupBy("root").agg(F.collect_list(F.struct("node", "shingles")).alias("m")).select("root", "m"))
         beaten = cut(picked.select("m").mapInArrow(tidied(_family_losers(similarity)), "node bigint"))
         stay = picked.select("root", F.explode("m").alias("m")).select("root", "m.node", "m.shingles").join(beaten, "node", "left_anti")

@@ -90,9 +90,10 @@ def _similarity(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("family", [5_000, 3])
-def test_one_of_each_group_stays(spark, monkeypatch, family):
+@pytest.mark.parametrize(("family", "shingles"), [(5_000, 2_000_000), (3, 2_000_000), (5_000, 700)])
+def test_one_of_each_group_stays(spark, monkeypatch, family, shingles):
     monkeypatch.setattr(simhash, "FAMILY", family)
+    monkeypatch.setattr(simhash, "FAMILY_SHINGLES", shingles)
     monkeypatch.setattr(simhash, "LEADERS", 2)
     r = random.Random(7)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
@@ -166,7 +167,9 @@ def test_quality_counts(spark, messy, nothing):
     assert quality.judge(nothing).count() == 0 and quality.keep_good(nothing).count() == 0
 
 
-def test_template_lines(spark):
+@pytest.mark.parametrize("sent", [200_000, -1])
+def test_template_lines(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality, "SENT_LINES", sent)
     r = random.Random(9)
     words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
     banner = words(60)
@@ -183,6 +186,27 @@ def test_template_lines(spark):
     assert removed[0] == 60 and removed[150] == 0
 
 
+@pytest.mark.parametrize("shared", [1, 2, 12])
+@pytest.mark.parametrize("own", [1, 4])
+def test_verdicts_by_brute_force(spark, shared, own):
+    r = random.Random(100 * shared + own)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+    template = [words(12) for _ in range(shared)]
+    docs = [(k, "\n".join([*template, *(words(r.randint(5, 30)) for _ in range(own))]), "a") for k in range(60)]
+    docs += [(100 + k, "\n".join(words(20) for _ in range(4)), r.choice("ab")) for k in range(60)] + [(200 + k, docs[0][1], "a") for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    holders = {}
+    for _, text, host in docs:
+        for line in {None, *text.split("\n")}:
+            holders.setdefault((host, line), set()).add(text)
+    common = {k for k, x in holders.items() if k[1] and len(x) >= 20 and len(x) > 0.02 * len(holders[k[0], None])}
+    for x in quality.judge(df).collect():
+        _, text, host = next(d for d in docs if d[0] == x["doc_id"])
+        lines, n = text.split("\n"), len(text.split())
+        gone = sum(len(y.split()) for y in lines if (host, y) in common)
+        assert x["n_removed_words"] == gone and x["kept"] == (n >= 50 and n - gone >= n / 2)
+
+
 def test_templates_of_many_lines(spark):
     r = random.Random(19)
     words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
@@ -212,7 +236,9 @@ def test_common_lines_of_a_hot_host(spark):
     assert {x["doc_id"] for x in quality.judge(df, max_docs=25).where("NOT kept").collect()} == set(range(30))
 
 
-def test_common_lines_go_from_texts(spark):
+@pytest.mark.parametrize("sent", [200_000, -1])
+def test_common_lines_go_from_texts(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality, "SENT_LINES", sent)
     r = random.Random(21)
     words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
     banner, own = words(10), [[words(40), "", words(40)] for _ in range(40)]
