@@ -5,13 +5,15 @@ template's control strings begin with are escaped reversibly: backslash as ``\\s
 ``[`` as ``\\b`` (and ``|`` as ``\\p`` in roles), so no text can open, close or forge a turn.
 
 A turn's tokens are its words and single punctuation marks and four for the template. Running
-sums of these give each turn its place in the conversation; windows are turn-aligned spans that hold
-the turns beginning within one stretch of the running sum. The stretch is what the budget leaves
-once the system turn and the history have had theirs, less the longest turn, so that no window
-exceeds the budget unless a single turn does (such a turn has a window of its own; nothing is cut).
-Every window begins with the conversation's first system turn, later windows repeat up to
-``history_turns`` earlier turns of up to ``history_tokens`` in all, and what is repeated is masked:
-each assistant text bears loss once, in the window that its span belongs to.
+sums of these place each turn in its conversation, which is cut into stretches of ``room`` tokens: the
+budget less the system turn and the history. The turns inside a stretch are a span; a turn across two
+stretches joins the span before it where both fit into the room, else the span after it where they fit
+(and that one does not take the next such turn), else it is a span of its own. So a window keeps to the
+budget unless a single turn with the system turn exceeds it (nothing is cut), one long turn does not
+change the others' windows, and no conversation is gathered in one row for it. Every window begins with the
+conversation's first system turn; later windows repeat up to ``history_turns`` earlier turns of up to
+``history_tokens`` in all, as far as the budget allows. What is repeated is masked: each assistant text
+bears loss once, in the window that its span belongs to.
 
 Turns are ordered by turn number (nulls first), then role and text; repeated rows are turns of their
 own. Null texts and roles are empty; a null conversation id is one conversation; an empty table gives
@@ -83,14 +85,32 @@ def chat_windows(
     placed = (
         turns.withColumn("pos", F.row_number().over(order) - 1)
         .withColumn("before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
-        .withColumn("longest", F.max("tokens").over(everything))
         .withColumn("system", F.min(F.when(F.col("role") == SYSTEM_ROLE, F.struct("pos", "text", "tokens"))).over(everything))
     )
-    room = F.lit(budget) - F.coalesce(F.col("system.tokens"), F.lit(0)) - F.lit(history_tokens) - F.col("longest")
-    placed = placed.withColumn("span", F.floor(F.col("before") / F.greatest(room, F.lit(1))).cast("bigint"))
-    # Spans are numbered without gaps, by the order of their first turns.
-    placed = placed.withColumn("fresh", F.when(F.col("span") == F.lag("span").over(order), 0).otherwise(1)).withColumn(
-        "window", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    free = F.lit(budget) - F.coalesce(F.col("system.tokens"), F.lit(0))
+    placed = placed.withColumn("room", F.greatest(free - history_tokens, F.floor(free / 2), F.lit(1)).cast("bigint"))
+    placed = placed.withColumn("stretch", F.floor(F.col("before") / F.col("room"))).withColumn(
+        "across", F.floor((F.col("before") + F.col("tokens") - 1) / F.col("room")) > F.col("stretch")
+    )
+    # Spans: runs of turns inside one stretch, and single turns across two.
+    same = ~F.col("across") & ~F.lag("across").over(order) & (F.lag("stretch").over(order) == F.col("stretch"))
+    placed = placed.withColumn("fresh", ~F.coalesce(same, F.lit(False)))
+    placed = placed.withColumn("span", F.sum(F.col("fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "next", F.when(F.lead("across").over(order), F.lead("tokens").over(order))
+    )
+    spans = Window.partitionBy("conv", "span")
+    placed = placed.withColumn("size", F.sum("tokens").over(spans)).withColumn("after", F.max(F.when(~F.col("across"), F.col("next"))).over(spans))
+    # A turn across joins the span before it, or the one after it if that does not take the next turn across.
+    taken = F.coalesce(F.col("size") + F.col("after") <= F.col("room"), F.lit(False))
+    back = F.col("across") & ~F.lag("across").over(order) & (F.lag("size").over(order) + F.col("tokens") <= F.col("room"))
+    placed = placed.withColumn("taken", taken).withColumn("back", F.coalesce(back, F.lit(False)))
+    ahead = F.col("across") & ~F.col("back") & ~F.lead("across").over(order) & ~F.lead("taken").over(order) & (F.col("tokens") + F.lead("size").over(order) <= F.col("room"))
+    placed = placed.withColumn("ahead", F.coalesce(ahead, F.lit(False)))
+    placed = placed.withColumn("fresh", F.col("fresh") & ~F.col("back") & ~F.coalesce(F.lag("ahead").over(order), F.lit(False)))
+    placed = placed.withColumn("window", F.sum(F.col("fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    shown_system = F.when(F.col("system.pos") < F.col("pos"), F.col("system.tokens"))
+    placed = placed.withColumn("own", F.sum("tokens").over(Window.partitionBy("conv", "window"))).withColumn(
+        "left", F.least(F.lit(history_tokens), F.lit(budget) - F.coalesce(shown_system, F.lit(0)) - F.col("own"))
     )
     # History: the turns just before a span, as long as their number and tokens allow.
     own = F.struct(F.col("pos"), F.col("role"), F.col("text"), F.lit(False).alias("repeated"))
@@ -101,10 +121,10 @@ def chat_windows(
     for k in range(1, history_turns + 1):
         h = F.col(f"h{k}")
         sums = sums + h["tokens"]
-        fits = h.isNotNull() & (sums <= history_tokens) & ~h["pos"].eqNullSafe(F.col("system.pos"))
-        items.append(F.when((F.col("fresh") == 1) & fits, F.struct(h["pos"].alias("pos"), h["role"].alias("role"), h["text"].alias("text"), F.lit(True).alias("repeated"))))
+        fits = h.isNotNull() & (sums <= F.col("left")) & ~h["pos"].eqNullSafe(F.col("system.pos"))
+        items.append(F.when(F.col("fresh") & fits, F.struct(h["pos"].alias("pos"), h["role"].alias("role"), h["text"].alias("text"), F.lit(True).alias("repeated"))))
     system = F.when(
-        (F.col("fresh") == 1) & F.col("system").isNotNull() & (F.col("system.pos") < F.col("pos")),
+        F.col("fresh") & F.col("system").isNotNull() & (F.col("system.pos") < F.col("pos")),
         F.struct(F.col("system.pos").alias("pos"), F.lit(SYSTEM_ROLE).alias("role"), F.col("system.text").alias("text"), F.lit(True).alias("repeated")),
     )
     shown = past.select("conv", "window", F.explode(F.filter(F.array(system, *items, own), lambda x: x.isNotNull())).alias("item"))
@@ -147,15 +167,20 @@ def chat_windows(
 
 
 def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Turns as the formatted text has them: conv, window, pos, role, text, loss, of the turns that a window does not repeat."""
-    s = F.explode("segments").alias("s")
-    cutout = F.substring(F.col("formatted"), F.col("s.start") + 1, F.col("s.length"))
-    head = F.substring(F.col("formatted"), F.col("s.start") + 3, F.col("s.text_start") - F.col("s.start") - 5)
-    body = F.substring(F.col("formatted"), F.col("s.text_start") + 1, F.col("s.text_length"))
-    return (
-        windows.select(conv_col, "window", "formatted", s)
-        .where(~F.col("s.repeated") & cutout.startswith("<|") & cutout.endswith("</s>\n"))
-        .select(conv_col, "window", F.col("s.pos").alias("pos"), unescape_role(head).alias("role"), unescape(body).alias("text"), F.col("s.loss").alias("loss"))
+    """Turns as the formatted text has them: conv, window, pos, role, text, loss, of the turns that a window does not repeat.
+
+    Roles and texts are read by the control strings alone; ``segments`` only says which turns are repeated or bear loss.
+    """
+    parts = F.split("formatted", "</s>\n", -1)
+    turns = windows.select(conv_col, "window", F.explode(F.arrays_zip(F.slice(parts, 1, F.size(parts) - 1).alias("turn"), F.col("segments").alias("s"))).alias("x"))
+    head = F.substring_index("x.turn", "|>\n", 1)
+    return turns.where(~F.col("x.s.repeated") & F.startswith("x.turn", F.lit("<|"))).select(
+        conv_col,
+        "window",
+        F.col("x.s.pos").alias("pos"),
+        unescape_role(F.substr(head, F.lit(3))).alias("role"),
+        unescape(F.substr("x.turn", F.length(head) + 4)).alias("text"),
+        F.col("x.s.loss").alias("loss"),
     )
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import regex
 from pyspark.sql import functions as F
 
 from quillgrid.llm import chat
@@ -41,6 +42,56 @@ def test_read_back_is_the_input(spark):
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
 
 
+def _tokens(text):
+    return len(regex.findall(r"[\p{L}\p{N}\p{M}_]+|[^\s\p{L}\p{N}\p{M}_]", text)) + chat.TURN_TOKENS
+
+
+def _spans(sizes, room):
+    """Turns of each window by the rule, one turn after another."""
+    spans, before = [], 0
+    for k, n in enumerate(sizes):
+        first, last = before // room, (before + n - 1) // room
+        before += n
+        if first == last and spans and spans[-1][0] == first:
+            spans[-1][1].append(k)
+        else:
+            spans.append([first if first == last else None, [k]])
+    size = lambda s: sum(sizes[k] for k in s[1])
+    across = lambda i: 0 <= i < len(spans) and spans[i][0] is None
+    inside = lambda i: 0 <= i < len(spans) and spans[i][0] is not None
+    back = [across(i) and inside(i - 1) and size(spans[i - 1]) + size(spans[i]) <= room for i in range(len(spans))] + [False]
+    ahead = [across(i) and not back[i] and inside(i + 1) and not back[i + 2 if i + 2 < len(spans) else -1] and size(spans[i]) + size(spans[i + 1]) <= room for i in range(len(spans))]
+    out = []
+    for i, s in enumerate(spans):
+        if back[i] or (i and ahead[i - 1]):
+            out[-1] += s[1]
+        else:
+            out.append(list(s[1]))
+    return out
+
+
+def test_spans_by_brute_force(spark):
+    r = random.Random(30)
+    rows, want, room = [], {}, 96 - 24
+    for c in range(60):
+        sizes = [r.choice([4, 5, 10, 30, 60, 72, 90, 200]) for _ in range(r.randint(1, 25))]
+        want[c] = _spans(sizes, room)
+        rows += [(c, t, "user", "w " * (n - chat.TURN_TOKENS), 1, 1) for t, n in enumerate(sizes)]
+    got = {}
+    for w in chat.chat_windows(spark.createDataFrame(rows, SCHEMA), budget=96, history_tokens=24).collect():
+        got.setdefault(w["conv_id"], {})[w["window"]] = [s["pos"] for s in w["segments"] if not s["repeated"]]
+    assert {c: [x for _, x in sorted(ws.items())] for c, ws in got.items()} == want
+
+
+def test_a_long_turn_that_fits(spark):
+    rows = [(1, t, "user", "w " * (900 if t == 30 else 20), 1, 1) for t in range(64)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    windows = chat.chat_windows(df).collect()
+    assert len(windows) <= 5
+    for w in windows:
+        assert sum(904 if s["pos"] == 30 else 24 for s in w["segments"]) <= chat.BUDGET
+
+
 def test_windows(spark):
     rows, df = _talk(spark)
     budget, history = 96, 24
@@ -61,10 +112,10 @@ def test_windows(spark):
         assert not any(s["loss"] and s["repeated"] for s in segments)
         assert sum(s["repeated"] for s in segments) <= chat.HISTORY_TURNS + 1
         many += w["window"] > 0
-        count = lambda k: len(__import__("regex").findall(r"[\p{L}\p{N}\p{M}_]+|[^\s\p{L}\p{N}\p{M}_]", turns[k][1])) + chat.TURN_TOKENS
         fresh = [s["pos"] for s in segments if not s["repeated"]]
-        if max(count(k) for k in range(len(turns))) + history + (count(system) if system is not None else 0) < budget:
-            assert sum(count(s["pos"]) for s in segments) <= budget
+        alone = max(_tokens(turns[k][1]) for k in fresh) + (_tokens(turns[system][1]) if system is not None else 0)
+        if alone <= budget:
+            assert sum(_tokens(turns[s["pos"]][1]) for s in segments) <= budget
         assert fresh == list(range(fresh[0], fresh[-1] + 1))
     assert many
     positions = sorted((w["conv_id"] is None, w["conv_id"] or 0, s["pos"]) for w in windows for s in w["segments"] if not s["repeated"])
