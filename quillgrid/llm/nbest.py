@@ -39,6 +39,15 @@ LEAST_LEARNT = -1e8
 _SPACE = "▁"
 
 
+def _unrolled(tail: tuple | None) -> tuple[int, ...]:
+    """Ids of a path kept as a chain of (ids of a way, rest), which paths share."""
+    out: list[int] = []
+    while tail is not None:
+        out += tail[0]
+        tail = tail[1]
+    return tuple(out)
+
+
 class Lattice:
     """Pieces of a model, places where texts can be cut, and the search."""
 
@@ -87,7 +96,7 @@ class Lattice:
         # Every entry of the queue completes to a path of just its score, so more entries than paths wanted are never needed;
         # of the ways on from the first entry, the best has the entry's own score and is followed without queueing.
         out: list[tuple[float, tuple[int, ...]]] = []
-        queue: list = [(-best[size], 0, size, 0.0, ())]
+        queue: list = [(-best[size], 0, size, 0.0, None)]
         made, room = 0, n
         while queue:
             _, _, at, cost, tail = queue.pop(0)
@@ -103,12 +112,12 @@ class Lattice:
                             queue.pop()
                         i, ids, s = edges[k]
                         made += 1
-                        insort(queue, (f, made, i, cost + s, ids + tail))
+                        insort(queue, (f, made, i, cost + s, (ids, tail)))
                     i, ids, s = edges[ways[0][1]]
                 else:
                     i, ids, s = edges[0]
-                at, cost, tail = i, cost + s, ids + tail
-            out.append((cost, tail))
+                at, cost, tail = i, cost + s, (ids, tail)
+            out.append((cost, _unrolled(tail)))
             if not room:
                 break
         return out
@@ -163,7 +172,9 @@ def lattice(path: str) -> Lattice:
     return _LATTICES[path]
 
 
-def _segmented(path: str, n: int):
+def _segmented(path: str, n: int, keep_ids: bool):
+    way = pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
+
     def run(batches: Batches) -> Batches:
         lat = lattice(path)
         for batch in batches:
@@ -180,12 +191,13 @@ def _segmented(path: str, n: int):
             begins = np.cumsum(sizes) - sizes
             flat = np.frombuffer(b"".join(x[0] for x in found), "<u4")
             edges = np.concatenate([[0], np.cumsum(counts)])
-            out: dict[str, list] = {k: [] for k in ("n", "ids", "score", "ways", "pieces", "trip")}
+            every, trips, lists = {"score": [], "n_pieces": [], "ids_crc32": []}, [], []
+            offsets = [0]
             for k, text in enumerate(normal):
                 own = at[edges[k] : edges[k + 1]]
                 taken = sizes[own]
                 ends = np.cumsum(taken)
-                ids = flat[np.repeat(begins[own] - ends + taken, taken) + np.arange(int(ends[-1]) if len(ends) else 0)]
+                best = flat[np.repeat(begins[own] - ends + taken, taken) + np.arange(int(ends[-1]) if len(ends) else 0)]
                 top = float(scores[own].sum())
                 # Places by the cost of their second path, ties by place; more than n - 1 are never changed.
                 costs = second[own]
@@ -197,32 +209,65 @@ def _segmented(path: str, n: int):
                 else:
                     places = np.arange(len(own))
                 spare = [(float(costs[p]), int(p), [c for c, _ in found[own[p]][2]]) for p in places if np.isfinite(costs[p])]
-                ways = combine(spare, n)
-                out["n"].append(len(ids))
-                out["ids"].append(zlib.crc32(ids.astype("<u4").tobytes()))
-                out["score"].append(top)
-                out["ways"].append([top - s for s, _ in ways])
-                out["pieces"].append([len(ids) + sum(len(found[own[p]][2][w][1]) - int(sizes[own[p]]) for p, w in change) for _, change in ways])
-                out["trip"].append(lat.decode(ids) == text.replace(_SPACE, " ").encode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["ids"], pa.int64()), pa.array(out["score"], pa.float64()),
-                    pa.array(out["ways"], pa.list_(pa.float64())), pa.array(out["pieces"], pa.list_(pa.int32())), pa.array(out["trip"], pa.bool_()),
-                ],
-                names=["id", "n_pieces", "ids_crc32", "score", "nbest_scores", "nbest_pieces", "round_trip"],
-            )
+                for cost, change in combine(spare, n):
+                    ids, done, parts = best, 0, []
+                    for p, w in sorted(change):
+                        parts += [best[done : ends[p] - taken[p]], np.asarray(found[own[p]][2][w][1], best.dtype)]
+                        done = ends[p]
+                    if change:
+                        ids = np.concatenate([*parts, best[done:]])
+                    every["score"].append(top - cost)
+                    every["n_pieces"].append(len(ids))
+                    every["ids_crc32"].append(zlib.crc32(ids.astype("<u4", copy=False).tobytes()))
+                    if keep_ids:
+                        lists.append(ids)
+                offsets.append(len(every["score"]))
+                trips.append(lat.decode(best) == text.replace(_SPACE, " ").encode("utf-8", "replace"))
+            columns = [pa.array(every[name], way.field(name).type) for name in every]
+            if keep_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32))))
+            ways = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(way)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ways, pa.array(trips, pa.bool_())], names=["id", "nbest", "round_trip"])
         lat.memory.old = {}
 
     return run
 
 
-def segment(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", n: int = PATHS) -> DataFrame:
-    """One row per text: pieces and crc32 of the ids of its best path, the scores and piece counts of its n best, and whether it decodes to itself."""
+#: Texts that a task works on at a time; fewer where their ids are handed on.
+ROWS = 2_048
+ROWS_WITH_IDS = 128
+
+
+def segment(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", n: int = PATHS, keep_ids: bool = True) -> DataFrame:
+    """(id, nbest, round_trip) of every text.
+
+    ``nbest`` has a struct for each of the n best segmentations, best first: score, n_pieces, ids_crc32 (of
+    the ids as little-endian 32-bit numbers) and, with ``keep_ids``, the ids themselves. ``round_trip``:
+    whether the best path decodes to the normalised text.
+    """
     prepared(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text"))
-    schema = f"id {kind}, n_pieces bigint, ids_crc32 bigint, score double, nbest_scores array<double>, nbest_pieces array<int>, round_trip boolean"
-    return rows.mapInArrow(tidied(_segmented(path, n)), schema).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, nbest array<struct<score: double, n_pieces: bigint, ids_crc32: bigint{', ids: array<int>' * keep_ids}>>, round_trip boolean"
+    return rows.mapInArrow(tidied(_segmented(path, n, keep_ids), ROWS_WITH_IDS if keep_ids else ROWS), schema).withColumnRenamed("id", id_col)
+
+
+def _decoded(path: str):
+    def run(batches: Batches) -> Batches:
+        lat = lattice(path)
+        for batch in batches:
+            found = [None if ids is None else lat.decode(np.asarray(ids, np.int64)).decode("utf-8", "replace").removeprefix(" ") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["id", "text"])
+
+    return run
+
+
+def decoded(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, text) of every row of ids; null ids give a null text."""
+    prepared(df.sparkSession)
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(df[id_col].alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return rows.mapInArrow(tidied(_decoded(path), ROWS_WITH_IDS), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def encode(text: str, path: str, n: int = PATHS) -> list[tuple[float, list[int]]]:

@@ -68,7 +68,18 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nbest.segment(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    found = nbest.segment(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), keep_ids=False)
+    best = F.col("nbest")[0]
+    return found.select(
+        "doc_id",
+        best["n_pieces"].alias("n_pieces"),
+        best["ids_crc32"].alias("ids_crc32"),
+        best["score"].alias("score"),
+        F.col("nbest.score").alias("nbest_scores"),
+        F.col("nbest.n_pieces").alias("nbest_pieces"),
+        F.col("nbest.ids_crc32").alias("nbest_crc32"),
+        "round_trip",
+    )
 
 
 @query

@@ -1,8 +1,10 @@
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillgrid.llm import nbest
 from quillgrid.llm.queries import tokenizer_file
@@ -73,13 +75,33 @@ def test_combine():
         assert [s for s, _ in got] == pytest.approx(sorted(sums)[:4])
 
 
+def test_long_stretches_take_time_in_proportion():
+    lat, text = nbest.lattice(PATH), "thein" * 40_000
+    began = time.process_time()
+    got = lat.paths(text, 4)
+    assert time.process_time() - began < 15 and len(got) == 4
+    assert all(lat.decode(np.asarray(ids)).decode() == text for _, ids in got)
+
+
 def test_query(spark, messy, nothing):
     got = sorted(map(tuple, nbest.segment(messy, PATH).collect()), key=repr)
     want = []
     for row in messy.collect():
-        ways = nbest.encode(row["text"] or "", PATH)
-        ids = np.asarray(ways[0][1], "<u4")
-        want.append((row["doc_id"], len(ids), zlib.crc32(ids.tobytes()), ways[0][0], [s for s, _ in ways], [len(i) for _, i in ways], True))
-    for a, b in zip(got, sorted(want, key=repr)):
-        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3]) and a[4] == pytest.approx(b[4]) and a[5:] == b[5:]
+        ways = [(s, len(i), zlib.crc32(np.asarray(i, "<u4").tobytes()), i) for s, i in nbest.encode(row["text"] or "", PATH)]
+        want.append((row["doc_id"], ways, True))
+    for a, b in zip(sorted(got, key=lambda r: (repr(r[0]), r[1][0]["ids_crc32"])), sorted(want, key=lambda r: (repr(r[0]), r[1][0][2]))):
+        assert (a[0], a[2]) == (b[0], b[2]) and [tuple(w)[1:] for w in a[1]] == [w[1:] for w in b[1]]
+        assert [w["score"] for w in a[1]] == pytest.approx([w[0] for w in b[1]])
+    short = nbest.segment(messy, PATH, keep_ids=False).collect()
+    assert sorted((repr(r["doc_id"]), [tuple(w)[1:] for w in r["nbest"]]) for r in short) == sorted((repr(r[0]), [tuple(w)[1:3] for w in r[1]]) for r in got)
     assert nbest.segment(nothing, PATH).count() == 0
+
+
+def test_decoded(spark, messy, nothing):
+    ways = nbest.segment(messy, PATH).select("doc_id", F.posexplode("nbest").alias("k", "w")).select("doc_id", "k", "w.ids")
+    got = sorted(map(repr, map(tuple, nbest.decoded(ways, PATH).collect())))
+    model = nbest.lattice(PATH).model
+    normal = lambda t: model.normalize(t).replace("▁", " ").removeprefix(" ") if t else ""
+    want = [repr((r["doc_id"], normal(r["text"]))) for r in messy.collect() for _ in nbest.encode(r["text"] or "", PATH)]
+    assert got == sorted(want)
+    assert nbest.decoded(ways.where("false"), PATH).count() == 0
