@@ -42,7 +42,7 @@ from quillgrid.llm.common import Batches, fold, prepared, text_or_empty, texts,
 
 FOLDS = 5
 HELD_OUT = 1
-SHORTLIST = 1_200
+SHORTLIST = 600
 GROUPS = 96
 HEAD = 200_000
 HIDDEN = 16
@@ -55,6 +55,8 @@ RUN_TOKENS = 1_000_000
 STEPS = 24
 STREAMS = 512
 RATE = 0.3
+#: Parameters are kept within this (biases of the output may be lower).
+CLIP = 4.0
 #: Steps that a run of tokens is good for at least: short runs have fewer streams.
 LEAST_UPDATES = 64
 #: Parameters of a row of the table in which networks are added up, and tasks that the first step adds up.
@@ -62,7 +64,7 @@ SLOT = 8_192
 ADDED_TASKS = 64
 #: Tokens that a worker holds before it scores them.
 HELD_TOKENS = 1_500_000
-WINDOW = 64
+WINDOW = 16
 #: Words that a worker counts before it hands the counts on.
 COUNTED_WORDS = 300_000
 
@@ -126,6 +128,7 @@ class Network:
         by_class = padded.reshape(self.classes, self.size)
         with np.errstate(divide="ignore"):
             word_bias = np.where(by_class > 0, np.log(by_class / by_class.sum(1, keepdims=True)), -1e9)
+        self.lowest = {"bc": -np.inf, "bw": -np.inf}
         self.p = {
             "x": small(m, 3 * hidden),
             "u": small(hidden, 3 * hidden),
@@ -139,20 +142,27 @@ class Network:
     def step(self, token: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """(new state, update gate, reset gate, candidate, candidate's recurrent part)."""
         k = self.hidden
-        x = self.p["x"][token] + self.p["b"]
+        x = self.p["x"][token]
+        x += self.p["b"]
         a = h @ self.p["u"]
         gates = x[:, : 2 * k] + a[:, : 2 * k]
-        gates = 1 / (1 + np.exp(-gates))
+        np.exp(np.negative(gates, out=gates), out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         z, r = gates[:, :k], gates[:, k:]
         part = a[:, 2 * k :]
-        n = np.tanh(x[:, 2 * k :] + r * part)
-        return n + z * (h - n), z, r, n, part
+        n = r * part
+        n += x[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, part
 
     def _softmax(self, h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(logits, their exponentials, sums of these); states lie in -1..1, so logits keep far from overflow."""
+        """(logits, their exponentials, sums of these); states lie in -1..1 and weights are clipped, so nothing overflows."""
         logits = h @ w
         logits += b
-        np.minimum(logits, 80, out=logits)
         e = np.exp(logits)
         return logits, e, e @ np.ones(e.shape[1], e.dtype)
 
@@ -179,7 +189,7 @@ class Network:
         probs /= sums[:, None]
         probs[np.arange(n), c] -= 1
         g["wc"] += h.T @ probs
-        g["bc"] += probs.sum(0)
+        g["bc"] += np.ones(n, probs.dtype) @ probs
         dh = probs @ self.p["wc"].T
         for k, at in self._members(c):
             states, inside, places = h[at], target[at] - k * self.size, np.arange(len(at))
@@ -188,7 +198,7 @@ class Network:
             own /= sums[:, None]
             own[places, inside] -= 1
             g["ww"][k] += states.T @ own
-            g["bw"][k] += own.sum(0)
+            g["bw"][k] += np.ones(len(at), own.dtype) @ own
             dh[at] += own @ self.p["ww"][k].T
         return loss, dh
 
@@ -230,9 +240,16 @@ class Network:
             for i in range(len(times) - 1, -1, -1):
                 before, z, r, x, part = trace[i]
                 dh = dh + dh_out[i]
-                dx = dh * (1 - z) * (1 - x * x)
-                inputs[i, :, :k] = dh * (before - x) * z * (1 - z)
-                inputs[i, :, k : 2 * k] = dx * part * r * (1 - r)
+                kept = 1 - z
+                down = dh * kept
+                dx = down * (1 - x * x)
+                kept = before - x
+                kept *= z
+                np.multiply(kept, down, out=inputs[i, :, :k])
+                kept = 1 - r
+                kept *= part
+                kept *= r
+                np.multiply(kept, dx, out=inputs[i, :, k : 2 * k])
                 inputs[i, :, 2 * k :] = dx
                 recurrent = inputs[i].copy()
                 recurrent[:, 2 * k :] *= r
@@ -243,9 +260,9 @@ class Network:
             order = np.argsort(tokens.astype(np.uint16 if self.m <= 1 << 16 else np.int64), kind="stable")
             rows, firsts = np.unique(tokens[order], return_index=True)
             for name, d, at in (("x", np.add.reduceat(flat[order], firsts), rows), *((name, d, slice(None)) for name, d in g.items())):
-                d = d / width
+                d /= width
                 squares[name][at] += d * d
-                self.p[name][at] -= rate * d / np.sqrt(squares[name][at])
+                self.p[name][at] = np.clip(self.p[name][at] - rate * d / np.sqrt(squares[name][at]), self.lowest.get(name, -CLIP), CLIP)
         return total / max(1, n)
 
     def squares(self) -> dict[str, np.ndarray]:
