@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quillgrid.llm import topk
 
@@ -12,24 +13,25 @@ def _brute(rows, k, chosen):
     for i, v, *_ in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
             fine.append((i, tuple(int(np.floor(256.0 * np.float64(np.float32(x)))) for x in v)))
-    size = len(fine[0][1])
     out = []
     for q in sorted({i for i, _ in fine if chosen(i)}):
         own = min(v for i, v in fine if i == q)
-        scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in fine if i != q and len(v) == size)
+        scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in fine if i != q and len(v) == len(own))
         out += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1)]
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("sent", [1 << 25, 400])
+def test_against_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(topk, "SENT_BYTES", sent)
     r = random.Random(11)
     same = [0.5, -0.25, 0.125, 1.0]
     rows = [(k, [r.uniform(-1, 1) for _ in range(4)], 0, 7, 7) for k in range(120)]
     rows += [(200 + k, same, 0, 7, 7) for k in range(30)]  # one vector many times: ties
-    rows += [(300, None, 0, 7, 7), (301, [], 0, 7, 7), (302, [None, 1.0, 1.0, 1.0], 0, 7, 7), (303, [float("nan"), 1.0, 1.0, 1.0], 0, 7, 7), (310, [float("inf"), 1.0, 1.0, 1.0], 0, 7, 7), (None, same, 0, 7, 7), (305, [1.0], 0, 7, 7)]
+    rows += [(300, None, 0, 7, 7), (301, [], 0, 7, 7), (302, [None, 1.0, 1.0, 1.0], 0, 7, 7), (303, [float("nan"), 1.0, 1.0, 1.0], 0, 7, 7), (310, [float("inf"), 1.0, 1.0, 1.0], 0, 7, 7), (None, same, 0, 7, 7), (305, [1.0], 0, 7, 7), (320, [0.5], 0, 7, 7), (330, [0.25, 1.0], 0, 7, 7)]
     df = spark.createDataFrame(rows, SCHEMA)
     vectors = topk.integer_vectors(df, "vec_id", "embedding")
-    for k, block, bins in ((5, 1024, 1024), (3, 16, 8), (5, 7, 2)):
+    for k, block, bins in ((5, 1024, 1024), (3, 16, 64)) if sent > 400 else ((5, 50, 1024),):
         got = topk.top_k(vectors.where("id % 10 = 0"), vectors, k, block, bins)
         assert sorted(map(tuple, got.collect())) == sorted(_brute(rows, k, lambda i: i % 10 == 0))
 
