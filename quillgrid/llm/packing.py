@@ -10,6 +10,11 @@ task can take up the round-robin at any window with the deficits that earlier wi
 partitions, have left. When targets differ from the sources' own shares, queues run dry one after
 another; each such phase has the targets of the queues that remain.
 
+Beyond the largest ``MAX_QUEUES`` sources (or those with targets, if they are more) sources are dealt into
+pools. A pool is one queue to the round-robin above, and what it is served is dealt to its sources by a
+round-robin of its own over the same windows, so their shares are kept too. Only the pools' sums reach the
+driver; the totals of a pool's sources come to its documents by a join.
+
 Documents are tokenized once, into a table in the shared folder that also holds their place within
 their partition; places in the queue follow from the small table of totals for each partition and
 source. No text or ids are shuffled and no queue is gathered in one task, so a source may hold any
@@ -40,8 +45,10 @@ from quillgrid.llm.token_counts import library
 
 WINDOW = 2048
 END_ID = 1
-#: Sources beyond the largest so many share one queue, which keeps the driver's table of totals small.
+#: Sources with a queue of their own in the round-robin that every task knows. Others are dealt into pools of about
+#: ``POOL`` sources; a pool is one queue there, and within it the same round-robin serves its sources.
 MAX_QUEUES = 1024
+POOL = 64
 #: Words of a generation that a worker remembers; it remembers two.
 MEMO_WORDS = 200_000
 
@@ -283,15 +290,20 @@ def _pieces(schedule: Schedule, width: int):
     kind = "<u4" if width == 4 else "<u2"
 
     def run(batches: Batches) -> Batches:
+        pools: dict[int, Schedule] = {}
         for batch in batches:
-            ids_col, queues = batch.column(4).to_pylist(), batch.column(1).to_pylist()
+            ids_col = batch.column(4).to_pylist()
+            queues = list(zip(batch.column(1).to_pylist(), batch.column(5).to_pylist()))
+            for (queue, _), totals in zip(queues, batch.column(6).to_pylist()):
+                if totals is not None and queue not in pools:
+                    pools[queue] = Schedule(totals, None, schedule.window)
             starts, counts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            span: dict[int, list[int]] = {}
+            span: dict[tuple, list[int]] = {}
             for q, s, n in zip(queues, starts, counts):
-                low, high = schedule.near(q, s, s + n)
+                low, high = _near(schedule, pools, q, s, s + n)
                 have = span.setdefault(q, [low, high])
                 have[0], have[1] = min(have[0], low), max(have[1], high)
-            edges = {q: _edges(schedule, q, low, high) for q, (low, high) in span.items()}
+            edges = {q: _edges(schedule, pools, q, low, high) for q, (low, high) in span.items()}
             rows, start_, length_, crc_, win_, off_ = [], [], [], [], [], []
             for i, (q, s, n) in enumerate(zip(queues, starts, counts)):
                 low, cuts, offsets = edges[q]
@@ -317,11 +329,29 @@ def _pieces(schedule: Schedule, width: int):
     return run
 
 
-def _edges(schedule: Schedule, queue: int, low: int, high: int) -> tuple[int, np.ndarray, np.ndarray]:
+def _near(schedule: Schedule, pools: dict[int, Schedule], queue: tuple, first: int, stop: int) -> tuple[int, int]:
+    """Windows that hold tokens first..stop of a queue, or of a source of a pool."""
+    at, slot = queue
+    if slot is not None:
+        totals = pools[at].totals
+        size = sum(totals)
+        spare = size // totals[slot] + len(totals)
+        first = max(0, first * size // totals[slot] - spare)
+        stop = min(size, stop * size // totals[slot] + spare)
+    return schedule.near(at, first, stop)
+
+
+def _edges(schedule: Schedule, pools: dict[int, Schedule], queue: tuple, low: int, high: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(first window, where the queue stands at each window's begin, where its tokens begin in the window)."""
+    at, slot = queue
     served = schedule.served(np.arange(low, high + 2))
     inside = np.diff(served, axis=0)
-    return low, served[:, queue], inside[:, :queue].sum(1)
+    cuts, offsets = served[:, at], inside[:, :at].sum(1)
+    if slot is not None:
+        totals = pools[at].totals
+        own = _virtual(cuts, totals, sum(totals))
+        cuts, offsets = own[:, slot], offsets + np.diff(own, axis=0)[:, :slot].sum(1)
+    return low, cuts, offsets
 
 
 def pack(
@@ -346,31 +376,31 @@ def pack(
     schema = f"id {kind}, source string, part int, place bigint, n bigint, ids binary"
     tokens = written(rows.mapInArrow(tidied(_tokenized(path, end_id)), schema), "tokens")
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    by_source = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("source").asc_nulls_last())
-    largest = [(r["source"], r["n"]) for r in by_source.limit(MAX_QUEUES).collect()]
-    names = [x for x, _ in largest]
-    named = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "source string, queue int")
-    queued = (
-        sums.withColumnRenamed("source", "s")
-        .join(F.broadcast(named), F.col("s").eqNullSafe(F.col("source")), "left")
-        .select(F.col("s").alias("source"), "part", "n", F.coalesce("queue", F.lit(MAX_QUEUES)).alias("queue"))
-    )
-    # One queue may have a row for each partition; the running sum is over partitions, not documents.
-    places = written(
-        queued.withColumn("base", F.expr("sum(n) OVER (PARTITION BY queue ORDER BY part, source ROWS UNBOUNDED PRECEDING) - n")).select("source", "part", "queue", "base"),
-        "places",
-    )
-    totals = [n for _, n in largest]
-    rest = queued.where(F.col("queue") == MAX_QUEUES).agg(F.sum("n")).first()[0]
-    if rest:
-        totals.append(rest)
-        names.append(None)
-    weights = None if targets is None else [float(targets.get(s, 0.0)) for s in names]
+    by_source = written(sums.groupBy("source").agg(F.sum("n").alias("n")), "sources")
+    aimed = F.lit(False) if targets is None else F.coalesce(F.col("source").isin([x for x in targets if x is not None]), F.lit(None in targets))
+    limit = max(MAX_QUEUES, len(targets or {}))
+    largest = [(r["source"], r["n"]) for r in by_source.orderBy(aimed.desc(), F.desc("n"), F.col("source").asc_nulls_last()).limit(limit).collect()]
+    totals, weights = [n for _, n in largest], None if targets is None else [float(targets.get(s, 0.0)) for s, _ in largest]
+    queues = spark.createDataFrame([(s, i, None, None) for i, (s, _) in enumerate(largest)], "source string, queue int, slot int, pool array<bigint>")
+    rest = by_source.count() - len(largest)
+    if rest > 0:
+        pools = -(-rest // POOL)
+        left = by_source.join(F.broadcast(queues.select(F.col("source").alias("s"))), F.col("source").eqNullSafe(F.col("s")), "left_anti")
+        left = left.withColumn("queue", (len(largest) + F.pmod(F.xxhash64("source", F.col("source").isNull()), F.lit(pools))).cast("int"))
+        pooled = {r["queue"]: r["n"] for r in left.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+        totals += [pooled.get(len(largest) + k, 0) for k in range(pools)]
+        weights = weights and weights + [0.0] * pools
+        lists = left.groupBy("queue").agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("none"), "source", "n"))).alias("x"))
+        sources = lists.select("queue", F.posexplode("x").alias("slot", "y"), F.col("x.n").alias("pool"))
+        queues = queues.unionByName(sources.select("y.source", "queue", "slot", "pool"))
+    # A source may have a row for each partition; the running sum is over partitions, not documents.
+    placed_sums = sums.withColumn("base", F.expr("sum(n) OVER (PARTITION BY source ORDER BY part ROWS UNBOUNDED PRECEDING) - n")).select(F.col("source").alias("s"), F.col("part").alias("p"), "base")
+    queues = queues.withColumnRenamed("source", "q")
+    places = written(placed_sums.join(queues, F.col("s").eqNullSafe(F.col("q"))).drop("q"), "places")
     schedule = Schedule(totals, weights, window)
     width = id_bytes(path)
-    at = places.select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", "base")
-    placed = tokens.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select(
-        "id", "queue", (F.col("base") + F.col("place")).alias("start"), "n", "ids"
+    placed = tokens.join(places, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select(
+        "id", "queue", (F.col("base") + F.col("place")).alias("start"), "n", "ids", "slot", "pool"
     )
     out = "id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint".format(kind)
     return placed.mapInArrow(tidied(_pieces(schedule, width)), out).withColumnRenamed("id", id_col)

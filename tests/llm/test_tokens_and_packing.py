@@ -71,8 +71,10 @@ def test_schedule_fills_windows_and_keeps_proportions():
             assert (np.abs(served[:-1] - share) <= len(totals)).all()
 
 
+@pytest.mark.parametrize("queues", [1024, 1])
 @pytest.mark.parametrize("targets", [None, {"s0": 3.0, "s1": 1.0}])
-def test_packing(spark, messy, nothing, targets):
+def test_packing(spark, monkeypatch, messy, nothing, targets, queues):
+    monkeypatch.setattr(packing, "MAX_QUEUES", queues)
     tokenizer = token_counts.library(WORDS)
     got = packing.pack(messy, WORDS, window=128, targets=targets).collect()
     whole = defaultdict(list)
@@ -100,3 +102,22 @@ def test_packing(spark, messy, nothing, targets):
         sizes.append(at)
     assert sorted(windows) == list(range(len(windows))) and sum(s < 128 for s in sizes) <= 1 and max(sizes) == 128
     assert packing.pack(nothing, WORDS).count() == 0
+
+
+@pytest.mark.parametrize("queues", [1024, 2])
+def test_every_window_keeps_the_sources_shares(spark, monkeypatch, queues):
+    monkeypatch.setattr(packing, "MAX_QUEUES", queues)
+    monkeypatch.setattr(packing, "POOL", 4)
+    r = random.Random(40)
+    rows = [(k, " ".join(r.choice(["one", "two", "three"]) for _ in range(r.randint(0, 60))), r.choice([None, *"aaabbcdefgh"])) for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    source = {k: s for k, _, s in rows}
+    sizes, windows = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for p in packing.pack(df, WORDS, window=512).collect():
+        sizes[source[p["doc_id"]]] += p["length"]
+        windows[p["sequence_id"]][source[p["doc_id"]]] += p["length"]
+    total = sum(sizes.values())
+    for k, found in windows.items():
+        if k < len(windows) - 1:
+            assert sum(found.values()) == 512
+            assert all(abs(found[s] - 512 * n / total) <= 4 for s, n in sizes.items())
