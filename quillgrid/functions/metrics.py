@@ -10,12 +10,23 @@ from quillgrid.functions import text as T
 
 # Words that tell a direction, and phrases that tell there is none.
 DIRECTION_WORDS = {
-    "up": "increase increased increases growth grew grow rose rise risen higher up gain gained gains improved improvement profit profits strengthened expansion expanded surge surged jumped",
-    "down": "decrease decreased decreases decline declined declines declining fell fall fallen drop dropped drops lower down reduction reduced reduce shrink shrunk shrank loss losses deteriorated weakened contraction contracted negative deficit",
-    "flat": "unchanged stable flat marginal",
-    "yes": "yes",
-    "no": "no",
-}
+    "up": (
+        "increase", "increased", "increases", "growth", "grew", "grow", "rose", "rise",
+        "risen", "higher", "up", "gain", "gained", "gains", "improved", "improvement",
+        "profit", "profits", "strengthened", "expansion", "expanded", "surge", "surged", "jumped",
+    ),
+    "down": (
+        "decrease", "decreased", "decreases", "decline", "declined", "declines", "declining", "fell",
+        "fall", "fallen", "drop", "dropped", "drops", "lower", "down", "reduction",
+        "reduced", "reduce", "shrink", "shrunk", "shrank", "loss", "losses", "deteriorated",
+        "weakened", "contraction", "contracted", "negative", "deficit",
+    ),
+    "flat": (
+        "unchanged", "stable", "flat", "marginal",
+    ),
+    "yes": ("yes",),
+    "no": ("no",),
+}
 FLAT_PHRASES = (
     "no change", "no significant change", "no major change", "no material change", "no meaningful change",
     "remained unchanged", "remained stable", "no notable change", "no considerable change",
@@ -28,55 +39,87 @@ def exact_match(gold: Column, pred: Column) -> Column:
 
 def set_f1(gold_set: Column, pred_set: Column) -> Column:
     """Struct of precision, recall and f1 of two arrays without repeats; both empty counts as equal."""
-    both = F.size(F.array_intersect(gold_set, pred_set))
-    empty = (F.size(gold_set) == 0) & (F.size(pred_set) == 0)
-    precision = F.when(empty, 1.0).otherwise(F.coalesce(both / F.nullif(F.size(pred_set), F.lit(0)), F.lit(0.0)))
-    recall = F.when(empty, 1.0).otherwise(F.coalesce(both / F.nullif(F.size(gold_set), F.lit(0)), F.lit(0.0)))
-    f1 = F.coalesce(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)), F.lit(0.0))
-    return F.struct(precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+
+    def sizes(v: Column) -> Column:
+        return F.struct(F.size(F.array_intersect(v["g"], v["p"])).alias("both"), F.size(v["g"]).alias("g"), F.size(v["p"]).alias("p"))
+
+    def shares(v: Column) -> Column:
+        empty = (v["g"] == 0) & (v["p"] == 0)
+        precision = F.when(empty, 1.0).otherwise(F.coalesce(v["both"] / F.nullif(v["p"], F.lit(0)), F.lit(0.0)))
+        recall = F.when(empty, 1.0).otherwise(F.coalesce(v["both"] / F.nullif(v["g"], F.lit(0)), F.lit(0.0)))
+        return F.struct(precision.alias("precision"), recall.alias("recall"))
+
+    f1 = lambda v: F.coalesce(2 * v["precision"] * v["recall"] / F.nullif(v["precision"] + v["recall"], F.lit(0.0)), F.lit(0.0))
+    found = T.let(T.let(F.struct(gold_set.alias("g"), pred_set.alias("p")), sizes), shares)
+    return T.let(found, lambda v: F.struct(v["precision"].alias("precision"), v["recall"].alias("recall"), f1(v).alias("f1")))
 
 
 def token_f1(gold: Column, pred: Column) -> Column:
     return set_f1(F.array_distinct(T.tokens(gold)), F.array_distinct(T.tokens(pred)))
 
 
+#: A word of any side between spaces.
+_DIRECTION = r"(?<!\S)(?:" + "|".join(w for own in DIRECTION_WORDS.values() for w in own) + r")(?!\S)"
+
+
 def direction(c: Column, strict: bool = False) -> Column:
     """up, down, flat, yes or no; null if the text tells none. Strictly, yes and no must be words of their own."""
-    bare, norm = T.strip(c), T.normalize(c)
-    label = F.create_map(*[F.lit(x) for side, own in DIRECTION_WORDS.items() for w in own.split() for x in (w, side)])
-    last = F.try_element_at(F.filter(T.words(norm), lambda w: F.map_contains_key(label, w)), F.lit(-1))
+
+    def side(last: Column) -> Column:
+        label = None
+        for name, own in DIRECTION_WORDS.items():
+            label = (F.when if label is None else label.when)(last.isin(*own), name)
+        return label
+
+    def by_words(norm: Column) -> Column:
+        last = F.try_element_at(F.regexp_extract_all(norm, F.lit(_DIRECTION), F.lit(0)), F.lit(-1))
+        return (
+            F.when(T.contains_any(norm, FLAT_PHRASES), "flat")
+            .when(norm.rlike(_DIRECTION), T.let(last, side))
+            .when(~F.lit(strict) & norm.contains("yes"), "yes")
+            .when(~F.lit(strict) & norm.contains("no"), "no")
+        )
+
+    bare = T.strip(c)
     return (
         F.when(bare.rlike(r"(?U)^-\d"), "down")
         .when(bare.rlike(r"(?U)^\+\d"), "up")
         .when(bare.rlike(r"(?U)^\([\d₹$]"), "down")
-        .when(T.contains_any(norm, FLAT_PHRASES), "flat")
-        .when(last.isNotNull(), F.try_element_at(label, last))
-        .when(~F.lit(strict) & norm.contains("yes"), "yes")
-        .when(~F.lit(strict) & norm.contains("no"), "no")
+        .otherwise(T.let(T.normalize(c), by_words))
     )
 
 
 def directional_accuracy(gold: Column, pred: Column) -> Column:
-    g, p = direction(gold), direction(pred)
-    return F.when(g.isNotNull(), F.coalesce((g == p).cast("int"), F.lit(0)))
+    both = F.struct(direction(gold).alias("g"), direction(pred).alias("p"))
+    return T.let(both, lambda v: F.when(v["g"].isNotNull(), F.coalesce((v["g"] == v["p"]).cast("int"), F.lit(0))))
+
+
+def _sides(c: Column) -> Column:
+    """What relaxed matching compares of a text."""
+    bare = T.strip_units(c)
+    return F.struct(
+        T.normalize(c).alias("norm"), direction(c).alias("direction"), F.abs(N.last_number(c)).alias("last"), N.canonical_value(c).alias("value"),
+        bare.alias("bare"), N.to_number(F.regexp_replace(bare, "_", "x")).alias("number"),
+    )
 
 
 def relaxed_match(gold: Column, pred: Column) -> Column:
     """1 on equal text; equal direction and number; equal canonical value; or equal text or number without units."""
-    gd, pd = direction(gold), direction(pred)
-    gn, pn = F.abs(N.last_number(gold)), F.abs(N.last_number(pred))
-    same = gd == pd
-    near = gn.isNull() | pn.isNull() | ((gn < 1e-10) & (pn < 1e-10)) | ((gn > 1e-10) & (F.abs(gn - pn) / F.nullif(gn, F.lit(0.0)) < 0.015))
-    gs, ps = T.strip_units(gold), T.strip_units(pred)
-    gv, pv = N.to_number(F.regexp_replace(gs, "_", "x")), N.to_number(F.regexp_replace(ps, "_", "x"))
-    yes = (
-        (T.normalize(gold) == T.normalize(pred))
-        | F.coalesce(same & near, F.lit(False))
-        | ((gd.isNull() | pd.isNull() | same) & N.equivalent(gold, pred))
-        | (gs == ps)
-        | F.coalesce(F.abs(gv - pv) < 0.015 * F.greatest(F.abs(gv), F.lit(1.0)), F.lit(False))
-    )
-    return F.coalesce(yes.cast("int"), F.lit(0))
+
+    def matched(v: Column) -> Column:
+        g, p = v["g"], v["p"]
+        same, gn, pn = g["direction"] == p["direction"], g["last"], p["last"]
+        near = gn.isNull() | pn.isNull() | ((gn < 1e-10) & (pn < 1e-10)) | ((gn > 1e-10) & (F.abs(gn - pn) / F.nullif(gn, F.lit(0.0)) < 0.015))
+        yes = (
+            (g["norm"] == p["norm"])
+            | F.coalesce(same & near, F.lit(False))
+            | ((g["direction"].isNull() | p["direction"].isNull() | same) & N.same_value(g["value"], p["value"]))
+            | (g["bare"] == p["bare"])
+            | F.coalesce(F.abs(g["number"] - p["number"]) < 0.015 * F.greatest(F.abs(g["number"]), F.lit(1.0)), F.lit(False))
+        )
+        return F.coalesce(yes.cast("int"), F.lit(0))
+
+    return T.let(F.struct(_sides(gold).alias("g"), _sides(pred).alias("p")), matched)
 
 
 def rouge_words(c: Column) -> Column:
@@ -115,34 +158,33 @@ def meteor(gold: Column, pred: Column) -> Column:
 
 def sentence_labels(evidence: Column, answer: Column) -> Column:
     """ENTAILMENT, CONTRADICTION or NEUTRAL of each sentence of the answer, by the words it shares with the evidence."""
-    ev = F.lower(evidence)
-    vocabulary = F.array_distinct(F.regexp_extract_all(ev, F.lit(r"(?U)\w+"), F.lit(0)))
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
 
-    def label(sentence: Column) -> Column:
-        s = T.strip(F.lower(sentence))
-        own = F.regexp_extract_all(s, F.lit(r"(?U)\w+"), F.lit(0))
-        share = F.size(F.filter(own, lambda w: F.array_contains(vocabulary, w))) / F.nullif(F.size(own), F.lit(0))
-        return (
-            F.when(F.length(s) < 5, "NEUTRAL")
-            .when(F.contains(ev, s), "ENTAILMENT")
-            .when(share.isNull(), "NEUTRAL")
-            .when(share >= 0.75, "ENTAILMENT")
-            .when(share < 0.3, "CONTRADICTION")
-            .otherwise("NEUTRAL")
-        )
+    def share(own: Column, vocabulary: Column) -> Column:
+        """Share of the words that are in the vocabulary, repeats counted: all less those that are not, by a hash set."""
+        strange = F.array_except(own, vocabulary)
+        hits = F.when(F.size(strange) == 0, F.size(own)).otherwise(F.size(F.filter(own, lambda w: ~F.array_contains(strange, w))))
+        return hits / F.nullif(F.size(own), F.lit(0))
+
+    def label(s: Column, ev: Column, vocabulary: Column) -> Column:
+        by_share = lambda x: F.when(x >= 0.75, "ENTAILMENT").when(x < 0.3, "CONTRADICTION").otherwise("NEUTRAL")
+        return F.when(F.length(s) < 5, "NEUTRAL").when(F.contains(ev, s), "ENTAILMENT").otherwise(T.let(T.let(words(s), lambda own: share(own, vocabulary)), by_share))
+
+    def labels(v: Column) -> Column:
+        return F.transform(T.sentences(answer), lambda x: T.let(T.strip(F.lower(x)), lambda s: label(s, v["ev"], v["words"])))
 
-    return F.transform(T.sentences(answer), label)
+    return T.let(F.struct(F.lower(evidence).alias("ev"), F.array_distinct(words(F.lower(evidence))).alias("words")), labels)
 
 
 def entailment(evidence: Column, answer: Column) -> Column:
     """Struct of n and the three label ratios; a blank answer is (0, 0, 1) with n = 0."""
-    labels = sentence_labels(evidence, answer)
-    n = F.size(labels)
 
-    def ratio(name: str, blank: float) -> Column:
-        return F.when(n == 0, blank).otherwise(F.size(F.filter(labels, lambda x: x == name)) / F.nullif(n, F.lit(0))).alias(name.lower())
+    def ratios(labels: Column) -> Column:
+        n = F.size(labels)
+        ratio = lambda name, blank: F.when(n == 0, blank).otherwise(F.size(F.filter(labels, lambda x: x == name)) / F.nullif(n, F.lit(0))).alias(name.lower())
+        return F.struct(n.alias("n"), ratio("ENTAILMENT", 0.0), ratio("CONTRADICTION", 0.0), ratio("NEUTRAL", 1.0))
 
-    return F.struct(n.alias("n"), ratio("ENTAILMENT", 0.0), ratio("CONTRADICTION", 0.0), ratio("NEUTRAL", 1.0))
+    return T.let(sentence_labels(evidence, answer), ratios)
 
 
 def traceability(evidence: Column, other: Column) -> Column:
@@ -158,17 +200,21 @@ def traceability(evidence: Column, other: Column) -> Column:
 
 def hallucination_type(gold: Column, pred: Column, entailed: Column) -> Column:
     """Kind of an answer that its evidence doesn't support; the first rule that fits."""
-    g, p = F.array_distinct(N.number_strings(gold)), F.array_distinct(N.number_strings(pred))
-    gd, pd = direction(gold), direction(pred)
-    shared, extra = F.size(F.array_intersect(g, p)), F.size(F.array_except(p, g))
-    return (
-        F.when((gd != pd) & ~gd.isin("yes", "no") & ~pd.isin("yes", "no"), "direction_error")
-        .when((extra > 0) & (extra / F.nullif(F.size(p), F.lit(0)) > 0.5), "numeric_fabrication")
-        .when((shared > 0) & (F.size(F.array_except(g, p)) > 0), "numeric_miscalculation")
-        .when((F.size(T.words(pred)) > 2 * F.size(T.words(gold))) & (entailed < 0.2), "over_interpretation")
-        .when((F.size(g) > 0) & (F.size(p) > 0) & (shared == 0), "misattribution")
-        .otherwise("other")
-    )
+
+    def kind(v: Column) -> Column:
+        g, p, gd, pd = v["g"], v["p"], v["gd"], v["pd"]
+        shared, extra = F.size(F.array_intersect(g, p)), F.size(F.array_except(p, g))
+        return (
+            F.when((gd != pd) & ~gd.isin("yes", "no") & ~pd.isin("yes", "no"), "direction_error")
+            .when((extra > 0) & (extra / F.nullif(F.size(p), F.lit(0)) > 0.5), "numeric_fabrication")
+            .when((shared > 0) & (F.size(F.array_except(g, p)) > 0), "numeric_miscalculation")
+            .when((F.size(T.words(pred)) > 2 * F.size(T.words(gold))) & (entailed < 0.2), "over_interpretation")
+            .when((F.size(g) > 0) & (F.size(p) > 0) & (shared == 0), "misattribution")
+            .otherwise("other")
+        )
+
+    found = lambda c: F.array_distinct(N.number_strings(c))
+    return T.let(F.struct(found(gold).alias("g"), found(pred).alias("p"), direction(gold).alias("gd"), direction(pred).alias("pd")), kind)
 
 
 def judge_key(gold: Column, pred: Column, question: Column) -> Column:

@@ -5,6 +5,7 @@ White space is Unicode white space throughout, as ``(?U)\\s``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,6 +39,11 @@ STRIPPED_UNITS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def without(c: Column, parts: tuple[str, ...], by: str = "") -> Column:
     """Each of the parts replaced in turn."""
     return reduce(lambda x, p: F.replace(x, F.lit(p), F.lit(by)), parts, c)

@@ -4,9 +4,38 @@ from __future__ import annotations
 
 from functools import reduce
 
-from quillgrid.functions import metrics as M
-from quillgrid.functions import numeric as N
-from quillgrid.functions import text as T
+# Fixed values, stated here again so that the SQL does not take them from what it checks.
+UNITS = (
+    ("crores", 1e7), ("crore", 1e7), ("cr", 1e7), ("lakhs", 1e5), ("lakh", 1e5), ("lac", 1e5), ("lk", 1e5),
+    ("billions", 1e9), ("billion", 1e9), ("bn", 1e9), ("millions", 1e6), ("million", 1e6), ("mn", 1e6), ("thousands", 1e3), ("thousand", 1e3), ("k", 1e3),
+)
+CURRENCIES = ("₹", "$", "€", "£", "rs.", "rs ", "inr", "usd", "eur")
+DIRECTION_WORDS = {
+    "up": (
+        "increase", "increased", "increases", "growth", "grew", "grow", "rose", "rise",
+        "risen", "higher", "up", "gain", "gained", "gains", "improved", "improvement",
+        "profit", "profits", "strengthened", "expansion", "expanded", "surge", "surged", "jumped",
+    ),
+    "down": (
+        "decrease", "decreased", "decreases", "decline", "declined", "declines", "declining", "fell",
+        "fall", "fallen", "drop", "dropped", "drops", "lower", "down", "reduction",
+        "reduced", "reduce", "shrink", "shrunk", "shrank", "loss", "losses", "deteriorated",
+        "weakened", "contraction", "contracted", "negative", "deficit",
+    ),
+    "flat": (
+        "unchanged", "stable", "flat", "marginal",
+    ),
+    "yes": ("yes",),
+    "no": ("no",),
+}
+FLAT_PHRASES = (
+    "no change", "no significant change", "no major change", "no material change", "no meaningful change",
+    "remained unchanged", "remained stable", "no notable change", "no considerable change",
+)
+STRIPPED_UNITS = (
+    "crores", "crore", "cr", "lakhs", "lakh", "lac", "lk", "millions", "million", "mn", "billions", "billion", "bn", "thousands", "thousand",
+    "rs", "inr", "₹", "$",
+)
 
 
 def lit(s: str) -> str:
@@ -61,8 +90,8 @@ def last_number(x: str) -> str:
 
 
 def canonical(x: str) -> str:
-    bare = removed(f"lower({x})", N.CURRENCIES, " ")
-    tried = [f"TRY_CAST(nullif(replace(regexp_extract({bare}, '([\\d,]+(?:\\.\\d+)?)\\s*{u}\\b', 1), ',', ''), '') AS DOUBLE) * {f!r}::DOUBLE" for u, f in N.UNITS]
+    bare = removed(f"lower({x})", CURRENCIES, " ")
+    tried = [f"TRY_CAST(nullif(replace(regexp_extract({bare}, '([\\d,]+(?:\\.\\d+)?)\\s*{u}\\b', 1), ',', ''), '') AS DOUBLE) * {f!r}::DOUBLE" for u, f in UNITS]
     return f"coalesce({', '.join(tried)}, TRY_CAST(nullif(replace(regexp_extract({bare}, '[\\d,]+(?:\\.\\d+)?'), ',', ''), '') AS DOUBLE))"
 
 
@@ -73,17 +102,17 @@ def equivalent(x: str, y: str) -> str:
 
 def direction(x: str) -> str:
     n = norm(x)
-    pairs = ", ".join(f"{lit(w)}: {lit(side)}" for side, own in M.DIRECTION_WORDS.items() for w in own.split())
-    known = "[" + ", ".join(lit(w) for own in M.DIRECTION_WORDS.values() for w in own.split()) + "]"
+    pairs = ", ".join(f"{lit(w)}: {lit(side)}" for side, own in DIRECTION_WORDS.items() for w in own)
+    known = "[" + ", ".join(lit(w) for own in DIRECTION_WORDS.values() for w in own) + "]"
     last = f"(list_filter(string_split({n}, ' '), lambda w: list_contains({known}, w)))[-1]"
     return (
         f"CASE WHEN regexp_matches(trim({x}), '^-\\d') THEN 'down' WHEN regexp_matches(trim({x}), '^\\+\\d') THEN 'up' WHEN regexp_matches(trim({x}), '^\\([\\d₹$]') THEN 'down' "
-        f"WHEN {any_of(n, M.FLAT_PHRASES)} THEN 'flat' WHEN {last} IS NOT NULL THEN MAP {{{pairs}}}[{last}] WHEN contains({n}, 'yes') THEN 'yes' WHEN contains({n}, 'no') THEN 'no' END"
+        f"WHEN {any_of(n, FLAT_PHRASES)} THEN 'flat' WHEN {last} IS NOT NULL THEN MAP {{{pairs}}}[{last}] WHEN contains({n}, 'yes') THEN 'yes' WHEN contains({n}, 'no') THEN 'no' END"
     )
 
 
 def strip_units(x: str) -> str:
-    return f"regexp_replace({removed(f'lower({x})', T.STRIPPED_UNITS)}, '[,()%\\s]', '', 'g')"
+    return f"regexp_replace({removed(f'lower({x})', STRIPPED_UNITS)}, '[,()%\\s]', '', 'g')"
 
 
 def token_estimate(x: str) -> str:

@@ -22,8 +22,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df, *order):
-    """Rows as tuples, sorted by their text."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from quillgrid.operators import bundles as U
 from quillgrid.operators import documents as O
 from quillgrid.operators import external as E
