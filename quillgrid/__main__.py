@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.operators import evaluation, models, reports
 from quillgrid.operators import external as E
-from quillgrid.session import session
+from quillgrid.session import kept, session
 from quillgrid.sources import readers, writers
 
 TIERS = list(readers.TIER_FILES)
@@ -21,6 +21,16 @@ def _named(path: str):
     return getattr(importlib.import_module(module), name)
 
 
+def _cache(spark, path: str, schema: str):
+    """The rows of a cache, or None before the first run. They are kept, as the run adds files to the folder."""
+    try:
+        return kept(spark.read.schema(schema).json(path))
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def _companies(spark, args) -> list[tuple[str, str]]:
     if args.company:
         return [tuple(c.split("/", 1)) for c in args.company]
@@ -48,11 +58,12 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--errors", action="store_true")
     c.add_argument("--failures", action="store_true")
     c.add_argument("--compare", action="store_true")
-    commands.add_parser("models")
+    c = commands.add_parser("models")
+    c.add_argument("file", help="JSON file of endpoints")
     args = parser.parse_args(argv)
     if args.command == "models":
-        for key, m in models.MODELS.items():
-            print(f"{key}: {m.name} ({m.model_id})")
+        for name, m in models.endpoints(args.file).items():
+            print(f"{name}: {m.shown} ({m.model} at {m.address})")
         return
     spark = session(app="quillgrid")
     if args.command == "analyze":
@@ -79,19 +90,23 @@ def main(argv: list[str] | None = None) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         chunks = None
-    cache_path = f"{args.output_dir}/generations/{tag}"
-    try:
-        cache = spark.read.schema(evaluation.EMPTY).json(cache_path)
-    except Exception as e:  # the first run has no cache
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        cache = None
-    run = evaluation.evaluate(questions, _named(args.backend) if args.backend else E.Stub(), args.regime, chunks, args.table_format, cache, _named(args.judge) if args.judge else None)
+    cache_path, judge_path = f"{args.output_dir}/generations/{tag}", f"{args.output_dir}/judgements"
+    run = evaluation.evaluate(
+        questions,
+        _named(args.backend) if args.backend else E.Stub(),
+        args.regime,
+        chunks,
+        args.table_format,
+        _cache(spark, cache_path, evaluation.EMPTY),
+        _named(args.judge) if args.judge else None,
+        _cache(spark, judge_path, f"_key string, {E.ANSWER}"),
+    )
     writers.records(run.generations, cache_path)
-    again = evaluation.evaluate(questions, E.Stub(), args.regime, chunks, args.table_format, spark.read.schema(evaluation.EMPTY).json(cache_path), _named(args.judge) if args.judge else None)
-    writers.records(again.scored.drop("anchors", "_prompt", "context"), f"{args.output_dir}/eval_results/{tag}", "overwrite")
-    writers.text(writers.aggregate_json(again.card), f"{args.output_dir}/aggregates/{tag}", spark)
-    again.card.show(100, False)
+    if run.judgements is not None:
+        writers.records(run.judgements, judge_path)
+    writers.records(run.scored.drop("anchors", "_prompt", "context"), f"{args.output_dir}/eval_results/{tag}", "overwrite")
+    writers.text(writers.aggregate_json(run.card), f"{args.output_dir}/aggregates/{tag}", spark)
+    run.card.show(100, False)
 
 
 if __name__ == "__main__":

@@ -13,19 +13,21 @@ from quillgrid.operators import documents as O
 from quillgrid.operators import external as E
 from quillgrid.operators import models as L
 from quillgrid.operators import scorecard as S
+from quillgrid.operators import stats as B
 
 AXES = ["question_type", "difficulty", "company", "sector", "hop", "complexity"]
-EMPTY = "question_id string, reply string, error string, latency_ms double"
+EMPTY = f"question_id string, {E.ANSWER}"
 
 
 @dataclass
 class Evaluation:
-    """What a run gives: scored rows, their scorecard, and new rows for the caches."""
+    """What a run gives: scored rows, their scorecard, new rows for the caches, and intervals of the means."""
 
     scored: DataFrame
     card: DataFrame
     generations: DataFrame
     judgements: DataFrame | None = None
+    intervals: DataFrame | None = None
 
 
 def evaluate(
@@ -67,7 +69,8 @@ def evaluate(
         before = judge_cache if judge_cache is not None else spark.createDataFrame([], EMPTY.replace("question_id", "_key"))
         marks, judged = E.judge(S.judge_candidates(scored).select("question_id", "gold", "pred", "question"), judge, before)
         scored = scored.join(marks.select("question_id", "llm_num_equiv"), "question_id", "left")
-    return Evaluation(scored, S.scorecard(scored, AXES), fresh, judged)
+    more = tuple(c for c in S.MORE if c in scored.columns)
+    return Evaluation(scored, S.scorecard(scored, AXES, more), fresh, judged, B.metric_intervals(scored, "question_id"))
 
 
 def chunk_reports(reports: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Calls to outside models as cached, resumable operators with pluggable backends.
 
 A backend is a picklable factory that gives, once per partition, a function from a list of prompts to
-replies. What was answered before is read from a cache table and not asked again; new answers are
-written by the caller (or by ``streaming.incremental``) to the same table.
+replies. What was answered before is read from a cache table and not asked again. New answers are asked
+for once and kept in the shared folder before anything reads them, so that every use of an operator's results
+sees the same replies and costs no further calls; the caller (or ``streaming.incremental``) writes them to
+the cache table.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from pyspark.sql import functions as F
 from quillgrid.functions import metrics as M
 from quillgrid.functions import replies as J
 from quillgrid.functions import text as T
-from quillgrid.session import ship_package
+from quillgrid.session import kept, ship_package
 
 Reply = tuple[str, str | None]
 Backend = Callable[[], Callable[[str], Reply]]
 
-#: (reply, error) columns of an answer.
-ANSWER = "reply string, error string, latency_ms double"
+#: Columns of an answer; asked_at (seconds) tells which of repeated answers is the last.
+ANSWER = "reply string, error string, latency_ms double, asked_at double"
 
 
 class Retryable(Exception):
@@ -86,12 +88,37 @@ class Fallback:
         return run
 
 
+class Limited(Exception):
+    """The backend takes no more calls with this key just now."""
+
+
+@dataclass
+class Rotating:
+    """Backends with different keys or hosts, one used until it says ``Limited``; then the next one is tried, each once a call."""
+
+    inner: list[Backend]
+
+    def __call__(self) -> Callable[[str], Reply]:
+        calls, at = [b() for b in self.inner], [0]
+
+        def run(prompt: str) -> Reply:
+            for _ in calls:
+                try:
+                    return calls[at[0]](prompt)
+                except Limited:
+                    at[0] = (at[0] + 1) % len(calls)
+            raise Retryable("all backends are at their limit")
+
+        return run
+
+
 @dataclass
 class RateLimited:
-    """At most ``per_minute`` calls a minute from each partition."""
+    """At most ``per_minute`` calls a minute in all, shared out among ``parallel`` partitions that ask at a time."""
 
     inner: Backend
     per_minute: float = 30.0
+    parallel: int = 1
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
 
@@ -99,7 +126,7 @@ class RateLimited:
         call, last = self.inner(), [float("-inf")]
 
         def run(prompt: str) -> Reply:
-            left = last[0] + 60.0 / self.per_minute - self.clock()
+            left = last[0] + 60.0 * self.parallel / self.per_minute - self.clock()
             if left > 0:
                 self.sleep(left)
             last[0] = self.clock()
@@ -119,10 +146,12 @@ class Stub:
 
 
 def last_cached(cache: DataFrame, key: str, order: Column | None = None) -> DataFrame:
-    """One row for each key of a cache: the last by ``order``."""
+    """One row for each key of a cache: the last by ``order``, else by when it was asked, else by its place in the table."""
+    place = F.monotonically_increasing_id()
     if order is None:
-        return cache.dropDuplicates([key])
-    return cache.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))).where("_r = 1").drop("_r")
+        order = F.struct(F.coalesce("asked_at", F.lit(0.0)), place) if "asked_at" in cache.columns else place
+    row = F.struct(*[F.col(c) for c in cache.columns])
+    return cache.select(F.col(key).alias("_key_"), row.alias("_row"), order.alias("_order")).groupBy("_key_").agg(F.max_by("_row", "_order").alias("_row")).select("_row.*")
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -150,8 +179,8 @@ def ask(rows: DataFrame, key: str, prompt: str, backend: Backend, parallel: int
                     reply, error = call(p)
                 except Exception as e:
                     reply, error = "", str(e) or type(e).__name__
-                out.append((k, reply, error, 1000 * (time.monotonic() - began)))
-            yield pd.DataFrame(out, columns=[key, "reply", "error", "latency_ms"])
+                out.append((k, reply, error, 1000 * (time.monotonic() - began), time.time()))
+            yield pd.DataFrame(out, columns=[key, "reply", "error", "latency_ms", "asked_at"])
 
     asked = rows.select(key, F.col(prompt).alias("prompt"))
     asked = asked.repartition(parallel) if parallel else asked
@@ -159,12 +188,15 @@ def ask(rows: DataFrame, key: str, prompt: str, backend: Backend, parallel: int
 
 
 def ask_cached(rows: DataFrame, key: str, prompt: str, backend: Backend, cache: DataFrame, parallel: int | None = None, retry_errors: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(answers of all rows, those that are new). Errors in the cache count as answers unless ``retry_errors``."""
-    held = cache.where("error IS NULL") if retry_errors else cache
-    held = last_cached(held.select(key, "reply", "error", "latency_ms"), key)
-    fresh = ask(pending(rows, held, key), key, prompt, backend, parallel)
+    """(answers of all rows, those that are new). Of repeated cache rows the last counts; errors count as answers unless ``retry_errors``.
+
+    Each key that the cache lacks is asked once, when this is called.
+    """
+    held = last_cached(cache, key)
+    held = (held.where("error IS NULL") if retry_errors else held).select(key, "reply", "error", "latency_ms")
+    fresh = kept(ask(pending(rows, held, key).dropDuplicates([key]), key, prompt, backend, parallel))
     known = held.join(rows.select(key).distinct(), key, "left_semi")
-    return known.unionByName(fresh), fresh
+    return known.unionByName(fresh.drop("asked_at")), fresh
 
 
 REGIMES = ("zero_shot", "few_shot", "closed_book", "chain_of_thought")
@@ -235,7 +267,7 @@ def generate_pairs(bundles: DataFrame, key: str, text: str, tier: str, backend:
 
             return run
 
-    asked = ask(bundles.withColumn("_prompt", question_prompt(F.col(text), tier, budget)), key, "_prompt", Parsing(backend, tries))
+    asked = kept(ask(bundles.withColumn("_prompt", question_prompt(F.col(text), tier, budget)), key, "_prompt", Parsing(backend, tries)))
     pairs = asked.select(key, F.explode(J.qa_pairs(F.col("reply"))).alias("p")).select(
         key, "p.question", "p.answer", "p.evidence", F.coalesce("p.question_type", F.lit("Unknown")).alias("question_type"), J.truthy(F.col("p.requires_calculation")).alias("requires_calculation")
     )
@@ -296,6 +328,15 @@ def upright(pages: DataFrame, key: list[str], content: str, detect: Callable[[],
     return pages.select(*key, content).mapInPandas(run, schema)
 
 
+def read_twice(pages: DataFrame, key: list[str], doc: str, content: str, first: Callable, second: Callable, attempts: int = 3) -> DataFrame:
+    """(key, md, status) of page images, where the failed pages of documents that are partly read get a second pass by ``second``."""
+    read = kept(read_pages(pages, key, content, first, attempts))
+    partial = document_status(read, doc).where("status = 'partial'").select(doc)
+    failed = read.where("status = 'failed'").join(partial, doc, "left_semi").select(*key)
+    again = kept(read_pages(pages.join(failed, key, "left_semi"), key, content, second, attempts))
+    return read.join(again.select(*key), key, "left_anti").select(*key, "md", "status").unionByName(again.select(*key, "md", "status"))
+
+
 def document_status(pages: DataFrame, doc: str) -> DataFrame:
     """(doc, pages, failed, status): ok, partial or failed; partial ones are read again in a second pass."""
     counted = pages.groupBy(doc).agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "failed").alias("failed"))

@@ -56,9 +56,14 @@ def score_rows(df: DataFrame, gold: str = "gold", pred: str = "pred", evidence:
     return df.withColumns(out)
 
 
-def measures() -> list[Column]:
+#: Further columns that are averaged over the rows that have them, where a run has them.
+MORE = ("bertscore_p", "bertscore_r", "bertscore_f1", "llm_num_equiv", "latency_ms")
+
+
+def measures(more: tuple[str, ...] = ()) -> list[Column]:
     """The aggregates of a group: counts, means, conditional means with their own denominators."""
     return [
+        *(F.avg(m).alias(m) for m in more),
         F.count("*").alias("n"),
         F.count_if("failed").alias("errors"),
         F.avg(F.col("abstained").cast("int")).alias("abstain_rate"),
@@ -70,11 +75,11 @@ def measures() -> list[Column]:
     ]
 
 
-def scorecard(scored: DataFrame, axes: list[str]) -> DataFrame:
+def scorecard(scored: DataFrame, axes: list[str], more: tuple[str, ...] = ()) -> DataFrame:
     """(axis, key, measures): the whole and every value of every axis from one scan (grouping sets); null keys are left out."""
-    view = scored.select(*axes, "failed", "abstained", "numeric_gold", "directional_acc", *MEANS, *(f"tol{k}_acc" for k in TOLERANCES))
+    view = scored.select(*axes, "failed", "abstained", "numeric_gold", "directional_acc", *MEANS, *more, *(f"tol{k}_acc" for k in TOLERANCES))
     sets = [[]] + [[a] for a in axes]
-    grouped = view.groupingSets([[F.col(a) for a in s] for s in sets], *map(F.col, axes)).agg(F.grouping_id().alias("gid"), *measures())
+    grouped = view.groupingSets([[F.col(a) for a in s] for s in sets], *map(F.col, axes)).agg(F.grouping_id().alias("gid"), *measures(more))
     top = (1 << len(axes)) - 1
     marks = {top: "all"} | {top & ~(1 << (len(axes) - 1 - k)): a for k, a in enumerate(axes)}
     axis = F.create_map(*[F.lit(x) for k, v in marks.items() for x in (k, v)])

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,24 +57,43 @@ def paired_bootstrap(pairs: DataFrame, a: str, b: str, order: str, by: list[str]
     return p.withColumn("significant", F.col("p_value") < 0.05)
 
 
+def _last(run: DataFrame, key: str, metrics: list[str], name: str) -> DataFrame:
+    """The last row of each key, its metrics as one struct."""
+    row = F.struct(*[F.col(m).cast("double").alias(m) for m in metrics])
+    return run.select(key, row.alias("_x"), F.monotonically_increasing_id().alias("_place")).groupBy(key).agg(F.max_by("_x", "_place").alias(name))
+
+
 def significance_table(run_a: DataFrame, run_b: DataFrame, key: str, metrics: list[str], replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
-    """Paired test of every metric over the questions that both runs have (the last of repeated ids)."""
-    pairs = run_a.dropDuplicates([key]).alias("a").join(run_b.dropDuplicates([key]).alias("b"), key)
-    stacked = pairs.select(key, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a.{m}").cast("double").alias("x"), F.col(f"b.{m}").cast("double").alias("y")) for m in metrics])).alias("s"))
+    """Paired test of every metric over the questions that both runs have (the last of repeated ids); an error if they share none."""
+    pairs = _last(run_a, key, metrics, "a").join(_last(run_b, key, metrics, "b"), key)
+    if pairs.isEmpty():
+        raise ValueError("the runs have no question in common")
+    stacked = pairs.select(key, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a.{m}").alias("x"), F.col(f"b.{m}").alias("y")) for m in metrics])).alias("s"))
     return paired_bootstrap(stacked.select(key, "s.metric", "s.x", "s.y"), "x", "y", key, ["metric"], replicates, seed)
 
 
+#: Measures that a card has intervals for.
+INTERVALS = ("exact_match", "relaxed_em", "token_f1", "rouge_l", "bertscore_f1", "num_exact", "num_f1", "entailment_ratio")
+
+
+def metric_intervals(scored: DataFrame, key: str, metrics: tuple[str, ...] = INTERVALS, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+    """(metric, mean, lower, upper, n): an interval of each metric's mean over the rows without an error."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("s")
+    return bootstrap_ci(scored.where(~F.col("failed")).select(key, each).select(key, "s.metric", "s.x"), "x", key, ["metric"], replicates, seed)
+
+
 def poisson_ci(scores: DataFrame, value: str, by: list[str], replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """The interval for groups of any size: every row has a Poisson weight in each replicate, summed in its partition first."""
     ship_package(scores.sparkSession)
     names = [f"k{i}" for i in range(len(by))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for key, own in f.groupby(names, dropna=False) if names else [((), f)]:
+        part = TaskContext.get().partitionId()
+        for batch, f in enumerate(frames):
+            for group, (key, own) in enumerate(f.groupby(names, dropna=False) if names else [((), f)]):
                 v = own["v"].to_numpy(float)
-                # Weights follow from the rows themselves, so that a task run again gives the same sums.
-                rng = np.random.default_rng([seed, len(v), *(abs(hash(float(x))) % (1 << 31) for x in v[:8])])
+                # Seeds tell places apart, not values: batches that begin alike have weights of their own.
+                rng = np.random.default_rng([seed, part, batch, group])
                 w = rng.poisson(1.0, (replicates, len(v)))
                 yield pd.DataFrame({**dict(zip(names, [[k] * replicates for k in key])), "replicate": np.arange(replicates), "w": w.sum(1).astype(float), "wv": w @ v})
 

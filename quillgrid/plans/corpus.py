@@ -15,6 +15,7 @@ from quillgrid.operators import documents as O
 from quillgrid.operators import external as E
 from quillgrid.plans import duck as D
 from quillgrid.plans.catalog import query, table
+from quillgrid.session import shared_dir
 from quillgrid.streaming import incremental as I
 
 # Documents as Markdown: every seventh line (from the first) a heading, lines parted by blank lines.
@@ -212,11 +213,7 @@ def cached_generation(spark: SparkSession, sf: str) -> DataFrame:
 def stream_incremental_counts(spark: SparkSession, sf: str) -> DataFrame:
     # A streaming file source reads folders: the table's own, or the one file's by a glob.
     found = spark.read.parquet(f"{sf}/events.parquet")
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="quillgrid-stream-")
+    root = shared_dir(spark)
     name = f"counts_{uuid.uuid4().hex}"
     stream = I.file_stream(spark, f"{sf}/events.parque[t]", found.schema)
     I.running_counts(stream, ["event_type"], name, f"{root.rstrip('/')}/{name}").awaitTermination()

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -28,6 +28,24 @@ def session(master: str | None = None, app: str = "quillgrid", **conf: str) -> S
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset, on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` computed once and kept in the shared folder, for what must not be done twice."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,21 @@ def sample(spark: SparkSession, root: str, companies: list[tuple[str, str]], tie
     return qa_records(named)
 
 
+def brsr_subset(spark: SparkSession, root: str, chosen: list[tuple[str, str]] | None = None, tiers: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Sustainability records of several tiers. A tier of which a wanted file is missing gives none."""
+    parts = []
+    for tier in tiers or list(TIER_FILES):
+        try:
+            wanted = chosen or [tuple(r) for r in companies(spark, root, TIER_FILES[tier][0]).collect()]
+            parts.append(sample(spark, root, wanted, tier, most).where("is_brsr"))
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    if not parts:
+        return qa_records(spark.createDataFrame([], QA + ", global_id string"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def companies(spark: SparkSession, root: str, source: str = "output_final_e_m") -> DataFrame:
     """(sector, company) folders that hold files, in order."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{source}").select(F.split("path", "/").alias("p"))

@@ -26,62 +26,65 @@ def one(pair):
 
 
 def test_normalize(one):
-    assert one(T.normalize, "Rs 41,173  Million!", "Directors", " ₹ 5 cr. ", "") == ["41 173 million", "directo", "5 cr", ""]
+    assert one(T.normalize, "  RS 7,  Towers?", "Farsi", "€ 3 km", "") == ["7 towe", "fai", "3 km", ""]
 
 
 def test_relaxed_match(pair):
-    yes = [("₹ 139.27 crores", "139.27"), ("Rs 41,173 million", "41173"), ("decrease by 30%", "-30%"), ("-30%", "decrease by 30%"), ("increase by 5%", "+5%"), ("fell by 12%", "-12%"), ("loss of 15%", "(15%)"), ("revenue was ₹500 crore", "revenue was ₹5 billion"), ("₹ 45,000 crores", "₹ 450 billion")]
-    no = [("decrease by 30%", "+30%"), ("increase by 5%", "-5%"), ("alpha", "beta")]
+    yes = [("₹ 88.5 lakh", "88.5"), ("$ 7,300 thousand", "7300"), ("dropped 4 points", "-4 points"), ("-9", "lower by 9"), ("profits up 6", "+6"), ("(17)", "a deficit of 17"), ("sales of 20 lakh", "sales of 2 million"), ("0.3 bn", "30 cr")]
+    no = [("fell 4", "+4"), ("gained 8", "-8"), ("north", "south")]
     assert pair(M.relaxed_match, *yes) == [1] * len(yes)
     assert pair(M.relaxed_match, *no) == [0] * len(no)
 
 
 def test_relaxed_is_looser_than_exact(pair):
-    cases = [("Thirteen (13) Directors", "Thirteen (13) Directors"), ("a", "b"), ("Yes", "yes."), ("", ""), ("10%", "10 %")]
+    cases = [("Seven (7) plants", "seven 7 plants"), ("a", "b"), ("No", "no!"), ("", ""), ("4%", "4 %")]
     for e, r in zip(pair(M.exact_match, *cases), pair(M.relaxed_match, *cases)):
         assert r >= e
 
 
 def test_directional(pair):
-    cases = [("increased", "increased"), ("increased", "declined"), ("decrease by 30%", "-30%"), ("declined 12%", "-12%"), ("grew 8%", "+8%"), ("loss of 15%", "(15%)"), ("alpha", "up"), ("up", "alpha")]
+    cases = [("rose", "grew"), ("rose", "shrank"), ("a drop of 9", "-9"), ("weakened", "(4)"), ("surged", "+3"), ("stable", "no change"), ("zebra", "up"), ("up", "zebra")]
     assert pair(M.directional_accuracy, *cases) == [1, 0, 1, 1, 1, 1, None, 0]
 
 
 def test_direction_labels(one):
-    assert one(M.direction, "No significant change in it", "I know", "eyes", "quiet", "-5", "+5", "(₹ 3)") == ["flat", "no", "yes", None, "down", "up", "down"]
+    assert one(M.direction, "saw no material change, then rose", "unknown", "eyesight", "quiet", "-5", "+5", "(₹ 3)", "rose, then fell") == ["flat", "no", "yes", None, "down", "up", "down", "down"]
 
 
 def test_token_f1(pair):
-    f1 = pair(lambda a, b: M.token_f1(a, b)["f1"], ("Thirteen Directors on the Board", "Thirteen Directors"), ("", ""), ("a", ""), ("a a b", "a b b"))
+    f1 = pair(lambda a, b: M.token_f1(a, b)["f1"], ("four red boats at sea", "four boats"), ("", ""), ("a", ""), ("a a b", "a b b"))
     assert 0.5 < f1[0] <= 1 and f1[1:] == [1.0, 0.0, 1.0]
 
 
 def test_numbers(one):
-    assert one(N.number_strings, "Rs 41,173 million and ₹ 549,498", "spread of 50 bps", "a, b -30%") == [["41,173", "549,498"], ["50"], [",", "30"]]
-    assert one(N.to_number, "41,173", "10.83", "abc", ",") == [41173.0, 10.83, None, None]
+    assert one(N.number_strings, "7,300 of 12.25", "room 9b", "x, y -4%") == [["7,300", "12.25"], ["9"], [",", "4"]]
+    assert one(N.to_number, "7,300", "12.25", "abc", ",") == [7300.0, 12.25, None, None]
 
 
 def test_canonical(one):
-    assert one(N.canonical_value, "₹ 500 crore", "₹ 5 billion", "₹ 45,000 cr", "₹ 450 billion", "1,23,456", "5 lakh and 3 crore", "x, 5", "none") == [5e9, 5e9, 4.5e11, 4.5e11, 123456.0, 3e7, None, None]
+    assert one(N.canonical_value, "₹ 2 lakh", "rs. 3 million", "4,000 k", "2,34,567", "9 lakh and 4 crore", "x, 5", "none") == [2e5, 3e6, 4e6, 234567.0, 4e7, None, None]
+    # Plurals come before singulars, whatever stands first in the text.
+    both = ["5 crore and 3 crores", "5 lakh, 3 lakhs", "5 billion or 3 billions", "5 million 3 millions", "5 thousand 3 thousands"]
+    assert one(N.canonical_value, *both) == [3e7, 3e5, 3e9, 3e6, 3e3]
 
 
 def test_equivalence(pair):
-    assert pair(N.equivalent, ("₹ 500 crore", "₹ 5 billion"), ("₹ 45,000 crores", "₹ 450 billion"), ("1,23,456", "123456"), ("₹ 500 crore", "₹ 6 billion"), ("a", "5"), ("0", "0")) == [True, True, True, False, False, True]
+    assert pair(N.equivalent, ("30 lakh", "3 million"), ("2,34,567", "234567"), ("30 lakh", "4 million"), ("a", "5"), ("0", "0"), ("1000", "1010")) == [True, True, False, False, True, True]
 
 
 def test_number_scores(pair):
-    got = pair(N.number_scores, ("Rs 41,173 million", "Rs 41,173 million"), ("Rs 41,173 million", "Rs 42,000 million"), ("549,498 and 103,386", "549,498 and 100,000"), ("Yes", "Yes"), ("5", "x"))
+    got = pair(N.number_scores, ("7,300 boats", "7,300 boats"), ("7,300 boats", "8,000 boats"), ("12.5 and 40", "12.5 and 41"), ("north", "north"), ("5", "x"))
     assert [g["exact"] for g in got] == [1, 0, 0, 1, 0]
     assert got[0]["f1"] == 1 and 0 < got[2]["f1"] < 1 and got[3]["f1"] == 1 and got[4]["f1"] == 0
 
 
 def test_tolerance(pair):
-    assert pair(N.within_tolerance, ("1000", "1050"), ("1000", "1060"), ("1000", "1020"), ("0", "0"), ("0", "1"), ("x", "1")) == [1, 0, 1, 1, 0, 0]
+    assert pair(N.within_tolerance, ("80", "84"), ("80", "84.1"), ("80", "79"), ("0", "0"), ("0", "1"), ("x", "1")) == [1, 0, 1, 1, 0, 0]
 
 
 def test_error(pair):
-    got = pair(N.absolute_percentage_error, ("0.5", "0.6"), ("1", "1000"), ("0", "1"), ("5", "x"), ("x", "5"))
-    assert got[0] == pytest.approx(0.2) and got[1:] == [10.0, None, None, None]
+    got = pair(N.absolute_percentage_error, ("4", "5"), ("1", "900"), ("0", "1"), ("5", "x"), ("x", "5"))
+    assert got[0] == pytest.approx(0.25) and got[1:] == [10.0, None, None, None]
 
 
 def test_rouge_forms_agree(pair, spark):
@@ -91,7 +94,7 @@ def test_rouge_forms_agree(pair, spark):
 
 
 def test_entailment(pair):
-    got = pair(M.entailment, ("Revenue grew by ten percent this year.", "Revenue grew by ten percent"), ("abc", " "), ("The firm sold boats.", "Quantum chess wins. no"), ("a b c d e f", "a b x y zz"))
+    got = pair(M.entailment, ("The ferry sank near the old harbour.", "The ferry sank near the old harbour"), ("abc", " "), ("The firm sold boats.", "Quantum chess wins. no"), ("a b c d e f", "a b x y zz"))
     assert got[0]["entailment"] == 1.0 and tuple(got[1]) == (0, 0.0, 0.0, 1.0)
     assert got[2]["n"] == 2 and got[2]["contradiction"] == 0.5 and got[2]["neutral"] == 0.5
     assert got[3]["neutral"] == 1.0
@@ -108,7 +111,7 @@ def test_abstention_and_flags(one):
 
 def test_hallucinations(pair):
     low = lambda a, b: M.hallucination_type(a, b, F.lit(0.1))
-    assert pair(low, ("increased by 5%", "declined by 5%"), ("5", "6"), ("5 and 6", "5"), ("a", "a b c d"), ("a", "b")) == ["direction_error", "numeric_fabrication", "numeric_miscalculation", "over_interpretation", "other"]
+    assert pair(low, ("rose 4", "fell 4"), ("5", "6"), ("5 and 6", "5"), ("a", "a b c d"), ("a", "b")) == ["direction_error", "numeric_fabrication", "numeric_miscalculation", "over_interpretation", "other"]
 
 
 def test_judge_replies(one):
@@ -118,10 +121,10 @@ def test_judge_replies(one):
 
 
 def test_tables(one):
-    html = "<TABLE><tr><th>Item</th><th>FY2025</th></tr><tr><td>Sales <b>net</b></td><td>45,320</td></tr><tr><td></td><td></td></tr></TABLE>"
+    html = "<TABLE><tr><th>Item</th><th>Year</th></tr><tr><td>Boats <b>sold</b></td><td>7,300</td></tr><tr><td></td><td></td></tr></TABLE>"
     md, lin = one(lambda c: H.serialize(c), f"x {html} y")[0], one(lambda c: H.serialize(c, "linearized"), f"x {html} y")[0]
-    assert "| Item | FY2025 |\n|---|---|\n" in md and md.startswith("x ") and md.endswith(" y")
-    assert lin == "x Item: Sales  net | FY2025: 45,320 y"
+    assert "| Item | Year |\n|---|---|\n" in md and md.startswith("x ") and md.endswith(" y")
+    assert lin == "x Item: Boats  sold | Year: 7,300 y"
     assert one(lambda c: H.serialize(c, "html"), html) == [html]
 
 

@@ -130,6 +130,9 @@ def test_bootstrap(spark):
     df = spark.createDataFrame([("g", k, v) for k, v in enumerate([1.0, 0.8, 0.9, 0.7, 1.0, 0.6, 0.9, 0.8, 0.95, 0.85])], "g string, k int, v double")
     ci = B.bootstrap_ci(df, "v", "k", ["g"], 300).first()
     assert 0.6 <= ci["lower"] <= ci["mean"] <= ci["upper"] <= 1 and ci["n"] == 10
+    many = spark.range(40_000).select((F.col("id") % 100 == 0).cast("double").alias("v"), F.lit("g").alias("g"))  # batches begin alike
+    wide = B.poisson_ci(many, "v", ["g"], 200).first()
+    assert 0.0006 < (wide["upper"] - wide["lower"]) / 2 < 0.0014  # 1.96 * sqrt(0.01 * 0.99 / 40000) is 0.00098
     big = B.poisson_ci(df, "v", ["g"], 300).first()
     assert 0.6 <= big["lower"] <= big["mean"] <= big["upper"] <= 1.05 and big["n"] == 10
 
@@ -139,6 +142,10 @@ def test_paired_bootstrap(spark):
     other = spark.createDataFrame([(k, 0.5, 0.5) for k in range(10)], "k int, a double, b double")
     one = B.significance_table(df.select("k", F.col("a").alias("m")), df.select("k", F.col("b").alias("m")), "k", ["m"], 200).first()
     same = B.significance_table(other.select("k", F.col("a").alias("m")), other.select("k", F.col("b").alias("m")), "k", ["m"], 200).first()
+    twice = df.select("k", F.col("a").alias("m")).coalesce(1).unionByName(df.select("k", F.col("b").alias("m")).coalesce(1))  # the last row of an id counts
+    assert B.significance_table(twice, df.select("k", F.col("b").alias("m")), "k", ["m"], 200).first()["delta"] == 0.0
+    with pytest.raises(ValueError):
+        B.significance_table(df.select("k", F.col("a").alias("m")), df.select((F.col("k") + 100).alias("k"), F.col("a").alias("m")), "k", ["m"], 200)
     # Without spread every replicate shows the observed difference.
     assert one["significant"] and one["delta"] == 1.0 and not same["significant"] and same["p_value"] == 1.0
 
@@ -173,6 +180,70 @@ def test_calls(spark):
     assert {r["id"]: r["reply"] for r in again.collect()}[1] == "new"
 
 
+def _counting(path, reply):
+    """A backend that leaves a line in a file for every call."""
+    path = str(path)
+
+    def backend():
+        def call(prompt):
+            with open(path, "a") as f:
+                f.write("call\n")
+            return reply, None
+
+        return call
+
+    return backend
+
+
+def test_each_key_is_asked_once(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"p{k}") for k in range(10)], "id int, prompt string")
+    none = spark.createDataFrame([], "id int, " + E.ANSWER)
+    calls = lambda name: len((tmp_path / name).read_text().splitlines())
+    every, fresh = E.ask_cached(df, "id", "prompt", _counting(tmp_path / "a", "x"), none)
+    assert every.count() == 10 and fresh.count() == 10 and every.join(fresh, "id").count() == 10 and calls("a") == 10
+    bundles = df.select(F.col("id").alias("bundle_id"), F.col("prompt").alias("text"))
+    good, dead = E.generate_pairs(bundles, "bundle_id", "text", "easy", _counting(tmp_path / "b", '[{"question": "q", "answer": "a"}]'), F.lit(2))
+    assert good.count() == 10 and dead.count() == 0 and calls("b") == 10
+    rows_ = df.selectExpr("'g' AS gold", "prompt AS pred", "'w' AS question")
+    got, new = E.judge(rows_, _counting(tmp_path / "c", '{"equivalent": true}'), spark.createDataFrame([], "_key string, " + E.ANSWER))
+    assert got.count() == 10 and new.count() == 10 and got.count() == 10 and calls("c") == 10
+
+
+def test_last_of_repeated_answers(spark):
+    cache = spark.createDataFrame([(1, "old", None, 1.0, 5.0), (1, "new", None, 1.0, 9.0), (1, "older", None, 1.0, 2.0), (2, "a", None, 1.0, None)], "id int, " + E.ANSWER)
+    assert {r["id"]: r["reply"] for r in E.last_cached(cache, "id").collect()} == {1: "new", 2: "a"}
+    assert {r["id"]: r["reply"] for r in E.last_cached(cache.drop("asked_at").coalesce(1), "id").collect()} == {1: "older", 2: "a"}
+
+
+def test_rotation_of_keys():
+    used = []
+
+    def backend(name, limit):
+        def make():
+            def call(prompt):
+                if used.count(name) >= limit:
+                    raise E.Limited
+                used.append(name)
+                return name, None
+
+            return call
+
+        return make
+
+    run = E.Rotating([backend("a", 2), backend("b", 1)])()
+    assert [run("x")[0] for _ in range(3)] == ["a", "a", "b"]
+    with pytest.raises(E.Retryable):
+        run("x")
+
+
+def test_second_pass(spark):
+    pages = spark.createDataFrame([("d", 1, b"good"), ("d", 2, b"bad"), ("e", 1, b"bad")], "doc string, page int, content binary")
+    first = lambda: lambda data: "" if data == b"bad" else "a page of text"
+    second = lambda: lambda data: "read at last"
+    got = {(r["doc"], r["page"]): (r["md"], r["status"]) for r in E.read_twice(pages, ["doc", "page"], "doc", "content", first, second).collect()}
+    assert got == {("d", 1): ("a page of text", "ok"), ("d", 2): ("read at last", "ok"), ("e", 1): ("", "failed")}
+
+
 def test_backends():
     tries, waits = [], []
 
@@ -324,6 +395,9 @@ def test_evaluation(spark, tmp_path):
     assert got["HDFC_hard_0"]["context"] == "chunk 0\n\nchunk 1" and got["HDFC_hard_1"]["same_length"] == 1 and got["HDFC_hard_1"]["bertscore_f1"] == 0.0
     card = {(r["axis"], r["key"]): r["n"] for r in run.card.collect()}
     assert card["all", None] == 6 and card["hop", "1-hop"] == 2 and card["complexity", "direct_lookup"] == 2 and ("hop", None) not in card
+    top = next(r for r in run.card.collect() if r["axis"] == "all")
+    assert top["latency_ms"] >= 0 and top["bertscore_f1"] == 0.0 and "llm_num_equiv" in top.asDict()
+    assert {r["metric"] for r in run.intervals.collect()} == set(B.INTERVALS)
     assert run.generations.count() == 6 and run.judgements.count() == 6
 
 
@@ -344,7 +418,7 @@ def test_creation(spark):
 def test_models(spark):
     from quillgrid.operators import models as L
 
-    assert len(L.MODELS) == 21 and L.local_server("a/b").name == "b" and L.run_tag("m", "easy", "zero_shot", "markdown") == "m_easy_zero_shot_markdown"
+    assert L.local_server("a/b", 9).shown == "b" and L.local_server("a/b", 9).address == "http://localhost:9/v1" and L.run_tag("m", "easy", "zero_shot", "markdown") == "m_easy_zero_shot_markdown"
     df = spark.createDataFrame([(1, "a b", "a"), (2, " ", None)], "k int, g string, p string")
     assert rows(L.bert_scores(df, "k", "g", "p")) == [(1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0)]
     seen = L.bert_scores(df, "k", "g", "p", lambda: lambda g, p: [(float(len(a)), float(len(b or "")), 0.5) for a, b in zip(g, p)])
@@ -369,9 +443,10 @@ def test_command_line(spark, tmp_path, capsys):
     from quillgrid.__main__ import main
 
     root = _questions(tmp_path)
-    main(["models"])
+    (tmp_path / "models.json").write_text('{"tiny": {"model": "own/tiny-1", "address": "http://localhost:1/v1"}}')
+    main(["models", str(tmp_path / "models.json")])
     main(["sample", "--data-root", root, "--difficulty", "hard"])
     main(["evaluate", "--data-root", root, "--difficulty", "hard", "--output-dir", str(tmp_path / "out")])
     main(["analyze", "--results-dir", str(tmp_path / "out"), "--compare", "--errors", "--failures"])
     out = capsys.readouterr().out
-    assert "llama3.1-8b" in out and "Table Only" in out and "stub" in out
+    assert "tiny: tiny-1 (own/tiny-1" in out and "Table Only" in out and "stub" in out
