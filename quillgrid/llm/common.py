@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.session import ship_package
+from quillgrid.session import shared_dir, ship_package
 
 #: Rows that a Python stage works on at a time at most (Spark bounds the bytes of the batches it sends).
 BATCH_ROWS = 1024
@@ -24,18 +23,6 @@ def prepared(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset, on a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files and driver state of what nothing refers to any more.
 
