@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _register() -> None:
-    from quillgrid.plans import answers, corpus  # noqa: F401  (they register their queries)
+    from quillgrid.plans import answers, corpus, rules  # noqa: F401  (they register their queries)
 
 
 _register()

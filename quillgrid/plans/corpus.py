@@ -36,17 +36,42 @@ def section_carry_forward(spark: SparkSession, sf: str) -> DataFrame:
     return O.block_rows(markdown(spark, sf)).select("doc_id", "pos", "section", "tokens")
 
 
-@query("chunk_pack")
+_ROOTED = "SELECT *, CAST(length(text) AS BIGINT) AS len, regexp_matches(rtrim(text), '[.。!?\"'')}\\]]$') AS closed FROM (" + f"""SELECT doc_id, pos, text, last_value(CASE WHEN head THEN trim(l) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section, {D.token_estimate('text')} AS tokens FROM ({LINES_SQL})""" + ")"
+# Blocks are dealt to chunks one after another: a new section closes a chunk of 240 tokens, 800 close it anyhow, 900 are its limit.
+PACK_SQL = f"""l AS ({_ROOTED}), p AS (
+  SELECT doc_id, pos, 0 AS chunk, tokens AS held, section FROM l WHERE pos = 0
+  UNION ALL
+  SELECT l.doc_id, l.pos, CASE WHEN new THEN chunk + 1 ELSE chunk END, CASE WHEN new THEN l.tokens ELSE held + l.tokens END, l.section
+  FROM (SELECT p.*, n.tokens AS more, n.section AS next, (n.section <> p.section AND held >= 240) OR held + n.tokens > 900 OR held >= 800 AS new FROM p JOIN l n ON n.doc_id = p.doc_id AND n.pos = p.pos + 1) q
+  JOIN l ON l.doc_id = q.doc_id AND l.pos = q.pos + 1),
+c AS (SELECT p.doc_id, p.chunk, arg_min(l.section, l.pos) AS section, CAST(sum(l.tokens) AS INTEGER) AS tokens, NOT arg_max(l.closed, l.pos) AS is_truncated, CAST(sum(l.len) + 2 * (count(*) - 1) AS INTEGER) AS n_chars
+  FROM p JOIN l ON l.doc_id = p.doc_id AND l.pos = p.pos GROUP BY p.doc_id, p.chunk)"""
+
+
+@query("chunk_pack", f"WITH RECURSIVE {PACK_SQL} SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, section, tokens, is_truncated, n_chars FROM c")
 def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
     return O.pack_chunks(O.block_rows(markdown(spark, sf))).select("doc_id", "chunk", "section", "tokens", "is_truncated", F.length("text").alias("n_chars"))
 
 
-@query("merge_truncated_chunks")
+@query(
+    "merge_truncated_chunks",
+    f"""WITH RECURSIVE {PACK_SQL}, m AS (
+  SELECT doc_id, chunk, chunk AS lead, tokens AS held, is_truncated FROM c WHERE chunk = 0
+  UNION ALL
+  SELECT c.doc_id, c.chunk, CASE WHEN m.is_truncated AND held + c.tokens <= 900 THEN lead ELSE c.chunk END, CASE WHEN m.is_truncated AND held + c.tokens <= 900 THEN held + c.tokens ELSE c.tokens END, c.is_truncated
+  FROM m JOIN c ON c.doc_id = m.doc_id AND c.chunk = m.chunk + 1)
+SELECT m.doc_id, CAST(lead AS INTEGER) AS chunk, CAST(sum(c.tokens) AS INTEGER) AS tokens, arg_max(c.is_truncated, c.chunk) AS is_truncated, CAST(sum(c.n_chars) + 2 * (count(*) - 1) AS INTEGER) AS n_chars
+FROM m JOIN c ON c.doc_id = m.doc_id AND c.chunk = m.chunk GROUP BY m.doc_id, lead""",
+)
 def merge_truncated_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return O.merge_truncated(O.pack_chunks(O.block_rows(markdown(spark, sf)))).select("doc_id", "chunk", "tokens", "is_truncated", F.length("text").alias("n_chars"))
 
 
-@query("chunk_validation")
+@query(
+    "chunk_validation",
+    f"""WITH RECURSIVE {PACK_SQL} SELECT level, issue, count(*) AS n FROM (
+  SELECT 'warning' AS level, 'too many tokens' AS issue FROM c WHERE tokens > 900 UNION ALL SELECT 'warning', 'no pages' FROM c) GROUP BY level, issue""",
+)
 def chunk_validation(spark: SparkSession, sf: str) -> DataFrame:
     return O.chunk_issues(O.pack_chunks(O.block_rows(markdown(spark, sf)))).groupBy("level", "issue").agg(F.count("*").alias("n"))
 
@@ -75,7 +100,18 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("bundle_build")
+@query(
+    "bundle_build",
+    f"""WITH RECURSIVE x AS (SELECT *, CASE WHEN section = '' THEN 'root' ELSE section END AS name, row_number() OVER (PARTITION BY source ORDER BY pos) AS r FROM ({CHUNKS_SQL})),
+e AS (SELECT *, name <> lead(name) OVER (PARTITION BY source ORDER BY pos) AS ends FROM x), b AS (
+  SELECT source, r, 0 AS bundle, 1 AS held, ends FROM e WHERE r = 1
+  UNION ALL
+  SELECT e.source, e.r, CASE WHEN b.held >= 4 AND b.ends THEN bundle + 1 ELSE bundle END, CASE WHEN b.held >= 4 AND b.ends THEN 1 ELSE held + 1 END, e.ends FROM b JOIN e ON e.source = b.source AND e.r = b.r + 1),
+n AS (SELECT e.*, b.bundle FROM e JOIN b ON b.source = e.source AND b.r = e.r),
+s AS (SELECT source, bundle, string_agg(section, ' | ' ORDER BY first) AS section FROM (SELECT source, bundle, section, min(pos) AS first FROM n WHERE section <> '' GROUP BY ALL) GROUP BY ALL)
+SELECT n.source, CAST(n.bundle AS INTEGER) AS bundle, arg_min(chunk_id, pos) || '_to_' || arg_max(chunk_id, pos) AS bundle_id, count(*) AS chunk_count, CAST(sum(score) AS BIGINT) AS score, bool_or(has_table) AS has_table,
+coalesce(any_value(s.section), '') AS section, CAST(sum(length(text)) + 7 * (count(*) - 1) AS INTEGER) AS n_chars FROM n LEFT JOIN s ON s.source = n.source AND s.bundle = n.bundle GROUP BY n.source, n.bundle""",
+)
 def bundle_build(spark: SparkSession, sf: str) -> DataFrame:
     made = U.assemble(U.build(chunks(spark, sf), "source"), "source")
     return made.select("source", "bundle", "bundle_id", "chunk_count", "score", "has_table", "section", F.length("text").alias("n_chars"))
@@ -122,13 +158,19 @@ def bundle_interval_join(spark: SparkSession, sf: str) -> DataFrame:
     return U.bundle_text(q, c.drop("bundle"), ["source"]).select("source", "question", F.md5("context").alias("context_md5"))
 
 
-@query(
-    "frequent_grams",
-    """WITH x AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents),
-g AS (SELECT doc_id, md5(array_to_string(w[k * 10 + 1 : k * 10 + 30], ' ')) AS gram FROM x, LATERAL (SELECT unnest(range(0, (len(w) - 30) // 10 + 1)) AS k) WHERE len(w) >= 30)
-SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 2""",
-)
+def _grams_sql(gram: int, often: int) -> str:
+    return f"""WITH x AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, md5(array_to_string(w[k * 10 + 1 : k * 10 + {gram}], ' ')) AS gram FROM x, LATERAL (SELECT unnest(range(0, (len(w) - {gram}) // 10 + 1)) AS k) WHERE len(w) >= {gram})
+SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= {often}"""
+
+
+@query("frequent_grams", _grams_sql(150, 10))
 def frequent_grams(spark: SparkSession, sf: str) -> DataFrame:
+    return O.frequent_grams(table(spark, sf, "documents"))
+
+
+@query("frequent_short_grams", _grams_sql(30, 2))
+def frequent_short_grams(spark: SparkSession, sf: str) -> DataFrame:
     return O.frequent_grams(table(spark, sf, "documents"), gram=30, often=2)
 
 
