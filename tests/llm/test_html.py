@@ -1,6 +1,8 @@
 import time
+from urllib.parse import urlsplit
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgrid.llm import html_text as H
 
@@ -77,3 +79,26 @@ def test_templates_beside_copies_and_on_a_large_host(spark):
     assert text[200] == "Menu of the site Story 0 of its own"  # 12 % of the host
     text = {r["page_id"]: r["text"] for r in H.extract(df, max_pages=10).collect()}
     assert text[200] == "Story 0 of its own" and text[299] == "Page 99"
+
+
+@pytest.mark.parametrize("bare", [False, True])
+def test_query_by_brute_force(spark, bare):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    if bare:  # without articles the site's own structure has to be told from the text
+        pages = pages.withColumn("html", F.regexp_replace("html", "</?(article|main|nav|header|footer|aside)[^>]*>", "<div>"))
+    rows = [(r["page_id"], r["url"], r["html"] or "") for r in pages.collect()]
+    holders, hosts = {}, {}
+    for _, url, page in rows:
+        host = (urlsplit(url).hostname or "").removeprefix("www.")
+        keys, mark = H.template_hashes(page)
+        hosts.setdefault(host, set()).add(mark)
+        for k in keys:
+            holders.setdefault((host, k), set()).add(mark)
+    want = []
+    for i, url, page in rows:
+        host = (urlsplit(url).hostname or "").removeprefix("www.")
+        gone = {k for k in H.template_hashes(page)[0] if len(holders[host, k]) >= H.MIN_PAGES and (len(holders[host, k]) > H.MIN_SHARE * len(hosts[host]) or len(holders[host, k]) > H.MAX_PAGES)}
+        text = " ".join(H.blocks(page, gone))
+        want.append((i, url, text, len(text)))
+    assert sorted(map(tuple, H.extract(pages).collect())) == sorted(want)
+    assert not bare or any(len(x) >= H.MIN_PAGES for x in holders.values())
