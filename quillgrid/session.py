@@ -40,6 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes for each core below which a table counts as small.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than cores dealt to all cores; any other table as it is.
+
+    A file of one row group is read by one task, and with it all that follows without a shuffle. Where
+    the table is large or has a file for each core nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_BYTES * cores and len(df.inputFiles()) < cores else df
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows of ``df`` computed once and kept in the shared folder, for what must not be done twice."""
     shared_dir(df.sparkSession)
