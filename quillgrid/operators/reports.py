@@ -44,7 +44,9 @@ def tier_delta(rows: DataFrame, model: str, tier: str, metric: str) -> DataFrame
 
 def near_misses(scored: DataFrame, key: str, n: int = 10) -> DataFrame:
     """The n rows of highest token F1 (0.7 at least) that are no exact match, ties by key."""
-    return scored.where((F.col("exact_match") == 0) & (F.col("token_f1") >= 0.7) & ~F.col("failed")).orderBy(F.desc("token_f1"), key).limit(n)
+    near = F.when((F.col("exact_match") == 0) & (F.col("token_f1") >= 0.7) & ~F.col("failed"), F.col("token_f1"))
+    # The filter comes after the limit, so that the measures are not worked out a second time for it.
+    return scored.withColumn("_near", near).orderBy(F.desc_nulls_last("_near"), key).limit(n).where("_near IS NOT NULL").drop("_near")
 
 
 def error_summary(rows: DataFrame, run: str, error: str, key: str, samples: int = 3) -> DataFrame:

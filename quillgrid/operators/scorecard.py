@@ -92,12 +92,12 @@ def hallucinations(scored: DataFrame, gold: str = "gold", pred: str = "pred") ->
     g, p = (F.coalesce(F.col(x), F.lit("")) for x in (gold, pred))
     bad = ~F.col("failed") & ~F.col("abstained") & (F.col("entailment_ratio") < 0.3)
     kinds = scored.select(F.when(bad, M.hallucination_type(g, p, F.col("entailment_ratio"))).alias("type"), F.col("failed")).groupBy("type").agg(
-        F.count("*").alias("count"), F.count_if(~F.col("failed")).alias("fine")
+        F.count("type").alias("count"), F.count_if(~F.col("failed")).alias("fine")
     )
     whole = Window.partitionBy()  # a handful of rows, one for each kind
     return (
         kinds.withColumn("rows", F.sum("fine").over(whole))
-        .where("type IS NOT NULL")
+        .where("count > 0")  # not "type IS NOT NULL", which would be worked out a second time, in the scan
         .withColumn("total", F.sum("count").over(whole))
         .select("type", "count", (F.col("count") / F.col("total")).alias("pct"), "total", (F.col("total") / F.nullif(F.col("rows"), F.lit(0))).alias("rate"))
         .orderBy(F.desc("count"), "type")
