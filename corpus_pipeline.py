@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgrid.llm import packing, quality, simhash, toxicity
 from quillgrid.llm.common import written
-from quillgrid.llm.queries import tokenizer_file
+from quillgrid.llm.queries import table, tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
