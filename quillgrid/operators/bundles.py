@@ -11,6 +11,8 @@ from quillgrid.session import ship_package
 
 SMALLEST = 4
 WEAK = (8, 10)
+#: Places of a stretch in the interval join.
+STRETCH = 64
 
 
 def build(chunks: DataFrame, key: str, pos: str = "pos", section: str = "section", smallest: int = SMALLEST) -> DataFrame:
@@ -84,8 +86,9 @@ def bundle_text(questions: DataFrame, chunks: DataFrame, keys: list[str], bundle
     """The questions with ``context``: texts of the chunks from the bundle's first to its last, in file order.
 
     An unknown first chunk or another form of id gives the empty text; an unknown last one reads to
-    the end. Equal keys make it a hash join with a range left over; a bundle is resolved once,
-    however many questions it has.
+    the end. Spans and chunks are dealt to stretches of places, so that the join is on keys and stretch
+    with a range left over, and a key with very many chunks is met span by span, not whole. A bundle
+    is resolved once, however many questions it has.
     """
     wanted = questions.select(*keys, bundle_col).distinct().withColumn("i", interval(F.col(bundle_col)))
     places = chunks.groupBy(*keys, F.col(id_col).alias("place_id")).agg(F.min(pos).alias("place"))
@@ -93,7 +96,12 @@ def bundle_text(questions: DataFrame, chunks: DataFrame, keys: list[str], bundle
     first = places.withColumnRenamed("place_id", "first").withColumnRenamed("place", "low")
     last = places.withColumnRenamed("place_id", "last").withColumnRenamed("place", "high")
     spans = ends.join(first, [*keys, "first"]).join(last, [*keys, "last"], "left").select(*keys, bundle_col, "low", F.when(F.col("high") >= F.col("low"), F.col("high")).alias("high"))
-    hit = spans.join(chunks.select(*keys, F.col(pos).alias("p"), F.col(text_col).alias("t")), keys).where((F.col("p") >= F.col("low")) & (F.col("high").isNull() | (F.col("p") <= F.col("high"))))
+    tops = chunks.groupBy(*keys).agg(F.max(pos).alias("top"))
+    whole = spans.join(tops, keys).select(*keys, bundle_col, "low", F.coalesce("high", "top").alias("high"))
+    stretch = lambda c: F.floor(c / STRETCH)
+    dealt = whole.withColumn("stretch", F.explode(F.sequence(stretch(F.col("low")), stretch(F.col("high")))))
+    texts_of = chunks.select(*keys, F.col(pos).alias("p"), F.col(text_col).alias("t"), stretch(F.col(pos)).alias("stretch"))
+    hit = dealt.join(texts_of, [*keys, "stretch"]).where(F.col("p").between(F.col("low"), F.col("high")))
     texts = hit.groupBy(*keys, bundle_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]), "\n\n").alias("context"))
     return questions.join(texts, [*keys, bundle_col], "left").withColumn("context", F.coalesce("context", F.lit("")))
 

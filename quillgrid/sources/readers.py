@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import replies as J
@@ -38,10 +38,18 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool
 
 
 def numbered_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """(path, line, record): with the place of each record in its file, for order-dependent uses."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    lines = whole.select("path", F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("line", "value"))
-    return lines.select("path", "line", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("record"))
+    """(path, line, record): with the place of each record in its file, for order-dependent uses.
+
+    Files are split as usual: lines are numbered within each split, and splits begin after the lines of
+    those before them in the file.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    lines = raw.where(F.trim("value") != "")
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    splits = lines.groupBy("path", "split").agg(F.count("*").alias("n")).select("path", "split", before.alias("before"))
+    placed = lines.withColumn("place", F.row_number().over(Window.partitionBy("path", "split").orderBy("at")) - 1)
+    found = placed.join(splits, ["path", "split"]).withColumn("line", (F.col("before") + F.col("place")).cast("int"))
+    return found.select("path", "line", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("record"))
 
 
 def qa_records(raw: DataFrame, sector: str | None = None, company: str | None = None) -> DataFrame:

@@ -209,6 +209,19 @@ def test_each_key_is_asked_once(spark, tmp_path):
     assert got.count() == 10 and new.count() == 10 and got.count() == 10 and calls("c") == 10
 
 
+def test_lines_are_numbered_through_splits(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"x": {k}}}\r\n' + "\n" * (k % 3) for k in range(700)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = readers.numbered_jsonl(spark, str(tmp_path), "x int")
+        assert got.select("path").distinct().count() == 2
+        assert all(r["line"] == r["record"]["x"] for r in got.collect()) and got.count() == 1400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_last_of_repeated_answers(spark):
     cache = spark.createDataFrame([(1, "old", None, 1.0, 5.0), (1, "new", None, 1.0, 9.0), (1, "older", None, 1.0, 2.0), (2, "a", None, 1.0, None)], "id int, " + E.ANSWER)
     assert {r["id"]: r["reply"] for r in E.last_cached(cache, "id").collect()} == {1: "new", 2: "a"}
