@@ -10,6 +10,7 @@ the cache table.
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -112,6 +113,39 @@ class Rotating:
         return run
 
 
+@dataclass
+class Overflow:
+    """Asks the first backend as often as its rate allows, and the second at once where it does not or where the first fails.
+
+    ``per_minute`` is the first's rate in all, shared out among ``parallel`` partitions; ``burst`` calls may come together.
+    """
+
+    first: Backend
+    second: Backend
+    per_minute: float = 30.0
+    parallel: int = 1
+    burst: int = 1
+    clock: Callable[[], float] = time.monotonic
+
+    def __call__(self) -> Callable[[str], Reply]:
+        a, b, held, last = self.first(), self.second(), [float(self.burst)], [self.clock()]
+
+        def run(prompt: str) -> Reply:
+            now = self.clock()
+            held[0] = min(float(self.burst), held[0] + (now - last[0]) * self.per_minute / 60.0 / self.parallel)
+            last[0] = now
+            if held[0] < 1:
+                return b(prompt)
+            held[0] -= 1
+            try:
+                reply, error = a(prompt)
+            except Exception:
+                return b(prompt)
+            return (reply, None) if error is None else b(prompt)
+
+        return run
+
+
 @dataclass
 class RateLimited:
     """At most ``per_minute`` calls a minute in all, shared out among ``parallel`` partitions that ask at a time."""
@@ -249,8 +283,6 @@ def generate_pairs(bundles: DataFrame, key: str, text: str, tier: str, backend:
         tries: int
 
         def __call__(self):
-            import json
-
             call = self.inner()
 
             def run(prompt: str) -> Reply:
@@ -341,3 +373,19 @@ def document_status(pages: DataFrame, doc: str) -> DataFrame:
     """(doc, pages, failed, status): ok, partial or failed; partial ones are read again in a second pass."""
     counted = pages.groupBy(doc).agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "failed").alias("failed"))
     return counted.withColumn("status", F.when(F.col("failed") == 0, "ok").when(F.col("failed") < F.col("pages"), "partial").otherwise("failed"))
+
+
+def processing_counters(states: DataFrame) -> DataFrame:
+    """(status, documents, pages, failed) of document states, with the total under a null status."""
+    return states.rollup("status").agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"), F.sum("failed").alias("failed"))
+
+
+def retry_set(states: DataFrame, reports: DataFrame, doc: str) -> DataFrame:
+    """(doc): what a second pass reads: documents partly read, and reports that are not ``complete``."""
+    return states.where("status = 'partial'").select(doc).unionByName(reports.where("NOT complete").select(doc)).distinct()
+
+
+def progress(states: DataFrame) -> str:
+    """A snapshot of the counters as JSON (a handful of rows)."""
+    rows = processing_counters(states).collect()
+    return json.dumps({r["status"] or "all": {"documents": r["documents"], "pages": r["pages"], "failed": r["failed"]} for r in rows}, sort_keys=True)

@@ -132,3 +132,8 @@ def company_split(companies: DataFrame, sector: str, company: str, priority: lis
 
 def split_stats(split: DataFrame, sector: str, company: str) -> DataFrame:
     return split.groupBy("split").agg(F.countDistinct(company).alias("companies"), F.countDistinct(sector).alias("sectors"))
+
+
+def split_overlaps(split: DataFrame, company: str) -> DataFrame:
+    """(company, splits) of the companies that are in more than one split; no rows if the split is sound."""
+    return split.groupBy(company).agg(F.array_sort(F.collect_set("split")).alias("splits")).where(F.size("splits") > 1)

@@ -153,6 +153,13 @@ def split_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return B.split_stats(B.company_split(named, "n_name", "c_name"), "n_name", "c_name")
 
 
+@query("split_disjointness", "SELECT count(*) AS overlaps FROM (SELECT c_name FROM customer GROUP BY c_name HAVING count(DISTINCT c_nationkey) > 1)")
+def split_disjointness(spark: SparkSession, sf: str) -> DataFrame:
+    # A name with two nations is two companies, which may come into two splits; others never do.
+    named = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return B.split_overlaps(B.company_split(named, "n_name", "c_name"), "c_name").agg(F.count("*").alias("overlaps"))
+
+
 @query(
     "last_cached_answers",
     "SELECT custkey AS question_id, arg_max(reply, asked * 10000000000 + k) AS reply FROM (SELECT o_custkey AS custkey, 'r' || o_orderkey AS reply, o_orderkey % 1000 AS asked, o_orderkey AS k FROM orders) GROUP BY custkey",
@@ -181,6 +188,28 @@ def document_states(spark: SparkSession, sf: str) -> DataFrame:
     return E.document_status(pages, "doc")
 
 
+_STATES_SQL = """SELECT doc, pages, failed, CASE WHEN failed = 0 THEN 'ok' WHEN failed < pages THEN 'partial' ELSE 'failed' END AS status FROM (SELECT o_custkey AS doc, count(*) AS pages, sum((o_orderkey % 4 = 0)::INT) AS failed FROM orders GROUP BY 1)"""
+
+
+def _states(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "orders").selectExpr("o_custkey AS doc", "CASE WHEN o_orderkey % 4 = 0 THEN 'failed' ELSE 'ok' END AS status")
+    return E.document_status(pages, "doc")
+
+
+@query(
+    "processing_counters",
+    f"SELECT status, count(*) AS documents, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(failed) AS BIGINT) AS failed FROM ({_STATES_SQL}) GROUP BY ROLLUP (status)",
+)
+def processing_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return E.processing_counters(_states(spark, sf))
+
+
+@query("retry_set", f"SELECT doc FROM ({_STATES_SQL}) WHERE status = 'partial' UNION SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0")
+def retry_set(spark: SparkSession, sf: str) -> DataFrame:
+    reports = table(spark, sf, "customer").selectExpr("c_custkey AS doc", "c_custkey % 10 <> 0 AS complete")
+    return E.retry_set(_states(spark, sf), reports, "doc")
+
+
 @query("failed_page_places", "SELECT conv_id, turn + 1 AS page FROM conversations WHERE turn % 3 = 1")
 def failed_page_places(spark: SparkSession, sf: str) -> DataFrame:
     talk = table(spark, sf, "conversations").selectExpr("conv_id", "turn", "CASE WHEN turn % 3 = 1 THEN '**EXTRACTION FAILED**' ELSE 'text' END AS t")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -119,6 +120,23 @@ def aggregates(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("body")).where(F.try_parse_json("body").isNotNull())
 
 
+def bad_aggregates(spark: SparkSession, folder: str) -> DataFrame:
+    """(file): the JSON files of a folder that do not parse, for a warning."""
+    rows = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    return rows.where(F.try_parse_json("value").isNull()).select(F.col("_metadata.file_name").alias("file"))
+
+
+def reused(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at a path; where there is none it is made and written first."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    make().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def details(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Per-question rows of every JSON lines file in a folder, with the file's name; bad lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json*").json(folder).withColumn("file", F.col("_metadata.file_name"))

@@ -249,6 +249,30 @@ def test_rotation_of_keys():
         run("x")
 
 
+def test_overflow():
+    now = [0.0]
+    broken = lambda: lambda prompt: ("", "down")
+    run = E.Overflow(E.Stub("a"), E.Stub("b"), 60, burst=2, clock=lambda: now[0])()
+    assert [run("x")[0] for _ in range(3)] == ["a", "a", "b"]
+    now[0] = 1.0
+    assert [run("x")[0] for _ in range(2)] == ["a", "b"]
+    assert E.Overflow(broken, E.Stub("b"), clock=lambda: now[0])()("x") == ("b", None)
+
+
+def test_reuse_and_progress(spark, tmp_path):
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    for _ in range(2):
+        assert readers.reused(spark, str(tmp_path / "t"), make).count() == 3
+    assert made == [1]
+    (tmp_path / "agg").mkdir()
+    (tmp_path / "agg" / "good.json").write_text("{}")
+    (tmp_path / "agg" / "bad.json").write_text("{")
+    assert rows(readers.bad_aggregates(spark, str(tmp_path / "agg"))) == [("bad.json",)]
+    states = E.document_status(spark.createDataFrame([("a", "ok"), ("a", "failed"), ("b", "ok")], "doc string, status string"), "doc")
+    assert json.loads(E.progress(states))["all"] == {"documents": 2, "pages": 3, "failed": 1}
+
+
 def test_second_pass(spark):
     pages = spark.createDataFrame([("d", 1, b"good"), ("d", 2, b"bad"), ("e", 1, b"bad")], "doc string, page int, content binary")
     first = lambda: lambda data: "" if data == b"bad" else "a page of text"
