@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillgrid.session import shared_dir, ship_package
 
 #: Rows that a Python stage works on at a time at most (Spark bounds the bytes of the batches it sends).
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def prepared(spark: SparkSession) -> None:
@@ -33,10 +33,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of the batches that Spark sends to Python stages while a table is written here: fewer than usual, for long texts.
+SENT_ROWS = 2048
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of ``SENT_ROWS`` at most for what is computed inside; the session's setting stands again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    if not 0 < int(before) <= SENT_ROWS:
+        spark.conf.set(key, str(SENT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from a checkpoint in the shared folder, without their lineage."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    with _small_batches(df.sparkSession):
+        out = df.checkpoint(eager=True)
     release(df.sparkSession)
     return out
 
@@ -45,7 +63,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows written as a Parquet table in the shared folder and read again (columns are pruned on each read)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillgrid-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
