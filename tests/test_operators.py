@@ -330,9 +330,9 @@ def test_judge(spark):
 
 def test_prompts(spark):
     r = spark.range(1).select(
-        E.company_preamble(F.lit("HDFC_Bank"), F.lit("Private_Bank"), F.lit("FY2025")).alias("p"), E.completion_prompt(F.lit("q"), F.lit("x" * 50), 10).alias("c"), E.messages(F.lit("q"), F.lit("ctx"), "closed_book").alias("m")
+        E.company_preamble(F.lit("Acme_Bank"), F.lit("Private_Bank"), F.lit("FY2025")).alias("p"), E.completion_prompt(F.lit("q"), F.lit("x" * 50), 10).alias("c"), E.messages(F.lit("q"), F.lit("ctx"), "closed_book").alias("m")
     ).first()
-    assert "FY2025 (April 2024 – March 2025)" in r["p"] and "HDFC Bank" in r["p"] and "truncated" in r["c"] and "ctx" not in r["m"][1]["content"]
+    assert "FY2025 (April 2024 – March 2025)" in r["p"] and "Acme Bank" in r["p"] and "truncated" in r["c"] and "ctx" not in r["m"][1]["content"]
 
 
 def test_pages(spark):
@@ -348,21 +348,21 @@ def test_pages(spark):
 
 
 def test_readers(spark, tmp_path):
-    base = tmp_path / "output_final_e_m" / "Bank" / "HDFC" / "FY2025"
+    base = tmp_path / "output_final_e_m" / "Bank" / "Acme" / "FY2025"
     (base / "easy").mkdir(parents=True)
     (base / "easy" / "test_easy_qa.jsonl").write_text('{"question": "q0", "answer": "a", "evidence": "e", "section": "BRSR"}\n\n{"question": "q1", "answer": "a", "evidence": "e", "question_type": "Table Only"}\n')
-    got = readers.sample(spark, str(tmp_path), [("Bank", "HDFC")], "easy").orderBy("global_id").collect()
-    assert [r["global_id"] for r in got] == ["HDFC_easy_0", "HDFC_easy_1"] and got[0]["is_brsr"] and got[0]["question_type"] == "Unknown" and not got[1]["requires_calculation"]
-    assert readers.sample(spark, str(tmp_path), [("Bank", "HDFC")], "easy", 1).count() == 1
-    assert rows(readers.companies(spark, str(tmp_path))) == [("Bank", "HDFC")]
+    got = readers.sample(spark, str(tmp_path), [("Bank", "Acme")], "easy").orderBy("global_id").collect()
+    assert [r["global_id"] for r in got] == ["Acme_easy_0", "Acme_easy_1"] and got[0]["is_brsr"] and got[0]["question_type"] == "Unknown" and not got[1]["requires_calculation"]
+    assert readers.sample(spark, str(tmp_path), [("Bank", "Acme")], "easy", 1).count() == 1
+    assert rows(readers.companies(spark, str(tmp_path))) == [("Bank", "Acme")]
     with pytest.raises(ValueError):
         readers.tier_path("x", "odd")
-    reports = tmp_path / "md" / "Bank" / "HDFC"
+    reports = tmp_path / "md" / "Bank" / "Acme"
     reports.mkdir(parents=True)
     (reports / "2025.md").write_text("# A")
     (tmp_path / "md" / "_skip").mkdir()
     (tmp_path / "md" / "_skip" / "x.md").write_text("no")
-    assert rows(readers.reports(spark, str(tmp_path / "md")).select("company", "year")) == [("HDFC", "FY2025")]
+    assert rows(readers.reports(spark, str(tmp_path / "md")).select("company", "year")) == [("Acme", "FY2025")]
     (tmp_path / "agg").mkdir()
     (tmp_path / "agg" / "m_easy_zero_shot.json").write_text('{"n": 1}')
     (tmp_path / "agg" / "bad.json").write_text("{")
@@ -411,11 +411,11 @@ def test_reports(spark):
 
 
 def _questions(tmp_path):
-    base = tmp_path / "output_final_h_m" / "Bank" / "HDFC" / "FY2025"
+    base = tmp_path / "output_final_h_m" / "Bank" / "Acme" / "FY2025"
     (base / "hard").mkdir(parents=True)
     lines = [{"question": f"How much {k}?", "answer": f"Rs {k}5 crore", "evidence": f"It was Rs {k}5 crore.", "question_type": "Table Only", "sector": "Bank", "year": "FY2025", "bundle_id": f"x:{0:04d}_to_x:{1:04d}", "verification_anchors": json.dumps({"cross_section_sources": ["a", "b"][: k % 3]})} for k in range(6)]
     (base / "hard" / "hard_qa_pairs.jsonl").write_text("\n".join(map(json.dumps, lines)))
-    chunks = [{"chunk_id": f"x:{k:04d}", "doc_id": "d", "sector": "Bank", "company": "HDFC", "text": f"chunk {k}"} for k in range(3)]
+    chunks = [{"chunk_id": f"x:{k:04d}", "doc_id": "d", "sector": "Bank", "company": "Acme", "text": f"chunk {k}"} for k in range(3)]
     (base / "chunks.jsonl").write_text("\n".join(map(json.dumps, chunks)))
     return str(tmp_path)
 
@@ -424,12 +424,12 @@ def test_evaluation(spark, tmp_path):
     from quillgrid.operators import evaluation as V
 
     root = _questions(tmp_path)
-    q = readers.sample(spark, root, [("Bank", "HDFC")], "hard")
+    q = readers.sample(spark, root, [("Bank", "Acme")], "hard")
     chunks = readers.chunks(spark, f"{root}/output_final_h_m/*/*/*/chunks.jsonl")
     run = V.evaluate(q, E.Stub("Rs 05 crore"), chunks=chunks, judge=E.Stub('{"equivalent": true}'), extra={"same_length": lambda g, p, e: (F.length(g) == F.length(p)).cast("int")})
     got = {r["question_id"]: r for r in run.scored.collect()}
-    assert len(got) == 6 and got["HDFC_hard_0"]["exact_match"] == 1 and got["HDFC_hard_1"]["exact_match"] == 0 and got["HDFC_hard_1"]["llm_num_equiv"] == 1
-    assert got["HDFC_hard_0"]["context"] == "chunk 0\n\nchunk 1" and got["HDFC_hard_1"]["same_length"] == 1 and got["HDFC_hard_1"]["bertscore_f1"] == 0.0
+    assert len(got) == 6 and got["Acme_hard_0"]["exact_match"] == 1 and got["Acme_hard_1"]["exact_match"] == 0 and got["Acme_hard_1"]["llm_num_equiv"] == 1
+    assert got["Acme_hard_0"]["context"] == "chunk 0\n\nchunk 1" and got["Acme_hard_1"]["same_length"] == 1 and got["Acme_hard_1"]["bertscore_f1"] == 0.0
     card = {(r["axis"], r["key"]): r["n"] for r in run.card.collect()}
     assert card["all", None] == 6 and card["hop", "1-hop"] == 2 and card["complexity", "direct_lookup"] == 2 and ("hop", None) not in card
     top = next(r for r in run.card.collect() if r["axis"] == "all")
@@ -442,9 +442,9 @@ def test_creation(spark):
     from quillgrid.operators import evaluation as V
 
     body = "\n\n".join(f"## Risk Management {k // 6}\n\nRevenue and profit grew by {k} percent. " + " ".join(f"w{k}x{j}" for j in range(250)) + "." for k in range(24))
-    reports = spark.createDataFrame([("Bank", "HDFC", "FY2025", body)], "sector string, company string, year string, text string")
+    reports = spark.createDataFrame([("Bank", "Acme", "FY2025", body)], "sector string, company string, year string, text string")
     chunks = V.chunk_reports(reports).cache()
-    assert chunks.orderBy("pos").first()["chunk_id"] == "Bank/HDFC/FY2025:0000" and chunks.agg(F.min("score")).first()[0] >= 1
+    assert chunks.orderBy("pos").first()["chunk_id"] == "Bank/Acme/FY2025:0000" and chunks.agg(F.min("score")).first()[0] >= 1
     bundles = V.make_bundles(chunks)
     assert bundles.count() >= 1
     good, dead = V.make_questions(bundles, "easy", E.Stub('[{"question": "q", "answer": "a"}]'))
