@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import chat, html_text, nbest, packing, quality, recurrent_lm, simhash, token_counts, topk, toxicity
+from quillgrid.llm import chat, collocations, compression, html_text, nbest, packing, quality, recurrent_lm, runs, simhash, token_counts, topk, toxicity
 from quillgrid.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,23 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("id") % 50 == 0), vectors)
 
 
+@query
+def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return compression.score(docs, compression.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.digests(runs.find(docs.select("doc_id", runs.planted(docs["doc_id"], docs["text"]).alias("text"))))
+
+
 ORACLES["op8_exact_topk"] = """
 WITH v AS (
   SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -112,3 +129,41 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+ORACLES["op12_collocations"] = """
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), p AS (
+  SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p
+), n AS (
+  SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, range(1, 6) AS ks(k)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT f.lang, f.phrase, f.f AS a, n.n, cut, string_split(f.phrase, ' ') AS ws
+  FROM f JOIN n USING (lang), range(1, 5) AS cuts(cut) WHERE f.k >= 2 AND cut < f.k
+), s AS (
+  SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, c.n, cut, (CAST(1000 AS HUGEINT) * c.a * c.n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1 : cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[cut + 1 : len(c.ws)], ' ')
+), lowest AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, f, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(string_split(phrase, ' ')[i : i + m - 1], ' '))) AS phrase
+  FROM f, range(2, 5) AS ms(m) WHERE m < k
+), outer_most AS (
+  SELECT lang, phrase, max(f) AS f FROM inside GROUP BY ALL
+), left_over AS (
+  SELECT lowest.* FROM lowest LEFT JOIN outer_most o ON o.lang = lowest.lang AND o.phrase = lowest.phrase WHERE o.f IS NULL OR 100 * o.f < 100 * lowest.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
