@@ -398,8 +398,8 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
     counts = written(word_counts(rows), "word-counts")
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     words = written(numbered_words(counts, totals, min_count), "numbered-words")
-    sizes = words.agg(F.count("*").alias("ids")).crossJoin(totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))).first()  # one row each
-    phrases, width = phrase_counts(rows, words, sizes["ids"], sizes["n"], min_count, longest, sent_words, range_keys)
+    n_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    phrases, width = phrase_counts(rows, words, words.count(), n_words, min_count, longest, sent_words, range_keys)
     phrases = written(phrases, "phrases")
     lone = maximal(phrases, width, longest, within)
     judged = written(scored(phrases, words, width).join(lone.select("key"), "key", "left_semi"), "scored-phrases")
