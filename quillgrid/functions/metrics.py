@@ -152,7 +152,7 @@ def rouge_l(gold: Column, pred: Column) -> Column:
 
 
 def meteor(gold: Column, pred: Column) -> Column:
-    """Token F1, the documented stand-in where no synonym model is installed; 0 for a blank text."""
+    """Token F1, which stands in for METEOR inside a row; 0 for a blank text. ``alignment.meteor_scores`` is METEOR itself."""
     return F.when((T.strip(gold) == "") | (T.strip(pred) == ""), 0.0).otherwise(token_f1(gold, pred)["f1"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,27 +14,69 @@ SMALLEST = 4
 WEAK = (8, 10)
 #: Places of a stretch in the interval join.
 STRETCH = 64
+#: Places that one task folds at a time when bundles are built.
+FOLDED = 4096
 
 
-def build(chunks: DataFrame, key: str, pos: str = "pos", section: str = "section", smallest: int = SMALLEST) -> DataFrame:
-    """The chunks with their bundle's number: a bundle closes at a section's end once it has ``smallest`` chunks."""
+def _starts(turns: np.ndarray, held: int, smallest: int) -> list[int]:
+    """Places where a bundle begins, if the open one has ``held`` chunks before place 0; ``turns`` are the places with a new section."""
+    first, out = -held, []
+    for k in turns.tolist():
+        if k - first >= smallest:
+            out.append(k)
+            first = k
+    return out
+
+
+def _turns(names: pd.Series) -> np.ndarray:
+    own = names.to_numpy()
+    return np.flatnonzero(own[1:] != own[:-1]) + 1
+
+
+def build(chunks: DataFrame, key: str, pos: str = "pos", section: str = "section", smallest: int = SMALLEST, stretch: int = FOLDED) -> DataFrame:
+    """The chunks with their bundle's number: a bundle closes at a section's end once it has ``smallest`` chunks.
+
+    Bundling is a fold whose state is how many chunks the open bundle has, which matters up to
+    ``smallest`` only. So a stretch of places folds to a map of those few states, with the bundles it
+    closes from each; the maps of a key are composed in order, one short row for each stretch; then
+    every stretch numbers its chunks from the state it begins with. A key of any size is spread over as
+    many tasks as it has stretches.
+    """
     ship_package(chunks.sparkSession)
     kind = chunks.schema[key].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos").reset_index(drop=True)
-        names = [s or "root" for s in frame["section"]]
-        number, held, out = 0, 0, []
-        for k, name in enumerate(names):
-            out.append(number)
-            held += 1
-            if held >= smallest and (k + 1 == len(names) or names[k + 1] != name):
-                number, held = number + 1, 0
-        return pd.DataFrame({"key": frame["key"], "pos": frame["pos"], "bundle": out})
-
-    slim = chunks.select(F.col(key).alias("key"), F.col(pos).cast("bigint").alias("pos"), F.col(section).alias("section"))
-    numbered = slim.groupBy("key").applyInPandas(run, f"key {kind}, pos bigint, bundle int")
-    return chunks.join(numbered.select(F.col("key").alias(key), F.col("pos").alias(pos), "bundle"), [key, pos])
+    place = F.col(pos).cast("bigint")
+    name = F.when(F.coalesce(F.col(section), F.lit("")) == "", "root").otherwise(F.col(section))
+    slim = chunks.select(F.col(key).alias("key"), place.alias("pos"), name.alias("name"), F.floor(place / stretch).alias("stretch"))
+
+    def folded(frame: pd.DataFrame) -> pd.DataFrame:
+        names = frame.sort_values("pos")["name"]
+        turns, closed, held = _turns(names), [], []
+        for state in range(smallest + 1):
+            begun = _starts(turns, state, smallest)
+            closed.append(len(begun))
+            held.append(min(smallest, len(names) - (begun[-1] if begun else -state)))
+        return pd.DataFrame([[frame["key"].iloc[0], frame["stretch"].iloc[0], names.iloc[0], names.iloc[-1], closed, held]], columns=["key", "stretch", "first", "last", "closed", "held"])
+
+    def composed(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("stretch")
+        number, state, before, out = 0, 0, None, []
+        for first, last, closed, held in zip(frame["first"], frame["last"], frame["closed"], frame["held"]):
+            if before is not None and first != before and state >= smallest:
+                number, state = number + 1, 0
+            out.append((number, state))
+            number, state, before = number + int(closed[state]), int(held[state]), last
+        return pd.DataFrame({"key": frame["key"], "stretch": frame["stretch"], "number": [n for n, _ in out], "state": [s for _, s in out]})
+
+    def numbered(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pos")
+        begun = _starts(_turns(frame["name"]), int(frame["state"].iloc[0]), smallest)
+        own = int(frame["number"].iloc[0]) + np.searchsorted(np.asarray(begun, np.int64), np.arange(len(frame)), "right")
+        return pd.DataFrame({"key": frame["key"], "pos": frame["pos"], "bundle": own.astype(np.int32)})
+
+    maps = slim.groupBy("key", "stretch").applyInPandas(folded, f"key {kind}, stretch bigint, first string, last string, closed array<int>, held array<int>")
+    starts = maps.groupBy("key").applyInPandas(composed, f"key {kind}, stretch bigint, number bigint, state int")
+    made = slim.join(starts, ["key", "stretch"]).groupBy("key", "stretch").applyInPandas(numbered, f"key {kind}, pos bigint, bundle int")
+    return chunks.join(made.select(F.col("key").alias(key), F.col("pos").alias(pos), "bundle"), [key, pos])
 
 
 def assemble(numbered: DataFrame, key: str, pos: str = "pos", bundle: str = "bundle", id_col: str = "chunk_id") -> DataFrame:

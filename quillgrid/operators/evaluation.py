@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as T
+from quillgrid.operators import alignment as A
 from quillgrid.operators import bundles as U
 from quillgrid.operators import documents as O
 from quillgrid.operators import external as E
 from quillgrid.operators import models as L
 from quillgrid.operators import scorecard as S
+from quillgrid.operators import similarity as V
 from quillgrid.operators import stats as B
+from quillgrid.session import kept
 
 AXES = ["question_type", "difficulty", "company", "sector", "hop", "complexity"]
 EMPTY = f"question_id string, {E.ANSWER}"
@@ -43,8 +46,12 @@ def evaluate(
     extra: dict[str, S.Measure] | None = None,
     context_limit: int | None = None,
     examples: list[dict[str, str]] = (),
+    vectors: DataFrame | None = None,
 ) -> Evaluation:
-    """Ask, score and aggregate. ``questions`` are records of ``sources.readers``; answers are scored against their evidence."""
+    """Ask, score and aggregate. ``questions`` are records of ``sources.readers``; answers are scored against their evidence.
+
+    BERTScore comes from ``scorer``, or from a table of (token, vector) where one is given, else it is zero.
+    """
     spark = questions.sparkSession
     q = questions.withColumn("question_id", F.col("global_id"))
     if chunks is None:
@@ -62,8 +69,11 @@ def evaluate(
     joined = q.join(answers, "question_id").withColumnsRenamed({"answer": "gold", "reply": "pred"})
     hops = F.coalesce(F.col("anchors.hops"), F.lit(0))
     joined = joined.withColumns({"hop": S.hop_bucket(hops), "complexity": S.operation_complexity(hops), "regime": F.lit(regime)})
-    scored = S.score_rows(joined, error="error", extra=extra)
-    scored = scored.join(L.bert_scores(scored, "question_id", "gold", "pred", scorer), "question_id")
+    scored = S.score_rows(joined, error="error", extra=extra).drop("meteor")
+    meteor = A.meteor_scores(joined, ["question_id"], "gold", "pred").select("question_id", "meteor")
+    similar = V.embedding_scores(joined, ["question_id"], "gold", "pred", vectors) if vectors is not None and scorer is None else L.bert_scores(joined, "question_id", "gold", "pred", scorer)
+    scored = scored.join(meteor, "question_id").withColumn("meteor", F.when(F.col("failed"), 0.0).otherwise(F.col("meteor"))).join(similar, "question_id")
+    scored = kept(scored)  # card, intervals and judgements all read it
     judged = None
     if judge is not None:
         before = judge_cache if judge_cache is not None else spark.createDataFrame([], EMPTY.replace("question_id", "_key"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,24 +35,71 @@ def replicate_means(scores: DataFrame, value: str, order: str, by: list[str], re
     return picked.join(rows, [*by, "i"]).groupBy(*by, "replicate").agg(F.avg("v").alias("mean"), F.first("n").alias("n"))
 
 
+#: Rows of a part about, and draws that a part makes at a time, when means are drawn in parts.
+PART_ROWS = 100_000
+_DRAWN = 1 << 20
+
+
+def split_means(scores: DataFrame, value: str, order: str, by: list[str], replicates: int = REPLICATES, seed: int = 42, part_rows: int = PART_ROWS) -> DataFrame:
+    """(by, replicate, mean, n) as ``replicate_means``, for groups of any size: only replicates x parts numbers are shuffled.
+
+    The rows of a group are dealt to parts by a hash of ``order``. A replicate's n draws are split over
+    the parts as a multinomial with the parts' sizes; each part then makes its own draws among its rows,
+    and their sums are added up. That is the distribution of n draws among all rows. Draws are
+    seeded by group and part and rows are put in order first, so that a task that runs again draws the same.
+    """
+    ship_package(scores.sparkSession)
+    names = [f"k{i}" for i in range(len(by))]
+    kinds = "".join(f"{n} {scores.schema[c].dataType.simpleString()}, " for c, n in zip(by, names))
+    rows = scores.where(F.col(value).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col(value).cast("double").alias("v"), F.xxhash64(order).alias("place"))
+    rows = rows.withColumn("group", F.to_json(F.struct(F.lit(seed).alias("seed"), *names)))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
+    dealt = rows.join(sizes.withColumn("parts", F.ceil(F.col("n") / part_rows)), "group").withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")))
+
+    def seeds(frame: pd.DataFrame) -> list[int]:
+        return [seed, zlib.crc32(frame["group"].iloc[0].encode())]
+
+    def split(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("part")
+        n = int(frame["size"].sum())
+        counts = np.random.default_rng(seeds(frame)).multinomial(n, frame["size"].to_numpy() / n, size=replicates)
+        return pd.DataFrame({"group": frame["group"], "part": frame["part"], "n": n, "draws": list(counts.T)})
+
+    def drawn(own: pd.DataFrame, share: pd.DataFrame) -> pd.DataFrame:
+        v = own.sort_values(["place", "v"])["v"].to_numpy()
+        lot = np.random.default_rng([*seeds(own), int(own["part"].iloc[0]) + 1])
+        sums = [sum(float(v[lot.integers(len(v), size=min(_DRAWN, left - k))].sum()) for k in range(0, left, _DRAWN)) for left in map(int, share["draws"].iloc[0])]
+        return pd.DataFrame({**{c: [own[c].iloc[0]] * replicates for c in names}, "replicate": np.arange(replicates, dtype=np.int32), "total": sums, "n": int(share["n"].iloc[0])})
+
+    parts = dealt.groupBy("group", "part").agg(F.count("*").alias("size"))
+    splits = parts.groupBy("group").applyInPandas(split, "group string, part bigint, n bigint, draws array<bigint>")
+    totals = dealt.groupBy("group", "part").cogroup(splits.groupBy("group", "part")).applyInPandas(drawn, f"{kinds}replicate int, total double, n bigint")
+    means = totals.groupBy(*names, "replicate").agg((F.sum("total") / F.first("n")).alias("mean"), F.first("n").alias("n"))
+    return means.withColumnsRenamed(dict(zip(names, by)))
+
+
 def _bounds(means: DataFrame, by: list[str], replicates: int) -> DataFrame:
     ranked = F.array_sort(F.collect_list("mean"))
     place = lambda q: min(replicates, int(q * replicates) + 1)
     return means.groupBy(*by).agg(ranked.alias("m"), F.first("n").alias("n")).select(*by, F.element_at("m", place(0.025)).alias("lower"), F.element_at("m", place(0.975)).alias("upper"), "n")
 
 
-def bootstrap_ci(scores: DataFrame, value: str, order: str, by: list[str], replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+#: How means are drawn: by md5 row by row, as any engine can repeat it, or in parts, for groups of any size.
+DRAWS = {"md5": replicate_means, "parts": split_means}
+
+
+def bootstrap_ci(scores: DataFrame, value: str, order: str, by: list[str], replicates: int = REPLICATES, seed: int = 42, draws: str = "md5") -> DataFrame:
     """(by, mean, lower, upper, n): 95 % interval of the mean by order statistics of resampled means."""
-    means = replicate_means(scores, value, order, by, replicates, seed)
+    means = DRAWS[draws](scores, value, order, by, replicates, seed)
     centre = scores.where(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("mean"))
     return centre.join(_bounds(means, by, replicates), by)
 
 
-def paired_bootstrap(pairs: DataFrame, a: str, b: str, order: str, by: list[str], replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, a: str, b: str, order: str, by: list[str], replicates: int = REPLICATES, seed: int = 42, draws: str = "md5") -> DataFrame:
     """(by, delta, p_value, significant, n): share of replicates at least as far from the observed difference as it is from zero."""
     diffs = pairs.withColumn("d", F.col(a).cast("double") - F.col(b).cast("double"))
     centre = diffs.where("d IS NOT NULL").groupBy(*by).agg(F.avg("d").alias("delta"))
-    means = replicate_means(diffs, "d", order, by, replicates, seed).join(centre, by)
+    means = DRAWS[draws](diffs, "d", order, by, replicates, seed).join(centre, by)
     far = (F.abs(F.col("mean") - F.col("delta")) >= F.abs(F.col("delta"))).cast("int")
     p = means.groupBy(*by).agg(F.first("delta").alias("delta"), F.avg(far).alias("p_value"), F.first("n").alias("n"))
     return p.withColumn("significant", F.col("p_value") < 0.05)
@@ -63,23 +111,23 @@ def _last(run: DataFrame, key: str, metrics: list[str], name: str) -> DataFrame:
     return run.select(key, row.alias("_x"), F.monotonically_increasing_id().alias("_place")).groupBy(key).agg(F.max_by("_x", "_place").alias(name))
 
 
-def significance_table(run_a: DataFrame, run_b: DataFrame, key: str, metrics: list[str], replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+def significance_table(run_a: DataFrame, run_b: DataFrame, key: str, metrics: list[str], replicates: int = REPLICATES, seed: int = 42, draws: str = "parts") -> DataFrame:
     """Paired test of every metric over the questions that both runs have (the last of repeated ids); an error if they share none."""
     pairs = _last(run_a, key, metrics, "a").join(_last(run_b, key, metrics, "b"), key)
     if pairs.isEmpty():
         raise ValueError("the runs have no question in common")
     stacked = pairs.select(key, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a.{m}").alias("x"), F.col(f"b.{m}").alias("y")) for m in metrics])).alias("s"))
-    return paired_bootstrap(stacked.select(key, "s.metric", "s.x", "s.y"), "x", "y", key, ["metric"], replicates, seed)
+    return paired_bootstrap(stacked.select(key, "s.metric", "s.x", "s.y"), "x", "y", key, ["metric"], replicates, seed, draws)
 
 
 #: Measures that a card has intervals for.
 INTERVALS = ("exact_match", "relaxed_em", "token_f1", "rouge_l", "bertscore_f1", "num_exact", "num_f1", "entailment_ratio")
 
 
-def metric_intervals(scored: DataFrame, key: str, metrics: tuple[str, ...] = INTERVALS, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+def metric_intervals(scored: DataFrame, key: str, metrics: tuple[str, ...] = INTERVALS, replicates: int = REPLICATES, seed: int = 42, draws: str = "parts") -> DataFrame:
     """(metric, mean, lower, upper, n): an interval of each metric's mean over the rows without an error."""
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("s")
-    return bootstrap_ci(scored.where(~F.col("failed")).select(key, each).select(key, "s.metric", "s.x"), "x", key, ["metric"], replicates, seed)
+    return bootstrap_ci(scored.where(~F.col("failed")).select(key, each).select(key, "s.metric", "s.x"), "x", key, ["metric"], replicates, seed, draws)
 
 
 def poisson_ci(scores: DataFrame, value: str, by: list[str], replicates: int = REPLICATES, seed: int = 42) -> DataFrame:

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import metrics as M
 from quillgrid.functions import numeric as N
+from quillgrid.functions import stems
 from quillgrid.functions import text as T
+from quillgrid.operators import alignment as A
 from quillgrid.operators import external as E
 from quillgrid.operators import reports as R
 from quillgrid.operators import scorecard as S
 from quillgrid.operators import sequences as Q
+from quillgrid.operators import similarity as V
 from quillgrid.operators import stats as B
 from quillgrid.plans import duck as D
 from quillgrid.plans.catalog import query, table
@@ -113,6 +116,56 @@ def rouge_l_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(spark, sf).select("conv_id", "turn", r6(Q.rouge_l(F.col("gold"), F.col("pred"))).alias("rouge_l"))
 
 
+# Words and stems, stated here again for the SQL.
+_WORD_SQL = r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}_][\p{L}\p{M}\p{N}_]*|[^\p{L}\p{M}\p{N}_\s\x0B]"
+_STEM_SQL = "CASE WHEN regexp_matches(w, '[^ea]ies$') AND length(w) > 4 THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '[^aeo]es$') THEN regexp_replace(w, 's$', '') WHEN regexp_matches(w, '[^us]s$') AND length(w) > 3 THEN regexp_replace(w, 's$', '') ELSE w END"
+
+
+@query(
+    "meteor_pairs",
+    f"""WITH x AS ({PAIRS_SQL}), t AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(gold, '')), '{_WORD_SQL}') AS g, regexp_extract_all(lower(coalesce(pred, '')), '{_WORD_SQL}') AS p FROM x),
+k AS (SELECT conv_id, turn, 'g' AS side, unnest(g) AS w, generate_subscripts(g, 1) AS pos FROM t UNION ALL SELECT conv_id, turn, 'p', unnest(p), generate_subscripts(p, 1) FROM t),
+k1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, side, w ORDER BY pos DESC) AS r, {_STEM_SQL} AS stem FROM k),
+m1 AS (SELECT g.conv_id, g.turn, g.pos AS g, p.pos AS p FROM k1 g JOIN k1 p USING (conv_id, turn, w, r) WHERE g.side = 'g' AND p.side = 'p'),
+l AS (SELECT k1.* FROM k1 LEFT JOIN (SELECT conv_id, turn, 'g' AS side, g AS pos FROM m1 UNION ALL SELECT conv_id, turn, 'p', p FROM m1) m USING (conv_id, turn, side, pos) WHERE m.pos IS NULL),
+k2 AS (SELECT conv_id, turn, side, pos, stem, row_number() OVER (PARTITION BY conv_id, turn, side, stem ORDER BY pos DESC) AS r FROM l),
+m AS (FROM m1 UNION ALL SELECT g.conv_id, g.turn, g.pos, p.pos FROM k2 g JOIN k2 p USING (conv_id, turn, stem, r) WHERE g.side = 'g' AND p.side = 'p'),
+c AS (SELECT conv_id, turn, count(*) AS n, sum(CASE WHEN p = bp + 1 AND g = bg + 1 THEN 0 ELSE 1 END) AS chunks FROM (SELECT *, lag(p) OVER o AS bp, lag(g) OVER o AS bg FROM m WINDOW o AS (PARTITION BY conv_id, turn ORDER BY p)) GROUP BY conv_id, turn)
+SELECT conv_id, turn, CAST(coalesce(n, 0) AS INTEGER) AS matches, CAST(coalesce(chunks, 0) AS INTEGER) AS chunks,
+round(coalesce((n / len(p)) * (n / len(g)) / (0.9::DOUBLE * (n / len(p)) + 0.1::DOUBLE * (n / len(g))) * (1 - 0.5::DOUBLE * pow(chunks / n, 3)), 0.0::DOUBLE), 6) AS meteor FROM t LEFT JOIN c USING (conv_id, turn)""",
+)
+def meteor_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    found = A.meteor_scores(pairs(spark, sf), ["conv_id", "turn"], "gold", "pred", stages=(lambda c: c, stems.plural))
+    return found.select("conv_id", "turn", "matches", "chunks", r6(F.col("meteor")).alias("meteor"))
+
+
+def token_vectors(spark: SparkSession, sf: str, x: DataFrame) -> DataFrame:
+    """A row of the embeddings for each word of the texts, by its md5; every fifth word has none."""
+    held = table(spark, sf, "embeddings")
+    words = x.select(F.explode(F.concat(A.words(V.shown(F.col("gold"))), A.words(V.shown(F.col("pred"))))).alias("token")).distinct()
+    mark = B.md5_number(F.col("token"))
+    return words.where(mark % 5 != 0).withColumn("vec_id", mark % held.count()).join(held, "vec_id").select("token", F.col("embedding").alias("vector"))
+
+
+@query(
+    "bertscore_pairs",
+    f"""WITH x AS ({PAIRS_SQL}), t AS (SELECT conv_id, turn, regexp_extract_all(lower(CASE WHEN regexp_matches(left(coalesce(gold, ''), 1024), '\\S') THEN left(gold, 1024) ELSE 'n/a' END), '{_WORD_SQL}') AS g,
+  regexp_extract_all(lower(CASE WHEN regexp_matches(left(coalesce(pred, ''), 1024), '\\S') THEN left(pred, 1024) ELSE 'n/a' END), '{_WORD_SQL}') AS p FROM x),
+k AS (SELECT conv_id, turn, side, w, count(*) AS n FROM (SELECT conv_id, turn, 'g' AS side, unnest(g) AS w FROM t UNION ALL SELECT conv_id, turn, 'p', unnest(p) FROM t) GROUP BY ALL),
+d AS (SELECT w, count(*) AS df FROM k WHERE side = 'g' GROUP BY w),
+e AS (SELECT w, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS v FROM (SELECT DISTINCT w FROM k) JOIN embeddings ON vec_id = {D.md5_number('w')} % (SELECT count(*) FROM embeddings) WHERE {D.md5_number('w')} % 5 <> 0),
+f AS (SELECT k.*, ln(((SELECT count(*) FROM x) + 1) / (coalesce(df, 0) + 1)::DOUBLE) * n AS weight, v FROM k LEFT JOIN d USING (w) LEFT JOIN e USING (w)),
+s AS (SELECT g.conv_id, g.turn, g.w AS gw, p.w AS pw, g.weight AS gweight, p.weight AS pweight, CASE WHEN g.w = p.w THEN 1.0::DOUBLE WHEN g.v IS NULL OR p.v IS NULL THEN 0.0::DOUBLE ELSE list_cosine_similarity(g.v, p.v) END AS alike FROM f g JOIN f p USING (conv_id, turn) WHERE g.side = 'g' AND p.side = 'p'),
+r AS (SELECT conv_id, turn, sum(best * weight) / sum(weight) AS r FROM (SELECT conv_id, turn, gw, any_value(gweight) AS weight, max(alike) AS best FROM s GROUP BY ALL) GROUP BY ALL),
+q AS (SELECT conv_id, turn, sum(best * weight) / sum(weight) AS p FROM (SELECT conv_id, turn, pw, any_value(pweight) AS weight, max(alike) AS best FROM s GROUP BY ALL) GROUP BY ALL)
+SELECT conv_id, turn, round(p, 6) AS bertscore_p, round(r, 6) AS bertscore_r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS bertscore_f1 FROM r JOIN q USING (conv_id, turn)""",
+)
+def bertscore_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    x = pairs(spark, sf)
+    found = V.embedding_scores(x, ["conv_id", "turn"], "gold", "pred", token_vectors(spark, sf, x))
+    return found.select("conv_id", "turn", *(r6(F.col(c)).alias(c) for c in V.NAMES))
+
+
 _SENT = "list_filter(list_transform(string_split(regexp_replace(trim(pred, e' \\n\\t\\r'), '([.!?])\\s+', '\\1' || chr(7), 'g'), chr(7)), lambda s: trim(s, e' \\n\\t\\r')), lambda s: s <> '')"
 
 
@@ -302,6 +355,20 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return ci.select("c_mktsegment", *(F.round(c, 4).alias(c) for c in ("mean", "lower", "upper")), "n")
 
 
+@query(
+    "resampled_in_parts",
+    """WITH c AS (SELECT c_mktsegment, avg(c_acctbal) AS mean, count(*) AS n, stddev_pop(c_acctbal) / sqrt(count(*)) AS se FROM customer GROUP BY 1)
+SELECT c_mktsegment, round(mean, 4) AS mean, n, TRUE AS lower_as_normal, TRUE AS upper_as_normal FROM c""",
+)
+def resampled_in_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals of draws split over parts; each bound lies where the normal limit has it, give or take a fifth of the half width."""
+    c = table(spark, sf, "customer")
+    ci = B.bootstrap_ci(c, "c_acctbal", "c_custkey", ["c_mktsegment"], draws="parts")
+    se = c.groupBy("c_mktsegment").agg((F.stddev_pop("c_acctbal") / F.sqrt(F.count("*"))).alias("se"))
+    near = lambda side: F.abs(F.abs(F.col(side) - F.col("mean")) / (1.96 * F.col("se")) - 1) < 0.2
+    return ci.join(se, "c_mktsegment").select("c_mktsegment", F.round("mean", 4).alias("mean"), "n", near("lower").alias("lower_as_normal"), near("upper").alias("upper_as_normal"))
+
+
 @query(
     "paired_bootstrap",
     f"""WITH r AS (SELECT s_nationkey % 3 AS k, (s_acctbal > 4000)::INT - (s_acctbal > 5000)::INT AS d, row_number() OVER (PARTITION BY s_nationkey % 3 ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey % 3) AS n FROM supplier),

@@ -26,22 +26,29 @@ def windowed_counts(stream: DataFrame, time: str, keys: list[str], size: str, la
     return flat.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def resumable(stream: DataFrame, work: Callable[[DataFrame], DataFrame], keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Work on each micro-batch whose results are kept once for each key, also when a batch is run again.
+def unseen(stream: DataFrame, keys: list[str], time: str | None = None, expiry: str | None = None) -> DataFrame:
+    """The rows of a stream whose key has not come before.
 
-    A batch's results replace its own folder, so a repeated batch leaves no second copy; rows whose key
-    an earlier batch has are left out.
+    Keys are state of the stream: a batch looks up its own keys only, whatever came before it. With an
+    event time, a key is forgotten once the watermark has passed its row by ``expiry``, and may come
+    again; rows later than that are dropped. Without one, every key is kept.
+    """
+    if time is None:
+        return stream.dropDuplicates(keys)
+    return stream.withWatermark(time, expiry).dropDuplicatesWithinWatermark(keys)
+
+
+def resumable(stream: DataFrame, work: Callable[[DataFrame], DataFrame], keys: list[str], path: str, checkpoint: str, time: str | None = None, expiry: str | None = None) -> StreamingQuery:
+    """Work on the rows of each micro-batch whose key is new, so that results are kept once for each key, also when a batch is run again.
+
+    ``keys`` are columns of the stream and of the results. A batch's results replace its own folder, and
+    a repeated batch finds the state as it was before it, so it leaves no second copy. Earlier results
+    are never read: the work of a batch does not grow with them. Sessions of ``session.session`` keep
+    the state in RocksDB.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = work(batch).dropDuplicates(keys)
-        try:
-            before = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number)
-            done = done.join(before.select(*keys).distinct(), keys, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        done.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        work(batch).dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    new = unseen(stream, keys, time, expiry)
+    return new.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

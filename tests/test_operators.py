@@ -1,8 +1,10 @@
 """Folds, joins, statistics, calls, sources and streams on small inputs, against plain Python where there is a rule to repeat."""
 
 import json
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,50 @@ def test_bundles(spark):
         assert [got[c, k] for k in range(30)] == _bundles(ss)
 
 
+@pytest.mark.parametrize("stretch", [1, 7, 1000])
+def test_bundling_by_stretches(spark, stretch):
+    """However a key's places are cut into stretches, its bundles are those of one fold; places may have gaps."""
+    r = random.Random(stretch)
+    data = {c: [r.choice(["a", "a", "b", None, ""]) for _ in range(n)] for c, n in (("x", 1), ("y", 3), ("z", 30), ("hot", 120))}
+    df = spark.createDataFrame([(c, 2 * k + (k > 40) * 17, s) for c, ss in data.items() for k, s in enumerate(ss)], "company string, pos bigint, section string")
+    for smallest in (1, 4):
+        got = {}
+        for x in U.build(df, "company", smallest=smallest, stretch=stretch).orderBy("pos").collect():
+            got.setdefault(x["company"], []).append(x["bundle"])
+        assert got == {c: _bundles(ss, smallest) for c, ss in data.items()}
+
+
+def test_means_drawn_in_parts(spark):
+    df = spark.range(3000).selectExpr("id", "cast(id % 7 AS double) + id % 3 AS v", "id % 2 AS g", "cast(null AS int) AS h").unionByName(spark.sql("SELECT 5000 AS id, CAST(null AS double) AS v, 1 AS g, 2 AS h"))
+    means = B.split_means(df, "v", "id", ["g", "h"], 400, 3, part_rows=100)
+    again = B.split_means(df.repartition(5), "v", "id", ["g", "h"], 400, 3, part_rows=100)
+    assert rows(means.withColumn("mean", F.round("mean", 9))) == rows(again.withColumn("mean", F.round("mean", 9)))
+    own = [x["v"] for x in df.where("g = 1 AND v IS NOT NULL").collect()]
+    drawn = [x["mean"] for x in means.where("g = 1").collect()]
+    assert len(drawn) == 400 and {x["n"] for x in means.collect()} == {1500}
+    se = np.std(own) / len(own) ** 0.5
+    assert abs(np.mean(drawn) - np.mean(own)) < 4 * se / 20 and 0.85 < np.std(drawn) / se < 1.15
+    assert B.split_means(df.where("false"), "v", "id", ["g"], 10).count() == 0
+    one = B.split_means(df.where("id = 4"), "v", "id", [], 5).collect()
+    assert [(x["mean"], x["n"]) for x in one] == [(5.0, 1)] * 5
+
+
+def test_intervals_drawn_in_parts_cover_the_mean(spark):
+    """Of 100 samples with a known mean, about 95 in 100 intervals hold it."""
+    rng = np.random.default_rng(4)
+    rows = [(s, k, float(x)) for s in range(100) for k, x in enumerate(rng.normal(2.0, 1.0, 40))]
+    df = spark.createDataFrame(rows, "s int, k int, v double").withColumn("id", F.concat_ws("_", "s", "k"))
+    got = B.bootstrap_ci(df, "v", "id", ["s"], 300, draws="parts").collect()
+    share = np.mean([x["lower"] <= 2.0 <= x["upper"] for x in got])
+    assert len(got) == 100 and 0.86 < share < 0.99
+    far = df.where("s < 2").select("id", "s", (F.col("v") + 0.1).alias("a"), F.lit(2.0).alias("b"))
+    p = {x["s"]: x for x in B.paired_bootstrap(far, "a", "b", "id", ["s"], 500, draws="parts").collect()}
+    for s in (0, 1):
+        own = np.asarray([v for t, _, v in rows if t == s]) + 0.1 - 2.0
+        want = math.erfc(abs(own.mean()) / (own.std() / len(own) ** 0.5) / 2**0.5)  # both sides of the normal limit
+        assert p[s]["delta"] == pytest.approx(own.mean()) and abs(p[s]["p_value"] - want) < 0.08
+
+
 def test_weak_pairs(spark):
     scores = [9, 8, 10, 7, 9, 12, 8, 9, 8, 8]
     df = spark.createDataFrame([("c", k, s, 1) for k, s in enumerate(scores)], "company string, bundle int, score int, chunk_count int")
@@ -394,6 +440,38 @@ def test_streams(spark, tmp_path):
     assert rows(spark.read.parquet(out).select("id", "text")) == [(1, "A"), (2, "B"), (3, "C")]
 
 
+def test_keyed_state_does_not_read_results_again(spark, tmp_path):
+    """Results of earlier batches may be gone: what has been seen is the stream's own state."""
+    source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    put = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "id int, text string").coalesce(1).write.mode("append").parquet(source)
+    run = lambda: I.resumable(I.file_stream(spark, source, "id int, text string"), lambda d: d.select("id"), ["id"], out, marks).awaitTermination()
+    put(1, 2, 2)
+    run()
+    (tmp_path / "out").rename(tmp_path / "moved")
+    put(2, 3)
+    run()
+    assert rows(spark.read.parquet(out).select("id")) == [(3,)]
+    # A batch whose commit was lost runs again from the state before it.
+    last = max((tmp_path / "marks" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    assert rows(spark.read.parquet(out).select("id")) == [(3,)]
+
+
+def test_keys_expire(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda minute, *ids: spark.sql(" UNION ALL ".join(f"SELECT {i} AS id, timestamp'2025-01-01 00:00:00' + make_interval(0,0,0,0,0,{minute},0) AS ts" for i in ids)).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        I.resumable(I.file_stream(spark, source, "id int, ts timestamp"), lambda d: d.select("id", "ts"), ["id"], out, str(tmp_path / "m"), "ts", "10 minutes").awaitTermination()
+
+    for minute, ids in ((0, (1, 1)), (5, (1, 2)), (60, (9,)), (61, (1,))):
+        put(minute, *ids)
+        run()
+    assert sorted(x["id"] for x in spark.read.parquet(out).select("id").collect()) == [1, 1, 2, 9]
+
+
 def test_windowed_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.sql("SELECT timestamp'2025-01-01 00:00:10' AS ts, 'a' AS k UNION ALL SELECT timestamp'2025-01-01 00:00:50', 'a' UNION ALL SELECT timestamp'2025-01-01 01:00:00', 'a'").coalesce(1).write.parquet(source)
