@@ -39,11 +39,8 @@ SENT_SUBTREES = 200_000
 #: Pages that a task works on at a time.
 ROWS = 256
 
-#: Characters of a tag in which quotes are minded; a longer one, or one whose quotes don't close, ends at the next ``>``.
-TAG_CHARS = 4_096
-
 _NAME = re.compile(r"/?[a-zA-Z][^\s>/]*+")
-_REST = re.compile(r"([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
+_QUOTE = re.compile("[\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 # Element names of HTML by what the extraction does with them.
@@ -71,7 +68,7 @@ _WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner promo promoted promotion sponsor sponsored sponsors commercial "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc "
     "header masthead topbar footer foot bottombar colophon copyright legal "
-    "sidebar aside rail widget widgets related recommended recommendations "
+    "sidebar aside rail widget widgets recommended recommendations "
     "cookie cookies consent gdpr notice notices alert popup modal overlay paywall "
     "newsletter subscribe subscription signup login register form search "
     "share sharing social follow "
@@ -79,6 +76,8 @@ _WORDS = frozenset(
 )
 #: Such names are kept apart even though one of the words above is part of them.
 _KEEP = frozenset("content main article body post entry story text".split())
+#: Words that tell furniture only when nothing but these and numbers stands beside them: related-posts, but not related-work.
+_LISTED = frozenset("related posts post articles article stories story links items news more box block list grid section container wrapper inner content reading topics videos".split())
 
 
 class Node:
@@ -101,7 +100,9 @@ def _marked(tag: str, attributes: str) -> tuple[bool, bool]:
             if name in ("class", "id"):
                 words = _names(value)
                 if tag not in ("article", "main") or words & {"comment", "comments", "reply"}:
-                    if words & _WORDS and not (words & _KEEP and not words & {"comment", "comments", "ad", "ads", "sidebar", "footer", "header", "nav"}):
+                    if words & _WORDS and not (words & _KEEP and not words & {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav"}):
+                        skip = True
+                    elif "related" in words and all(w in _LISTED or not w or w.isdigit() for w in words):
                         skip = True
             elif name == "role":
                 skip, main = skip or value.lower() in _ROLES, main or value.lower() == "main"
@@ -149,7 +150,42 @@ def _ended(stack: _Open, tag: str) -> None:
         stack.close(at)
 
 
-def _next_tag(page: str, at: int) -> tuple[int, str, str, int] | None:
+class _Quotes:
+    """Where tags end: at the first ``>`` outside of quotes; where quotes don't close, at the first one anywhere.
+
+    What follows a quote that opens is worked out once for each quote of the page and remembered, so all
+    tags of a page, however long and broken, take time in proportion to it.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def end(self, at: int, plain: int) -> int:
+        """Place of the ``>`` that ends the tag whose name ends before ``at``; ``plain`` is the first one from there on."""
+        opens = _QUOTE.search(self.page, at, plain)
+        found = self._after(opens.start()) if opens else plain
+        return plain if found < 0 else found
+
+    def _after(self, at: int) -> int:
+        """The first ``>`` outside of quotes after the quote that opens at a place; -1 if there is none."""
+        page, known, met = self.page, self.known, []
+        while (found := known.get(at)) is None:
+            met.append(at)
+            close = page.find(page[at], at + 1)
+            if close < 0:
+                found = -1
+                break
+            opens = _QUOTE.search(page, close + 1)
+            found = page.find(">", close + 1, opens.start() if opens else len(page))
+            if found >= 0 or opens is None:
+                break
+            at = opens.start()
+        for x in met:
+            known[x] = found
+        return found
+
+
+def _next_tag(page: str, at: int, quotes: _Quotes) -> tuple[int, str, str, int] | None:
     """(start, name with a slash before an end tag's, attributes, end) of the next tag; comments and declarations have no name.
 
     Every character is looked at a bounded number of times.
@@ -165,9 +201,8 @@ def _next_tag(page: str, at: int) -> tuple[int, str, str, int] | None:
                 return None
             if name is None or name[0][0] == "/":
                 return at, name[0].lower() if name else "", "", plain + 1
-            rest = _REST.match(page, name.end(), name.end() + TAG_CHARS)
-            end = rest.end() if rest else plain + 1
-            return at, name[0].lower(), page[name.end() : end - 1], end
+            end = quotes.end(name.end(), plain)
+            return at, name[0].lower(), page[name.end() : end], end + 1
         at += 1
     return None
 
@@ -175,8 +210,8 @@ def _next_tag(page: str, at: int) -> tuple[int, str, str, int] | None:
 def parse(page: str) -> Node:
     """The tree of a page; strings among ``kids`` are decoded text."""
     root = Node("html")
-    stack, at, size = _Open(root), 0, len(page)
-    while (found := _next_tag(page, at)) is not None:
+    stack, at, size, quotes = _Open(root), 0, len(page), _Quotes(page)
+    while (found := _next_tag(page, at, quotes)) is not None:
         start, tag, attributes, end = found
         if start > at:
             stack.nodes[-1].kids.append(entities.unescape(page[at:start]))

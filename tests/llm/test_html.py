@@ -19,6 +19,10 @@ PAGES = {
     "<article><p>kept</p><script>cut off": "kept",
     "<ul><li>one<li>two</ul>": "one two",
     "<p>a</p>\n\n<p>  </p><p>b\n c</p>": "a b c",
+    "<article><div class='entry-header'><h1>Own head</h1></div><p>a</p><section class='related-work'><p>b</p></section></article>": "Own head a b",
+    "<body><div id='content'><p>a</p></div><div class='related-posts'><p>b</p></div><section class=related><p>c</p></section></body>": "a",
+    "<p title='a > b' id=\"x>y\">t</p>": "t",
+    "<p title='open>t</p>": "t",
 }
 
 
@@ -34,12 +38,16 @@ def test_structure(page):
         ("<b>" * 100_000 + "deep<p>x</p></i>" * 3, "deep x deep x deep x"),
         ("<p>a</p>" + "<a " * 200_000, "a " + "<a " * 199_999 + "<a"),
         ("<p>a</p>" + "<a \">\" " * 100_000, None),
+        ("<p>a</p>" + "<a \">\" " * 100_000 + "'", None),
+        ("<p>a</p>" + "<a '>\"' \">\" " * 100_000 + "\"", None),
+        ("<div data-x=\"" + "A" * 5_000 + " > leaked words\"><p>a</p></div>", "a"),
+        ("<div data-x=\"" + "A>" * 2_500_000 + " > leaked words\"><p>a</p></div>", "a"),
         ("<div><p>" + "<b>" * 50_000 + "t</div>" * 50_000 + "end", None),
         ("<p>word " * 100_000, " ".join(["word"] * 100_000)),
         ("<script>" * 100_000 + "x", ""),
         ("<article><p>" + "long text of many words " * 200_000 + "</article>", ("long text of many words " * 200_000).strip()),
     ],
-    ids=["nested", "unclosed", "no end", "quotes", "stray ends", "paragraphs", "scripts", "long"],
+    ids=["nested", "unclosed", "no end", "quotes", "one quote more", "quotes in quotes", "long tag", "very long tag", "stray ends", "paragraphs", "scripts", "long"],
 )
 def test_broken_and_long_pages_take_time_in_proportion(page, want):
     began = time.process_time()
