@@ -251,16 +251,30 @@ class Schedule:
                 out[mine] = np.asarray(used, np.int64) + _virtual(inside[mine], take, size)
         return out
 
-    def near(self, queue: int, first: int, stop: int) -> tuple[int, int]:
-        """Windows that hold tokens first..stop of a queue, with some to spare on either side."""
-        lows, highs = [], []
+    def windows(self, queue: int, spans: list[tuple[int, int]]) -> np.ndarray:
+        """The windows that may hold tokens of the spans [first, stop) of a queue, rising: never many more than hold one."""
+        found = []
         for base, used, take in self.phases:
-            for x, found in ((first, lows), (stop, highs)):
-                if take[queue] and used[queue] <= x <= used[queue] + take[queue]:
-                    rank = base + (x - used[queue]) * sum(take) // take[queue]
-                    spare = sum(take) // take[queue] + len(take)
-                    found += [max(0, (rank - spare) // self.window), (rank + spare) // self.window + 1]
-        return min(lows), max(highs)
+            mine = [(max(a, used[queue]) - used[queue], min(b, used[queue] + take[queue]) - used[queue]) for a, b in spans]
+            for low, high in _ranks(take, queue, [(a, b) for a, b in mine if a < b], self.window):
+                found.append(np.arange((base + low) // self.window, (base + high) // self.window + 1))
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _ranks(take: list[int], queue: int, spans: list[tuple[int, int]], apart: int) -> list[tuple[int, int]]:
+    """Intervals [low, high] of the order of all tokens by virtual time in which those of a queue's spans lie.
+
+    A token's rank is its virtual time times the number of tokens, within the number of queues on either
+    side. Where a queue's tokens are further apart than ``apart`` ranks each has an interval of its own, so
+    that the intervals of a rare queue are as few as its tokens.
+    """
+    size, own, spare = sum(take), take[queue], len(take)
+    if not spans:
+        return []
+    rank = lambda x: (2 * x + 1) * size // (2 * own)
+    if size > own * (apart + 2 * spare):
+        spans = [(x, x + 1) for a, b in spans for x in range(a, b)]
+    return [(max(0, rank(a) - spare), min(size - 1, rank(b - 1) + spare)) for a, b in spans]
 
 
 def _virtual(at: np.ndarray, take: list[int], size: int) -> np.ndarray:
@@ -298,28 +312,30 @@ def _pieces(schedule: Schedule, width: int):
                 if totals is not None and queue not in pools:
                     pools[queue] = Schedule(totals, None, schedule.window)
             starts, counts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            span: dict[tuple, list[int]] = {}
+            spans: dict[tuple, list[tuple[int, int]]] = {}
             for q, s, n in zip(queues, starts, counts):
-                low, high = _near(schedule, pools, q, s, s + n)
-                have = span.setdefault(q, [low, high])
-                have[0], have[1] = min(have[0], low), max(have[1], high)
-            edges = {q: _edges(schedule, pools, q, low, high) for q, (low, high) in span.items()}
+                own = spans.setdefault(q, [])
+                if own and own[-1][1] == s:  # documents of a source follow each other
+                    own[-1] = (own[-1][0], s + n)
+                else:
+                    own.append((s, s + n))
+            edges = {q: _edges(schedule, pools, q, own) for q, own in spans.items()}
             rows, start_, length_, crc_, win_, off_ = [], [], [], [], [], []
             for i, (q, s, n) in enumerate(zip(queues, starts, counts)):
-                low, cuts, offsets = edges[q]
-                k = int(np.searchsorted(cuts, s, "right")) - 1
+                windows, lows, highs, offsets = edges[q]
+                k = int(np.searchsorted(highs, s, "right"))
                 whole, at = np.frombuffer(ids_col[i], kind).astype("<u4").tobytes(), s
                 while at < s + n:
-                    while cuts[k + 1] <= at:
-                        k += 1
-                    to = min(s + n, int(cuts[k + 1]))
+                    if not lows[k] <= at < highs[k]:
+                        raise RuntimeError("a token lies outside of the windows worked out for it")
+                    to = min(s + n, int(highs[k]))
                     rows.append(i)
                     start_.append(at - s)
                     length_.append(to - at)
                     crc_.append(zlib.crc32(whole[4 * (at - s) : 4 * (to - s)]))
-                    win_.append(low + k)
-                    off_.append(int(offsets[k]) + at - int(cuts[k]))
-                    at = to
+                    win_.append(int(windows[k]))
+                    off_.append(int(offsets[k]) + at - int(lows[k]))
+                    at, k = to, k + 1
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), *(pa.array(x, pa.int64()) for x in (start_, length_, crc_)), batch.column(3).take(take), *(pa.array(x, pa.int64()) for x in (win_, off_))],
@@ -329,29 +345,33 @@ def _pieces(schedule: Schedule, width: int):
     return run
 
 
-def _near(schedule: Schedule, pools: dict[int, Schedule], queue: tuple, first: int, stop: int) -> tuple[int, int]:
-    """Windows that hold tokens first..stop of a queue, or of a source of a pool."""
-    at, slot = queue
-    if slot is not None:
-        totals = pools[at].totals
-        size = sum(totals)
-        spare = size // totals[slot] + len(totals)
-        first = max(0, first * size // totals[slot] - spare)
-        stop = min(size, stop * size // totals[slot] + spare)
-    return schedule.near(at, first, stop)
+#: Numbers of a table of windows and queues that are worked out at a time.
+_CELLS = 1 << 21
 
 
-def _edges(schedule: Schedule, pools: dict[int, Schedule], queue: tuple, low: int, high: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(first window, where the queue stands at each window's begin, where its tokens begin in the window)."""
+def _edges(schedule: Schedule, pools: dict[int, Schedule], queue: tuple, spans: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    """(window, first token, end, offset in the window) of what a queue, or a source of a pool, has in the windows of its spans."""
     at, slot = queue
-    served = schedule.served(np.arange(low, high + 2))
-    inside = np.diff(served, axis=0)
-    cuts, offsets = served[:, at], inside[:, :at].sum(1)
     if slot is not None:
         totals = pools[at].totals
-        own = _virtual(cuts, totals, sum(totals))
-        cuts, offsets = own[:, slot], offsets + np.diff(own, axis=0)[:, :slot].sum(1)
-    return low, cuts, offsets
+        spans = [(a, b + 1) for a, b in _ranks(totals, slot, spans, schedule.window)]
+    windows = schedule.windows(at, spans)
+    step = max(1, _CELLS // len(schedule.totals))
+    parts = []
+    for k in range(0, len(windows), step):
+        own = windows[k : k + step]
+        marks = np.union1d(own, own + 1)
+        served = schedule.served(marks)
+        first = np.searchsorted(marks, own)  # each window's end is the next mark
+        lows, highs = served[first, at], served[first + 1, at]
+        offsets = (served[first + 1, :at] - served[first, :at]).sum(1)
+        if slot is not None:
+            inside = _virtual(served[:, at], totals, sum(totals))
+            lows, highs = inside[first, slot], inside[first + 1, slot]
+            offsets = offsets + (inside[first + 1, :slot] - inside[first, :slot]).sum(1)
+        held = highs > lows
+        parts.append((own[held], lows[held], highs[held], offsets[held]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def pack(

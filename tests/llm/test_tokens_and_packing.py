@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -71,6 +72,42 @@ def test_schedule_fills_windows_and_keeps_proportions():
             assert (np.abs(served[:-1] - share) <= len(totals)).all()
 
 
+def _plain_windows(schedule, queue, first, stop):
+    """Of all windows, those that hold tokens first to stop of a queue."""
+    n = -(-sum(schedule.totals) // schedule.window)
+    served = schedule.served(np.arange(n + 1))[:, queue]
+    return [w for w in range(n) if max(served[w], first) < min(served[w + 1], stop)]
+
+
+def test_windows_of_spans():
+    r = random.Random(13)
+    for t in range(200):
+        totals = [r.choice([1, 3, 40, 900, 20_000]) for _ in range(r.randint(1, 7))]
+        weights = None if t % 2 else [r.choice([0, 1, 2, 0.25]) for _ in totals]
+        s = packing.Schedule(totals, weights, r.choice([8, 64, 512]))
+        for queue, n in enumerate(totals):
+            first = r.randrange(n)
+            spans = [(first, r.randint(first + 1, n)), (0, 1)]
+            for a, b in spans:
+                windows, lows, highs, offsets = packing._edges(s, {}, (queue, None), [(a, b)])
+                inside = [(w, x, y) for w, x, y in zip(windows.tolist(), lows.tolist(), highs.tolist()) if x < b and y > a]
+                assert [w for w, *_ in inside] == _plain_windows(s, queue, a, b)
+                assert all(y == x for (_, _, y), (_, x, _) in zip(inside, inside[1:])) and inside[0][1] <= a and inside[-1][2] >= b
+            assert set(packing._edges(s, {}, (queue, None), spans)[0].tolist()) >= {w for a, b in spans for w in _plain_windows(s, queue, a, b)}
+
+
+def test_a_rare_source_of_a_large_corpus():
+    """Work and memory follow the tokens that are placed, not the windows between them."""
+    s = packing.Schedule([10**10] * 20 + [500])
+    tracemalloc.start()
+    began = time.process_time()
+    windows, lows, highs, offsets = packing._edges(s, {}, (20, None), [(0, 500)])
+    assert time.process_time() - began < 2 and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert len(windows) == 500 and lows.tolist() == list(range(500)) and highs.tolist() == list(range(1, 501)) and (offsets < 2048).all()
+    assert np.allclose(windows * 2048 / s.total, (np.arange(500) + 0.5) / 500, atol=1e-6)
+
+
 @pytest.mark.parametrize("queues", [1024, 1])
 @pytest.mark.parametrize("targets", [None, {"s0": 3.0, "s1": 1.0}])
 def test_packing(spark, monkeypatch, messy, nothing, targets, queues):
