@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import Batches, cut, tidied
 from quillgrid.session import ship_package
 
+#: Rounds after which something must be wrong: their number grows with the logarithm of the longest path.
 MAX_ROUNDS = 100
 
 
@@ -67,6 +68,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        if before["n"]:
+            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

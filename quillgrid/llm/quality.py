@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, prepared, text_or_empty, texts, tidied, written
+from quillgrid.llm.common import Batches, fresh, prepared, text_or_empty, texts, tidied, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -205,8 +205,8 @@ def _cleaned(text_col: str, chars_col: str):
     def run(batches: Batches) -> Batches:
         for batch in batches:
             names = batch.schema.names
-            gone = batch.column(names.index("_gone")).to_pylist()
-            columns = {n: batch.column(k) for k, n in enumerate(names) if n != "_gone"}
+            gone = batch.column(len(names) - 1).to_pylist()  # the last column has the lines to take out
+            columns = {n: batch.column(k) for k, n in enumerate(names[:-1])}
             found = [without_lines(t, set(g)) if g else t for t, g in zip(columns[text_col].to_pylist(), gone)]
             if chars_col in columns:
                 old = columns[chars_col]
@@ -243,7 +243,7 @@ def keep_good(
         hosts, keys = hosts[order], keys[order]
         for host in np.unique(hosts).tolist():
             found[host] = keys[np.searchsorted(hosts, host) : np.searchsorted(hosts, host, "right")]
-        rows = df.select(*df.columns, F.col(host_col).cast("string").alias("_host"))
+        rows = df.select("*", df[host_col].cast("string").alias(*fresh(df, "_host")))
         return rows.mapInArrow(tidied(_stripped(found, text_col, chars_col, min_left)), df.schema)
     return _joined_good(df, id_col, text_col, host_col, chars_col, min_docs, max_share, min_left, max_docs)
 
@@ -278,7 +278,8 @@ def _stripped(common: dict[int, np.ndarray], text_col: str, chars_col: str, min_
 
 def _joined_good(df: DataFrame, id_col: str, text_col: str, host_col: str, chars_col: str, min_docs: int, max_share: float, min_left: float, max_docs: int) -> DataFrame:
     judged = _judged(df, id_col, text_col, host_col, min_docs, max_share, min_left, max_docs)
-    verdicts = judged.where("kept").select(F.col("row").alias("_kept"), "gone").dropDuplicates(["_kept"]).withColumnRenamed("gone", "_gone")
+    row, kept, gone = fresh(df, "_row", "_kept", "_gone")
+    verdicts = judged.where("kept").select(F.col("row").alias(kept), F.col("gone").alias(gone)).dropDuplicates([kept])
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_or_empty(text_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")))
-    met = df.withColumn("_row", key).join(verdicts, F.col("_row") == F.col("_kept"))
-    return met.select(*df.columns, "_gone").mapInArrow(tidied(_cleaned(text_col, chars_col)), df.schema)
+    met = df.withColumn(row, key).join(verdicts, F.col(row) == F.col(kept))
+    return met.select(*df.columns, gone).mapInArrow(tidied(_cleaned(text_col, chars_col)), df.schema)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, cut, prepared, text_or_empty, texts, tidied, written
+from quillgrid.llm.common import Batches, cut, fresh, prepared, text_or_empty, texts, tidied, written
 from quillgrid.llm.components import connected_components
 
 SHINGLE = 4
@@ -213,9 +213,8 @@ def _word_fingerprints(batches: Batches) -> Batches:
         values = texts(batch, "text")
         found = [[signed(word_fingerprint(t, s)) for s in SEEDS] for t in values]
         bands = [band_keys(shingle_hashes(t)) for t in values]
-        marks = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in values]
         lists = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(found, lists), pa.array(bands, lists)], names=["node", "mark", "fps", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, lists), pa.array(bands, lists)], names=["id", "mark", "fps", "bands"])
 
 
 def _shingled(batches: Batches) -> Batches:
@@ -261,41 +260,66 @@ def _family_losers(similarity: float):
 
 
 def band_links(firsts: DataFrame) -> DataFrame:
-    """Edges (a, b) from the least node of each band key to the others that have the key; ``firsts`` has columns first and bands."""
-    keys = firsts.select(F.col("first").alias("node"), F.explode("bands").alias("key"))
+    """Edges (a, b) from the least node of each band key to the others that have the key; ``firsts`` has columns node and bands."""
+    keys = firsts.select("node", F.explode("bands").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select(F.col("key").alias("k"), "a")
     return keys.join(least, F.col("key") == F.col("k")).where("node <> a").select("a", F.col("node").alias("b"))
 
 
-def similar_losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(node): ids of the documents that go because one with a smaller id, equal or similar, stays.
+def _mark(text_col: str):
+    """What tells texts apart: 128 bits of a text, the empty text's for a null."""
+    return F.unhex(F.md5(text_or_empty(text_col)))
+
+
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, mark, id, times, rows, fps, bands) of each different text, nodes rising with the least id that has it.
+
+    ``id`` is that least id (null if the text has no other, which comes last), ``times`` the rows that
+    have both, ``rows`` those that have the text. Texts with one least id are in the order of their marks.
+    """
+    keyed = docs.select(docs[id_col].alias("id"), _mark(text_col).alias("mark"), text_or_empty(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = cut(keyed.mapInArrow(tidied(_word_fingerprints), f"id {kind}, mark binary, fps array<bigint>, bands array<bigint>"))
+    same = (F.min("fps").alias("fps"), F.min("bands").alias("bands"))
+    by_id = rows.groupBy("mark", "id").agg(F.count("*").alias("n"), *same)
+    by_text = by_id.groupBy("mark").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("x"), F.sum("n").alias("rows"), *same)
+    order = ["none", "id", "mark"]
+    flat = by_text.select("mark", "x.none", "x.id", F.col("x.n").alias("times"), "rows", "fps", "bands")
+    return cut(flat.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()).drop("none"))
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(mark, id, times, lost) of the texts that go because a similar one stays, and of those that several rows have.
 
     Similar: five-word shingles of a Jaccard similarity of ``similarity`` or more. Candidates are
     families of texts connected by SimHash links (fingerprints of the distinct words, covering hashing
-    at the radius) or by a band of min-hashes of the shingles in common; in a family, by rising id, a text stays unless it is similar to one that
-    stays. Equal texts count once, under their least id. Families above ``FAMILY`` texts or ``FAMILY_SHINGLES`` shingles pass through
-    rounds that compare all of them with their first texts, in Spark, until they are smaller.
+    at the radius) or by a band of min-hashes of the shingles in common; in a family, by rising id, a text
+    stays unless it is similar to one that stays. Families above ``FAMILY`` texts or ``FAMILY_SHINGLES``
+    shingles pass through rounds that compare all of them with their first texts, in Spark, until they
+    are smaller; other families wait outside the rounds.
     """
     spark = docs.sparkSession
     prepared(spark)
-    rows = docs.select(docs[id_col].cast("bigint").alias("node"), text_or_empty(text_col).alias("text")).where("node IS NOT NULL")
-    marks = cut(rows.mapInArrow(tidied(_word_fingerprints), "node bigint, mark binary, fps array<bigint>, bands array<bigint>"))
-    firsts = cut(marks.groupBy("mark").agg(F.min("node").alias("first"), F.min("fps").alias("fps"), F.min("bands").alias("bands")))
-    copies = marks.join(firsts.select("mark", "first"), "mark").where("node <> first").select("node")
-    nodes = firsts.select(F.col("first").alias("node"), F.posexplode("fps").alias("seed", "fp"))
-    families = written(connected_components(links(nodes).unionByName(band_links(firsts))), "families")
-    named = rows.join(families.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("root", "node", "text")
+    told = distinct_texts(docs, id_col, text_col)
+    nodes = told.select("node", F.posexplode("fps").alias("seed", "fp"))
+    families = written(connected_components(links(nodes).unionByName(band_links(told))), "families")
+    wanted = told.join(families, "node").select(F.col("mark").alias("m"), F.col("id").alias("i"), "root", "node")
+    rows = docs.select(docs[id_col].alias("id"), _mark(text_col).alias("mark"), text_or_empty(text_col).alias("text"))
+    named = rows.join(wanted, (F.col("mark") == F.col("m")) & F.col("id").eqNullSafe(F.col("i"))).select("root", "node", "text")
     members = written(named.mapInArrow(tidied(_shingled), "root bigint, node bigint, shingles array<bigint>"), "members")
-    lost = spark.createDataFrame([], "node bigint")
+    lost, settled = spark.createDataFrame([], "node bigint"), []
     while True:
         sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("all"))
         large = sizes.where((F.col("n") > 1) & ((F.col("n") > FAMILY) | (F.col("all") > FAMILY_SHINGLES))).select("root")
         if large.isEmpty():
             break
+        large = cut(large)
+        settled.append(members.join(large, "root", "left_anti"))
+        members = members.join(large, "root", "left_semi")
         order = Window.partitionBy("root").orderBy("node")
-        ranked = members.join(large, "root").select("root", "node", F.size("shingles").alias("size")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEADERS)
+        ranked = members.select("root", "node", F.size("shingles").alias("size")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEADERS)
         heads = ranked.withColumn("sum", F.sum("size").over(order)).where((F.col("k") == 1) | (F.col("sum") <= FAMILY_SHINGLES))
-        chosen = members.join(heads.select("root", "node"), ["root", "node"])
+        chosen = members.join(heads.select("root", "node").distinct(), ["root", "node"])
         picked = cut(chosen.groupBy("root").agg(F.collect_list(F.struct("node", "shingles")).alias("m")).select("root", "m"))
         beaten = cut(picked.select("m").mapInArrow(tidied(_family_losers(similarity)), "node bigint"))
         stay = picked.select("root", F.explode("m").alias("m")).select("root", "m.node", "m.shingles").join(beaten, "node", "left_anti")
@@ -305,11 +329,27 @@ def similar_losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         gone = cut(beaten.unionByName(similar).distinct())
         lost = lost.unionByName(gone)
         members = written(members.join(gone, "node", "left_anti").join(stay.select("node"), "node", "left_anti"), "members")
+    for part in settled:
+        members = members.unionByName(part)
     gathered = members.groupBy("root").agg(F.collect_list(F.struct("node", "shingles")).alias("members")).select("members")
-    return lost.unionByName(gathered.mapInArrow(tidied(_family_losers(similarity)), "node bigint")).unionByName(copies).distinct()
+    lost = lost.unionByName(gathered.mapInArrow(tidied(_family_losers(similarity)), "node bigint")).distinct().withColumn("lost", F.lit(True))
+    judged = told.select("node", "mark", "id", "times", "rows").join(lost, "node", "left").where(F.col("lost") | (F.col("rows") > 1))
+    return judged.select("mark", "id", "times", F.coalesce("lost", F.lit(False)).alias("lost"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, with their columns, less those that ``similar_losers`` names; rows without an id stay."""
-    lost = written(similar_losers(docs, id_col, text_col, similarity), "lost").withColumnRenamed("node", "_lost")
-    return docs.join(lost, docs[id_col].cast("bigint") == F.col("_lost"), "left_anti")
+    """The rows of ``docs``, with their columns, of texts that stay: one row of each text, that with the least id.
+
+    Which texts stay is told by ``similar_texts``. Ids may be of any type that has an order, and may repeat:
+    rows are told apart by id and text, so rows of one id with different texts are judged one by one. A
+    null id comes after all others. Of rows with the same id and text any one stays. Null and
+    empty texts are equal.
+    """
+    mark, own, first, times, lost = fresh(docs, "_mark", "_own", "_first", "_times", "_lost")
+    told = written(similar_texts(docs, id_col, text_col, similarity), "texts").toDF(mark, first, times, lost)
+    met = docs.withColumn(own, _mark(text_col)).join(told, F.col(own) == F.col(mark), "left")
+    met = met.where(F.col(mark).isNull() | (~F.col(lost) & docs[id_col].eqNullSafe(F.col(first))))
+    if told.where(~F.col(lost) & (F.col(times) > 1)).isEmpty():
+        return met.select(*docs.columns)
+    once = met.where(F.coalesce(F.col(times), F.lit(1)) == 1)
+    return once.unionByName(met.where(F.col(times) > 1).dropDuplicates([mark])).select(*docs.columns)

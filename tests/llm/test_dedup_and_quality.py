@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillgrid.llm import quality, simhash
+from quillgrid.llm import components, quality, simhash
 from quillgrid.llm.components import connected_components
 
 
@@ -142,6 +143,84 @@ def test_block_edits_are_found(spark, similarity):
     assert len(want) < 80 and kept == want
 
 
+def _kept_by_plain_rule(rows):
+    """(id, text) of the rows that stay: of each text the row with the least id, nulls last, unless a similar text before it stays."""
+    least = {}
+    for key, text in rows:
+        order = (key is None, key if key is not None else 0)
+        text = text or ""
+        least[text] = min(least.get(text, order), order)
+    stay = []
+    for text, order in sorted(least.items(), key=lambda x: (x[1], hashlib.md5(x[0].encode()).hexdigest())):
+        own = frozenset(simhash.shingle_hashes(text).tolist())
+        if all(_similarity(own, other) < 0.8 for _, _, other in stay):
+            stay.append((order, text, own))
+    return sorted(((None if none else key), text) for (none, key), text, _ in stay if not none), [text for (none, _), text, _ in stay if none]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_rows_of_repeated_null_and_text_ids(spark, kind):
+    r = random.Random(31)
+    line = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    a, b, c, d, e = (line(60) for _ in range(5))
+    key = (lambda k: k) if kind == "bigint" else (lambda k: None if k is None else f"id-{k:03d}")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, d), (None, d), (2, d + " tail"), (9, e), (8, e + " end"), (8, a + " more"), (1, None), (4, ""), (None, " "), (6, line(40)), (6, line(40)), (6, line(40))]
+    rows = [(key(k), t) for k, t in rows]
+    df = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(rows)], f"doc_id {kind}, text string, n int")
+    named = df.selectExpr("doc_id", "text", *[f"n AS {c}" for c in ("_mark", "_own", "_first", "_times", "_lost", "_host", "mark", "id", "node", "root")])
+    got = simhash.keep_first(named.repartition(4))
+    assert got.columns == named.columns
+    found = [(x["doc_id"], x["text"] or "") for x in got.collect()]
+    with_id, without = _kept_by_plain_rule(rows)
+    assert sorted(x for x in found if x[0] is not None) == with_id
+    assert sorted(t for k, t in found if k is None) == sorted(without)
+    for text in {t for _, t in rows if t}:  # no text is lost that has no like, and one row of each copy is left
+        assert sum(t == text for _, t in found) <= 1
+    assert {(key(5), b), (key(7), c)} <= set(found) and sum(k == key(6) for k, _ in found) == 3
+
+
+def test_families_in_rounds(spark, monkeypatch):
+    """A chain of unlike neighbours beside small families: rounds go on with large families only."""
+    monkeypatch.setattr(simhash, "FAMILY", 12)
+    monkeypatch.setattr(simhash, "LEADERS", 4)
+    r = random.Random(33)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    chain = words(160)
+    docs = []
+    for _ in range(40):  # each shares most, but not four fifths, with the next
+        docs.append(" ".join(chain))
+        chain = chain[18:] + words(18)
+    for _ in range(6):
+        own = words(60)
+        docs += [" ".join(own), " ".join([*own, "tail"])]
+    sets = [frozenset(simhash.shingle_hashes(t).tolist()) for t in docs]
+    want = set()
+    for k, s in enumerate(sets):
+        if all(_similarity(s, sets[j]) < 0.8 for j in want):
+            want.add(k)
+    got = {x["doc_id"] for x in simhash.keep_first(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")).collect()}
+    assert got == want and len(want) == 46
+
+
+@pytest.mark.parametrize("sent", [200_000, -1])
+def test_quality_with_clashing_names(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality, "SENT_LINES", sent)
+    r = random.Random(35)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(70))
+    df = spark.createDataFrame([(k, text(), "h", 1) for k in range(20)], "doc_id bigint, text string, source string, n_chars int")
+    df = df.selectExpr("*", *[f"doc_id AS {c}" for c in ("_host", "_row", "_gone", "_kept", "_Lost", "host", "row", "gone", "kept")])
+    got = quality.keep_good(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_components_that_do_not_settle(spark, monkeypatch):
+    monkeypatch.setattr(components, "MAX_ROUNDS", 1)
+    monkeypatch.setattr(components, "TASK_EDGES", 1)
+    path = spark.createDataFrame([(k, k + 1) for k in range(200)], "a bigint, b bigint").repartition(16)
+    with pytest.raises(RuntimeError):
+        components.connected_components(path)
+
+
 def test_repeated_words():
     def brute(words):
         found = Counter(zip(words, words[1:], words[2:]))
