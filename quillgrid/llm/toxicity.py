@@ -39,7 +39,6 @@ FOLDS = 4
 HELD_OUT = 2
 THRESHOLD = 0.3
 SAMPLE_ROWS = 10_000
-MINED = 400
 MINED_GROUPS = 12
 PREFIXES = (4, 5, 6, 7, 8)
 #: Training rows made for a mined feature alone, at most.
@@ -158,7 +157,7 @@ def features_of(word: bytes) -> list[bytes]:
 
 
 def _mine(sample: Sample, y: np.ndarray) -> list[tuple[bytes, float, np.ndarray]]:
-    """Features far commoner in toxic rows: (feature, lower end of its log odds, rows that have it)."""
+    """All features far commoner in toxic rows: (feature, lower end of its log odds, rows that have it); the sample's rows bound their number."""
     weights = sample.weights()
     n1, n0 = float(weights[y == 1].sum()), float(weights[y == 0].sum())
     names, table = sample.features(y == 1, max(3, round(0.005 * n1)))
@@ -170,7 +169,7 @@ def _mine(sample: Sample, y: np.ndarray) -> list[tuple[bytes, float, np.ndarray]
     # The lower end of the log odds, so that rare features need a cleaner record.
     sure = odds - 2.0 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     sure[0] = 0
-    found = sorted(np.flatnonzero(sure > SURE).tolist(), key=lambda k: (-sure[k], names[k]))[:MINED]
+    found = sorted(np.flatnonzero(sure > SURE).tolist(), key=lambda k: (-sure[k], names[k]))
     place = np.full(len(names), -1)
     place[found] = np.arange(len(found))
     where: list[list[int]] = [[] for _ in found]
