@@ -38,6 +38,22 @@ def _companies(spark, args) -> list[tuple[str, str]]:
     return [tuple(r) for r in readers.companies(spark, args.data_root, base).collect()]
 
 
+def _aggregates(spark, folder: str) -> None:
+    """What the aggregate files of a folder say by tier, type and company, also those of other programs; files that do not parse are named."""
+    try:
+        bad, files = readers.bad_aggregates(spark, folder), readers.aggregates(spark, folder)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return
+    for r in bad.orderBy("file").limit(100).collect():
+        print(f"not read: {r['file']}")
+    found = kept(reports.long_aggregates(files))
+    for axis in ("all", "difficulty", "question_type", "company"):
+        print(f"aggregates by {axis}")
+        reports.breakdown(found, axis, ["exact_match", "token_f1", "num_exact", "rouge_l"]).show(200, False)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="quillgrid")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -67,6 +83,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     spark = session(app="quillgrid")
     if args.command == "analyze":
+        _aggregates(spark, f"{args.results_dir}/aggregates")
         rows = readers.details(spark, f"{args.results_dir}/eval_results/*", "question_id string, exact_match int, token_f1 double, rouge_l double, num_exact int, num_f1 double, entailment_ratio double, failed boolean, error string")
         rows = rows.withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).withColumn("r", reports.run_name(F.concat("run", F.lit(".json")))).select("*", "r.model", "r.tier", "r.regime")
         metrics = ["exact_match", "token_f1", "rouge_l", "num_exact", "num_f1", "entailment_ratio"]
@@ -80,7 +97,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     questions = readers.sample(spark, args.data_root, _companies(spark, args), args.difficulty, args.max_per_company)
     if args.command == "sample":
-        questions.groupBy("company", "question_type").count().orderBy("company", "question_type").show(200, False)
+        questions.groupBy("company", "question_type").count().orderBy("company", F.desc("count"), "question_type").show(200, False)
         return
     tag = models.run_tag(args.model, args.difficulty, args.regime, args.table_format)
     base, _ = readers.TIER_FILES[args.difficulty]
@@ -105,7 +122,8 @@ def main(argv: list[str] | None = None) -> None:
     if run.judgements is not None:
         writers.records(run.judgements, judge_path)
     writers.records(run.scored.drop("anchors", "_prompt", "context"), f"{args.output_dir}/eval_results/{tag}", "overwrite")
-    writers.text(writers.aggregate_json(run.card), f"{args.output_dir}/aggregates/{tag}", spark)
+    writers.text(writers.aggregate_json(run.card), f"{args.output_dir}/aggregates/{tag}.json", spark)
+    writers.records(run.intervals, f"{args.output_dir}/intervals/{tag}", "overwrite")
     run.card.show(100, False)
 
 

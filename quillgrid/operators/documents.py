@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,27 +28,57 @@ def frequent_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return grams.groupBy(id_col, "gram").agg(F.count("*").alias("n")).where(F.col("n") >= often)
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _numbered_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the word, first character, end) of each word, in arrays."""
+    numbers: dict[str, int] = {}
+    codes, starts, ends = array("i"), array("q"), array("q")
+    for m in re.finditer(r"\S+", text):
+        codes.append(numbers.setdefault(m[0], len(numbers)))
+        starts.append(m.start())
+        ends.append(m.end())
+    return np.asarray(codes), np.asarray(starts), np.asarray(ends)
+
+
+def returning_windows(codes: np.ndarray, gram: int, stride: int, often: int) -> Iterator[np.ndarray]:
+    """The numbers of equal windows of ``gram`` words, one every ``stride`` words, of which there are ``often`` or more.
+
+    Windows with equal hashes are compared word by word, place after place, with the first of them; those
+    that differ from it are compared among themselves again. Nothing but numbers is held of a window.
+    """
+    at = np.arange(0, len(codes) - gram + 1, stride)
+    marks = np.zeros(len(at), np.uint64)
+    for k in range(gram):
+        marks = marks * _FACTOR + codes[at + k].astype(np.uint64) + np.uint64(1)
+    order = np.argsort(marks, kind="stable")
+    edges = np.flatnonzero(np.diff(marks[order])) + 1
+    for own in np.split(order, edges):
+        while len(own) >= often:
+            same = np.ones(len(own), bool)
+            for k in range(gram):
+                same &= codes[at[own] + k] == codes[at[own[0]] + k]
+            if same.sum() >= often:
+                yield own[same]
+            own = own[~same]
+
+
 def repeated_spans(text: str, gram: int = GRAM, stride: int = STRIDE, often: int = OFTEN, near: int = NEAR, gap: int = GAP, join: int = JOIN, least: int = LEAST) -> list[tuple[int, int]]:
     """Character spans where the same window of words keeps returning at short distances."""
-    found = [m.span() for m in re.finditer(r"\S+", text)]
-    if len(found) < least:
+    codes, starts, ends = _numbered_words(text)
+    if len(codes) < max(least, gram):
         return []
-    places: dict[tuple, list[int]] = {}
-    words = [text[a:b] for a, b in found]
-    for k in range(0, len(words) - gram + 1, stride):
-        places.setdefault(tuple(words[k : k + gram]), []).append(k // stride)
     spans = []
-    for at in places.values():
+    for at in returning_windows(codes, gram, stride, often):
+        dense = np.flatnonzero(at[often - 1 :] - at[: len(at) - often + 1] <= near)
+        wide = np.flatnonzero(np.diff(at) > gap)  # a stretch goes on up to the next of these
         i = 0
-        while i + often - 1 < len(at):
-            if at[i + often - 1] - at[i] > near:
-                i += 1
-                continue
-            j = i + often - 1
-            while j + 1 < len(at) and at[j + 1] - at[j] <= gap:
-                j += 1
-            first, last = at[i] * stride, at[j] * stride + gram - 1
-            spans.append((found[first][0], found[min(last, len(found) - 1)][1]))
+        while (k := np.searchsorted(dense, i)) < len(dense):
+            i = int(dense[k])
+            m = np.searchsorted(wide, i + often - 1)
+            j = int(wide[m]) if m < len(wide) else len(at) - 1
+            spans.append((int(starts[at[i] * stride]), int(ends[min(at[j] * stride + gram, len(codes)) - 1])))
             i = j + 1
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):

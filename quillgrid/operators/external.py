@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +149,10 @@ class Overflow:
 
 @dataclass
 class RateLimited:
-    """At most ``per_minute`` calls a minute in all, shared out among ``parallel`` partitions that ask at a time."""
+    """At most ``per_minute`` calls a minute in all, shared out among ``parallel`` partitions that ask at a time, in equal parts.
+
+    ``ask_at_rate`` shares one rate among tasks as they need it.
+    """
 
     inner: Backend
     per_minute: float = 30.0
@@ -221,14 +225,78 @@ def ask(rows: DataFrame, key: str, prompt: str, backend: Backend, parallel: int
     return asked.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {ANSWER}")
 
 
-def ask_cached(rows: DataFrame, key: str, prompt: str, backend: Backend, cache: DataFrame, parallel: int | None = None, retry_errors: bool = False) -> tuple[DataFrame, DataFrame]:
+def shares(demands: list[int], allowance: int, turn: int = 0) -> list[int]:
+    """What each task may ask of an allowance: as equal as demands allow, none above its demand, odd ones from task ``turn`` on."""
+    out, left = [0] * len(demands), min(allowance, sum(demands))
+    while left > 0:
+        open_ = [k for k in ((turn + j) % len(demands) for j in range(len(demands))) if out[k] < demands[k]]
+        each = max(1, left // len(open_))
+        for k in open_:
+            more = min(demands[k] - out[k], each, left)
+            out[k] += more
+            left -= more
+    return out
+
+
+def in_rounds(rank: int, prompts: Iterator[tuple], call: Callable[[str], Reply], gather: Callable[[str], list[str]], rate: float, burst: int, clock: Callable[[], float], sleep: Callable[[float], None]) -> Iterator[tuple]:
+    """(key, prompt, reply, error, milliseconds) of a task's prompts, asked in rounds with the tasks beside it.
+
+    In each round the tasks tell each other how much they have to ask, and the first task's clock. All of
+    them work out the same division of what the job's rate (calls a second) allows by that clock, less what
+    it has spent, so what idle tasks leave is the others'. A task that has run dry stays until all have.
+    """
+    held: list[tuple] = []
+    began, spent, turn, dry = None, 0, 0, False
+    while True:
+        while not held and not dry:
+            if (more := next(prompts, None)) is None:
+                dry = True
+            else:
+                held += more
+        told = [json.loads(x) for x in gather(json.dumps([len(held), clock()]))]
+        demands, now = [d for d, _ in told], told[0][1]
+        if not any(demands):
+            return
+        began = now if began is None else began
+        mine = shares(demands, burst + int((now - began) * rate + 1e-9) - spent, turn)
+        spent, turn = spent + sum(mine), turn + 1
+        for key, prompt in held[: mine[rank]]:
+            start = clock()
+            try:
+                reply, error = call(prompt)
+            except Exception as e:
+                reply, error = "", str(e) or type(e).__name__
+            yield key, prompt, reply, error, 1000 * (clock() - start)
+        held = held[mine[rank] :]
+        if not any(mine):
+            sleep(max(0.0, began + (spent + 1 - burst) / rate - now))
+
+
+def ask_at_rate(rows: DataFrame, key: str, prompt: str, backend: Backend, per_minute: float, parallel: int, burst: int = 1) -> DataFrame:
+    """As ``ask``, with one rate for the whole job: ``parallel`` tasks run side by side (a barrier stage) and share it as they need it."""
+    ship_package(rows.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = BarrierTaskContext.get()
+        prompts = (list(zip(f[key], f["prompt"])) for f in frames)
+        for k, _, reply, error, took in in_rounds(context.partitionId(), prompts, backend(), context.allGather, per_minute / 60.0, burst, time.monotonic, time.sleep):
+            yield pd.DataFrame([(k, reply, error, took, time.time())], columns=[key, "reply", "error", "latency_ms", "asked_at"])
+
+    asked = rows.select(key, F.col(prompt).alias("prompt")).repartition(parallel)
+    told = asked.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {ANSWER}", barrier=True)
+    return told.repartition(parallel)  # the barrier stage ends here: what follows need not run side by side
+
+
+def ask_cached(rows: DataFrame, key: str, prompt: str, backend: Backend, cache: DataFrame, parallel: int | None = None, retry_errors: bool = False, per_minute: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers of all rows, those that are new). Of repeated cache rows the last counts; errors count as answers unless ``retry_errors``.
 
-    Each key that the cache lacks is asked once, when this is called.
+    Each key that the cache lacks is asked once, when this is called; with ``per_minute`` at one rate for
+    all ``parallel`` tasks.
     """
     held = last_cached(cache, key)
     held = (held.where("error IS NULL") if retry_errors else held).select(key, "reply", "error", "latency_ms")
-    fresh = kept(ask(pending(rows, held, key).dropDuplicates([key]), key, prompt, backend, parallel))
+    left = pending(rows, held, key).dropDuplicates([key])
+    fresh = kept(ask(left, key, prompt, backend, parallel) if per_minute is None else ask_at_rate(left, key, prompt, backend, per_minute, parallel or 1))
     known = held.join(rows.select(key).distinct(), key, "left_semi")
     return known.unionByName(fresh.drop("asked_at")), fresh
 
@@ -236,12 +304,29 @@ def ask_cached(rows: DataFrame, key: str, prompt: str, backend: Backend, cache:
 REGIMES = ("zero_shot", "few_shot", "closed_book", "chain_of_thought")
 
 
+# Sectors that are shown by another name.
+SECTOR_LABELS = {
+    "Private_Sector_Bank": "Private Sector Banking",
+    "Public_Sector_Bank": "Public Sector Banking",
+    "Information_Technology": "Information Technology",
+    "Pharmaceutical": "Pharmaceuticals",
+    "Automobile": "Automotive",
+    "Fast_Moving_Consumer_Goods": "FMCG",
+}
+
+
+def sector_label(sector: Column) -> Column:
+    """The name that a sector is shown by: its label, else its own with spaces for underscores."""
+    labels = F.create_map(*[F.lit(x) for pair in SECTOR_LABELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(labels, sector), F.replace(sector, F.lit("_"), F.lit(" ")))
+
+
 def company_preamble(company: Column, sector: Column, year: Column) -> Column:
-    """Names with spaces for underscores, and a fiscal year such as FY2025 with its months."""
+    """Names with spaces for underscores, sectors by their labels, and a fiscal year such as FY2025 with its months."""
     plain = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
     number = F.substring(year, 3, 4).try_cast("int")
     months = F.when((F.length(year) == 6) & number.isNotNull(), F.concat(year, F.lit(" (April "), (number - 1).cast("string"), F.lit(" – March "), number.cast("string"), F.lit(")"))).otherwise(year)
-    return F.concat(F.lit("Company: "), plain(company), F.lit("\nSector: "), plain(sector), F.lit("\nFiscal year: "), months)
+    return F.concat(F.lit("Company: "), plain(company), F.lit("\nSector: "), sector_label(sector), F.lit("\nFiscal year: "), months)
 
 
 def messages(question: Column, context: Column, regime: str, preamble: Column | None = None, examples: list[dict[str, str]] = ()) -> Column:
@@ -265,13 +350,45 @@ def completion_prompt(question: Column, context: Column, limit: int = 8000, prea
     return F.concat(lead, F.lit("Context:\n"), cut, F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))
 
 
-TIERS = {"easy": "Ask about one stated fact.", "medium": "Ask for a short derivation within one section.", "hard": "Ask for a calculation with its inputs listed.", "multihop": "Ask what needs two sections or more, and name them."}
-
-
-def question_prompt(text: Column, tier: str, budget: Column) -> Column:
+#: Of each tier: what to ask about, and examples of such questions.
+TIERS = {
+    "easy": ("Ask about one stated fact: a figure, a date, a name. Nothing may have to be worked out or guessed.", ("How high were the year's sales?", "Who audits the accounts?", "On which day was the meeting held?")),
+    "medium": (
+        "Ask for a short derivation within one section: a comparison, a trend, a cause that the text gives. Let openings of questions differ.",
+        ("How did borrowings develop against the year before?", "What drove the change in margins?", "Did exports contribute to growth?"),
+    ),
+    "hard": (
+        "Ask what a forensic auditor would: earnings that cash does not back, one-off items, debts and their service, related parties, pledges, contingent liabilities. List the inputs of a calculation.",
+        ("Is the profit of the year backed by cash from operations?", "How often is interest covered, and is that enough?", "Do dealings with related parties call for attention?"),
+    ),
+    "multihop": (
+        "Ask what needs two sections or tables or more, such as the income statement and the balance sheet, and name them.",
+        ("What rate of interest do finance cost and borrowings imply?", "Do receivables grow faster than sales, and what follows for cash?", "How far would contingent liabilities lower net worth?"),
+    ),
+}
+#: Keys of a pair, those that every tier has and those of the tiers that show their working.
+PAIR_KEYS = ("question", "answer", "evidence", "question_type", "requires_calculation")
+ANCHORED = ("hard", "multihop")
+
+
+def question_prompt(text: Column, tier: str, budget: Column, **about: Column) -> Column:
+    """What a model is asked for a bundle: task, rules and examples of the tier, and the text, headed by what ``about`` names (sector, company ...)."""
     if tier not in TIERS:
         raise ValueError(f"unknown tier: {tier}")
-    return F.concat(F.lit(f"{TIERS[tier]} Write "), budget.cast("string"), F.lit(" question-answer pairs as a JSON array.\n\n"), text)
+    task, examples = TIERS[tier]
+    keys = [*PAIR_KEYS, *(["verification_anchors"] if tier in ANCHORED else [])]
+    rules = [
+        f"Reply with a JSON array of objects with the keys {', '.join(keys)}.",
+        "question_type is one of Text Only, Table Only, Table with Text, Numerical Calculation, Sentiment Divergence.",
+        "requires_calculation is true only if the answer is not stated and has to be computed.",
+        "evidence is copied from the text to the letter, tables with their markup, without cuts.",
+    ]
+    if tier in ANCHORED:
+        rules.append("verification_anchors is an object: alignment_status (consistent, contradiction or not_applicable), calculation_inputs (numbers), cross_section_sources (section names).")
+    head = [x for name, c in about.items() for x in (F.lit(f"{name.capitalize()}: "), F.coalesce(c, F.lit("")), F.lit("\n"))]
+    ask = f"{task}\nWrite at most "
+    rest = " question-answer pairs, fewer where the text does not carry them.\n" + "\n".join(f"- {r}" for r in rules) + "\nSuch questions are, in words of your own:\n" + "\n".join(f"- {e}" for e in examples) + "\n\n"
+    return F.concat(F.lit(ask), budget.cast("string"), F.lit(rest), *head, F.lit("<text>\n"), text, F.lit("\n</text>"))
 
 
 def generate_pairs(bundles: DataFrame, key: str, text: str, tier: str, backend: Backend, budget: Column, tries: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -299,7 +416,8 @@ def generate_pairs(bundles: DataFrame, key: str, text: str, tier: str, backend:
 
             return run
 
-    asked = kept(ask(bundles.withColumn("_prompt", question_prompt(F.col(text), tier, budget)), key, "_prompt", Parsing(backend, tries)))
+    about = {c: F.col(c) for c in ("sector", "company", "year", "section") if c in bundles.columns}
+    asked = kept(ask(bundles.withColumn("_prompt", question_prompt(F.col(text), tier, budget, **about)), key, "_prompt", Parsing(backend, tries)))
     pairs = asked.select(key, F.explode(J.qa_pairs(F.col("reply"))).alias("p")).select(
         key, "p.question", "p.answer", "p.evidence", F.coalesce("p.question_type", F.lit("Unknown")).alias("question_type"), J.truthy(F.col("p.requires_calculation")).alias("requires_calculation")
     )
@@ -361,23 +479,26 @@ def upright(pages: DataFrame, key: list[str], content: str, detect: Callable[[],
 
 
 def read_twice(pages: DataFrame, key: list[str], doc: str, content: str, first: Callable, second: Callable, attempts: int = 3) -> DataFrame:
-    """(key, md, status) of page images, where the failed pages of documents that are partly read get a second pass by ``second``."""
+    """(key, md, status, retried) of page images, where the failed pages of documents that are partly read get a second pass by ``second``."""
     read = kept(read_pages(pages, key, content, first, attempts))
     partial = document_status(read, doc).where("status = 'partial'").select(doc)
     failed = read.where("status = 'failed'").join(partial, doc, "left_semi").select(*key)
     again = kept(read_pages(pages.join(failed, key, "left_semi"), key, content, second, attempts))
-    return read.join(again.select(*key), key, "left_anti").select(*key, "md", "status").unionByName(again.select(*key, "md", "status"))
+    once = read.join(again.select(*key), key, "left_anti").select(*key, "md", "status", F.lit(False).alias("retried"))
+    return once.unionByName(again.select(*key, "md", "status", F.lit(True).alias("retried")))
 
 
 def document_status(pages: DataFrame, doc: str) -> DataFrame:
-    """(doc, pages, failed, status): ok, partial or failed; partial ones are read again in a second pass."""
-    counted = pages.groupBy(doc).agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "failed").alias("failed"))
+    """(doc, pages, failed, status): ok, partial or failed; partial ones are read again in a second pass. Pages of ``read_twice`` give retried too."""
+    more = [F.count_if("retried").alias("retried")] if "retried" in pages.columns else []
+    counted = pages.groupBy(doc).agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "failed").alias("failed"), *more)
     return counted.withColumn("status", F.when(F.col("failed") == 0, "ok").when(F.col("failed") < F.col("pages"), "partial").otherwise("failed"))
 
 
 def processing_counters(states: DataFrame) -> DataFrame:
-    """(status, documents, pages, failed) of document states, with the total under a null status."""
-    return states.rollup("status").agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"), F.sum("failed").alias("failed"))
+    """(status, documents, pages, failed) of document states, with the total under a null status; retried pages where states tell them."""
+    more = [F.sum("retried").alias("retried")] if "retried" in states.columns else []
+    return states.rollup("status").agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"), F.sum("failed").alias("failed"), *more)
 
 
 def retry_set(states: DataFrame, reports: DataFrame, doc: str) -> DataFrame:
@@ -388,4 +509,4 @@ def retry_set(states: DataFrame, reports: DataFrame, doc: str) -> DataFrame:
 def progress(states: DataFrame) -> str:
     """A snapshot of the counters as JSON (a handful of rows)."""
     rows = processing_counters(states).collect()
-    return json.dumps({r["status"] or "all": {"documents": r["documents"], "pages": r["pages"], "failed": r["failed"]} for r in rows}, sort_keys=True)
+    return json.dumps({r["status"] or "all": {k: v for k, v in r.asDict().items() if k != "status"} for r in rows}, sort_keys=True)

@@ -63,6 +63,47 @@ def ranked(means: DataFrame, metric: str) -> DataFrame:
     return means.withColumn("rank", F.rank().over(Window.orderBy(F.desc(metric))))
 
 
+def long_aggregates(files: DataFrame) -> DataFrame:
+    """(file, model, tier, regime, axis, key, metric, value) of aggregates of any shape, from ``readers.aggregates``.
+
+    Documents are read as VARIANT: a number at the top is a measure of the whole (axis ``all``), a map
+    ``by_x`` of maps holds the measures of each value of x. Counts are called ``n``, whatever the document
+    calls them (n, total or count); what is no number is left out. Documents of different runs of the
+    program need not have the same measures or axes.
+    """
+    named = files.select("file", run_name(F.col("file")).alias("r"), F.parse_json("body").alias("v")).select("file", "r.*", "v")
+    top = named.select("file", "model", "tier", "regime", F.explode(F.expr("cast(v as map<string, variant>)")).alias("name", "x"))
+    kind = F.schema_of_variant("x")
+    whole = top.where(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")).select("file", "model", "tier", "regime", F.lit("all").alias("axis"), F.lit(None).cast("string").alias("key"), F.col("name").alias("metric"), "x")
+    by = top.where(kind.startswith("OBJECT") & F.col("name").startswith("by_")).select("file", "model", "tier", "regime", F.substring("name", 4, 10_000).alias("axis"), F.explode(F.expr("try_cast(x as map<string, variant>)")).alias("key", "y"))
+    inner = by.where(F.schema_of_variant("y").startswith("OBJECT")).select("file", "model", "tier", "regime", "axis", "key", F.explode(F.expr("cast(y as map<string, variant>)")).alias("metric", "x"))
+    flat = whole.unionByName(inner).withColumn("value", F.expr("try_variant_get(x, '$', 'double')")).drop("x").where("value IS NOT NULL")
+    return flat.withColumn("metric", F.when(F.col("metric").isin("total", "count"), "n").otherwise(F.col("metric")))
+
+
+def breakdown(aggregates: DataFrame, axis: str, metrics: list[str]) -> DataFrame:
+    """(model, tier, regime, key, n, metrics) of one axis of long aggregates, side by side, the most frequent keys first."""
+    wide = aggregates.where(F.col("axis") == axis).groupBy("model", "tier", "regime", "key").pivot("metric", ["n", *metrics]).agg(F.max("value"))
+    return wide.orderBy("model", in_order(F.col("tier"), TIERS), "regime", F.desc("n"), "key")
+
+
+def count_log(pairs: DataFrame, dead: DataFrame, by: str, tier: str, kind: str, reason: str = "reason") -> DataFrame:
+    """(scope, log): counts of questions by tier and type, and of removals by reason, as text for each value of ``by`` and, under a null scope, for all.
+
+    A question without a type counts for its tier and the total only.
+    """
+    made = pairs.select(F.col(by).alias("scope"), F.col(tier).alias("a"), F.col(kind).alias("b"), F.lit("questions").alias("of"))
+    gone = dead.select(F.col(by).alias("scope"), F.col(reason).alias("a"), F.lit(None).cast("string").alias("b"), F.lit("removed").alias("of"))
+    rows = made.unionByName(gone).withColumn("scoped", F.lit(True))
+    sets = [s + extra for s in ([], ["scope", "scoped"]) for extra in (["of"], ["of", "a"], ["of", "a", "b"])]
+    counted = rows.groupingSets([[F.col(c) for c in s] for s in sets], *map(F.col, ("scope", "scoped", "of", "a", "b"))).agg(F.grouping("a").alias("ga"), F.grouping("b").alias("gb"), F.count("*").alias("n"))
+    shown = counted.where((F.col("gb") == 1) | F.col("b").isNotNull()).where((F.col("ga") == 1) | F.col("a").isNotNull())
+    name = F.when(F.col("ga") == 1, F.concat("of", F.lit(" in all"))).when(F.col("gb") == 1, F.concat(F.lit("  "), "a")).otherwise(F.concat(F.lit("    "), "b"))
+    line = F.struct("of", F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b"), F.concat(name, F.lit(": "), F.col("n").cast("string")).alias("line"))
+    logs = shown.groupBy("scope", "scoped").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("log"))
+    return logs.select(F.when(F.col("scoped"), F.coalesce("scope", F.lit(""))).alias("scope"), "log")
+
+
 def question_counts(pairs: DataFrame, tier: str, kind: str) -> DataFrame:
     """Totals, by tier, and by tier and type, in one pass."""
     return pairs.groupingSets([[], [F.col(tier)], [F.col(tier), F.col(kind)]], F.col(tier), F.col(kind)).agg(F.grouping_id().alias("level"), F.count("*").alias("n"))

@@ -78,12 +78,13 @@ def bundle_id_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "company_preambles",
-    """SELECT s_suppkey, 'Company: ' || replace(s_name, '_', ' ') || chr(10) || 'Sector: A B' || chr(10) || 'Fiscal year: ' || CASE s_suppkey % 3 WHEN 0 THEN 'FY' || y || ' (April ' || (y - 1) || ' – March ' || y || ')' WHEN 1 THEN CAST(y AS VARCHAR) ELSE 'FY20XX' END AS preamble
+    """SELECT s_suppkey, 'Company: ' || replace(s_name, '_', ' ') || chr(10) || 'Sector: ' || CASE s_suppkey % 4 WHEN 0 THEN 'A B' WHEN 1 THEN 'FMCG' WHEN 2 THEN 'Automotive' ELSE 'Private Sector Banking' END || chr(10) || 'Fiscal year: ' || CASE s_suppkey % 3 WHEN 0 THEN 'FY' || y || ' (April ' || (y - 1) || ' – March ' || y || ')' WHEN 1 THEN CAST(y AS VARCHAR) ELSE 'FY20XX' END AS preamble
 FROM (SELECT *, 2000 + s_suppkey % 30 AS y FROM supplier)""",
 )
 def company_preambles(spark: SparkSession, sf: str) -> DataFrame:
     year = F.expr("CASE s_suppkey % 3 WHEN 0 THEN concat('FY', 2000 + s_suppkey % 30) WHEN 1 THEN cast(2000 + s_suppkey % 30 AS string) ELSE 'FY20XX' END")
-    return table(spark, sf, "supplier").select("s_suppkey", E.company_preamble(F.col("s_name"), F.lit("A_B"), year).alias("preamble"))
+    sector = F.element_at(F.array(*map(F.lit, ("A_B", "Fast_Moving_Consumer_Goods", "Automobile", "Private_Sector_Bank"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return table(spark, sf, "supplier").select("s_suppkey", E.company_preamble(F.col("s_name"), sector, year).alias("preamble"))
 
 
 @query(
@@ -107,11 +108,16 @@ def completion_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "question_prompts",
-    f"""SELECT p_partkey, {D.lit(E.TIERS["hard"])} || ' Write ' || CASE WHEN p_size % 2 = 0 THEN 2 WHEN p_size >= 18 THEN 4 WHEN p_size >= 11 THEN 2 ELSE 1 END || ' question-answer pairs as a JSON array.' || chr(10) || chr(10) || p_name AS prompt FROM part""",
+    """SELECT p_partkey, 'Ask about one stated fact: a figure, a date, a name. Nothing may have to be worked out or guessed.' || chr(10) || 'Write at most ' || CASE WHEN p_size % 2 = 0 THEN 2 WHEN p_size >= 18 THEN 4 WHEN p_size >= 11 THEN 2 ELSE 1 END
+|| ' question-answer pairs, fewer where the text does not carry them.' || chr(10) || '- Reply with a JSON array of objects with the keys question, answer, evidence, question_type, requires_calculation.' || chr(10)
+|| '- question_type is one of Text Only, Table Only, Table with Text, Numerical Calculation, Sentiment Divergence.' || chr(10) || '- requires_calculation is true only if the answer is not stated and has to be computed.' || chr(10)
+|| '- evidence is copied from the text to the letter, tables with their markup, without cuts.' || chr(10) || 'Such questions are, in words of your own:' || chr(10)
+|| '- How high were the year''s sales?' || chr(10) || '- Who audits the accounts?' || chr(10) || '- On which day was the meeting held?' || chr(10) || chr(10)
+|| 'Sector: ' || p_brand || chr(10) || '<text>' || chr(10) || p_name || chr(10) || '</text>' AS prompt FROM part""",
 )
 def question_prompts(spark: SparkSession, sf: str) -> DataFrame:
     budget = T.question_budget(F.col("p_size"), F.col("p_size") % 2 == 0)
-    return table(spark, sf, "part").select("p_partkey", E.question_prompt(F.col("p_name"), "hard", budget).alias("prompt"))
+    return table(spark, sf, "part").select("p_partkey", E.question_prompt(F.col("p_name"), "easy", budget, sector=F.col("p_brand")).alias("prompt"))
 
 
 @query("stream_replies", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand || p_size ELSE p_brand END AS reply FROM part")

@@ -116,14 +116,20 @@ def bundles(spark: SparkSession, path: str) -> DataFrame:
 
 def aggregates(spark: SparkSession, folder: str) -> DataFrame:
     """(file, body): each JSON file of a folder as text that parses; others are left out."""
-    rows = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    return rows.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("body")).where(F.try_parse_json("body").isNotNull())
+    return _json_files(spark, folder).where(F.try_parse_json("body").isNotNull())
 
 
 def bad_aggregates(spark: SparkSession, folder: str) -> DataFrame:
     """(file): the JSON files of a folder that do not parse, for a warning."""
-    rows = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    return rows.where(F.try_parse_json("value").isNull()).select(F.col("_metadata.file_name").alias("file"))
+    return _json_files(spark, folder).where(F.try_parse_json("body").isNull()).select("file")
+
+
+def _json_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, body): JSON files of a folder, and folders named like them, which hold a document in one part."""
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    rows = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(parts.alias("p"), F.col("value").alias("body"))
+    inside = F.element_at("p", -2).endswith(".json") & F.element_at("p", -1).startswith("part-")
+    return rows.select(F.when(inside, F.element_at("p", -2)).when(F.element_at("p", -1).endswith(".json"), F.element_at("p", -1)).alias("file"), "body").where("file IS NOT NULL")
 
 
 def reused(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:

@@ -70,6 +70,12 @@ def quarantine(df: DataFrame, error: str, good: str, bad: str) -> None:
     df.where(F.col(error).isNotNull()).write.mode("append").json(bad)
 
 
+def count_logs(logs: DataFrame, root: str) -> None:
+    """Texts of ``reports.count_log``: one file for each scope under its own folder, and one for all under ``_all``."""
+    named = logs.select(F.coalesce("scope", F.lit("_all")).alias("scope"), "log")
+    named.repartition("scope").write.mode("overwrite").partitionBy("scope").text(root)
+
+
 def text(content: str, path: str, spark: SparkSession) -> None:
     """One text as a folder with one part, in any store Spark reaches."""
     spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)

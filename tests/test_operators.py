@@ -3,6 +3,9 @@
 import json
 import math
 import random
+import re
+import threading
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -92,6 +95,60 @@ def test_repetition_is_cut_once(spark):
     assert "HALLUCINATION REMOVED" in got[0]["text"] and len(got[0]["removed"][0]) == 1000 and got[1]["text"] == ""
 
 
+def _plain_spans(text, gram, stride, often, near, gap, join, least):
+    """Windows as tuples of words, places one after another."""
+    found = [m.span() for m in re.finditer(r"\S+", text)]
+    if len(found) < least:
+        return []
+    words, places, spans = [text[a:b] for a, b in found], {}, []
+    for k in range(0, len(words) - gram + 1, stride):
+        places.setdefault(tuple(words[k : k + gram]), []).append(k // stride)
+    for at in places.values():
+        i = 0
+        while i + often <= len(at):
+            if at[i + often - 1] - at[i] > near:
+                i += 1
+                continue
+            j = i + often - 1
+            while j + 1 < len(at) and at[j + 1] - at[j] <= gap:
+                j += 1
+            spans.append((found[at[i] * stride][0], found[at[j] * stride + gram - 1][1]))
+            i = j + 1
+    out = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + join:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def test_repetition_against_tuples(monkeypatch):
+    r, cut = random.Random(15), 0
+    for t in range(300):
+        if t == 150:
+            monkeypatch.setattr(O, "_FACTOR", np.uint64(0))  # all windows with one last word have one hash
+        options = {"gram": r.choice([1, 3, 8]), "stride": r.choice([1, 2, 5]), "often": r.choice([2, 3, 5]), "near": r.choice([4, 20, 60]), "gap": r.choice([1, 6, 12]), "join": r.choice([0, 15]), "least": 10}
+        words = []
+        while len(words) < 150:
+            words += r.choice([["a"] * r.randint(1, 30), [f"w{r.randrange(9)}" for _ in range(r.randint(1, 30))], ["x", "y", "z"] * r.randint(1, 9), [f"n{len(words)}"] * 2])
+        text = " ".join(words) + r.choice(["", "\n"])
+        got = O.repeated_spans(text, **options)
+        assert got == _plain_spans(text, **options), (text, options)
+        cut += bool(got)
+    assert cut > 100 and O.repeated_spans("a b", least=0) == []
+
+
+def test_repetition_in_a_long_text_in_little_memory():
+    text = " ".join(f"w{k % 977}" for k in range(400_000))
+    tracemalloc.start()
+    spans = O.repeated_spans(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Words of 977 kinds in turn: a window returns after 977 strides, too far for ten of them to be near.
+    assert spans == [] and peak < 20 * len(text)
+
+
 def _bundles(sections, least=4):
     out, n, held = [], 0, 0
     for k, s in enumerate(sections):
@@ -355,6 +412,64 @@ def test_backends():
     assert now[0] == pytest.approx(2.0)
 
 
+def test_shares():
+    r = random.Random(2)
+    for _ in range(500):
+        demands = [r.choice([0, 0, 1, 5, 100]) for _ in range(r.randint(1, 6))]
+        allowance, turn = r.choice([-3, 0, 1, 2, 7, 50, 1000]), r.randrange(9)
+        got = E.shares(demands, allowance, turn)
+        assert sum(got) == max(0, min(allowance, sum(demands))) and all(g <= d for g, d in zip(got, demands))
+        short = [g for g, d in zip(got, demands) if g < d]
+        assert not short or max(got) - min(short) <= 1
+
+
+@pytest.mark.parametrize("loads", [[40, 0, 0, 0], [10, 10, 10, 10], [25, 1, 0, 14]])
+def test_one_rate_for_busy_and_idle_tasks(loads):
+    """Tasks as threads on one simulated clock: forty calls at two a second take twenty seconds, however they lie."""
+    now, lock, made = [0.0], threading.Lock(), []
+    meet, notes = threading.Barrier(len(loads)), [""] * len(loads)
+
+    def task(rank):
+        def gather(note):
+            notes[rank] = note
+            meet.wait()
+            out = list(notes)
+            meet.wait()
+            return out
+
+        def sleep(seconds):
+            if rank == 0:  # the clock that counts is the first task's
+                now[0] += seconds
+
+        def call(prompt):
+            with lock:
+                made.append(now[0])
+            return prompt, None
+
+        prompts = iter([[(f"{rank}-{k}", f"p{k}") for k in range(loads[rank])]] if loads[rank] else [])
+        found.append([x[0] for x in E.in_rounds(rank, prompts, call, gather, 2.0, 1, lambda: now[0], sleep)])
+
+    found = []
+    threads = [threading.Thread(target=task, args=(k,)) for k in range(len(loads))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(30)
+    assert sorted(x for own in found for x in own) == sorted(f"{r}-{k}" for r, n in enumerate(loads) for k in range(n))
+    made.sort()
+    assert made[-1] == pytest.approx(19.5, abs=0.6)
+    assert all(n <= 1 + 2 * t + 1e-6 for n, t in enumerate(made, 1))  # never ahead of the rate
+
+
+def test_asking_at_one_rate(spark):
+    df = spark.range(12).selectExpr("cast(id AS string) AS k", "concat('p', id) AS prompt")
+    none = spark.createDataFrame([], f"k string, {E.ANSWER}")
+    answers, fresh = E.ask_cached(df, "k", "prompt", E.Stub("a"), none, parallel=3, per_minute=600)
+    times = sorted(x["asked_at"] for x in fresh.collect())
+    assert answers.count() == 12 and {x["reply"] for x in answers.collect()} == {"a"}
+    assert times[-1] - times[0] >= 11 / 10 - 0.15  # eleven calls after the first, ten a second
+
+
 def test_question_generation(spark):
     df = spark.createDataFrame([("b1", "text one")], "bundle_id string, text string")
     reply = '[{"question": "q", "answer": "a", "requires_calculation": "false"}, {"question": "", "answer": "x"}]'
