@@ -19,7 +19,8 @@ ABSTAIN_PHRASES = (
     "information not available", "not stated", "not specified", "not found in context", "insufficient information",
 )
 BRSR_WORDS = (
-    "brsr", "business responsibility", "sustainability report", "esg", *(f"principle {k}" for k in range(1, 10)),
+    "brsr", "business responsibility", "sustainability report", "esg",
+    "principle 1", "principle 2", "principle 3", "principle 4", "principle 5", "principle 6", "principle 7", "principle 8", "principle 9",
     "essential indicators", "leadership indicators", "responsible business conduct", "section c",
 )
 SCORE_WORDS = (

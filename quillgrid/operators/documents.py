@@ -222,17 +222,22 @@ def merge_truncated(chunks: DataFrame, id_col: str = "doc_id", largest: int = LA
     return chunks.withColumnRenamed(id_col, "id").groupBy("id").applyInPandas(run, f"id {kind}, {_CHUNK}").withColumnRenamed("id", id_col)
 
 
-def chunk_issues(chunks: DataFrame, id_col: str = "doc_id", largest: int = LARGEST) -> DataFrame:
-    """(id, chunk, level, issue): one row for each finding."""
+#: Tokens above which a chunk is worth a warning.
+MANY_TOKENS = 1000
+
+
+def chunk_issues(chunks: DataFrame, id_col: str = "doc_id", largest: int = MANY_TOKENS) -> DataFrame:
+    """(id, chunk, level, issue): one row for each finding of five rules: text cut off, no text, tables that do not close, many tokens, no heading."""
+
     def found(when, level: str, issue: str):
         return F.when(when, F.struct(F.lit(level).alias("level"), F.lit(issue).alias("issue")))
 
     checks = F.array(
+        found(F.col("is_truncated"), "warning", "incomplete sentence"),
         found(T.strip(F.col("text")) == "", "error", "empty text"),
-        found(T.unbalanced_tables(F.col("text")), "error", "unbalanced table tags"),
-        found((F.col("tokens") > largest) & ~F.col("oversized_table"), "warning", "too many tokens"),
-        found(F.size("pages") == 0, "warning", "no pages"),
-        found(F.col("section") == "root", "warning", "no section"),
+        found(F.col("has_table") & T.unbalanced_tables(F.col("text")), "error", "unbalanced table tags"),
+        found(F.col("tokens") > largest, "warning", "too many tokens"),
+        found((F.col("section") == "root") & ~F.col("oversized_table"), "warning", "no section"),
     )
     return chunks.select(id_col, "chunk", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("x")).select(id_col, "chunk", "x.level", "x.issue")
 

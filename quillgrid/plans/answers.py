@@ -88,7 +88,7 @@ _g, _p = D.tokens("gold"), D.tokens("pred")
 @query(
     "flagship_scorecard",
     f"""WITH x AS ({PAIRS_SQL}), t AS (SELECT *, {_g} AS gt, {_p} AS pt, {D.norm('gold')} AS gn, {D.norm('pred')} AS pn FROM x),
-s AS (SELECT conv_id % 5 AS bucket, (gn = pn)::INT AS em, {D.set_f1('gt', 'pt')} AS f1, {D.traceability('gold', 'pred')} AS tr, {D.any_of('lower(pred)', T.ABSTAIN_PHRASES)}::INT AS ab FROM t)
+s AS (SELECT conv_id % 5 AS bucket, (gn = pn)::INT AS em, {D.set_f1('gt', 'pt')} AS f1, {D.traceability('gold', 'pred')} AS tr, {D.any_of('lower(pred)', D.ABSTAIN_PHRASES)}::INT AS ab FROM t)
 SELECT bucket, count(*) AS n, round(avg(em), 6) AS exact_match, round(avg(f1), 6) AS token_f1, round(avg(tr), 6) AS traceability, round(avg(ab), 6) AS abstain_rate FROM s GROUP BY bucket""",
 )
 def flagship_scorecard(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,7 +272,7 @@ def hallucination_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "abstain_rate",
     f"""WITH x AS (SELECT o_orderpriority, CASE o_orderkey % 4 WHEN 0 THEN 'It is Not Mentioned here' WHEN 1 THEN 'cannot be determined' WHEN 2 THEN '' ELSE 'Not available in memory' END AS t FROM orders)
-SELECT o_orderpriority, round(avg({D.any_of('lower(t)', T.ABSTAIN_PHRASES)}::INT), 6) AS abstain_rate FROM x GROUP BY o_orderpriority""",
+SELECT o_orderpriority, round(avg({D.any_of('lower(t)', D.ABSTAIN_PHRASES)}::INT), 6) AS abstain_rate FROM x GROUP BY o_orderpriority""",
 )
 def abstain_rate(spark: SparkSession, sf: str) -> DataFrame:
     t = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'It is Not Mentioned here' WHEN 1 THEN 'cannot be determined' WHEN 2 THEN '' ELSE 'Not available in memory' END")
@@ -285,7 +285,7 @@ _HOPS = "CAST(o_orderkey % 7 AS INT)"
 
 @query(
     "brsr_subset",
-    f"""WITH x AS ({ANSWERS_SQL}), y AS (SELECT {D.any_of(f'lower({_SECTION})', T.BRSR_WORDS)} AS f, (abs(n - p) < 0.01)::INT AS e FROM x)
+    f"""WITH x AS ({ANSWERS_SQL}), y AS (SELECT {D.any_of(f'lower({_SECTION})', D.BRSR_WORDS)} AS f, (abs(n - p) < 0.01)::INT AS e FROM x)
 SELECT f AS is_brsr, count(*) AS n, round(avg(e), 6) AS num_exact FROM y GROUP BY f""",
 )
 def brsr_subset(spark: SparkSession, sf: str) -> DataFrame:

@@ -70,12 +70,32 @@ def merge_truncated_chunks(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "chunk_validation",
     f"""WITH RECURSIVE {PACK_SQL} SELECT level, issue, count(*) AS n FROM (
-  SELECT 'warning' AS level, 'too many tokens' AS issue FROM c WHERE tokens > 900 UNION ALL SELECT 'warning', 'no pages' FROM c) GROUP BY level, issue""",
+  SELECT 'warning' AS level, 'incomplete sentence' AS issue FROM c WHERE is_truncated UNION ALL SELECT 'error', 'empty text' FROM c WHERE n_chars = 0
+  UNION ALL SELECT 'warning', 'too many tokens' FROM c WHERE tokens > 1000 UNION ALL SELECT 'warning', 'no section' FROM c WHERE section = 'root') GROUP BY level, issue""",
 )
 def chunk_validation(spark: SparkSession, sf: str) -> DataFrame:
     return O.chunk_issues(O.pack_chunks(O.block_rows(markdown(spark, sf)))).groupBy("level", "issue").agg(F.count("*").alias("n"))
 
 
+# Documents as chunks that break rules: some blank, with open tables, long, cut off, without a section.
+@query(
+    "chunk_rules",
+    """WITH x AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' WHEN doc_id % 5 = 0 THEN coalesce(text, '') || CASE WHEN doc_id % 10 = 0 THEN '<TABLE><tr><td>1' ELSE '<table></table>' END ELSE coalesce(text, '') END AS text, doc_id % 5 = 0 AS has_table,
+  n_chars % 2000 AS tokens, doc_id % 3 = 0 AS cut, doc_id % 4 = 0 AS rooted, doc_id % 8 = 0 AS oversized FROM documents),
+i AS (SELECT doc_id, unnest(list_filter([CASE WHEN cut THEN 'warning: incomplete sentence' END, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'error: empty text' END,
+  CASE WHEN has_table AND (length(lower(text)) - length(replace(lower(text), '<table', ''))) // 6 <> (length(lower(text)) - length(replace(lower(text), '</table>', ''))) // 8 THEN 'error: unbalanced table tags' END,
+  CASE WHEN tokens > 1000 THEN 'warning: too many tokens' END, CASE WHEN rooted AND NOT oversized THEN 'warning: no section' END], lambda x: x IS NOT NULL)) AS issue FROM x)
+SELECT doc_id, string_agg(issue, '; ' ORDER BY issue) AS issues FROM i GROUP BY doc_id""",
+)
+def chunk_rules(spark: SparkSession, sf: str) -> DataFrame:
+    x = table(spark, sf, "documents").selectExpr(
+        "doc_id", "0 AS chunk", "doc_id % 5 = 0 AS has_table", "cast(n_chars % 2000 AS int) AS tokens", "doc_id % 3 = 0 AS is_truncated", "if(doc_id % 4 = 0, 'root', 'A') AS section", "doc_id % 8 = 0 AS oversized_table",
+        "CASE WHEN doc_id % 7 = 0 THEN ' ' WHEN doc_id % 5 = 0 THEN concat(coalesce(text, ''), if(doc_id % 10 = 0, '<TABLE><tr><td>1', '<table></table>')) ELSE coalesce(text, '') END AS text",
+    )
+    found = O.chunk_issues(x).select("doc_id", F.concat_ws(": ", "level", "issue").alias("issue"))
+    return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("issue")), "; ").alias("issues"))
+
+
 @query("token_estimates", f"SELECT doc_id, {D.token_estimate('text')} AS tokens FROM documents")
 def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
@@ -83,7 +103,7 @@ def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "chunk_scores",
-    f"""SELECT doc_id, CAST((CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END) + (CASE WHEN {D.any_of('lower(text)', T.SCORE_WORDS)} THEN 1 ELSE 0 END) + (CASE WHEN {D.any_of("lower('Risk Management ' || source)", T.PRIORITY_SECTIONS)} THEN 2 ELSE 0 END) AS INTEGER) AS score FROM documents""",
+    f"""SELECT doc_id, CAST((CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END) + (CASE WHEN {D.any_of('lower(text)', D.SCORE_WORDS)} THEN 1 ELSE 0 END) + (CASE WHEN {D.any_of("lower('Risk Management ' || source)", D.PRIORITY_SECTIONS)} THEN 2 ELSE 0 END) AS INTEGER) AS score FROM documents""",
 )
 def chunk_scores(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.chunk_score(F.col("text"), F.concat(F.lit("Risk Management "), F.col("source")), F.col("doc_id") % 3 == 0).alias("score"))

@@ -32,6 +32,25 @@ FLAT_PHRASES = (
     "no change", "no significant change", "no major change", "no material change", "no meaningful change",
     "remained unchanged", "remained stable", "no notable change", "no considerable change",
 )
+ABSTAIN_PHRASES = (
+    "not available in context", "cannot be determined", "not mentioned", "not provided", "no information",
+    "information not available", "not stated", "not specified", "not found in context", "insufficient information",
+)
+BRSR_WORDS = (
+    "brsr", "business responsibility", "sustainability report", "esg",
+    "principle 1", "principle 2", "principle 3", "principle 4", "principle 5", "principle 6", "principle 7", "principle 8", "principle 9",
+    "essential indicators", "leadership indicators", "responsible business conduct", "section c",
+)
+SCORE_WORDS = (
+    "revenue", "profit", "loss", "cash flow", "dividend", "audit", "auditor", "board", "director", "risk", "remuneration", "share capital",
+    "borrowings", "debt", "equity", "segment", "md&a", "management discussion", "contingent", "ebitda", "pat", "eps", "roce", "roe",
+    "working capital", "inventory", "finance cost", "interest coverage", "related party", "pledge", "promoter", "note ", "schedule ",
+    "exceptional item", "capital expenditure", "capex",
+)
+PRIORITY_SECTIONS = (
+    "management discussion", "directors' report", "directors report", "corporate governance", "notes to accounts", "financial statements",
+    "profit and loss", "balance sheet", "cash flow", "auditor", "risk management", "related party", "shareholding pattern",
+)
 STRIPPED_UNITS = (
     "crores", "crore", "cr", "lakhs", "lakh", "lac", "lk", "millions", "million", "mn", "billions", "billion", "bn", "thousands", "thousand",
     "rs", "inr", "₹", "$",

@@ -83,7 +83,10 @@ def test_packing_against_rules(spark):
         assert [(x["section"], x["tokens"], x["oversized_table"], x["is_truncated"], x["text"]) for x in own] == [(w["section"], w["tokens"], w["big"], w["cut"], w["text"]) for w in want]
     merged = O.merge_truncated(O.pack_chunks(df, target=80, largest=100), largest=150)
     assert merged.agg(F.sum("tokens")).first()[0] == df.agg(F.sum("tokens")).first()[0]
-    assert O.chunk_issues(O.pack_chunks(df, target=80, largest=100), largest=100).where("issue = 'no pages'").count() == 0
+    packed = O.pack_chunks(df, target=80, largest=100)
+    found = {(x["doc_id"], x["chunk"], x["issue"]) for x in O.chunk_issues(packed, largest=90).collect()}
+    assert {x for x in found if x[2] == "too many tokens"} == {(x["doc_id"], x["chunk"], "too many tokens") for x in packed.where("tokens > 90").collect()}
+    assert {x[:2] for x in found if x[2] == "incomplete sentence"} == {(x["doc_id"], x["chunk"]) for x in packed.where("is_truncated").collect()}
 
 
 def test_repetition_is_cut_once(spark):
