@@ -243,6 +243,36 @@ def metric_interval_centres(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("lower <= mean AND mean <= upper").select("metric", r6(F.col("mean")).alias("mean"), "n")
 
 
+_DRAWS = f"""SELECT g.metric, n, b.b, {D.md5_number('42', 'b.b', 'j.j')} % n AS i FROM (SELECT DISTINCT metric, n FROM r) g CROSS JOIN range(20) b(b) CROSS JOIN LATERAL range(g.n) j(j)"""
+
+
+@query(
+    "metric_interval_bounds",
+    f"""WITH x AS (SELECT o_orderkey, unnest(['exact_match', 'token_f1']) AS metric, unnest([(o_orderkey % 2)::DOUBLE, (o_orderkey % 10) / 10.0::DOUBLE]) AS v FROM orders WHERE o_orderkey % 9 <> 0),
+r AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM x), d AS ({_DRAWS}),
+m AS (SELECT d.metric, b, avg(v) AS mean FROM d JOIN r ON r.metric = d.metric AND r.i = d.i GROUP BY ALL), o AS (SELECT metric, list_sort(list(mean)) AS l FROM m GROUP BY metric)
+SELECT metric, round(avg(v), 6) AS mean, round(any_value(l[1]), 6) AS lower, round(any_value(l[20]), 6) AS upper, count(*) AS n FROM r JOIN o USING (metric) GROUP BY metric""",
+)
+def metric_interval_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    x = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderkey % 9 = 0 AS failed", "cast(o_orderkey % 2 AS int) AS exact_match", "o_orderkey % 10 / 10.0D AS token_f1")
+    found = B.metric_intervals(x, "o_orderkey", ("exact_match", "token_f1"), 20, draws="md5")
+    return found.select("metric", *(r6(F.col(c)).alias(c) for c in ("mean", "lower", "upper")), "n")
+
+
+@query(
+    "paired_p_values",
+    f"""WITH a AS (SELECT c_custkey, (c_acctbal > 4000)::INT - (c_acctbal > 4500)::INT AS u, (c_custkey % 7)::INT - (c_custkey % 5)::INT AS w FROM customer WHERE c_nationkey = 3 OR c_nationkey = 7),
+x AS (SELECT c_custkey, unnest(['balance', 'key']) AS metric, unnest([u, w]) AS v FROM a), r AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM x),
+d AS ({_DRAWS}), c AS (SELECT metric, avg(v) AS delta FROM x GROUP BY metric), m AS (SELECT d.metric, b, avg(v) AS mean FROM d JOIN r ON r.metric = d.metric AND r.i = d.i GROUP BY ALL)
+SELECT metric, round(any_value(delta), 6) AS delta, round(avg((abs(mean - delta) >= abs(delta))::INT), 6) AS p_value, avg((abs(mean - delta) >= abs(delta))::INT) < 0.05 AS significant, (SELECT count(*) FROM a) AS n FROM m JOIN c USING (metric) GROUP BY metric""",
+)
+def paired_p_values(spark: SparkSession, sf: str) -> DataFrame:
+    some = table(spark, sf, "customer").where("c_nationkey = 3 OR c_nationkey = 7")
+    run = lambda balance, key: some.selectExpr("c_custkey", f"cast({balance} AS double) AS balance", f"cast({key} AS double) AS key")
+    found = B.significance_table(run("c_acctbal > 4000", "c_custkey % 7"), run("c_acctbal > 4500", "c_custkey % 5"), "c_custkey", ["balance", "key"], 20, draws="md5")
+    return found.select("metric", r6(F.col("delta")).alias("delta"), r6(F.col("p_value")).alias("p_value"), "significant", "n")
+
+
 @query(
     "latency_and_judge_means",
     "SELECT o_orderstatus AS key, count(*) AS n, round(avg(o_totalprice::DOUBLE), 1) AS latency_ms, round(avg(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 2 END), 6) AS llm_num_equiv FROM orders GROUP BY 1",

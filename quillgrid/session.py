@@ -43,8 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Bytes for each core below which a table counts as small.
-SMALL_BYTES = 64 << 20
+#: Bytes below which a table counts as small, on any number of cores.
+SMALL_BYTES = 256 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL_BYTES * cores and len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if size < SMALL_BYTES and len(df.inputFiles()) < cores else df
 
 
 def kept(df: DataFrame) -> DataFrame:
