@@ -89,22 +89,25 @@ def repeated_spans(text: str, gram: int = GRAM, stride: int = STRIDE, often: int
     return merged
 
 
-def _cleaned(text: str) -> tuple[str, list[str]]:
+def _cleaned(text: str, bounds: dict[str, int]) -> tuple[str, list[str]]:
     parts, removed, at = [], [], 0
-    for a, b in repeated_spans(text):
+    for a, b in repeated_spans(text, **bounds):
         parts += [text[at:a], f"\n\n[...HALLUCINATION REMOVED (Chars {a}-{b})...]\n\n"]
         removed.append(text[a:b][:1000])
         at = b
     return "".join([*parts, text[at:]]), removed
 
 
-def remove_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, removed): texts with repeated stretches replaced by a marker, and what was removed (its first 1000 characters)."""
+def remove_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
+    """(id, text, removed): texts with repeated stretches replaced by a marker, and what was removed (its first 1000 characters).
+
+    ``bounds`` are those of ``repeated_spans``.
+    """
     ship_package(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            both = [_cleaned(t or "") for t in f["text"]]
+            both = [_cleaned(t or "", bounds) for t in f["text"]]
             yield pd.DataFrame({"id": f["id"], "text": [x for x, _ in both], "removed": [r for _, r in both]})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
