@@ -11,7 +11,7 @@ is added to its neighbours' afterwards. A hot phrase is one key in each batch, s
 
 Range bounds come from a sample of keys, ``BOUND_KEYS`` for each range; they balance the work and have
 no part in the result. A range is about ``RANGE_KEYS`` word places; the bounds, which go to every task,
-take some 20 bytes for each range (80 MB at 10^13 words). Word numbers go to the tasks ``SENT_WORDS`` at
+take some 20 bytes for each range (100 MB at 10^13 words). Word numbers go to the tasks ``SENT_WORDS`` at
 a time, words over 32 bytes by a hash of 128 bits; where there are more, texts are numbered in several
 passes with the same result. Scores are exact: products are decimals of 38 digits.
 
@@ -44,14 +44,14 @@ LONGEST = 5
 TOP = 2_000
 WITHIN = 100
 #: Word places of a range, and sampled keys for each range.
-RANGE_KEYS = 4_000_000
+RANGE_KEYS = 2_000_000
 BOUND_KEYS = 8
 #: Word places that a task sorts at a time.
-SORTED_KEYS = 1_000_000
+SORTED_KEYS = 500_000
 #: Numbered words that are sent to the tasks at a time (33 bytes each at most).
 SENT_WORDS = 1_000_000
 #: Distinct words that a task counts before it hands them on.
-COUNTED_WORDS = 500_000
+COUNTED_WORDS = 200_000
 
 _BREAK = b"\xff"  # in no UTF-8 text
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -264,9 +264,9 @@ def _summed(bits: int, longest: int, min_count: int, width: int):
     """(key, f) of the phrases of one range, by runs of equal beginnings: frequent ones, and those at its edges."""
     kind = np.uint32 if bits <= 32 else np.uint64
 
-    def phrases(keys: np.ndarray, counts: np.ndarray):
-        order = sorted_keys(keys, bits)
-        keys, counts = keys[order], counts[order]
+    def phrases(both: np.ndarray):
+        both = both[sorted_keys(both[:, :-1], bits)]
+        keys, counts = both[:, :-1], both[:, -1].astype(np.int64)
         for k in range(2, longest + 1):
             starts = starts_of(keys, k)
             sums = np.add.reduceat(counts, starts)
@@ -279,11 +279,10 @@ def _summed(bits: int, longest: int, min_count: int, width: int):
         spread, parts = zstandard.ZstdDecompressor(), []
         for batch in batches:
             for block in batch.column(1).to_pylist():
-                parts.append(np.frombuffer(spread.decompress(block), kind).astype(np.int64).reshape(longest + 1, -1).T)
+                parts.append(np.frombuffer(spread.decompress(block), kind).reshape(longest + 1, -1).T)
         if parts:
-            both = np.concatenate(parts)
-            parts.clear()
-            for keys, own in phrases(both[:, :-1], both[:, -1]):
+            parts = np.concatenate(parts)
+            for keys, own in phrases(parts):
                 yield pa.RecordBatch.from_arrays([pa.array(_bytes(keys, width), pa.binary()), pa.array(own, pa.int64())], names=["key", "f"])
 
     return run
