@@ -317,7 +317,7 @@ def _bounds(rows: DataFrame, source, words: int, ranges: int, longest: int, widt
     raw = np.frombuffer(b"".join(cut), np.uint8).reshape(len(cut), longest, width)
     wide = np.zeros((len(cut), longest, 8), np.uint8)
     wide[:, :, 8 - width :] = raw
-    return wide.reshape(len(cut), -1).view(">u8").astype(np.int64)
+    return wide.reshape(len(cut), 8 * longest).view(">u8").astype(np.int64)
 
 
 def phrase_counts(rows: DataFrame, words: DataFrame, n_ids: int, n_words: int, min_count: int, longest: int, sent_words: int = SENT_WORDS, range_keys: int = RANGE_KEYS) -> tuple[DataFrame, int]:

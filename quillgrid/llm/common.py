@@ -81,6 +81,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of a few numbers each that are sent to every task; more are joined by a shuffle.
+SENT_ROWS_AT_MOST = 500_000
+
+
+def sent_if_few(df: DataFrame) -> DataFrame:
+    """The rows, marked to be sent to all tasks where they are few; they are counted for it, so they should be written somewhere."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS_AT_MOST else df
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, cut, fresh, prepared, text_or_empty, texts, tidied, written
+from quillgrid.llm.common import Batches, cut, fresh, prepared, sent_if_few, text_or_empty, texts, tidied, written
 from quillgrid.llm.components import connected_components
 
 SHINGLE = 4
@@ -303,7 +303,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     told = distinct_texts(docs, id_col, text_col)
     nodes = told.select("node", F.posexplode("fps").alias("seed", "fp"))
     families = written(connected_components(links(nodes).unionByName(band_links(told))), "families")
-    wanted = told.join(families, "node").select(F.col("mark").alias("m"), F.col("id").alias("i"), "root", "node")
+    wanted = sent_if_few(cut(told.join(families, "node").select(F.col("mark").alias("m"), F.col("id").alias("i"), "root", "node")))
     rows = docs.select(docs[id_col].alias("id"), _mark(text_col).alias("mark"), text_or_empty(text_col).alias("text"))
     named = rows.join(wanted, (F.col("mark") == F.col("m")) & F.col("id").eqNullSafe(F.col("i"))).select("root", "node", "text")
     members = written(named.mapInArrow(tidied(_shingled), "root bigint, node bigint, shingles array<bigint>"), "members")
@@ -346,7 +346,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty texts are equal.
     """
     mark, own, first, times, lost = fresh(docs, "_mark", "_own", "_first", "_times", "_lost")
-    told = written(similar_texts(docs, id_col, text_col, similarity), "texts").toDF(mark, first, times, lost)
+    told = sent_if_few(written(similar_texts(docs, id_col, text_col, similarity), "texts").toDF(mark, first, times, lost))
     met = docs.withColumn(own, _mark(text_col)).join(told, F.col(own) == F.col(mark), "left")
     met = met.where(F.col(mark).isNull() | (~F.col(lost) & docs[id_col].eqNullSafe(F.col(first))))
     if told.where(~F.col(lost) & (F.col(times) > 1)).isEmpty():
