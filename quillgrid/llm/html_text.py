@@ -76,6 +76,8 @@ _WORDS = frozenset(
 )
 #: Such names are kept apart even though one of the words above is part of them.
 _KEEP = frozenset("content main article body post entry story text".split())
+#: A header with one of these names is the head of an article; any other is the site's.
+_HEADED = frozenset("article entry post story".split())
 #: Words that tell furniture only when nothing but these and numbers stands beside them: related-posts, but not related-work.
 _LISTED = frozenset("related posts post articles article stories story links items news more box block list grid section container wrapper inner content reading topics videos".split())
 
@@ -100,7 +102,8 @@ def _marked(tag: str, attributes: str) -> tuple[bool, bool]:
             if name in ("class", "id"):
                 words = _names(value)
                 if tag not in ("article", "main") or words & {"comment", "comments", "reply"}:
-                    if words & _WORDS and not (words & _KEEP and not words & {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav"}):
+                    own = words & (_HEADED if "header" in words else _KEEP) and not words & {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav"}
+                    if words & _WORDS and not own:
                         skip = True
                     elif "related" in words and all(w in _LISTED or not w or w.isdigit() for w in words):
                         skip = True

@@ -21,6 +21,7 @@ PAGES = {
     "<p>a</p>\n\n<p>  </p><p>b\n c</p>": "a b c",
     "<article><div class='entry-header'><h1>Own head</h1></div><p>a</p><section class='related-work'><p>b</p></section></article>": "Own head a b",
     "<body><div id='content'><p>a</p></div><div class='related-posts'><p>b</p></div><section class=related><p>c</p></section></body>": "a",
+    "<body><div class='main-header'>Site</div><div id='main-content'><p>a</p></div></body>": "a",
     "<p title='a > b' id=\"x>y\">t</p>": "t",
     "<p title='open>t</p>": "t",
 }
