@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,17 +38,29 @@ def release(spark: SparkSession) -> None:
 SENT_ROWS = 2048
 
 
+#: Of each session, how many writers are at work, and the setting that they found.
+_WRITERS: dict[int, tuple[int, str]] = {}
+_WRITERS_LOCK = threading.Lock()
+
+
 @contextlib.contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Batches of ``SENT_ROWS`` at most for what is computed inside; the session's setting stands again afterwards."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
-    if not 0 < int(before) <= SENT_ROWS:
-        spark.conf.set(key, str(SENT_ROWS))
+    """Batches of ``SENT_ROWS`` at most for what is computed inside; behind the last of several threads the session's setting stands again."""
+    key, own = "spark.sql.execution.arrow.maxRecordsPerBatch", id(spark)
+    with _WRITERS_LOCK:
+        n, before = _WRITERS.get(own, (0, spark.conf.get(key, "10000")))
+        if not 0 < int(before) <= SENT_ROWS:
+            spark.conf.set(key, str(SENT_ROWS))
+        _WRITERS[own] = n + 1, before
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _WRITERS_LOCK:
+            n, before = _WRITERS.pop(own)
+            if n > 1:
+                _WRITERS[own] = n - 1, before
+            else:
+                spark.conf.set(key, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
