@@ -167,3 +167,88 @@ WITH t AS (
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM ranked WHERE rank <= 2000
 """
+
+
+ORACLES["op9_quality_rules"] = """
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM t
+), g AS (
+  SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM g) WHERE n > 1
+), repeated AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(0, 3) AS ks(k) GROUP BY r
+), l AS (
+  SELECT r, host, k, line, len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n,
+    regexp_replace(array_to_string(list_filter(string_split_regex(lower(line), '[\\s\\x0B]+'), lambda x: x <> ''), ' '), '[0-9]', '0', 'g') AS norm
+  FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t)
+), lines AS (
+  SELECT * FROM l WHERE n > 0
+), marks AS (
+  SELECT t.r, t.host, coalesce(string_agg(lines.norm, chr(10) ORDER BY lines.k), '') AS mark FROM t LEFT JOIN lines ON lines.r = t.r GROUP BY t.r, t.host
+), hosts AS (
+  SELECT host, count(DISTINCT mark) AS all_docs FROM marks GROUP BY host
+), common AS (
+  SELECT lines.host, lines.norm FROM lines JOIN marks ON marks.r = lines.r JOIN hosts ON hosts.host = lines.host
+  GROUP BY lines.host, lines.norm, all_docs
+  HAVING count(DISTINCT mark) >= 20 AND (count(DISTINCT mark) > all_docs * 0.02::DOUBLE OR count(DISTINCT mark) > 1000)
+), removed AS (
+  SELECT r, sum(n) AS n_removed_words FROM lines JOIN common ON common.host = lines.host AND common.norm = lines.norm GROUP BY r
+), dups AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY r
+), counted AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words
+  FROM t JOIN w USING (r) LEFT JOIN repeated USING (r) LEFT JOIN removed USING (r) LEFT JOIN dups USING (r)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= n_words * 0.5::DOUBLE AS kept FROM judged
+"""
+
+
+def _crc_table() -> list[int]:
+    """The table of crc32, by its rule: eight steps of the polynomial on each byte."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return table
+
+
+ORACLES["op13_periodic_runs"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+    CASE WHEN doc_id IS NULL THEN 0 ELSE xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]), 4294967295)) END AS h FROM documents
+), g AS (
+  SELECT r, doc_id, words, len(words) AS n, h, h // 10 AS g FROM d
+), a AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g
+), x AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN words ELSE list_transform(range(0, n), lambda i: words[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS ws FROM a
+), k AS (
+  SELECT r, n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM x
+), f AS (
+  SELECT * FROM k QUALIFY count(*) OVER (PARTITION BY r, word) >= 4
+), e AS (
+  SELECT u.r, v.i - u.i AS q, u.i FROM f u JOIN f v ON u.r = v.r AND u.word = v.word AND v.i > u.i AND 4 * (v.i - u.i) <= u.n
+), s AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS stretch FROM e) GROUP BY r, q, stretch HAVING count(*) >= 3 * q AND count(*) + q >= 6
+), runs AS (
+  SELECT r, start, length, q AS period FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.r = s.r AND o.q < s.q AND o.start <= s.start AND o.start + o.length >= s.start + s.length)
+), told AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) = 1
+), held AS (
+  SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT k.r, string_agg(k.word, ' ' ORDER BY k.i) AS text FROM k LEFT JOIN held ON held.r = k.r AND held.i = k.i WHERE held.i IS NULL GROUP BY k.r
+)
+SELECT x.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM x LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
