@@ -232,6 +232,6 @@ def judge_reply(reply: Column) -> Column:
     return F.struct(
         F.when(blank, False).when(parsed.isNotNull(), truth).otherwise(plain).alias("equivalent"),
         F.when(blank | parsed.isNull(), "LOW").otherwise(F.upper(F.coalesce(parsed["confidence"], F.lit("LOW")))).alias("confidence"),
-        F.when(blank, "empty response").when(parsed.isNotNull(), T.strip(F.coalesce(parsed["reason"], F.lit("")))).otherwise(F.replace(F.left(reply, F.lit(120)), F.lit("\n"), F.lit(" "))).alias("reason"),
+        F.when(blank, "empty response").when(parsed.isNotNull(), T.strip(F.coalesce(parsed["reason"], F.lit("")))).otherwise(F.replace(T.capped(reply, "judge_reason"), F.lit("\n"), F.lit(" "))).alias("reason"),
         F.when(blank, "empty response").alias("error"),
     )

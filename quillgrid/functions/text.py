@@ -40,6 +40,24 @@ STRIPPED_UNITS = (
 )
 
 
+#: Characters of a text that count or are kept, by what it serves for.
+CAPS = {
+    "similarity": 1024,
+    "premise": 1800,
+    "cached_context": 300,
+    "judge_reason": 120,
+    "page_error": 120,
+    "failure": 400,
+    "dead_letter": 1000,
+    "removed": 1000,
+}
+
+
+def capped(c: Column, use: str) -> Column:
+    """What of a text serves for a use."""
+    return F.left(c, F.lit(CAPS[use]))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body mentions it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -175,7 +193,7 @@ def heading(c: Column) -> Column:
 
 
 def is_ocr_error(c: Column) -> Column:
-    return contains_any(F.lower(F.left(c, F.lit(120))), OCR_ERRORS)
+    return contains_any(F.lower(capped(c, "page_error")), OCR_ERRORS)
 
 
 def is_valid_page(c: Column) -> Column:
@@ -183,7 +201,7 @@ def is_valid_page(c: Column) -> Column:
 
 
 def csv_scrub(c: Column) -> Column:
-    return F.left(F.translate(F.translate(c, '"', "'"), "\n", " "), F.lit(400))
+    return capped(F.translate(F.translate(c, '"', "'"), "\n", " "), "failure")
 
 
 def unbalanced_tables(c: Column) -> Column:

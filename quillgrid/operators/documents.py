@@ -93,7 +93,7 @@ def _cleaned(text: str, bounds: dict[str, int]) -> tuple[str, list[str]]:
     parts, removed, at = [], [], 0
     for a, b in repeated_spans(text, **bounds):
         parts += [text[at:a], f"\n\n[...HALLUCINATION REMOVED (Chars {a}-{b})...]\n\n"]
-        removed.append(text[a:b][:1000])
+        removed.append(text[a:b][: T.CAPS["removed"]])
         at = b
     return "".join([*parts, text[at:]]), removed
 

@@ -421,7 +421,7 @@ def generate_pairs(bundles: DataFrame, key: str, text: str, tier: str, backend:
     pairs = asked.select(key, F.explode(J.qa_pairs(F.col("reply"))).alias("p")).select(
         key, "p.question", "p.answer", "p.evidence", F.coalesce("p.question_type", F.lit("Unknown")).alias("question_type"), J.truthy(F.col("p.requires_calculation")).alias("requires_calculation")
     )
-    dead = asked.withColumn("reason", F.coalesce("error", J.reply_error(F.col("reply")))).where("reason IS NOT NULL").select(key, "reason", F.left("reply", F.lit(1000)).alias("reply"))
+    dead = asked.withColumn("reason", F.coalesce("error", J.reply_error(F.col("reply")))).where("reason IS NOT NULL").select(key, "reason", T.capped(F.col("reply"), "dead_letter").alias("reply"))
     return pairs, dead
 
 

@@ -47,12 +47,11 @@ def run_tag(model: str, tier: str, regime: str, form: str = "html") -> str:
 
 #: Once in each partition gives a function from texts to (precision, recall, f1) for each pair.
 PairScorer = Callable[[], Callable[[list[str], list[str]], list[tuple[float, float, float]]]]
-LIMIT = 1024
 
 
 def bert_scores(df: DataFrame, key: str, gold: str, pred: str, scorer: PairScorer | None = None) -> DataFrame:
     """(key, bertscore_p, bertscore_r, bertscore_f1): zeros without a scorer; texts cut to 1024 characters, blank ones as n/a."""
-    text = lambda c: F.when(T.strip(F.coalesce(F.col(c), F.lit(""))) == "", "n/a").otherwise(F.left(c, F.lit(LIMIT)))
+    text = lambda c: F.when(T.strip(F.coalesce(F.col(c), F.lit(""))) == "", "n/a").otherwise(T.capped(F.col(c), "similarity"))
     names = ["bertscore_p", "bertscore_r", "bertscore_f1"]
     if scorer is None:
         return df.select(key, *(F.lit(0.0).alias(n) for n in names))
@@ -93,7 +92,7 @@ def entailments(df: DataFrame, key: str, evidence: str, answer: str, entailer: E
             yield f[[key]].assign(label=labels)
 
     kind = df.schema[key].dataType.simpleString()
-    each = df.select(key, F.left(F.coalesce(F.col(evidence), F.lit("")), F.lit(1800)).alias("e"), F.explode(T.sentences(F.coalesce(F.col(answer), F.lit("")))).alias("s")).mapInPandas(run, f"{key} {kind}, label string")
+    each = df.select(key, T.capped(F.coalesce(F.col(evidence), F.lit("")), "premise").alias("e"), F.explode(T.sentences(F.coalesce(F.col(answer), F.lit("")))).alias("s")).mapInPandas(run, f"{key} {kind}, label string")
     share = lambda name: F.avg((F.col("label") == name).cast("int")).alias(name.lower())
     found = each.groupBy(key).agg(F.count("*").cast("int").alias("n"), share("ENTAILMENT"), share("CONTRADICTION"), share("NEUTRAL"))
     return df.select(key).join(found, key, "left").fillna({"n": 0, "entailment": 0.0, "contradiction": 0.0, "neutral": 1.0})

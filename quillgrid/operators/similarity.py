@@ -24,20 +24,18 @@ from quillgrid.functions import text as T
 from quillgrid.operators.alignment import words
 from quillgrid.session import ship_package
 
-#: Characters of a text that count, as the models' windows are that long.
-LIMIT = 1024
 BLOCK_PAIRS = 64
 NAMES = ("bertscore_p", "bertscore_r", "bertscore_f1")
 
 
-def shown(c: Column, limit: int | None = LIMIT) -> Column:
+def shown(c: Column, limit: int | None = T.CAPS["similarity"]) -> Column:
     """What of a text is compared; n/a where that is blank, so that every text has a token."""
     whole = F.coalesce(c, F.lit(""))
     cut = whole if limit is None else F.left(whole, F.lit(limit))
     return F.when(T.strip(cut) == "", "n/a").otherwise(cut)
 
 
-def embedding_scores(df: DataFrame, keys: list[str], gold: str, pred: str, vectors: DataFrame, token: str = "token", vector: str = "vector", idf: bool = True, limit: int | None = LIMIT, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+def embedding_scores(df: DataFrame, keys: list[str], gold: str, pred: str, vectors: DataFrame, token: str = "token", vector: str = "vector", idf: bool = True, limit: int | None = T.CAPS["similarity"], block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """(keys, bertscore_p, bertscore_r, bertscore_f1) of each pair of texts; keys tell pairs apart and must not repeat."""
     ship_package(df.sparkSession)
     total = df.count()

@@ -14,7 +14,7 @@ def records(df: DataFrame, path: str, mode: str = "append") -> None:
 
 def generations(df: DataFrame, path: str) -> None:
     """Cache rows with the context cut to 300 characters."""
-    df.withColumn("context", F.left("context", F.lit(300))).write.mode("append").json(path)
+    df.withColumn("context", T.capped(F.col("context"), "cached_context")).write.mode("append").json(path)
 
 
 def chunk_details(chunks: DataFrame) -> DataFrame:
