@@ -194,34 +194,35 @@ def frequent_short_grams(spark: SparkSession, sf: str) -> DataFrame:
     return O.frequent_grams(table(spark, sf, "documents"), gram=30, often=2)
 
 
-# Windows of four words, one every two words, that return three times within twenty strides; pairs of offsets make the marker's length.
-_SPANS_SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '\s*\S+') AS parts FROM documents),
-k AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM t WHERE len(parts) >= 20),
+# Words with their characters' places, windows that return, their stretches one after another, and close stretches as one; 43 characters and two offsets mark a cut.
+def _spans_sql(gram: int, stride: int, often: int, near: int, gap: int, join: int, least: int) -> str:
+    return rf"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '\s*\S+') AS parts FROM documents),
+k AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM t WHERE len(parts) >= {least}),
 p AS (SELECT doc_id, k, ltrim(part, e' \t\n\r\f') AS word, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM k),
 w AS (SELECT doc_id, list(word ORDER BY k) AS words, list(stop - length(word) ORDER BY k) AS starts, list(stop ORDER BY k) AS stops FROM p GROUP BY doc_id),
-o AS (SELECT doc_id, unnest(range(0, (len(words) - 4) // 2 + 1)) AS x, words FROM w),
-g AS (SELECT doc_id, array_to_string(words[2 * x + 1 : 2 * x + 4], ' ') AS gram, list(x ORDER BY x) AS xs FROM o GROUP BY ALL HAVING count(*) >= 3),
-r AS (SELECT *, list_filter(range(0, len(xs) - 2), lambda i: xs[i + 3] - xs[i + 1] <= 20) AS dense, list_filter(range(0, len(xs) - 1), lambda i: xs[i + 2] - xs[i + 1] > 5) AS wide FROM g),
+o AS (SELECT doc_id, unnest(range(0, (len(words) - {gram}) // {stride} + 1)) AS x, words FROM w),
+g AS (SELECT doc_id, array_to_string(words[{stride} * x + 1 : {stride} * x + {gram}], ' ') AS gram, list(x ORDER BY x) AS xs FROM o GROUP BY ALL HAVING count(*) >= {often}),
+r AS (SELECT *, list_filter(range(0, len(xs) - {often} + 1), lambda i: xs[i + {often}] - xs[i + 1] <= {near}) AS dense, list_filter(range(0, len(xs) - 1), lambda i: xs[i + 2] - xs[i + 1] > {gap}) AS wide FROM g),
 s AS (
   SELECT doc_id, gram, dense[1] AS i FROM r WHERE len(dense) > 0
   UNION ALL
-  SELECT doc_id, gram, i FROM (SELECT s.doc_id, s.gram, list_filter(r.dense, lambda d: d > coalesce(list_filter(r.wide, lambda e: e >= s.i + 2)[1], len(r.xs) - 1))[1] AS i FROM s JOIN r ON r.doc_id = s.doc_id AND r.gram = s.gram) WHERE i IS NOT NULL),
-e AS (SELECT s.doc_id, r.xs[s.i + 1] AS a, r.xs[coalesce(list_filter(r.wide, lambda e: e >= s.i + 2)[1], len(r.xs) - 1) + 1] AS b FROM s JOIN r ON r.doc_id = s.doc_id AND r.gram = s.gram),
-c AS (SELECT e.doc_id, w.starts[2 * a + 1] AS a, w.stops[2 * b + 4] AS b FROM e JOIN w ON w.doc_id = e.doc_id),
+  SELECT doc_id, gram, i FROM (SELECT s.doc_id, s.gram, list_filter(r.dense, lambda d: d > coalesce(list_filter(r.wide, lambda e: e >= s.i + {often} - 1)[1], len(r.xs) - 1))[1] AS i FROM s JOIN r ON r.doc_id = s.doc_id AND r.gram = s.gram) WHERE i IS NOT NULL),
+e AS (SELECT s.doc_id, r.xs[s.i + 1] AS a, r.xs[coalesce(list_filter(r.wide, lambda e: e >= s.i + {often} - 1)[1], len(r.xs) - 1) + 1] AS b FROM s JOIN r ON r.doc_id = s.doc_id AND r.gram = s.gram),
+c AS (SELECT e.doc_id, w.starts[{stride} * a + 1] AS a, w.stops[{stride} * b + {gram}] AS b FROM e JOIN w ON w.doc_id = e.doc_id),
 m AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
-n AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before + {join} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m),
 z AS (SELECT doc_id, island, min(a) AS a, max(b) AS b FROM n GROUP BY ALL),
 q AS (SELECT doc_id, count(*) AS removed, sum(b - a) AS gone, sum(43 + length(CAST(a AS VARCHAR)) + length(CAST(b AS VARCHAR))) AS marked FROM z GROUP BY doc_id)
 SELECT t.doc_id, CAST(length(text) - coalesce(gone, 0) + coalesce(marked, 0) AS INTEGER) AS n_chars, CAST(coalesce(removed, 0) AS INTEGER) AS removed FROM t LEFT JOIN q ON q.doc_id = t.doc_id"""
 
 
-@query("repetition_of_short_windows", _SPANS_SQL)
+@query("repetition_of_short_windows", _spans_sql(gram=4, stride=2, often=3, near=20, gap=5, join=50, least=20))
 def repetition_of_short_windows(spark: SparkSession, sf: str) -> DataFrame:
     cut = O.remove_repetition(table(spark, sf, "documents"), gram=4, stride=2, often=3, near=20, gap=5, join=50, least=20)
     return cut.select("doc_id", F.length("text").alias("n_chars"), F.size("removed").alias("removed"))
 
 
-@query("repetition_removal")
+@query("repetition_removal", _spans_sql(gram=150, stride=10, often=10, near=300, gap=45, join=2000, least=1500))
 def repetition_removal(spark: SparkSession, sf: str) -> DataFrame:
     return O.remove_repetition(table(spark, sf, "documents")).select("doc_id", F.length("text").alias("n_chars"), F.size("removed").alias("removed"))
 
