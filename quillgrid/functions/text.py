@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
+#: Every character that ``(?U)\s`` matches.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Phrases and words that the flags look for.
 ABSTAIN_PHRASES = (
@@ -78,7 +80,7 @@ def collapse(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def normalize(c: Column) -> Column:
@@ -134,11 +136,14 @@ def question_budget(score: Column, merged: Column) -> Column:
 
 def token_estimate(c: Column) -> Column:
     """Words times a ratio of 1.3 to 2.5 that grows with numbers and signs; truncated."""
-    n = F.regexp_count(c, F.lit(r"(?U)\S+"))
-    numbers = F.regexp_count(c, F.lit(r"(?U)\d+"))
-    signs = F.regexp_count(c, F.lit(r"[₹$€£%]"))
-    ratio = F.least(F.lit(2.5), F.lit(1.3) + F.lit(0.8) * numbers / F.nullif(n, F.lit(0)) + F.lit(0.5) * signs / F.nullif(n, F.lit(0)))
-    return F.coalesce((n * ratio).cast("int"), F.lit(0))
+    counts = F.struct(F.regexp_count(c, F.lit(r"(?U)\S+")).alias("n"), F.regexp_count(c, F.lit(r"(?U)\d+")).alias("numbers"), F.regexp_count(c, F.lit(r"[₹$€£%]")).alias("signs"))
+
+    def estimate(v: Column) -> Column:
+        share = lambda k: k / F.nullif(v["n"], F.lit(0))
+        ratio = F.least(F.lit(2.5), F.lit(1.3) + share(F.lit(0.8) * v["numbers"]) + share(F.lit(0.5) * v["signs"]))
+        return F.coalesce((v["n"] * ratio).cast("int"), F.lit(0))
+
+    return let(counts, estimate)
 
 
 def is_complete(c: Column) -> Column:
@@ -150,14 +155,15 @@ def is_complete(c: Column) -> Column:
 def normalize_markdown(c: Column) -> Column:
     """Line feeds only, blank runs as one blank line, rule lines deleted."""
     lines = F.regexp_replace(F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), r"\n{3,}", "\n\n")
-    return F.regexp_replace(F.regexp_replace(lines, r"(?m)^[ \t]*---[ \t]*$", ""), r"\n{3,}", "\n\n")
+    return F.when(lines.contains("---"), F.regexp_replace(F.regexp_replace(lines, r"(?m)^[ \t]*---[ \t]*$", ""), r"\n{3,}", "\n\n")).otherwise(lines)
 
 
 def mark_pages(c: Column, keep_images: bool = True) -> Column:
     """Watermarks deleted, images as comments or deleted, page tags as markers of their own."""
     plain = F.regexp_replace(c, r"(?is)<watermark>.*?</watermark>", "")
     plain = F.regexp_replace(plain, r"(?is)<img>(.*?)</img>", "<!-- image: $1 -->" if keep_images else "")
-    return F.regexp_replace(plain, r"(?is)<page_number>(.*?)</page_number>", "\n\n__PAGE_$1__\n\n")
+    plain = F.regexp_replace(plain, r"(?is)<page_number>(.*?)</page_number>", "\n\n__PAGE_$1__\n\n")
+    return F.when(c.contains("<"), plain).otherwise(c)
 
 
 def page_numbers(c: Column) -> Column:
@@ -170,14 +176,16 @@ def page_numbers(c: Column) -> Column:
 def without_blank_lines_in_tables(c: Column) -> Column:
     """Blank lines inside tables collapsed; the rest as it is."""
     parts = F.split(c, r"(?i)(?=<table>)|(?<=</table>)")
-    return F.array_join(F.transform(parts, lambda p: F.when(F.lower(p).startswith("<table>"), F.regexp_replace(p, r"\n(?:[ \t]*\n)+", "\n")).otherwise(p)), "")
+    whole = F.array_join(F.transform(parts, lambda p: F.when(F.lower(p).startswith("<table>"), F.regexp_replace(p, r"\n(?:[ \t]*\n)+", "\n")).otherwise(p)), "")
+    return F.when(c.contains("<"), whole).otherwise(c)
 
 
 def blocks(c: Column) -> Column:
     """Tables whole, other text parted by blank lines; empty ones dropped."""
     parts = F.split(c, r"(?i)(?=<table>)|(?<=</table>)")
-    nested = F.transform(parts, lambda p: F.when(F.lower(p).startswith("<table>"), F.array(p)).otherwise(F.split(p, r"\n[ \t]*\n")))
-    return F.filter(F.transform(F.flatten(nested), strip), lambda b: b != "")
+    plain = lambda p: F.split(p, r"\n[ \t]*\n")
+    nested = F.transform(parts, lambda p: F.when(F.lower(p).startswith("<table>"), F.array(p)).otherwise(plain(p)))
+    return F.filter(F.transform(F.when(c.contains("<"), F.flatten(nested)).otherwise(plain(c)), strip), lambda b: b != "")
 
 
 def heading(c: Column) -> Column:
@@ -186,10 +194,13 @@ def heading(c: Column) -> Column:
         F.transform(F.split(c, "\n"), strip),
         lambda s: ~s.startswith("<page_number>") & ~s.startswith("<!--") & s.rlike(r"^(#{1,6}\s+\S.*|\*\*[^*]+\*\*)$"),
     )
-    first = F.try_element_at(lines, F.lit(1))
-    hashes = F.regexp_extract(first, r"^(#{1,6})\s", 1)
-    title = F.when(hashes != "", strip(F.regexp_replace(first, r"^#{1,6}\s+", ""))).otherwise(strip(F.regexp_extract(first, r"^\*\*(.*?)\*\*$", 1)))
-    return F.when(first.isNotNull(), F.struct(strip(F.regexp_replace(title, r"^\*\*(.*)\*\*$", "$1")).alias("title"), F.when(hashes != "", F.length(hashes)).otherwise(2).alias("level")))
+
+    def parsed(first: Column) -> Column:
+        hashes = F.regexp_extract(first, r"^(#{1,6})\s", 1)
+        title = F.when(hashes != "", strip(F.regexp_replace(first, r"^#{1,6}\s+", ""))).otherwise(strip(F.regexp_extract(first, r"^\*\*(.*?)\*\*$", 1)))
+        return F.when(first.isNotNull(), F.struct(strip(F.regexp_replace(title, r"^\*\*(.*)\*\*$", "$1")).alias("title"), F.when(hashes != "", F.length(hashes)).otherwise(2).alias("level")))
+
+    return F.when(c.contains("#") | c.contains("**"), let(F.try_element_at(lines, F.lit(1)), parsed))
 
 
 def is_ocr_error(c: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,10 +122,14 @@ def block_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A heading of level 2 or more sets the section from its own block on; a block without a page mark
     has the pages of the block before it.
     """
-    marked = T.mark_pages(T.normalize_markdown(F.coalesce(F.col(text_col), F.lit(""))))
-    raw = docs.select(id_col, F.posexplode(T.blocks(T.without_blank_lines_in_tables(marked))).alias("pos", "raw"))
-    plain = F.regexp_replace("raw", r"__PAGE_(.*?)__", "<page_number>$1</page_number>" if keep_page_tags else "")
-    found = raw.select(id_col, "pos", T.strip(plain).alias("text"), T.page_numbers(F.col("raw")).alias("own_pages"), T.heading(plain).alias("h")).where("text <> ''")
+    # Each step is a projection of its own, as an expression that is mentioned twice is worked out twice.
+    lines = docs.select(id_col, T.normalize_markdown(F.coalesce(F.col(text_col), F.lit(""))).alias("lines"))
+    marked = lines.select(id_col, T.mark_pages(F.col("lines")).alias("marked")).select(id_col, T.without_blank_lines_in_tables(F.col("marked")).alias("whole"))
+    raw = marked.select(id_col, F.posexplode(T.blocks(F.col("whole"))).alias("pos", "raw"))
+    tag = "<page_number>$1</page_number>" if keep_page_tags else ""
+    plain = F.when(F.contains("raw", F.lit("__PAGE_")), F.regexp_replace("raw", r"__PAGE_(.*?)__", tag)).otherwise(F.col("raw"))
+    pages = F.when(F.contains("raw", F.lit("__PAGE_")), T.page_numbers(F.col("raw"))).otherwise(F.array().cast("array<int>"))
+    found = raw.select(id_col, "pos", T.strip(plain).alias("text"), pages.alias("own_pages"), T.heading(plain).alias("h")).where("text <> ''")
     order = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return found.select(
         id_col,
@@ -137,92 +143,149 @@ def block_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 _CHUNK = "chunk int, section string, pages array<int>, has_table boolean, tokens int, oversized_table boolean, is_truncated boolean, text string"
+_CHUNK_COLUMNS = {
+    "chunk": pa.int32(), "section": pa.string(), "pages": pa.list_(pa.int32()), "has_table": pa.bool_(),
+    "tokens": pa.int32(), "oversized_table": pa.bool_(), "is_truncated": pa.bool_(), "text": pa.string(),
+}
 
 
 def _closes(text: str) -> bool:
     return text.rstrip()[-1:] in tuple(".。!?\"')}]") and bool(text.strip())
 
 
+class _Block(NamedTuple):
+    text: str
+    pages: list[int]
+    section: str
+    is_table: bool
+    tokens: int
+
+
 class _Packer:
     """Greedy packing of a document's blocks in order."""
 
     def __init__(self, target: int, largest: int):
         self.target, self.largest = target, largest
-        self.held: list = []
+        self.held: list[_Block] = []
+        self.tokens = 0
+        self.chunks, self.before = 0, None
         self.out: list[dict] = []
 
-    @property
-    def tokens(self) -> int:
-        return sum(b.tokens for b in self.held)
-
     def flush(self, oversized: bool = False) -> None:
         if not self.held:
             return
-        named = [b.section for b in self.held if b.section != "root"]
-        before = self.out[-1] if self.out else None
-        section = named[0] if named else before["section"] if before and before["is_truncated"] else "root"
-        text = "\n\n".join(b.text for b in self.held)
-        self.out.append(
-            {
-                "chunk": len(self.out),
-                "section": section,
-                "pages": sorted({int(p) for b in self.held for p in b.pages}),
-                "has_table": any(b.is_table for b in self.held),
-                "tokens": self.tokens,
-                "oversized_table": oversized,
-                "is_truncated": not _closes(text),
-                "text": text,
-            }
-        )
-        self.held = []
-
-    def add(self, block) -> None:
+        named = next((b.section for b in self.held if b.section != "root"), None)
+        section = named or (self.before["section"] if self.before and self.before["is_truncated"] else "root")
+        text = "\n\n".join([b.text for b in self.held])
+        self.before = {
+            "chunk": self.chunks,
+            "section": section,
+            "pages": sorted({p for b in self.held for p in b.pages}),
+            "has_table": any(b.is_table for b in self.held),
+            "tokens": self.tokens,
+            "oversized_table": oversized,
+            "is_truncated": not _closes(text),
+            "text": text,
+        }
+        self.out.append(self.before)
+        self.held, self.tokens, self.chunks = [], 0, self.chunks + 1
+
+    def add(self, block: _Block) -> None:
         if self.held and block.section not in ("root", self.held[-1].section) and self.tokens >= 0.3 * self.target:
             self.flush()
         if not self.held and block.is_table and block.tokens > self.largest:
-            self.held = [block]
+            self._hold(block)
             self.flush(oversized=True)
             return
         if self.held and (self.tokens + block.tokens > self.largest or (not block.is_table and self.tokens >= self.target)):
             self.flush()
+        self._hold(block)
+
+    def _hold(self, block: _Block) -> None:
         self.held.append(block)
+        self.tokens += block.tokens
 
+    def finished(self) -> list[dict]:
+        """The chunks that are complete and were not asked for before."""
+        out, self.out = self.out, []
+        return out
+
+
+class _Merger:
+    """Truncated chunks of a document that take up the next ones, in order."""
+
+    def __init__(self, largest: int):
+        self.largest = largest
+        self.last: dict | None = None
+        self.out: list[dict] = []
+
+    def add(self, chunk: dict) -> None:
+        last = self.last
+        if last and last["is_truncated"] and last["tokens"] + chunk["tokens"] <= self.largest:
+            last["pages"] = sorted({*last["pages"], *chunk["pages"]})
+            last["text"] += "\n\n" + chunk["text"]
+            last["tokens"] += chunk["tokens"]
+            last["has_table"] = last["has_table"] or chunk["has_table"]
+            last["is_truncated"] = chunk["is_truncated"]
+        else:
+            self.flush()
+            self.last = {**chunk, "pages": sorted(chunk["pages"])}
+
+    def flush(self) -> None:
+        if self.last:
+            self.out.append(self.last)
+        self.last = None
+
+    def finished(self) -> list[dict]:
+        out, self.out = self.out, []
+        return out
 
-def pack_chunks(blocks: DataFrame, id_col: str = "doc_id", target: int = TARGET, largest: int = LARGEST) -> DataFrame:
-    """Chunks of each document's blocks: documents are independent, so this is one shuffle by document."""
-    ship_package(blocks.sparkSession)
-    kind = blocks.schema[id_col].dataType.simpleString()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        packer = _Packer(target, largest)
-        for block in frame.sort_values("pos").itertuples():
-            packer.add(block)
-        packer.flush()
-        return pd.DataFrame([{"id": frame["id"].iloc[0], **c} for c in packer.out])
+def _folded(rows: DataFrame, id_col: str, order: str, fold: Callable[[], _Packer | _Merger], item: Callable[..., object], columns: list[str]) -> DataFrame:
+    """Chunks that a fold makes of each document's rows in order, batch by batch: documents are told apart where the numbering begins anew.
 
-    return blocks.withColumnRenamed(id_col, "id").groupBy("id").applyInPandas(run, f"id {kind}, {_CHUNK}").withColumnRenamed("id", id_col)
+    Rows that a window has dealt by document and sorted are neither dealt nor sorted again, and a document is never
+    gathered: only the chunk at hand is held.
+    """
+    ship_package(rows.sparkSession)
+    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(order))
+    numbered = rows.select(F.col(id_col).alias("id"), turn.alias("turn"), *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, own, kind = None, None, None
+
+        def made(done: list[tuple]) -> pa.RecordBatch:
+            arrays = [pa.array([i for i, _ in done], kind)] + [pa.array([c[name] for _, c in done], t) for name, t in _CHUNK_COLUMNS.items()]
+            return pa.RecordBatch.from_arrays(arrays, ["id", *_CHUNK_COLUMNS])
+
+        for batch in batches:
+            kind, done = batch.schema.field("id").type, []
+            for i, k, *values in zip(*(batch.column(c).to_pylist() for c in ("id", "turn", *columns))):
+                if k == 1:
+                    if state is not None:
+                        state.flush()
+                        done += [(own, c) for c in state.finished()]
+                    state, own = fold(), i
+                state.add(item(*values))
+            if state is not None:
+                done += [(own, c) for c in state.finished()]
+            yield made(done)
+        if state is not None:
+            state.flush()
+            yield made([(own, c) for c in state.finished()])
+
+    return numbered.mapInArrow(run, f"id {rows.schema[id_col].dataType.simpleString()}, {_CHUNK}").withColumnRenamed("id", id_col)
+
+
+def pack_chunks(blocks: DataFrame, id_col: str = "doc_id", target: int = TARGET, largest: int = LARGEST) -> DataFrame:
+    """Chunks of each document's blocks: documents are independent, so this is one shuffle by document at most."""
+    return _folded(blocks, id_col, "pos", lambda: _Packer(target, largest), _Block, list(_Block._fields))
 
 
 def merge_truncated(chunks: DataFrame, id_col: str = "doc_id", largest: int = LARGEST) -> DataFrame:
     """A truncated chunk takes up the next ones while both fit ``largest`` tokens."""
-    ship_package(chunks.sparkSession)
-    kind = chunks.schema[id_col].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for c in frame.sort_values("chunk").to_dict("records"):
-            last = out[-1] if out else None
-            if last and last["is_truncated"] and last["tokens"] + c["tokens"] <= largest:
-                last["pages"] = sorted({*map(int, last["pages"]), *map(int, c["pages"])})
-                last["text"] += "\n\n" + c["text"]
-                last["tokens"] += c["tokens"]
-                last["has_table"] = last["has_table"] or c["has_table"]
-                last["is_truncated"] = c["is_truncated"]
-            else:
-                out.append({**c, "pages": sorted(map(int, c["pages"]))})
-        return pd.DataFrame(out)[["id", "chunk", "section", "pages", "has_table", "tokens", "oversized_table", "is_truncated", "text"]]
-
-    return chunks.withColumnRenamed(id_col, "id").groupBy("id").applyInPandas(run, f"id {kind}, {_CHUNK}").withColumnRenamed("id", id_col)
+    names = list(_CHUNK_COLUMNS)
+    return _folded(chunks, id_col, "chunk", lambda: _Merger(largest), lambda *values: dict(zip(names, values)), names)
 
 
 #: Tokens above which a chunk is worth a warning.

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames import rows
+from quillgrid.functions import text as T
 from quillgrid.functions.digests import md5_numbers
 from quillgrid.operators import bundles as U
 from quillgrid.operators import documents as O
@@ -217,6 +218,30 @@ def test_intervals_drawn_in_parts_cover_the_mean(spark):
         assert p[s]["delta"] == pytest.approx(own.mean()) and abs(p[s]["p_value"] - want) < 0.08
 
 
+def test_chunks_are_folded_batch_by_batch(spark):
+    """Documents longer than a batch; blocks are dealt once, and no document is gathered."""
+    text = "\n\n".join(f"## Part {k // 9}\n\nwords of block {k} of many." for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, "one"), (3, None), (4, text)], "doc_id int, text string")
+    whole = O.pack_chunks(O.block_rows(docs), target=60, largest=80)
+    want, merged = rows(whole), rows(O.merge_truncated(whole, largest=100))
+    assert "\n\n".join(r[-1] for r in sorted(want, key=lambda r: r[1]) if r[0] == 4) == text and any(r[0] == 2 for r in want)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("Exchange hashpartitioning") == 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        again = O.pack_chunks(O.block_rows(docs), target=60, largest=80)
+        assert rows(again) == want and rows(O.merge_truncated(again, largest=100)) == merged
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_strip_takes_every_white_space(spark):
+    spaces = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
+    got = spark.createDataFrame([(f"{spaces}a{spaces}b\x1c{spaces}",), (spaces,), ("",)], "t string").select(T.strip(F.col("t")), F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).collect()
+    assert [r[0] for r in got] == [f"a{spaces}b\x1c", "", ""] == [r[1] for r in got]
+
+
 def test_weak_pairs(spark):
     scores = [9, 8, 10, 7, 9, 12, 8, 9, 8, 8]
     df = spark.createDataFrame([("c", k, s, 1) for k, s in enumerate(scores)], "company string, bundle int, score int, chunk_count int")
