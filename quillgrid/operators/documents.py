@@ -100,6 +100,22 @@ def _cleaned(text: str, bounds: dict[str, int]) -> tuple[str, list[str]]:
     return "".join([*parts, text[at:]]), removed
 
 
+#: Characters of texts that are cleaned before they are handed on.
+_HANDED = 4 << 20
+
+
+def _shares(texts: pd.Series) -> Iterator[slice]:
+    """Stretches of the texts of some ``_HANDED`` characters, one text at least."""
+    first, held = 0, 0
+    for k, t in enumerate(texts):
+        held += len(t or "")
+        if held >= _HANDED:
+            yield slice(first, k + 1)
+            first, held = k + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
 def remove_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
     """(id, text, removed): texts with repeated stretches replaced by a marker, and what was removed (its first 1000 characters).
 
@@ -109,8 +125,11 @@ def remove_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            both = [_cleaned(t or "", bounds) for t in f["text"]]
-            yield pd.DataFrame({"id": f["id"], "text": [x for x, _ in both], "removed": [r for _, r in both]})
+            # What Spark sends at once can be thousands of long texts: a few of them are cleaned and handed on at a time.
+            for at in _shares(f["text"]):
+                own = f.iloc[at]
+                both = [_cleaned(t or "", bounds) for t in own["text"]]
+                yield pd.DataFrame({"id": own["id"], "text": [x for x, _ in both], "removed": [r for _, r in both]})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, text string, removed array<string>").withColumnRenamed("id", id_col)

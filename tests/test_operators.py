@@ -9,6 +9,7 @@ import threading
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,13 @@ def test_strip_takes_every_white_space(spark):
     assert [r[0] for r in got] == [f"a{spaces}b\x1c", "", ""] == [r[1] for r in got]
 
 
+def test_cleaned_texts_are_handed_on_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(O, "_HANDED", 10)
+    texts = pd.Series(["abcd", None, "abcdefg", "", "x" * 30, "ab"])
+    shares = [list(texts.iloc[at]) for at in O._shares(texts)]
+    assert shares == [["abcd", None, "abcdefg"], ["", "x" * 30], ["ab"]] and not list(O._shares(texts.iloc[:0]))
+
+
 def test_weak_pairs(spark):
     scores = [9, 8, 10, 7, 9, 12, 8, 9, 8, 8]
     df = spark.createDataFrame([("c", k, s, 1) for k, s in enumerate(scores)], "company string, bundle int, score int, chunk_count int")
