@@ -145,7 +145,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
     counts = tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(tables.join(counts, "key"))
     groups = met.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("fp", "node")).alias("group")).select("group")
-    near = groups.mapInArrow(tidied(_forest(radius)), "a bigint, b bigint")
+    # Edges, fewer than the rows above, are kept: a next Python stage in the same tasks would double the workers of an executor.
+    near = cut(groups.mapInArrow(tidied(_forest(radius)), "a bigint, b bigint"))
     crowded = met.where(F.col("n") > bucket).select("node", "seed", "fp")
     if crowded.isEmpty():
         return near

@@ -87,6 +87,12 @@ def test_links_of_close_fingerprints(spark):
         assert _components(fps, edges) == want
 
 
+def test_links_leave_no_python_stage_to_the_next(spark):
+    nodes = spark.createDataFrame([(k, 0, k >> 1) for k in range(8)], "node bigint, seed int, fp bigint")
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # two in one task would take two Python workers
+
+
 def _similarity(a, b):
     return len(a & b) / len(a | b)
 
