@@ -130,3 +130,12 @@ def two_level(scored: DataFrame, outer: str, inner: str) -> DataFrame:
 def judge_candidates(scored: DataFrame, type_col: str = "question_type", calc_col: str = "requires_calculation") -> DataFrame:
     wanted = F.coalesce(F.col(calc_col), F.lit(False)) | F.coalesce(F.col(type_col).isin(*JUDGED_TYPES), F.lit(False))
     return scored.where(~F.col("failed") & ~F.col("abstained") & wanted)
+
+
+def folded(pairs: DataFrame, *columns: str) -> DataFrame:
+    """The different rows of the columns and how many rows (``times``) each stands for, nulls being equal.
+
+    Answers repeat, and a measure costs far more than a count: equal pairs are counted where they lie and measured
+    once. Where all differ it costs one shuffle more, and as many measures as before.
+    """
+    return pairs.groupBy(*columns).agg(F.count("*").alias("times"))

@@ -223,8 +223,9 @@ def canonical_units(spark: SparkSession, sf: str) -> DataFrame:
 SELECT l_returnflag, coalesce(g, 'none') AS gold_label, count(*) AS n, CAST(sum(CASE WHEN g IS NULL THEN NULL WHEN p IS NULL THEN 0 ELSE (g = p)::INT END) AS BIGINT) AS hits FROM y GROUP BY ALL""",
 )
 def direction_labels(spark: SparkSession, sf: str) -> DataFrame:
-    x = statements(spark, sf).select("l_returnflag", F.coalesce(M.direction(F.col("gold")), F.lit("none")).alias("gold_label"), M.directional_accuracy(F.col("gold"), F.col("pred")).alias("hit"))
-    return x.groupBy("l_returnflag", "gold_label").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    told = S.folded(statements(spark, sf), "l_returnflag", "gold", "pred")
+    x = told.select("l_returnflag", "times", F.coalesce(M.direction(F.col("gold")), F.lit("none")).alias("gold_label"), M.directional_accuracy(F.col("gold"), F.col("pred")).alias("hit"))
+    return x.groupBy("l_returnflag", "gold_label").agg(F.sum("times").alias("n"), F.sum(F.col("hit") * F.col("times")).alias("hits"))
 
 
 @query(
@@ -233,8 +234,10 @@ def direction_labels(spark: SparkSession, sf: str) -> DataFrame:
 SELECT l_returnflag, round(avg(CASE WHEN g IS NULL THEN NULL WHEN p IS NULL THEN 0 ELSE (g = p)::INT END), 6) AS accuracy, count(g) AS n FROM y GROUP BY l_returnflag""",
 )
 def directional_means(spark: SparkSession, sf: str) -> DataFrame:
-    hit = statements(spark, sf).select("l_returnflag", M.directional_accuracy(F.col("gold"), F.col("pred")).alias("h"))
-    return hit.groupBy("l_returnflag").agg(r6(F.avg("h")).alias("accuracy"), F.count("h").alias("n"))
+    told = S.folded(statements(spark, sf), "l_returnflag", "gold", "pred")
+    hit = told.select("l_returnflag", "times", M.directional_accuracy(F.col("gold"), F.col("pred")).alias("h"))
+    hits, n = F.sum(F.col("h") * F.col("times")), F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.col("times"))), F.lit(0))
+    return hit.groupBy("l_returnflag").agg(r6(hits / F.nullif(n, F.lit(0))).alias("accuracy"), n.alias("n"))
 
 
 _REL = f"""SELECT *, {D.direction('gold')} AS gd, {D.direction('pred')} AS pd, abs({D.last_number('gold')}) AS gl, abs({D.last_number('pred')}) AS pl, {D.canonical('gold')} AS gc, {D.canonical('pred')} AS pc,
@@ -249,8 +252,9 @@ SELECT l_returnflag, count(*) AS n, CAST(sum((gn = pn)::INT) AS BIGINT) AS exact
 )
 def relaxed_em(spark: SparkSession, sf: str) -> DataFrame:
     g, p = F.col("gold"), F.col("pred")
-    x = statements(spark, sf).select("l_returnflag", M.exact_match(g, p).alias("em"), M.relaxed_match(g, p).alias("rm"))
-    return x.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("em").alias("exact_match"), F.sum("rm").alias("relaxed_em"))
+    told = S.folded(statements(spark, sf), "l_returnflag", "gold", "pred")
+    x = told.select("l_returnflag", "times", M.exact_match(g, p).alias("em"), M.relaxed_match(g, p).alias("rm"))
+    return x.groupBy("l_returnflag").agg(F.sum("times").alias("n"), F.sum(F.col("em") * F.col("times")).alias("exact_match"), F.sum(F.col("rm") * F.col("times")).alias("relaxed_em"))
 
 
 _TAX = f"""SELECT *, list_distinct({D.number_strings('gold')}) AS gs, list_distinct({D.number_strings('pred')}) AS ps, {D.direction('gold')} AS gd, {D.direction('pred')} AS pd, len({D.words('gold')}) AS gw, len({D.words('pred')}) AS pw FROM x"""

@@ -23,6 +23,7 @@ from quillgrid.operators import reports as R
 from quillgrid.operators import scorecard as S
 from quillgrid.operators import sequences as Q
 from quillgrid.operators import stats as B
+from quillgrid.plans import catalog
 from quillgrid.sources import readers, writers
 from quillgrid.streaming import incremental as I
 
@@ -745,3 +746,13 @@ def test_command_line(spark, tmp_path, capsys):
     main(["analyze", "--results-dir", str(tmp_path / "out"), "--compare", "--errors", "--failures"])
     out = capsys.readouterr().out
     assert "tiny: tiny-1 (own/tiny-1" in out and "Table Only" in out and "stub" in out
+
+
+def test_equal_answers_are_measured_once(spark):
+    x = spark.createDataFrame([("a", "1", "2"), ("a", "1", "2"), ("b", "1", "2"), ("a", None, "2"), ("a", None, "2"), ("a", "1", None)], "k string, gold string, pred string")
+    found = {(r["k"], r["gold"], r["pred"]): r["times"] for r in S.folded(x, "k", "gold", "pred").collect()}
+    assert found == {("a", "1", "2"): 2, ("b", "1", "2"): 1, ("a", None, "2"): 2, ("a", "1", None): 1}
+    assert S.folded(x.limit(0), "k", "gold").count() == 0
+    for name in ("relaxed_em", "direction_labels", "directional_means"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"\bAggregate \[", plan)) == 2
