@@ -103,6 +103,15 @@ def sent_if_few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT_ROWS_AT_MOST else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The rows, marked to be joined by a shuffle whatever Spark takes for their size.
+
+    Rows that an explode or a Python stage has multiplied, or that were read from well compressed files, are
+    many times what Spark takes them for, and would be sent to all tasks through the driver.
+    """
+    return df.hint("merge")
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

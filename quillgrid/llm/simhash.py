@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import Batches, cut, fresh, prepared, sent_if_few, text_or_empty, texts, tidied, written
+from quillgrid.llm.common import Batches, cut, fresh, prepared, sent_if_few, shuffled, text_or_empty, texts, tidied, written
 from quillgrid.llm.components import connected_components
 
 SHINGLE = 4
@@ -143,7 +143,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
     keys = F.array(*[F.xxhash64(F.col("seed"), F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])
     tables = nodes.select("node", "seed", "fp", F.explode(keys).alias("key"))
     counts = tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(tables.join(counts, "key"))
+    met = cut(shuffled(tables).join(counts, "key"))
     groups = met.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("fp", "node")).alias("group")).select("group")
     # Edges, fewer than the rows above, are kept: a next Python stage in the same tasks would double the workers of an executor.
     near = cut(groups.mapInArrow(tidied(_forest(radius)), "a bigint, b bigint"))

@@ -93,6 +93,25 @@ def test_links_leave_no_python_stage_to_the_next(spark):
     assert "MapInArrow" not in plan  # two in one task would take two Python workers
 
 
+def _plans(monkeypatch):
+    """The plans, before any shuffle has run, of what ``simhash`` keeps from now on."""
+    seen, kept = [], simhash.cut
+
+    def cut(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    return seen
+
+
+def test_exploded_keys_are_never_broadcast(spark, monkeypatch):
+    """Spark takes exploded rows for as few as they were before."""
+    seen = _plans(monkeypatch)
+    simhash.links(spark.range(40).selectExpr("id AS node", "0 AS seed", "id AS fp"))
+    assert "SortMergeJoin" in seen[0] and "BroadcastExchange" not in seen[0]
+
+
 def _similarity(a, b):
     return len(a & b) / len(a | b)
 
