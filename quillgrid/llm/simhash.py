@@ -150,10 +150,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
     crowded = met.where(F.col("n") > bucket).select("node", "seed", "fp")
     if crowded.isEmpty():
         return near
-    crowded = crowded.distinct()
+    # Few rows that become thousands each: dealt out, as Spark would leave them to one task.
+    crowded = crowded.distinct().repartition(4 * nodes.sparkSession.sparkContext.defaultParallelism, "node")
     points = crowded.mapInArrow(tidied(_points(radius)), "node bigint, seed int, point bigint")
     least = points.groupBy("seed", "point").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
-    far = points.join(least, ["seed", "point"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    far = shuffled(points).join(least, ["seed", "point"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
     return near.unionByName(far)
 
 
@@ -184,6 +185,8 @@ BAND = 5
 FAMILY = 5_000
 FAMILY_SHINGLES = 2_000_000
 LEADERS = 256
+#: Texts of a family that a task compares with its first texts in a round, about.
+SHARE = 2 * LEADERS
 
 
 def word_fingerprint(text: str, seed: int) -> int:
@@ -264,7 +267,7 @@ def band_links(firsts: DataFrame) -> DataFrame:
     """Edges (a, b) from the least node of each band key to the others that have the key; ``firsts`` has columns node and bands."""
     keys = firsts.select("node", F.explode("bands").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select(F.col("key").alias("k"), "a")
-    return keys.join(least, F.col("key") == F.col("k")).where("node <> a").select("a", F.col("node").alias("b"))
+    return shuffled(keys).join(least, F.col("key") == F.col("k")).where("node <> a").select("a", F.col("node").alias("b"))
 
 
 def _mark(text_col: str):
@@ -304,27 +307,30 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     told = distinct_texts(docs, id_col, text_col)
     nodes = told.select("node", F.posexplode("fps").alias("seed", "fp"))
     families = written(connected_components(links(nodes).unionByName(band_links(told))), "families")
-    wanted = sent_if_few(cut(told.join(families, "node").select(F.col("mark").alias("m"), F.col("id").alias("i"), "root", "node")))
+    wanted = sent_if_few(cut(shuffled(told).join(families, "node").select(F.col("mark").alias("m"), F.col("id").alias("i"), "root", "node")))
     rows = docs.select(docs[id_col].alias("id"), _mark(text_col).alias("mark"), text_or_empty(text_col).alias("text"))
     named = rows.join(wanted, (F.col("mark") == F.col("m")) & F.col("id").eqNullSafe(F.col("i"))).select("root", "node", "text")
     members = written(named.mapInArrow(tidied(_shingled), "root bigint, node bigint, shingles array<bigint>"), "members")
     lost, settled = spark.createDataFrame([], "node bigint"), []
     while True:
         sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("all"))
-        large = sizes.where((F.col("n") > 1) & ((F.col("n") > FAMILY) | (F.col("all") > FAMILY_SHINGLES))).select("root")
+        large = sizes.where((F.col("n") > 1) & ((F.col("n") > FAMILY) | (F.col("all") > FAMILY_SHINGLES))).select("root", F.ceil(F.col("n") / SHARE).alias("shares"))
         if large.isEmpty():
             break
-        large = cut(large)
+        large = F.broadcast(cut(large))  # a few rows: each stands for thousands of texts or millions of shingles
         settled.append(members.join(large, "root", "left_anti"))
         members = members.join(large, "root", "left_semi")
         order = Window.partitionBy("root").orderBy("node")
         ranked = members.select("root", "node", F.size("shingles").alias("size")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEADERS)
         heads = ranked.withColumn("sum", F.sum("size").over(order)).where((F.col("k") == 1) | (F.col("sum") <= FAMILY_SHINGLES))
-        chosen = members.join(heads.select("root", "node").distinct(), ["root", "node"])
+        chosen = shuffled(members).join(heads.select("root", "node").distinct(), ["root", "node"])
         picked = cut(chosen.groupBy("root").agg(F.collect_list(F.struct("node", "shingles")).alias("m")).select("root", "m"))
         beaten = cut(picked.select("m").mapInArrow(tidied(_family_losers(similarity)), "node bigint"))
         stay = picked.select("root", F.explode("m").alias("m")).select("root", "m.node", "m.shingles").join(beaten, "node", "left_anti")
-        pairs = members.join(stay.select("root", F.col("node").alias("leader"), F.col("shingles").alias("own")), "root").where("node > leader")
+        dealt = members.join(large, "root").withColumn("share", F.pmod(F.xxhash64("node"), "shares"))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share")
+        leaders = stay.join(large, "root").select("root", every, F.col("node").alias("leader"), F.col("shingles").alias("own"))
+        pairs = shuffled(dealt).join(leaders, ["root", "share"]).where("node > leader")
         both = F.size(F.array_intersect("shingles", "own"))
         similar = pairs.where(both >= similarity * (F.size("shingles") + F.size("own") - both)).select("node").distinct()
         gone = cut(beaten.unionByName(similar).distinct())
@@ -334,7 +340,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         members = members.unionByName(part)
     gathered = members.groupBy("root").agg(F.collect_list(F.struct("node", "shingles")).alias("members")).select("members")
     lost = lost.unionByName(gathered.mapInArrow(tidied(_family_losers(similarity)), "node bigint")).distinct().withColumn("lost", F.lit(True))
-    judged = told.select("node", "mark", "id", "times", "rows").join(lost, "node", "left").where(F.col("lost") | (F.col("rows") > 1))
+    judged = shuffled(told.select("node", "mark", "id", "times", "rows")).join(lost, "node", "left").where(F.col("lost") | (F.col("rows") > 1))
     return judged.select("mark", "id", "times", F.coalesce("lost", F.lit(False)).alias("lost"))
 
 

@@ -112,6 +112,15 @@ def test_exploded_keys_are_never_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in seen[0] and "BroadcastExchange" not in seen[0]
 
 
+def test_points_and_bands_are_never_broadcast(spark):
+    """Nor are the 2,081 points of each fingerprint in a large bucket, or the keys of bands."""
+    far = simhash.links(spark.range(40).selectExpr("id AS node", "0 AS seed", "id AS fp"), bucket=2)
+    bands = simhash.band_links(spark.range(40).selectExpr("id AS node", "array(id % 3, id % 5) AS bands"))
+    for df in (far, bands):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def _similarity(a, b):
     return len(a & b) / len(a | b)
 
