@@ -345,17 +345,19 @@ def two_level_summary(spark: SparkSession, sf: str) -> DataFrame:
 # Statistics.
 
 _BOOT = 200
+#: Replicates of the intervals: as many as the library makes by default.
+_INTERVAL = B.REPLICATES
 
 
 @query(
     "bootstrap_ci",
     f"""WITH r AS (SELECT c_mktsegment, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer),
-d AS (SELECT c_mktsegment, n, b.b, j.j, {D.md5_number('42', 'b.b', 'j.j')} % n AS i FROM (SELECT DISTINCT c_mktsegment, n FROM r) g CROSS JOIN range({_BOOT}) b(b) CROSS JOIN LATERAL range(g.n) j(j)),
+d AS (SELECT c_mktsegment, n, b.b, j.j, {D.md5_number('42', 'b.b', 'j.j')} % n AS i FROM (SELECT DISTINCT c_mktsegment, n FROM r) g CROSS JOIN range({_INTERVAL}) b(b) CROSS JOIN LATERAL range(g.n) j(j)),
 m AS (SELECT d.c_mktsegment, b, avg(v) AS mean FROM d JOIN r ON r.c_mktsegment = d.c_mktsegment AND r.i = d.i GROUP BY ALL), o AS (SELECT c_mktsegment, list_sort(list(mean)) AS l FROM m GROUP BY 1)
-SELECT o.c_mktsegment, round(c.mean, 4) AS mean, round(l[{int(0.025 * _BOOT) + 1}], 4) AS lower, round(l[{int(0.975 * _BOOT) + 1}], 4) AS upper, c.n FROM o JOIN (SELECT c_mktsegment, avg(c_acctbal) AS mean, count(*) AS n FROM customer GROUP BY 1) c USING (c_mktsegment)""",
+SELECT o.c_mktsegment, round(c.mean, 4) AS mean, round(l[{int(0.025 * _INTERVAL) + 1}], 4) AS lower, round(l[{int(0.975 * _INTERVAL) + 1}], 4) AS upper, c.n FROM o JOIN (SELECT c_mktsegment, avg(c_acctbal) AS mean, count(*) AS n FROM customer GROUP BY 1) c USING (c_mktsegment)""",
 )
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    ci = B.bootstrap_ci(table(spark, sf, "customer"), "c_acctbal", "c_custkey", ["c_mktsegment"], _BOOT)
+    ci = B.bootstrap_ci(table(spark, sf, "customer"), "c_acctbal", "c_custkey", ["c_mktsegment"], _INTERVAL)
     return ci.select("c_mktsegment", *(F.round(c, 4).alias(c) for c in ("mean", "lower", "upper")), "n")
 
 

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from quillgrid.operators import stats
 from quillgrid.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,12 @@ def test_query(spark, duck, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == columns
     assert _cells(found) == _cells([tuple(r[names.index(c)] for c in columns) for r in want.fetchall()])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not here")
+def test_intervals_have_all_replicates(spark, monkeypatch):
+    """The registered intervals are of as many replicates as the library's own, in code and in SQL."""
+    seen, own = [], stats.replicate_means
+    monkeypatch.setitem(stats.DRAWS, "md5", lambda scores, value, order, by, replicates, seed: seen.append(replicates) or own(scores, value, order, by, replicates, seed))
+    catalog.QUERIES["bootstrap_ci"](spark, SF)
+    assert seen == [stats.REPLICATES] == [1000] and "range(1000)" in catalog.ORACLES["bootstrap_ci"]
